@@ -181,10 +181,10 @@ def encoder(path: str) -> Encoder:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with ``ids`` (array of int) and ``decoded``; a null text is empty.
+    """``docs`` with ``ids`` (array of int); a null text is empty.
 
     Row-wise: rows may repeat, and no row meets another, so hot sources or copies
-    don't matter. Clashing column names are replaced.
+    don't matter. A clashing column ``ids`` is replaced.
     """
 
     def make(batch: pa.RecordBatch):
@@ -192,10 +192,20 @@ def encode(docs: DataFrame, path: str, text: str = "text", without: tuple[str, .
         raw = [enc.encode(t or "") for t in batch.column(text).to_pylist()]
         sizes = np.cumsum([0] + [len(r) // 4 for r in raw])
         values = np.frombuffer(b"".join(raw), "<i4")
-        ids = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int32()))
-        return ids, pa.array([enc.decode(r) for r in raw], pa.string())
+        return [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int32()))]
 
-    return add_columns(docs, [("ids", "array<int>"), ("decoded", "string")], make, without)
+    return add_columns(docs, [("ids", "array<int>")], make, without)
+
+
+def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """``rows`` with ``decoded``, the text that the ids stand for; null ids are empty."""
+
+    def make(batch: pa.RecordBatch):
+        enc = encoder(path)
+        column = batch.column(batch.schema.get_field_index(ids)).to_pylist()
+        return [pa.array([enc.decode(np.array(x or [], "<u4").tobytes()) for x in column], pa.string())]
+
+    return add_columns(rows, [("decoded", "string")], make)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

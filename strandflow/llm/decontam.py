@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates.
 
 Texts become template words: numbers, units after numbers and capitalised names turn into
-typed placeholders, other words are lower-cased. Windows of ``WINDOW`` template words are
+typed placeholders, other words are lower-cased. Documents that hold too few of an item's
+anchors (pairs of neighbouring words) are left out first; of the others, windows of ``WINDOW`` template words are
 hash-joined with the benchmark's. On each diagonal (a fixed shift between document and
 item) the fillers of matching slots must correspond one to one, which holds for copies and
 for questions whose numbers or names were replaced consistently, and not for chance.
@@ -10,12 +11,12 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 WINDOW = 8
-#: Words of a window that are no placeholders.
-LEAST_LITERALS = 4
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.5
 #: Benchmark windows that are broadcast; beyond it the join shuffles.
@@ -24,7 +25,7 @@ MOST_BROADCAST = 1_000_000
 #: Units that count as such right after a number.
 UNITS = "mm cm m km in inch inches ft feet yd mi mile miles mg g kg lb lbs oz ml l s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent mph kmh kph w kw hz khz mhz ghz kb mb gb tb degrees".split()
 
-WORD = r"\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,]\p{N}+)*"
+WORD = r"[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*"
 
 
 def raw_words(text: str = "text") -> Column:
@@ -52,7 +53,7 @@ def template(words: Column) -> Column:
 
 
 def windows(words: Column, size: Column | int) -> Column:
-    """Hashes of the windows of template words, null where too few are literal."""
+    """Hashes of the windows of template words."""
     size = F.lit(size) if isinstance(size, int) else size
 
     def of(x: Column) -> Column:
@@ -62,26 +63,41 @@ def windows(words: Column, size: Column | int) -> Column:
     return F.transform(F.array(words), of)[0]
 
 
-def _slots(words: Column, raw: Column, at: Column, size: Column) -> Column:
-    """(kind, filler) of each window word; the filler is null for literals."""
-    part = F.arrays_zip(F.slice(words, at, size).alias("t"), F.slice(raw, at, size).alias("r"))
-    return F.transform(part, lambda p: F.struct(p["t"].alias("kind"), F.when(F.length(p["t"]) == 1, F.when(p["t"] < " ", F.lower(p["r"]))).alias("filler")))
-
-
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, size, k, at, windows, slots) of every benchmark window.
+    """(item_id, words, raw, item_windows, size, at, k, anchor) of every benchmark window.
 
-    Items shorter than ``WINDOW`` words are one window of their own length; items without
-    words, or null, have none.
+    Items shorter than ``WINDOW`` words are one window of their own length; items of fewer
+    than two words, or null, have none. A window counts if so many of its words are
+    literal that two of them must be neighbours; the longest such pair is its anchor.
     """
-    items = benchmark.select("item_id", raw_words().alias("raw")).where(F.size("raw") > 0)
+    items = benchmark.select("item_id", raw_words().alias("raw")).where(F.size("raw") > 1)
     items = items.withColumn("words", template(F.col("raw"))).withColumn("size", F.least(F.size("raw"), F.lit(WINDOW)))
     items = items.select("*", F.posexplode(windows(F.col("words"), F.col("size"))).alias("at", "k"))
-    literals = F.size(F.filter(F.slice("words", F.col("at") + 1, F.col("size")), lambda w: w >= " "))
-    items = items.withColumn("slots", _slots(F.col("words"), F.col("raw"), F.col("at") + 1, F.col("size")))
-    enough = items.where(literals >= F.least(F.lit(LEAST_LITERALS), (F.col("size") + 1) / 2))
-    windows_of = enough.groupBy("item_id").agg(F.countDistinct("at").alias("item_windows"))
-    return enough.select("item_id", "size", "k", "at", "slots").dropDuplicates(["item_id", "size", "at", "k"]).join(windows_of, "item_id")
+    part = F.slice("words", F.col("at") + 1, F.col("size"))
+    items = items.withColumn("part", part).where(F.size(F.filter("part", lambda w: w >= " ")) > F.floor((F.col("size") + 1) / 2))
+    pairs = F.zip_with(F.slice("part", 1, F.col("size") - 1), F.slice("part", 2, F.col("size") - 1), lambda a, b: F.when((a >= " ") & (b >= " "), F.struct((F.length(a) + F.length(b)).alias("n"), F.xxhash64(a, b).alias("pair"))))
+    items = items.select("item_id", "raw", "words", "size", "at", "k", F.array_max(pairs)["pair"].alias("anchor"))
+    items = items.dropDuplicates(["item_id", "size", "at", "k"])
+    return items.withColumn("item_windows", F.count("*").over(Window.partitionBy("item_id")))
+
+
+def _suspects(docs: DataFrame, items: DataFrame, small: bool, coverage: float) -> DataFrame:
+    """doc_id of the documents that hold enough anchors of an item to hold its windows.
+
+    Exact: ``coverage`` of an item's windows can't be there without the fewest anchors
+    that stand for that many windows. Reads each text once and shuffles only the hits.
+    """
+    each = items.groupBy("item_id", "item_windows", "anchor").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("item_id").orderBy(F.desc("n"), "anchor").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("reached", F.sum("n").over(order)).withColumn("rank", F.count("*").over(order))
+    fewest = F.min(F.when(F.col("reached") >= F.col("item_windows") * coverage, F.col("rank"))).over(Window.partitionBy("item_id"))
+    anchors = each.select("item_id", "anchor", fewest.alias("fewest"))
+    words = F.split(F.lower("text"), r"[^\p{L}\p{M}]+")
+    pairs = F.transform(F.array(words), lambda w: F.zip_with(w, F.slice(w, 2, F.lit(1 << 30)), lambda a, b: F.xxhash64(a, b)))[0]
+    wide = docs.where(F.col("text").isNotNull()).select("doc_id", F.explode(pairs).alias("anchor"))
+    hits = wide.join(F.broadcast(anchors) if small else anchors, "anchor")
+    held = hits.groupBy("doc_id", "item_id", "fewest").agg(F.countDistinct("anchor").alias("n"))
+    return held.where(F.col("n") >= F.col("fewest")).select("doc_id").distinct()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -92,24 +108,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     items match nothing. Rows that repeat an id count as one document, as do those with
     a null id. Other columns are not read. Empty tables give an empty result.
     """
-    items = item_windows(benchmark).cache()
+    docs = docs.select("doc_id", "text")
+    items = materialise(item_windows(benchmark), "items")
     sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most WINDOW values
     small = items.count() <= MOST_BROADCAST
-    found = None
-    base = docs.select("doc_id", raw_words().alias("raw")).withColumn("words", template(F.col("raw")))
+    suspects = materialise(_suspects(docs, items, small, coverage), "suspects")
+    few = suspects.count() <= MOST_BROADCAST
+    suspects = suspects.withColumnRenamed("doc_id", "_s")
+    docs = docs.join(F.broadcast(suspects) if few else suspects, docs["doc_id"].eqNullSafe(suspects["_s"]), "left_semi")
+    base = docs.withColumn("words", template(raw_words()))
+    found = docs.sparkSession.createDataFrame([], base.select("doc_id", "text").schema).select("doc_id", "text", *[F.lit(None).cast(t).alias(c) for c, t in items.select("item_id", "item_windows", "at").dtypes], F.lit(0).alias("shift"))
     for size in sorted(sizes):
-        wide = base.select("doc_id", "raw", "words", F.posexplode(windows(F.col("words"), size)).alias("pos", "k"))
-        side = items.where(F.col("size") == size)
+        wide = base.select("doc_id", "text", F.posexplode(windows(F.col("words"), size)).alias("pos", "k"))
+        side = items.where(F.col("size") == size).select("item_id", "item_windows", "at", "k")
         hits = wide.join(F.broadcast(side) if small else side, "k")
-        hits = hits.select("doc_id", "item_id", "item_windows", "at", (F.col("pos") - F.col("at")).alias("shift"), "slots", _slots(F.col("words"), F.col("raw"), F.col("pos") + 1, F.lit(size)).alias("doc_slots"))
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return docs.sparkSession.range(0).select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("id").cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(True).alias("same_fillers"))
-    pair = F.zip_with("slots", "doc_slots", lambda a, b: F.struct(a["kind"].alias("kind"), a["filler"].alias("a"), b["filler"].alias("b")))
-    same_words = F.forall(F.zip_with("slots", "doc_slots", lambda a, b: a["kind"] == b["kind"]), lambda x: x)
-    found = found.where(same_words).withColumn("pairs", F.filter(pair, lambda p: p["a"].isNotNull()))
+        found = found.unionByName(hits.select("doc_id", "text", "item_id", "item_windows", "at", (F.col("pos") - F.col("at")).alias("shift")))
     # a diagonal has no more windows than the item, so its group is bounded by the item
-    one = found.groupBy("doc_id", "item_id", "item_windows", "shift").agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    key = ["doc_id", "item_id", "item_windows", "shift"]
+    one = found.groupBy(*key, F.xxhash64("text").alias("copy")).agg(F.sort_array(F.collect_set("at")).alias("ats"), F.first("text").alias("text"))
+    sides = items.groupBy("item_id").agg(F.first("words").alias("words"), F.first("raw").alias("item_raw"), F.first("size").alias("size"))
+    one = one.join(F.broadcast(sides) if small else sides, "item_id")
+
+    def filled(at: Column, doc_raw: Column) -> Column:
+        """Kind, the item's filler and the document's of each slot of a window."""
+        size = F.col("size")
+        zipped = F.arrays_zip(F.slice("words", at + 1, size).alias("kind"), F.slice("item_raw", at + 1, size).alias("a"), F.slice(doc_raw, at + F.col("shift") + 1, size).alias("b"))
+        return F.transform(F.filter(zipped, lambda p: p["kind"] < " "), lambda p: F.struct(p["kind"].alias("kind"), F.lower(p["a"]).alias("a"), F.lower(p["b"]).alias("b")))
+
+    # the document's words are bound once, not taken apart again for each window
+    all_filled = F.transform(F.array(raw_words()), lambda r: F.flatten(F.transform("ats", lambda at: filled(at, r))))[0]
+    one = one.select(*key, "ats", F.array_distinct(all_filled).alias("pairs"))
     ones = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p[side])))) == F.size("pairs")
     one = one.where(ones("a") & ones("b"))
     same = F.forall("pairs", lambda p: p["a"] == p["b"])
@@ -120,5 +148,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` without a leak, columns unchanged; null ids count as one document."""
-    leaks = find_leaks(docs, benchmark, coverage).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti").select(*docs.columns)
+    leaks = materialise(find_leaks(docs, benchmark, coverage).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    few = leaks.count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(leaks) if few else leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti").select(*docs.columns)

@@ -19,6 +19,8 @@ ROUNDS = 50
 #: Accuracies stay in this range: a rule is better than chance, and never certain.
 ACCURACY = (0.55, 0.98)
 LEAST_WORDS = 50
+#: Distinct repeated windows up to which each word looks them up.
+FEW_TWINS = 24
 MOST_REPEATED = 50
 
 _SPACE = " \t\n\x0b\f\r"
@@ -41,16 +43,25 @@ def _let(value: Column, use) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words inside three-word windows that occur twice or more, the first included."""
 
+    def count(places: Column) -> Column:
+        start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
+        step = lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n"))
+        return F.aggregate(places, start, step, lambda acc: acc["n"])
+
     def covered(t: Column) -> Column:
-        ordered = F.sort_array(F.transform(t, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        twins = lambda s: F.array_distinct(F.filter(s, lambda h, j: F.get(s, j + 1) == h))
 
-        def places(s: Column) -> Column:
-            twin = F.filter(s, lambda x, j: ((j > 0) & (F.get(s, j - 1)["h"] == x["h"])) | (F.get(s, j + 1)["h"] == x["h"]))
-            return F.sort_array(F.transform(twin, lambda x: x["i"]))
+        def by_lookup(d: Column) -> Column:
+            return F.array_compact(F.transform(t, lambda h, i: F.when(F.array_contains(d, h), i)))
 
-        start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
-        step = lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n"))
-        return F.aggregate(_let(ordered, places), start, step, lambda acc: acc["n"])
+        def by_order() -> Column:
+            ordered = F.sort_array(F.transform(t, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+            same = lambda s: F.filter(s, lambda x, j: ((j > 0) & (F.get(s, j - 1)["h"] == x["h"])) | (F.get(s, j + 1)["h"] == x["h"]))
+            return F.sort_array(F.transform(_let(ordered, same), lambda x: x["i"]))
+
+        # a few repeated windows are looked up one by one; many are found by sorting
+        places = lambda d: F.when(F.size(d) <= FEW_TWINS, by_lookup(d)).otherwise(by_order())
+        return count(_let(_let(F.sort_array(t), twins), places))
 
     def of(w: Column) -> Column:
         n = F.size(w)
@@ -63,22 +74,18 @@ def repeated_words(words: Column) -> Column:
 def measures(docs: DataFrame) -> DataFrame:
     """The counts that the rules use, one row per row of ``docs``; a null text is empty."""
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    split = text.withColumn("words", _words(F.col("text")))
+    of_words = lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), F.size(F.array_intersect(w, F.lit(COMMON))).alias("common"), repeated_words(w).alias("repeat"))
+    of_lines = lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
-    n_dup = _let(lines, lambda x: F.struct(F.size(x).alias("lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
-    length = F.length("text")
-    cut = lambda chars: (length - F.length(F.translate("text", chars, ""))).cast("bigint")
-    out = split.select(
+    out = text.select(
         "doc_id",
-        F.size("words").cast("bigint").alias("n_words"),
-        (length - cut(_SPACE)).cast("bigint").alias("word_chars"),
-        cut("#*$%&|<>").alias("n_symbols"),
-        cut("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_capitals"),
-        n_dup.alias("line"),
-        F.size(F.array_intersect("words", F.lit(COMMON))).alias("n_common"),
-        repeated_words(F.col("words")).cast("bigint").alias("n_repeat_words"),
+        _let(_words(F.col("text")), of_words).alias("word"),
+        _let(lines, of_lines).alias("line"),
+        (F.size(F.split("text", "[#*$%&|<>]", -1)) - 1).cast("bigint").alias("n_symbols"),
+        ((F.upper("text") == F.col("text")) & (F.lower("text") != F.col("text"))).alias("all_capitals"),
     )
-    return out.select("*", F.col("line.lines").cast("bigint").alias("n_lines"), F.col("line.dup").cast("bigint").alias("n_dup_lines")).drop("line")
+    named = {"n_words": "word.n", "word_chars": "word.chars", "n_common": "word.common", "n_repeat_words": "word.repeat", "n_lines": "line.n", "n_dup_lines": "line.dup"}
+    return out.select("doc_id", "n_symbols", "all_capitals", *[F.col(c).cast("bigint").alias(n) for n, c in named.items()])
 
 
 def rules() -> dict[str, tuple[Column, Column]]:
@@ -90,7 +97,7 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "lines": ((F.col("n_dup_lines") == 0) & (F.col("n_lines") >= 2), F.col("n_dup_lines") * 3 >= F.greatest(F.col("n_lines"), F.lit(1))),
         "repeats": (F.col("n_repeat_words") * 10 <= n, F.col("n_repeat_words") * 3 >= F.greatest(n, F.lit(1))),
         "word_length": ((c >= n * 3) & (c <= n * 9), (c < n * 2) | (c > n * 14)),
-        "capitals": (F.col("n_capitals") * 5 <= c, F.col("n_capitals") * 2 >= c),
+        "capitals": (F.lit(False), F.col("all_capitals")),
         "common": (F.col("n_common") >= 3, F.col("n_common") == 0),
     }
 
@@ -137,7 +144,7 @@ def score(docs: DataFrame) -> DataFrame:
     for j, (good, bad) in enumerate(votes.values()):
         code = code + F.when(bad, 0).when(good, 2).otherwise(1) * 3**j
     failed = (n < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > n * MOST_REPEATED)
-    rows = materialise(measures(docs).select("*", failed.alias("base_failed"), code.alias("votes")), "quality")
+    rows = materialise(measures(docs), "measures").select("*", failed.alias("base_failed"), code.alias("votes"))
     m = len(votes)
     pattern = lambda x: tuple(x // 3**j % 3 - 1 for j in range(m))
     counts = {pattern(r["votes"]): r["count"] for r in rows.groupBy("votes").count().collect()}  # at most 3 ** m
