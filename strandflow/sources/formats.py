@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_BY_LINE = Window.partitionBy("file").orderBy("line_no")
+def _by_line():
+    return Window.partitionBy("file").orderBy("line_no")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +56,7 @@ def fasta_as_one(lines: DataFrame) -> DataFrame:
 def fasta_records(lines: DataFrame) -> DataFrame:
     """(file, record, header, seq): each record by itself; wrapped lines joined."""
     head = F.startswith("value", F.lit(">"))
-    numbered = lines.withColumn("record", F.sum(head.cast("int")).over(_BY_LINE)).where("record > 0")
+    numbered = lines.withColumn("record", F.sum(head.cast("int")).over(_by_line())).where("record > 0")
     body = F.collect_list(F.when(~head, F.struct("line_no", "value")))
     return numbered.groupBy("file", "record").agg(F.max(F.when(head, F.expr("substr(value, 2)"))).alias("header"), _ordered(body).alias("seq"))
 
@@ -103,7 +104,7 @@ def colon_mixtures(lines: DataFrame) -> DataFrame:
 
 def underscore_mixtures(lines: DataFrame) -> DataFrame:
     """FASTA with one line per sequence, whose header ends in ``_weight``."""
-    rows = lines.withColumn("seq", F.lead("value").over(_BY_LINE)).where(F.startswith("value", F.lit(">")))
+    rows = lines.withColumn("seq", F.lead("value").over(_by_line())).where(F.startswith("value", F.lit(">")))
     return rows.select("file", "seq", F.element_at(F.split("value", "_"), -1).cast("double").alias("weight"))
 
 
@@ -112,7 +113,7 @@ def gapped_mixtures(lines: DataFrame, reference: DataFrame) -> DataFrame:
     filled from ``reference`` (file, seq)."""
     from ..functions.sequence import fill_gaps
 
-    rows = lines.withColumn("_seq", F.lead("value").over(_BY_LINE)).where(F.startswith("value", F.lit("V")))
+    rows = lines.withColumn("_seq", F.lead("value").over(_by_line())).where(F.startswith("value", F.lit("V")))
     joined = rows.join(reference.select("file", F.col("seq").alias("_ref")), "file")
     return joined.select("file", fill_gaps("_seq", "_ref").alias("seq"), F.element_at(F.split("value", r"\s+"), -1).cast("double").alias("weight"))
 
