@@ -29,6 +29,20 @@ MEMO_PAIRS = 400_000
 END = ""
 INF = 1 << 60
 
+#: Letters and numbers newer than the Unicode version of the tokenizer's
+#: library, which takes them for other characters.
+NEWER = "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+
+
+def _as_library(pattern: str) -> str:
+    """The pattern with its letters and numbers limited to those the library knows."""
+    ends = [[f"\\U{int(x, 16):08X}" for x in r.split("-")] for r in NEWER.split()]
+    newer = "".join("-".join(e) for e in ends)
+    for kind in (r"\p{L}", r"\p{N}"):
+        pattern = pattern.replace(kind, f"[{kind}--[{newer}]]")
+    return pattern
+
+
 
 class _Memo(dict):
     """Look-up that computes what it lacks and starts again when full."""
@@ -66,7 +80,7 @@ class Encoder:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(pattern)
+        self.words = regex.compile(_as_library(pattern), regex.V1)
         self.specials = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         self.chars = _byte_chars()
         # merges: rank of a pair; how each token was made

@@ -56,19 +56,18 @@ def in_training(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 != 0, F.lit(False))
 
 
-def hash_sample(df: DataFrame, rows: int, per: str | None = None, key: str = "doc_id") -> DataFrame:
-    """The ``rows`` rows (of each value of ``per``) with the smallest hash of ``key``.
-
-    A bounded sample that doesn't depend on partitions. Spark trims each partition to
-    ``rows`` before the shuffle, so a hot group never meets in one task.
-    """
-    order = [F.xxhash64(key), F.col(key)]
-    if per is None:
-        return df.orderBy(*order).limit(rows)
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy(per).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= rows).drop("_rank")
+def hash_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
+    """The ``rows`` rows with the smallest hash of ``key``: a bounded sample that doesn't
+    depend on partitions. Each partition is trimmed to ``rows`` before they meet."""
+    return df.orderBy(F.xxhash64(key), F.col(key)).limit(rows)
+
+
+def hash_share(df: DataFrame, rows: int, per: str, key: str = "doc_id") -> DataFrame:
+    """About ``rows`` rows of each value of ``per``: those whose hash of ``key`` is under the
+    share that this number is of the value's rows. No group meets in one task."""
+    share = df.groupBy(F.col(per).alias("_per")).agg(F.least(F.lit(1.0), rows / F.count("*")).alias("_share"))
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
+    return df.join(F.broadcast(share), F.col(per) == F.col("_per")).where(place <= F.col("_share")).select(*df.columns)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, hash_sample, held_out, in_training, utf8
+from .common import add_columns, hash_share, held_out, in_training, utf8
 
 #: Documents per language in the training sample, the longest text it takes, and how
 #: often a context of three bytes must occur to be a node of its own.
-SAMPLE_DOCS = 1500
+SAMPLE_DOCS = 800
 SAMPLE_BYTES = 20_000
 LEAST_CONTEXT = 12
 CHUNK = 1 << 19
@@ -96,7 +96,7 @@ def train(texts: dict[str, list[bytes]], least: int = LEAST_CONTEXT) -> PPM:
         c3 = np.bincount((at[on] - n - len(two)) * n + s[on], minlength=len(three) * n).reshape(len(three), n)
         p3 = _step(c3, p2[row2[three % (n * n)] - n])
         cost[:, :, k] = -np.log2(np.maximum(np.concatenate([p1, p2, p3]), 1e-12))
-    return PPM(langs, symbol.astype(np.int32), node, cost.reshape(-1, len(langs)), n, space)
+    return PPM(langs, symbol.astype(np.int32), node, cost.reshape(len(cost) * n, len(langs)), n, space)
 
 
 def code_lengths(model: PPM, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -129,15 +129,14 @@ def code_lengths(model: PPM, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> PPM:
-    """Train on the ``sample_docs`` documents per language with the smallest id hash,
-    among those of the training fold whose text has at most ``sample_bytes`` bytes.
+    """Train on about ``sample_docs`` documents per language, those with the smallest id
+    hash of the training fold whose text has at most ``sample_bytes`` bytes.
 
     Rows with a null id, text or language are never learned from.
     """
     fold = docs.where(in_training() & F.col("lang").isNotNull())
-    fits = fold.where(F.octet_length("text").between(1, sample_bytes))
-    ids = hash_sample(fits.select("doc_id", "lang"), sample_docs, per="lang")
-    chosen = fits.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), ["doc_id", "lang"], "left_semi")
+    fits = fold.where(F.octet_length("text").between(1, sample_bytes)).select("doc_id", "lang", "text")
+    chosen = hash_share(fits, sample_docs, per="lang")
     texts: dict[str, list[bytes]] = {}
     for row in chosen.select("lang", "text").toLocalIterator():
         texts.setdefault(row["lang"], []).append(row["text"].encode())

@@ -65,6 +65,8 @@ class Counter(dict):
             return 0
         if not self.by_parts:
             return len(self.model.encode(text))
+        if "▁" in text:  # to the model the same as a space
+            text = text.replace("▁", " ")
         if "  " not in text and text[0] != " " != text[-1]:
             return sum(map(self.__getitem__, text.split(" ")))
         total, held = 0, ""

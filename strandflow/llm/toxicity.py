@@ -81,6 +81,7 @@ def train(docs: list[tuple[frozenset[str], int]], features: list[str], counterfa
     y = np.array([label for _, label in docs], float)
     n, m = max(len(y), 1), len(names)
     w, v, bias, vb = np.zeros(m), np.zeros(m), 0.0, 0.0
+    step = 1 / (1 + 4 * counterfactual)  # small enough for the penalty's curvature
     for _ in range(rounds):
         z = np.bincount(row, w[col], len(y)) + bias if len(row) else np.full(len(y), bias)
         err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
@@ -88,7 +89,7 @@ def train(docs: list[tuple[frozenset[str], int]], features: list[str], counterfa
         if len(out):
             change = (w[out] - w[into]) * (2 * counterfactual / len(out))
             g += np.bincount(out, change, m) - np.bincount(into, change, m)
-        v = 0.9 * v - 1.0 * g
+        v = 0.9 * v - step * g
         vb = 0.9 * vb - 0.5 * err.sum() / n
         w, bias = w + v, bias + vb
     return Model({t.encode(): float(x) for t, x in zip(names, w, strict=True) if abs(x) > 1e-6}, float(bias))
