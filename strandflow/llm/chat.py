@@ -27,8 +27,14 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(out, F.lit("#"), F.lit("\\h")), F.lit("<"), F.lit("\\l"))
 
 
+def escape_role(role: Column) -> Column:
+    """As a text, and without a colon, so that the separator's first place ends the role."""
+    return F.replace(escape(role), F.lit(":"), F.lit("\\c"))
+
+
 def unescape(text: Column) -> Column:
     out = F.replace(F.replace(text, F.lit("\\h"), F.lit("#")), F.lit("\\l"), F.lit("<"))
+    out = F.replace(out, F.lit("\\c"), F.lit(":"))
     return F.replace(out, F.lit("\\b"), F.lit("\\"))
 
 
@@ -91,7 +97,7 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET) -> DataFrame:
     none = F.array().cast("array<struct<idx:bigint,role:string,text:string,tokens:bigint>>")
     system = F.when(F.col("system").isNotNull() & (F.col("at") > 0), F.array(F.struct(F.lit(0).cast("bigint").alias("idx"), F.col("system.role").alias("role"), F.col("system.text").alias("text"), F.col("system.tokens").alias("tokens")))).otherwise(none)
     spans = spans.withColumn("context", F.concat(system, F.coalesce(F.reverse(fits(F.col("late"))), none)))
-    opened = lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(SEP))
+    opened = lambda t: F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit(SEP))
     marked = lambda t: F.concat(opened(t), escape(t["text"]), F.lit(CLOSE))
     spans = spans.withColumn("prefix", F.array_join(F.transform("context", marked), ""))
     start = F.struct((F.length("prefix") + 1).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("out"))

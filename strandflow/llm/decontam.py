@@ -129,15 +129,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     sides = items.groupBy("item_id").agg(F.first("words").alias("words"), F.first("raw").alias("item_raw"), F.first("size").alias("size"))
     one = one.join(F.broadcast(sides) if small else sides, "item_id")
 
-    def filled(at: Column, doc_raw: Column) -> Column:
-        """Kind, the item's filler and the document's of each slot of a window."""
-        size = F.col("size")
-        zipped = F.arrays_zip(F.slice("words", at + 1, size).alias("kind"), F.slice("item_raw", at + 1, size).alias("a"), F.slice(doc_raw, at + F.col("shift") + 1, size).alias("b"))
-        return F.transform(F.filter(zipped, lambda p: p["kind"] < " "), lambda p: F.struct(p["kind"].alias("kind"), F.lower(p["a"]).alias("a"), F.lower(p["b"]).alias("b")))
-
-    # the document's words are bound once, not taken apart again for each window
-    all_filled = F.transform(F.array(raw_words()), lambda r: F.flatten(F.transform("ats", lambda at: filled(at, r))))[0]
-    one = one.select(*key, "ats", F.array_distinct(all_filled).alias("pairs"))
+    def filled(doc: Column) -> Column:
+        """Kind, the item's filler and the document's of the slots in the matching stretch:
+        from the first to the last window, and on as far as the template words agree."""
+        places = F.sequence(F.lit(0), F.size("words") - 1)
+        agree = lambda i: F.coalesce((i + F.col("shift") >= 0) & (F.get("words", i) == F.get(doc["w"], i + F.col("shift"))), F.lit(False))
+        off = F.filter(places, lambda i: ~agree(i))
+        low = F.coalesce(F.array_max(F.filter(off, lambda i: i < F.array_min("ats"))), F.lit(-1))
+        high = F.coalesce(F.array_min(F.filter(off, lambda i: i >= F.array_max("ats") + F.col("size"))), F.size("words"))
+        inside = F.filter(F.sequence(low + 1, high - 1), lambda i: agree(i) & (F.get("words", i) < " "))
+        return F.transform(inside, lambda i: F.struct(F.get("words", i).alias("kind"), F.lower(F.get("item_raw", i)).alias("a"), F.lower(F.get(doc["r"], i + F.col("shift"))).alias("b")))
+
+    # the document's words are bound once, not taken apart again for each slot
+    bound = F.transform(F.array(F.struct(raw_words().alias("r"), template(raw_words()).alias("w"))), filled)[0]
+    one = one.select(*key, "ats", F.array_distinct(bound).alias("pairs"))
     ones = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p[side])))) == F.size("pairs")
     one = one.where(ones("a") & ones("b"))
     same = F.forall("pairs", lambda p: p["a"] == p["b"])
