@@ -71,4 +71,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_language_id, op3_decontamination, op4_bpe, op5_toxicity, op6_near_dedup, op7_token_counts, op8_chat_format, op9_quality, op10_licenses)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NEAR_DEDUP_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) ELSE w END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS k FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.k = b.k AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+_PLACES = {
+    "cc-by": "[i for i in range(0, len(w)) if w[i + 1] = 'cc' and w[i + 2] = 'by']",
+    "gpl": "[i for i in range(0, len(w)) if w[i + 1] = 'general' and w[i + 2] = 'public' and w[i + 3] = 'license']",
+    "reserved": "[i for i in range(0, len(w)) if w[i + 1] = 'all' and w[i + 2] = 'rights' and w[i + 3] = 'reserved']",
+}
+_TEMPLATES = {
+    "mit": "released under the (terms of the )?mit license",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+    "apache-2.0": "licensed under the apache license (version )?2 0",
+    "gpl-3.0": "licensed under the (terms of the )?gnu general public license (version )?(v )?3",
+    "gpl-2.0": "licensed under the (terms of the )?gnu general public license (version )?(v )?2",
+    "cc-by-nc-4.0": "licensed under (a )?(the )?cc by nc 4 0",
+    "cc-by-sa-4.0": "licensed under (a )?(the )?cc by sa 4 0",
+    "cc-by-4.0": "licensed under (a )?(the )?cc by 4 0",
+    "copyright-notice": "copyright (c )?([^ ]+ ){0,8}all rights reserved",
+    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+}
+_BASE = ", ".join(f"CASE WHEN len({p}) > 0 THEN '{label}' END" for label, p in _PLACES.items())
+_OWN = ", ".join(f"CASE WHEN regexp_matches(line, ' {t} ') THEN '{label}' END" for label, t in _TEMPLATES.items())
+LICENSES_SQL = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS line FROM t),
+p AS (SELECT *, {" || ".join(_PLACES.values())} AS places, [x for x in [{_BASE}] if x IS NOT NULL] AS base, [x for x in [{_OWN}] if x IS NOT NULL] AS own FROM x)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
+  array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || own)), ',') AS labels,
+  CASE WHEN len(own) > 0 THEN 1.0::DOUBLE WHEN len(base) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_near_dedup": NEAR_DEDUP_SQL, "op10_licenses": LICENSES_SQL}
