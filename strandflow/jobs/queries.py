@@ -398,6 +398,58 @@ def path_handles(spark, sf_dir):
     return intervals.handles(_edges(spark, sf_dir), _paths(spark, sf_dir), K, 24)
 
 
+@query(HANDLES + """SELECT DISTINCT h.path_id, h.handle_id AS handle FROM handles h JOIN (SELECT path_id, start AS s, stop AS e FROM handles WHERE handle_id % 2 = 0) c
+  ON c.path_id = h.path_id AND h.start < c.e AND c.s <= h.stop WHERE h.handle_id % 2 = 1""", dna=False)
+def handle_touches(spark, sf_dir):
+    h = _intervals(spark, sf_dir)
+    covered = h.where("handle_id % 2 = 0").select("path_id", F.col("start").alias("start_r"), F.col("stop").alias("stop_r"))
+    return intervals.touching(h.where("handle_id % 2 = 1"), covered, ["path_id"]).select("path_id", F.col("handle_id").alias("handle"))
+
+
+@query()
+def handle_excess(spark, sf_dir):
+    edges, paths = _weighted(spark, sf_dir), _paths(spark, sf_dir)
+    found = intervals.handles(edges, paths, K, 24)
+    out = intervals.excess_scores(found, overlay.errors(edges, paths, K), paths, K)
+    return out.select("sample_id", "path_id", "start", "stop", "seq", r9("score").alias("score"))
+
+
+@query("SELECT r.sample_id, r.start, r.read, p.path_id, substr(p.seq, 1, r.start) || r.read || substr(p.seq, r.start + 13) AS spliced FROM noisy_reads r JOIN paths p USING (sample_id)")
+def splice_pieces(spark, sf_dir):
+    pieces = bridge.reads(spark, sf_dir, errors=True).select("sample_id", "start", "read")
+    joined = pieces.join(_paths(spark, sf_dir), "sample_id")
+    return joined.select("sample_id", "start", "read", "path_id", sq.splice("seq", "read", "start").alias("spliced"))
+
+
+@query("SELECT sample_id, CAST(position AS INT) AS position, src, dst, string_agg(CAST(path_id AS VARCHAR), ',' ORDER BY path_id) AS paths FROM path_edges GROUP BY ALL")
+def edge_path_index(spark, sf_dir):
+    steps = overlay.explode_paths(_paths(spark, sf_dir), K)
+    ids = F.transform(F.array_sort(F.collect_set("path_id")), lambda x: x.cast("string"))
+    return steps.groupBy(*EDGE).agg(F.array_join(ids, ",").alias("paths"))
+
+
+@query(""", plain AS (SELECT sample_id, position, kmer FROM (SELECT sample_id, position + 1 AS position, dst AS kmer, count(*) AS n FROM edges GROUP BY ALL)
+  JOIN (SELECT sample_id, position, src AS kmer, count(*) AS m FROM edges GROUP BY ALL) USING (sample_id, position, kmer) WHERE n = 1 AND m = 1),
+chain AS (SELECT e.*, e.position || '-' || e.src || '-' || e.dst AS unitig FROM edges e LEFT JOIN plain p ON p.sample_id = e.sample_id AND p.position = e.position AND p.kmer = e.src WHERE p.kmer IS NULL
+  UNION ALL SELECT e.*, c.unitig FROM chain c JOIN plain p ON p.sample_id = c.sample_id AND p.position = c.position + 1 AND p.kmer = c.dst
+  JOIN edges e ON e.sample_id = p.sample_id AND e.position = p.position AND e.src = p.kmer)
+SELECT sample_id, CAST(position AS INT) AS position, src, dst, unitig, round(avg(weight) OVER (PARTITION BY sample_id, unitig), 9) AS mean FROM chain""")
+def unitig_means(spark, sf_dir):
+    return graph.unitigs(_edges(spark, sf_dir)).select(*EDGE, "unitig", r9("mean").alias("mean"))
+
+
+@query("SELECT sample_id, path_id, CAST(floor(1000 * weight) AS BIGINT) AS reads FROM paths")
+def reads_per_haplotype(spark, sf_dir):
+    return _paths(spark, sf_dir).select("sample_id", "path_id", F.floor(1000 * F.col("weight")).alias("reads"))
+
+
+@query("SELECT CAST(sample_id AS VARCHAR) AS file, seq FROM paths")
+def simulated_sequences(spark, sf_dir):
+    lines = _lines(_paths(spark, sf_dir), "sample_id", ["path_id"], [F.concat(F.lit("h "), "seq")])
+    header = lines.select("file").distinct().select("file", F.lit(0).alias("line_no"), F.lit("name sequence").alias("value"))
+    return formats.simulated_sequences(lines.withColumn("line_no", F.col("line_no") + 1).unionByName(header))
+
+
 # --- scoring ------------------------------------------------------------------------
 
 

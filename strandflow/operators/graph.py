@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import windows
+from .lineage import cut
 
 LAYER = ["sample_id", "position"]
 
@@ -148,9 +149,9 @@ def cut_tails_in_rounds(vertices: DataFrame, edges: DataFrame, lengths: DataFram
     for _ in range(most):
         if gone.isEmpty():
             return kept
-        alive = alive.join(gone, key, "left_anti").checkpoint()
+        alive = cut(alive.join(gone, key, "left_anti"))
         kept = kept.join(gone.withColumnRenamed("kmer", "src"), ["sample_id", "position", "src"], "left_anti")
-        kept = kept.join(gone.select("sample_id", (F.col("position") - 1).alias("position"), F.col("kmer").alias("dst")), ["sample_id", "position", "dst"], "left_anti").select(*edges.columns).checkpoint()
+        kept = cut(kept.join(gone.select("sample_id", (F.col("position") - 1).alias("position"), F.col("kmer").alias("dst")), ["sample_id", "position", "dst"], "left_anti").select(*edges.columns))
         now = degrees(alive, kept).join(had, key)
         gone = now.where((lost_out & (F.col("had_out") > 0)) | (lost_in & (F.col("had_in") > 0))).select(*key)
     raise RuntimeError("tails are left")
@@ -210,3 +211,26 @@ def path_shares(edges: DataFrame) -> DataFrame:
         return pd.DataFrame([(sample, p, v, left.get((p, v), 0.0), right.get((p, v), 0.0)) for p, v in keys], columns=["sample_id", "position", "kmer", "count_left", "count_right"])
 
     return _per_sample(edges, "sample_id bigint, position int, kmer string, count_left double, count_right double", work)
+
+
+def unitigs(edges: DataFrame, most: int = 64) -> DataFrame:
+    """``edges`` with their unitig (its first edge) and the mean weight along it.
+
+    An edge goes on from the one before if the vertex between has one edge on each side.
+    Each round takes the predecessor's predecessor, so rounds follow the logarithm of the
+    longest unitig; each is written to the checkpoint folder.
+    """
+    name = F.concat_ws("-", F.col("position").cast("string"), "src", "dst")
+    into = edges.groupBy("sample_id", (F.col("position") + 1).alias("position"), F.col("dst").alias("kmer")).agg(F.count("*").alias("n_in"), F.first(name).alias("before"))
+    out = edges.groupBy("sample_id", "position", F.col("src").alias("kmer")).agg(F.count("*").alias("n_out"))
+    plain = into.join(out, [*LAYER, "kmer"]).where("n_in = 1 and n_out = 1").select(*LAYER, F.col("kmer").alias("src"), "before")
+    named = edges.join(plain, [*LAYER, "src"], "left").withColumn("edge", name)
+    links = cut(named.select("sample_id", "edge", F.coalesce("before", "edge").alias("top")))
+    for _ in range(most):
+        up = links.select("sample_id", F.col("edge").alias("top"), F.col("top").alias("higher"))
+        links = cut(links.join(up, ["sample_id", "top"]).select("sample_id", "edge", F.col("higher").alias("top"), (F.col("higher") != F.col("top")).alias("moved")))
+        if links.where("moved").isEmpty():
+            break
+    joined = named.join(links.select("sample_id", "edge", F.col("top").alias("unitig")), ["sample_id", "edge"])
+    means = joined.groupBy("sample_id", "unitig").agg(F.avg("weight").alias("mean"))
+    return joined.join(means, ["sample_id", "unitig"]).select(*LAYER, "src", "dst", "weight", "unitig", "mean")

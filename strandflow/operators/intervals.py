@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def range_join(left: DataFrame, right: DataFrame, on: list[str], width: int) -> DataFrame:
     """Pairs whose closed intervals overlap; ``left`` has start, stop, ``right`` start_r, stop_r.
@@ -34,6 +36,34 @@ def contained(handles: DataFrame, paths: DataFrame) -> DataFrame:
     return joined.where(F.substring("path", F.col("start") + 1, F.length("seq")) == F.col("seq")).select("sample_id", "handle_id", "path_id")
 
 
+def touching(handles: DataFrame, covered: DataFrame, on: list[str], width: int = 8) -> DataFrame:
+    """The ``handles`` that some interval of ``covered`` (start_r, stop_r), open at its end,
+    meets: a semi-join on ranges, in bins."""
+    closed = covered.withColumn("stop_r", F.col("stop_r") - 1)
+    return range_join(handles, closed, on, width).select(*handles.columns).distinct()
+
+
+def excess_scores(handles: DataFrame, errors: DataFrame, paths: DataFrame, k: int) -> DataFrame:
+    """(sample_id, path_id, start, stop, seq, score): how much a handle would even out.
+
+    Sums, over the handle's edges, the negative errors, and over the replaced stretch of
+    the path the excess min(weight, error); half of it per edge, softened, per edge.
+    """
+    from ..functions.likelihood import soft
+    from ..functions.sequence import path_edges
+
+    known = errors.select("sample_id", "position", "src", "dst", "error")
+    id_ = ["sample_id", "path_id", "start", "stop", "seq"]
+    both = handles.join(paths.select("sample_id", "path_id", F.col("seq").alias("path"), F.col("weight").alias("path_weight")), ["sample_id", "path_id"])
+    old = F.substring("path", F.col("start") + 1, F.length("seq"))
+    steps = lambda c, side: both.withColumn("piece", c).select(*id_, "path_weight", F.lit(side).alias("new"), F.inline(path_edges("piece", k)))
+    placed = steps(F.col("seq"), True).unionByName(steps(old, False)).withColumn("position", F.col("position") + F.col("start"))
+    part = F.when(F.col("new"), -F.col("error")).otherwise(F.least("path_weight", "error"))
+    sums = placed.join(known, ["sample_id", "position", "src", "dst"]).groupBy(*id_).agg(F.sum(part).alias("m"))
+    edges = F.col("stop") - F.col("start")
+    return sums.select(*id_, (soft(F.col("m") / edges / 2) / edges).alias("score"))
+
+
 def runs(marked: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Maximal runs of consecutive ``at`` values: start, stop and size."""
     order = F.row_number().over(Window.partitionBy(*keys).orderBy(at))
@@ -55,7 +85,7 @@ def handles(edges: DataFrame, paths: DataFrame, k: int, longest: int) -> DataFra
     done = None
     for _ in range(longest - 1):
         step = open_walks.join(leaves.withColumnRenamed("position", "at").withColumnRenamed("src", "kmer"), ["sample_id", "at", "kmer"])
-        step = step.select("sample_id", "path_id", "path", "start", (F.col("at") + 1).alias("at"), F.col("dst").alias("kmer"), F.concat("seq", F.right("dst", F.lit(1))).alias("seq")).checkpoint()
+        step = cut(step.select("sample_id", "path_id", "path", "start", (F.col("at") + 1).alias("at"), F.col("dst").alias("kmer"), F.concat("seq", F.right("dst", F.lit(1))).alias("seq")))
         back = F.col("kmer") == spelled("at")
         found = step.where(back).select("sample_id", "path_id", "start", F.col("at").alias("stop"), "seq")
         done = found if done is None else done.unionByName(found)
