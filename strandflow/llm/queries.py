@@ -113,4 +113,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS
 FROM p
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_near_dedup": NEAR_DEDUP_SQL, "op10_licenses": LICENSES_SQL}
+_UNITS = ", ".join(f"'{u}'" for u in decontam.UNITS)
+_RAW = "regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{M}]+|\\p{N}+(?:[.,]\\p{N}+)*')"
+_PLAIN = "[CASE WHEN x[1] >= '0' AND x[1] <= '9' THEN chr(1) WHEN x <> lower(x) AND x = upper(x[1]) || lower(x[2:]) THEN chr(2) ELSE lower(x) END for x in r]"
+_TEMPLATE = f"[CASE WHEN i > 1 AND p[i - 1] = chr(1) AND p[i] IN ({_UNITS}) THEN chr(3) ELSE p[i] END for i in range(1, len(p) + 1)]"
+LEAKS_SQL = f"""
+WITH items AS (SELECT item_id, r, {_TEMPLATE} AS w, least(len(r), 8) AS size FROM (SELECT *, {_PLAIN} AS p FROM (SELECT item_id, {_RAW} AS r FROM benchmark)) WHERE len(r) > 1),
+docs AS (SELECT doc_id, md5(text) AS copy, r, {_TEMPLATE} AS w FROM (SELECT *, {_PLAIN} AS p FROM (SELECT doc_id, text, {_RAW} AS r FROM documents))),
+item_windows AS (SELECT DISTINCT item_id, size, nth, array_to_string(w[nth + 1 : nth + size], chr(31)) AS k FROM (SELECT *, unnest(range(0, len(w) - size + 1)) AS nth FROM items)
+  WHERE len([x for x in w[nth + 1 : nth + size] if x >= ' ']) > (size + 1) // 2),
+item_sizes AS (SELECT item_id, count(*) AS item_windows FROM item_windows GROUP BY item_id),
+doc_windows AS (SELECT doc_id, copy, size, pos, array_to_string(w[pos + 1 : pos + size], chr(31)) AS k FROM (SELECT doc_id, copy, w, size, unnest(range(0, len(w) - size + 1)) AS pos
+  FROM docs, (SELECT DISTINCT size FROM item_windows)) WHERE len(w) >= size),
+diagonals AS (SELECT doc_id, copy, item_id, pos - nth AS shift, list(DISTINCT nth) AS ats FROM doc_windows JOIN item_windows USING (size, k) GROUP BY ALL),
+bound AS (SELECT g.*, i.w, i.r, i.size, d.w AS dw, d.r AS dr, [j for j in range(0, len(i.w)) if NOT coalesce(j + shift >= 0 AND i.w[j + 1] = d.w[j + shift + 1], false)] AS off
+  FROM diagonals g JOIN items i USING (item_id) JOIN (SELECT DISTINCT ON (doc_id, copy) * FROM docs) d USING (doc_id, copy)),
+region AS (SELECT *, coalesce(list_max([j for j in off if j < list_min(ats)]), -1) AS low, coalesce(list_min([j for j in off if j >= list_max(ats) + size]), len(w)) AS high FROM bound),
+slots AS (SELECT doc_id, copy, item_id, shift, ats, list_distinct([{{'k': w[j + 1], 'a': lower(r[j + 1]), 'b': lower(dr[j + shift + 1])}} for j in range(low + 1, high) if w[j + 1] < ' ']) AS pairs FROM region),
+held AS (SELECT doc_id, item_id, unnest(ats) AS nth, len([x for x in pairs if x.a <> x.b]) = 0 AS same FROM slots
+  WHERE len(list_distinct([{{'k': x.k, 'a': x.a}} for x in pairs])) = len(pairs) AND len(list_distinct([{{'k': x.k, 'b': x.b}} for x in pairs])) = len(pairs))
+SELECT doc_id, item_id, count(DISTINCT nth) / any_value(item_windows)::DOUBLE AS coverage, bool_and(same) AS same_fillers
+FROM held JOIN item_sizes USING (item_id) GROUP BY doc_id, item_id HAVING count(DISTINCT nth) >= 0.5 * any_value(item_windows)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": LEAKS_SQL, "op6_near_dedup": NEAR_DEDUP_SQL, "op10_licenses": LICENSES_SQL}
