@@ -5,10 +5,11 @@ Documents with the same set of shingles form a class, so copies cost one row. A
 ``MATCHES`` of them (all but about one pair in a million at the very threshold), so under
 any one order of coordinate values they meet in one of the first COORDS - MATCHES + 1 of
 each (prefix). Rare values come first; a bounded sketch of their counts gives the order.
-Lists of a value are merged: short ones by pairs, long ones through their smallest member,
-skipping pairs whose set sizes alone rule them out. What agrees in enough coordinates is
-confirmed on the full sets. Long lists that stay in several components are posted again
-under several coordinates at once and merged until each pair of components was compared.
+Lists of a value are merged: short ones by pairs, long ones through the member that is on
+most long lists, skipping pairs whose set sizes alone rule them out. What agrees in enough coordinates is
+confirmed on the full sets. Long lists that are then still in several components are
+posted again, under the rarest shingles of their full sets (the same prefix rule, now
+exact), and merged by pairs of which one side is outside the list's main component.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from .common import SPACE_BYTES, add_columns, materialise, spans, utf8
 
 COORDS = 64
 MATCHES = 34
-#: Longest list merged by all its pairs; longer ones go through their smallest member.
+#: Longest list merged by all its pairs; longer ones go through one member.
 SHORT = 16
-#: Coordinates in a key, and keys, when a long list is posted again.
-JOINT, JOINT_KEYS = 8, 192
+#: Document ids that are broadcast to pick their texts; beyond it the join shuffles.
+MOST_BROADCAST = 500_000
 SKETCH_BITS = (16, 22)
 CHUNK = 2 << 20
 
@@ -37,8 +38,6 @@ BYTE = _ODD(256)
 BASE = _ODD(1)[0]
 PLACE = _ODD(64)
 FACTOR = _ODD(COORDS)
-JOINT_PICK = np.array([np.sort(_rng.choice(COORDS, JOINT, replace=False)) for _ in range(JOINT_KEYS)])
-JOINT_FACTOR = _ODD(JOINT + 1)
 
 _lower = np.arange(256)
 _lower[65:91] += 32
@@ -170,68 +169,91 @@ def _keys(sig: np.ndarray) -> np.ndarray:
     return _mix(sig.astype(np.uint64) + (np.arange(1, COORDS + 1, dtype=np.uint64) << np.uint64(32)))
 
 
-def _posts(classes: DataFrame, keys) -> DataFrame:
-    """(k, cls, n) for each key that ``keys`` gives a class."""
+def _prefix(table: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
+    """Of each row of keys the ``size`` first, the rarest by the table of counts."""
+    shift = np.uint64(64 - int(math.log2(len(table))))
+    often = table[(keys >> shift).astype(np.int64)].astype(np.uint64)
+    order = (often << np.uint64(58)) | (keys >> np.uint64(6))  # one order for all rows
+    return np.take_along_axis(keys, np.argsort(order, axis=-1)[..., :size], -1)
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows, k = keys(_coords(batch.column("sig")))
-            cls, n = (np.asarray(batch.column(c)) for c in ("cls", "n"))
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(cls[rows]), pa.array(n[rows])], names=["k", "cls", "n"])
 
-    return classes.select("cls", "n", "sig").mapInArrow(run, "k bigint, cls bigint, n bigint")
+def _sketch(rows: DataFrame, keys, size: int) -> np.ndarray:
+    """Counts of hashed keys, as powers of two, in a table of bounded size.
 
-
-def sketch(classes: DataFrame, rows: int) -> np.ndarray:
-    """Counts of hashed coordinate values, as powers of two, in a table of bounded size."""
-    bits = min(max(int(math.log2(max(rows, 1) * COORDS / 8 + 1)), SKETCH_BITS[0]), SKETCH_BITS[1])
+    ``keys`` gives the 64-bit keys of a batch, ``size`` is about how many there are.
+    """
+    bits = min(max(int(math.log2(max(size, 1))) + 1, SKETCH_BITS[0]), SKETCH_BITS[1])
     shift = np.uint64(64 - bits)
 
     def run(batches):
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             if batch.num_rows:
-                total += np.bincount((_keys(_coords(batch.column("sig"))) >> shift).astype(np.int64).ravel(), minlength=1 << bits)
+                total += np.bincount((keys(batch) >> shift).astype(np.int64).ravel(), minlength=1 << bits)
         at = np.flatnonzero(total)
         for i in range(0, len(at), 1 << 16):
             part = at[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["b", "c"])
 
-    counts = classes.select("sig").mapInArrow(run, "b bigint, c bigint").groupBy("b").agg(F.sum("c").alias("c"))
-    found = counts.where("c > 1").select("b", F.log2("c").cast("byte").alias("c")).toArrow()
+    counts = rows.mapInArrow(run, "b bigint, c bigint").groupBy("b").agg(F.sum("c").alias("c"))
+    found = counts.where("c > 1").select("b", F.ceil(F.log2("c")).cast("byte").alias("c")).toArrow()
     table = np.zeros(1 << bits, np.uint8)
     table[np.asarray(found.column("b"))] = np.asarray(found.column("c"))
     return table
 
 
-def _prefix_posts(classes: DataFrame, table: np.ndarray) -> DataFrame:
-    shared = classes.sparkSession.sparkContext.broadcast(table)
-    prefix, shift = COORDS - MATCHES + 1, np.uint64(64 - int(math.log2(len(table))))
+def _posts(rows: DataFrame, make) -> DataFrame:
+    """(k, cls, n, place) for the keys that ``make`` gives each row of a batch."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                row, k, place = make(batch)
+                cls, n = (np.asarray(batch.column(c)) for c in ("cls", "n"))
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(cls[row]), pa.array(n[row]), pa.array(place)], names=["k", "cls", "n", "place"])
+
+    return rows.mapInArrow(run, "k bigint, cls bigint, n bigint, place bigint")
+
+
+def _coordinate_posts(classes: DataFrame) -> DataFrame:
+    rows = classes.select("cls", "n", "sig")
+    table = _sketch(rows, lambda batch: _keys(_coords(batch.column("sig"))), classes.count() * COORDS // 8)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+    size = COORDS - MATCHES + 1
+
+    def make(batch: pa.RecordBatch):
+        k = _prefix(shared.value, _keys(_coords(batch.column("sig"))), size)
+        return np.repeat(np.arange(len(k)), size), k.ravel(), np.tile(np.arange(size), len(k))
 
-    def keys(sig: np.ndarray):
-        k = _keys(sig)
-        often = shared.value[(k >> shift).astype(np.int64)].astype(np.uint64)
-        order = (often << np.uint64(58)) | (k >> np.uint64(6))  # rare first, one order for all
-        chosen = np.take_along_axis(k, np.argpartition(order, prefix - 1, axis=1)[:, :prefix], 1)
-        return np.repeat(np.arange(len(k)), prefix), chosen.ravel()
+    return _posts(rows, make)
 
-    return _posts(classes, keys)
 
+def _set_posts(sets: DataFrame, percent: int) -> DataFrame:
+    """Posts under the first n - need + 1 shingles of each set; those that only one set has
+    can't be shared and are left out."""
+    rows = sets.select("cls", "n", "items")
+    items = lambda batch: [_mix(np.frombuffer(x.as_buffer(), np.uint64)) for x in batch.column("items")]
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    table = _sketch(rows, lambda batch: np.concatenate(items(batch)), int(total) * 2)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
 
-def _joint_posts(classes: DataFrame) -> DataFrame:
-    def keys(sig: np.ndarray):
-        parts = sig.astype(np.uint64)[:, JOINT_PICK]  # rows x keys x JOINT
-        k = (_mix(parts + np.uint64(1)) * JOINT_FACTOR[:JOINT]).sum(2, dtype=np.uint64) + np.arange(JOINT_KEYS, dtype=np.uint64) * JOINT_FACTOR[JOINT]
-        return np.repeat(np.arange(len(sig)), JOINT_KEYS), _mix(k).ravel()
+    def make(batch: pa.RecordBatch):
+        table, row, keys, places = shared.value, [], [], []
+        shift = np.uint64(64 - int(math.log2(len(table))))
+        for i, k in enumerate(items(batch)):
+            k = _prefix(table, k, len(k) - -(-len(k) * percent // 100) + 1)
+            place = np.flatnonzero(table[(k >> shift).astype(np.int64)] > 0)
+            row.append(np.full(len(place), i))
+            keys.append(k[place])
+            places.append(place)
+        return np.concatenate(row), np.concatenate(keys), np.concatenate(places)
 
-    return _posts(classes, keys)
+    return _posts(rows, make)
 
 
 def _lists(posts: DataFrame, name: str) -> DataFrame:
-    """Posts whose key has two classes or more, with the list's size and smallest class."""
-    sizes = posts.groupBy("k").agg(F.count("*").alias("size"), F.min(F.struct("n", "cls")).alias("head"))
+    """Posts whose key has two classes or more, with the size of the list."""
+    sizes = posts.groupBy("k").agg(F.count("*").alias("size"))
     return materialise(posts.join(sizes.where("size > 1"), "k"), name)
 
 
@@ -240,14 +262,34 @@ def _skip(percent: int, a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def _merge(lists: DataFrame, percent: int, longest: int = SHORT) -> DataFrame:
+def _merge(lists: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs a < b: all pairs of short lists, in long ones those with its head."""
-    short = lists.where(F.col("size") <= longest).select("k", "cls", "n")
+    short = lists.where(F.col("size") <= SHORT).select("k", "cls", "n")
     left, right = short.select("k", F.col("cls").alias("a"), F.col("n").alias("na")), short.select("k", F.col("cls").alias("b"), F.col("n").alias("nb"))
     pairs = left.join(right, "k").where((F.col("a") < F.col("b")) & _skip(percent, "na", "nb"))
-    long = lists.where((F.col("size") > longest) & (F.col("cls") != F.col("head.cls"))).where(_skip(percent, "n", "head.n"))
-    stars = long.select(F.least("cls", "head.cls").alias("a"), F.greatest("cls", "head.cls").alias("b"))
-    return pairs.select("a", "b").unionByName(stars).groupBy("a", "b").agg(F.count("*").alias("met"))
+    long = lists.where(F.col("size") > SHORT).select("k", "cls", "n")
+    # a group's middle is on most of its long lists; its members are near it, if not each other
+    central = long.groupBy("cls").agg(F.count("*").alias("on"))
+    heads = long.join(central, "cls").groupBy("k").agg(F.max(F.struct("on", "n", "cls")).alias("head"))
+    star = long.join(heads, "k").where((F.col("cls") != F.col("head.cls")) & _skip(percent, "n", "head.n"))
+    stars = star.select(F.least("cls", "head.cls").alias("a"), F.greatest("cls", "head.cls").alias("b"))
+    return pairs.select("a", "b").unionByName(stars).distinct()
+
+
+def _merge_apart(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs a < b of different components: in each list, those of which one side
+    is outside the component that most of the list is in."""
+    of = lists.select("k", "cls", "n", "place").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    sizes = of.groupBy("k", "comp").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("k").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    split = materialise(of.join(main, "k"), "split")
+    left = split.where("comp <> main").select("k", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("comp").alias("ca"))
+    right = split.select("k", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("comp").alias("cb"))
+    # what two sets of these sizes must share can't all stand after these places
+    need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+    early = (F.col("pa") + need <= F.col("na")) & (F.col("pb") + need <= F.col("nb"))
+    pairs = left.join(right, "k").where((F.col("ca") != F.col("cb")) & _skip(percent, "na", "nb") & early)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -261,18 +303,19 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return add_columns(both.select("a", "b", "sa", "sb"), [("agree", "int")], make, without=("sa", "sb")).where(F.col("agree") >= MATCHES)
 
 
-def _sets(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(cls, items) of the classes in ``pairs``, from the whole text of one document each."""
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = reps.join(ends, "cls", "left_semi").select(F.col("cls").alias("want"), "doc_id")
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id")
+def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(cls, n, items) of the ``wanted`` classes, from the whole text of one document each."""
+    wanted = materialise(reps.join(wanted.select("cls").distinct(), "cls", "left_semi").select(F.col("cls").alias("want"), "doc_id"), "wanted")
+    few = wanted.count() <= MOST_BROADCAST
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
 
     def make(batch: pa.RecordBatch):
         sets = shingle_sets(*utf8(batch.column("text")), width)
-        return pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())
+        return pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())
 
-    made = add_columns(rows, [("cls", "bigint"), ("items", "binary")], make, without=("text", "doc_id"))
-    return materialise(made.where("cls = want").select("cls", "items").dropDuplicates(["cls"]), "sets")
+    made = add_columns(rows, [("cls", "bigint"), ("n", "bigint"), ("items", "binary")], make, without=("text", "doc_id"))
+    # an id that repeats with another text gives another class
+    return materialise(made.where("cls = want").select("cls", "n", "items").dropDuplicates(["cls"]), "sets")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -317,18 +360,17 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def _link(candidates: DataFrame, docs: DataFrame, reps: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
-    """Components after confirming ``candidates`` (a, b, agree).
+def _link(candidates: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Components after confirming ``candidates`` (a, b, agree), from ``labels`` on.
 
     Each class first tries the candidate it agrees with most, which joins most of each
     group; then only the pairs still in different components are tried.
     """
-    sets = _sets(docs, reps, candidates, width)
     links = labels.select(F.col("cls").alias("a"), F.col("comp").alias("b"))  # what holds already
     best = F.max(F.struct("agree", "a", "b")).alias("p")
     first = candidates.groupBy("b").agg(best).select("p.a", "p.b").union(candidates.groupBy("a").agg(best).select("p.a", "p.b")).distinct()
     tried = materialise(_confirm(first, sets, percent), "links")
-    links = materialise(links.union(tried.where("linked").select("a", "b")), "links")
+    links = links.union(tried.where("linked").select("a", "b"))
     labels = components(links)
     rest = _apart(candidates.join(tried, ["a", "b"], "left_anti"), labels)
     more = materialise(_confirm(rest, sets, percent).where("linked"), "links")
@@ -337,6 +379,10 @@ def _link(candidates: DataFrame, docs: DataFrame, reps: DataFrame, labels: DataF
     return components(links.union(more.select("a", "b")))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))
+
+
 def find_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
@@ -362,32 +408,25 @@ def find_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 
 def _all_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    table = sketch(classes, classes.count())
-    lists = _lists(_prefix_posts(classes, table), "lists")
-    none = docs.sparkSession.createDataFrame([], "cls bigint, comp bigint")
+    lists = _lists(_coordinate_posts(classes), "lists")
+    none = classes.select("cls", F.col("cls").alias("comp")).limit(0)
     candidates = materialise(_agreeing(_merge(lists, percent), classes), "candidates")
-    labels = _link(candidates, docs, classes, none, width, percent)
-    # long lists that are in one component now need no more pairs
-    mixed = _mixed(lists.where(F.col("size") > SHORT), labels)
-    again = classes.join(mixed.select("cls").distinct(), "cls", "left_semi")
-    again = materialise(again, "again")
+    labels = _link(candidates, _sets(docs, classes, _ends(candidates), width), none, percent)
+    # long lists that are in one component by now need no more pairs
+    again = materialise(_mixed(lists.where(F.col("size") > SHORT), labels), "again")
     if again.isEmpty():
         return labels
-    lists = _lists(_joint_posts(again), "lists")
-    candidates = materialise(_agreeing(_apart(_merge(lists, percent), labels), classes), "candidates")
-    labels = _link(candidates, docs, classes, labels, width, percent)
-    # what is left: classes alike in many coordinates, in lists of several components
-    mixed = _mixed(lists.where(F.col("size") > SHORT), labels)
-    rest = _apart(_merge(materialise(mixed, "mixed"), percent, longest=1 << 60), labels)
-    candidates = materialise(_agreeing(rest, classes), "candidates")
-    return labels if candidates.isEmpty() else _link(candidates, docs, classes, labels, width, percent)
+    sets = _sets(docs, classes, again, width)
+    lists = _lists(_set_posts(sets, percent), "lists")
+    candidates = materialise(_agreeing(_merge_apart(lists, labels, percent), classes), "candidates")
+    return labels if candidates.isEmpty() else _link(candidates, sets, labels, percent)
 
 
 def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The lists whose classes are in two components or more."""
-    of = lists.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    """(cls) of the classes on lists that are in two components or more."""
+    of = lists.select("k", "cls").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     split = of.groupBy("k").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    return lists.join(split.select("k"), "k", "left_semi")
+    return lists.join(split.select("k"), "k", "left_semi").select("cls").distinct()
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
