@@ -547,6 +547,13 @@ def fastq_parse(spark, sf_dir):
     return formats.fastq_reads(lines)
 
 
+@query("""SELECT CAST(sample_id AS VARCHAR) AS file, CASE i WHEN 0 THEN read ELSE 'x' || start END AS token, count(*) AS n FROM reads, range(0, 2) r(i) GROUP BY ALL""")
+def token_parse(spark, sf_dir):
+    line = F.concat(F.lit(" "), "read", F.lit(" \t x"), F.col("start").cast("string"))
+    lines = _lines(_reads(spark, sf_dir), "sample_id", ["start", "read"], [line])
+    return formats.tokens(lines).groupBy("file", "token").agg(F.count("*").alias("n"))
+
+
 @query("SELECT CAST(sample_id AS VARCHAR) AS file, 'r' || start AS name, start, read FROM reads")
 def sam_parse(spark, sf_dir):
     tab = F.concat_ws("\t", F.concat(F.lit("r"), F.col("start").cast("string")), F.lit("0"), F.lit("ref"), (F.col("start") + 1).cast("string"), F.lit("60"), F.lit("12M"), F.lit("*"), F.lit("0"), F.lit("0"), "read", F.lit("II"))

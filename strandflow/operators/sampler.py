@@ -7,6 +7,7 @@ runs chains side by side: the graph of a sample is shipped to each of its chains
 from __future__ import annotations
 
 import math
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,14 @@ class Settings:
     least: float = 0.001
     longest_handle: int = 24
     iterations: int = 1000
+    #: Time limit, and what ends a chain: "iter", "time", "both" (the later) or "any".
+    seconds: float = 0.0
+    stop: str = "iter"
     seed: int = 42
+    #: Divides the jump density; 1 leaves it as it is.
+    temperature: float = 1.0
+    #: "tuned" subtracts the shifted, scaled jump density; "metropolis" adds it unscaled.
+    mode: str = "tuned"
     #: Shifts and scales of the jump densities of New and Delete.
     shift_new: float = -25.95
     scale_new: float = 30.0
@@ -198,7 +206,7 @@ class Chain:
         others = sum(max(self.difference(q, src), 1e-9) ** -0.5 for q in self.paths if q != src)
         mean_error = sum(self.error[e] for e in self.steps(target)) / self.last
         backward = math.log(self.mix(n + 1).get("Delete", 1e-9)) + math.log(_soft(min(amount, mean_error))) - math.log(sum(_soft(self.excess(q)) for q in self.paths)) - 0.5 * math.log(pd_) - math.log(others + pd_**-0.5)
-        jump = (backward - forward + self.s.shift_new) / self.s.scale_new
+        jump = self.scaled(backward - forward, self.s.shift_new, self.s.scale_new)
         return "New", {src: -amount, target: amount}, self.delta(src, target, amount) + self.log_poisson(n + 1) - self.log_poisson(n), jump
 
     def propose_move(self, n: int, mix: dict[str, float]):
@@ -244,7 +252,7 @@ class Chain:
             for h, x in zip(handles, size, strict=True):
                 o = min(1 / xi / (x - 1), 1 - 1e-9)
                 backward += math.log(o) if src[h[0] : h[1] + self.k] == h[2] else math.log(1 - o)
-        jump = (backward - math.log(mix["Delete"]) - logp - logt + self.s.shift_delete) / self.s.scale_delete
+        jump = self.scaled(backward - math.log(mix["Delete"]) - logp - logt, self.s.shift_delete, self.s.scale_delete)
         return "Delete", {src: -w, target: w}, self.delta(src, target, w) + self.log_poisson(n - 1) - self.log_poisson(n), jump
 
     def propose_transfer(self, n: int, mix: dict[str, float]):
@@ -260,17 +268,27 @@ class Chain:
         jump = self.log_source(target) + logb - logp - logt - peak
         return "Transfer", {src: -amount, target: amount}, self.delta(src, target, amount), jump
 
+    def scaled(self, jump: float, shift: float, scale: float) -> float:
+        return jump if self.s.mode == "metropolis" else (jump + shift) / scale
+
+    def ended(self, done: int, began: float) -> bool:
+        enough, late = done >= self.s.iterations, time.monotonic() - began >= self.s.seconds
+        return {"iter": enough, "time": late, "both": enough and late, "any": enough or late}[self.s.stop]
+
     def run(self) -> tuple[list[tuple], dict[str, float], float]:
         """The trace (iter, move, accept, delta, running and recomputed logl), and the best state."""
         trace = [(0, "Start", True, 0.0, self.logl, self.logl)]
         best, best_logl, running = dict(self.paths), self.logl, self.logl
-        for i in range(1, self.s.iterations + 1):
+        sign = 1.0 if self.s.mode == "metropolis" else -1.0
+        i, began = 0, time.monotonic()
+        while not self.ended(i, began):
+            i += 1
             found = next((p for p in (self.propose() for _ in range(self.s.retries)) if p), None)
             if not found:
                 trace.append((i, "Fail", False, 0.0, running, running))
                 continue
             move, changes, delta, jump = found
-            accept = math.log(max(self.rng.random(), 1e-300)) < delta - jump
+            accept = math.log(max(self.rng.random(), 1e-300)) < delta + sign * jump / self.s.temperature
             if accept:
                 self.commit(changes)
                 running += delta

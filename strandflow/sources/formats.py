@@ -83,6 +83,11 @@ def simulated_sequences(lines: DataFrame) -> DataFrame:
     return lines.where((F.col("line_no") > 0) & (F.trim("value") != "")).select("file", F.element_at(F.split(F.trim("value"), r"\s+"), -1).alias("seq"))
 
 
+def tokens(lines: DataFrame) -> DataFrame:
+    """(file, line_no, at, token): whatever stands between white space, as it is."""
+    return lines.select("file", "line_no", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("at", "token")).where("token <> ''")
+
+
 def mixtures(lines: DataFrame) -> DataFrame:
     """(file, seq, weight) of ``seq weight`` lines; further tokens are ignored."""
     part = F.split(F.trim("value"), r"\s+")

@@ -95,6 +95,15 @@ def test_sampler_keeps_its_books(spark, reads, seed):
     assert recomputed == pytest.approx(best_logl, abs=1e-6)
 
 
+@pytest.mark.parametrize(("stop", "least", "most"), [("iter", 30, 30), ("any", 1, 30), ("both", 30, 10**9), ("time", 1, 10**9)])
+def test_when_chains_end(spark, reads, stop, least, most):
+    edges = graph.normalise(graph.edges(reads, 2)).toPandas()
+    for mode in ("tuned", "metropolis"):
+        settings = sampler.Settings(k=2, iterations=30, longest_handle=4, seconds=0.05, stop=stop, mode=mode, temperature=2.0)
+        trace, _, _ = sampler.Chain(edges, settings, 0, 1).run()
+        assert least <= trace[-1][0] <= most
+
+
 def test_reconstruction_beats_the_reference(spark):
     a = "ACGTTGCAACGGTATCCGATTGACCTAGGA"
     b = a[:9] + "C" + a[10:20] + "G" + a[21:]
