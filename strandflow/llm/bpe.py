@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from .common import add_columns
 
 #: Words whose ids a worker remembers, and pairs whose test it remembers.
-MEMO_WORDS = 400_000
-MEMO_PAIRS = 400_000
+MEMO_WORDS = 200_000
+MEMO_PAIRS = 150_000
 #: Stands for the end of a word inside the automaton; no byte maps to it.
 END = ""
 INF = 1 << 60
@@ -90,7 +90,6 @@ class Encoder:
             ia, ib, made = vocab[a], vocab[b], vocab[a + b]
             self.pair[ia, ib] = k
             self.rank[made], self.left[made], self.right[made] = k, ia, ib
-        # 2-tuple keys: memo of the test
         self.apart = _Memo(self._apart, MEMO_PAIRS)
         self.automaton = ahocorasick.Automaton()
         for token, i in vocab.items():
@@ -101,14 +100,14 @@ class Encoder:
         self.memo = _Memo(self._chunk, MEMO_WORDS)
         self.memo_words = _Memo(self._word, MEMO_WORDS // 2)
 
-    def _apart(self, pair: tuple[int, int]) -> bool:
+    def _apart(self, pair: int) -> bool:
         """Whether two neighbouring tokens stay two when their text is merged as one.
 
         Going back in time, undo the later-made of the two neighbours. A merge across
         the border happens if its rank comes before the merges that used up its sides;
         of equal ranks the left one goes first.
         """
-        a, b = pair
+        a, b = pair >> 32, pair & 0xFFFFFFFF
         rank = self.rank
         used_a = used_b = INF
         while True:
@@ -139,7 +138,7 @@ class Encoder:
             if size[p]:
                 continue
             before = p - length
-            if not before or apart[last[before], token]:
+            if not before or apart[last[before] << 32 | token]:
                 last[p], size[p] = token, length
         out, p = [], n
         while p > 0:

@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 #: The characters that separate words in the contracts: space and \t \n \v \f \r.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
+#: Rows and bytes of a batch that goes to a Python worker: what a worker holds follows these.
+BATCH_ROWS, BATCH_BYTES = 2_000, "8m"
+
 _TEST_DIRS: dict[str, str] = {}
 
 
@@ -70,6 +73,12 @@ def hash_share(df: DataFrame, rows: int, per: str, key: str = "doc_id") -> DataF
     return df.join(F.broadcast(share), F.col(per) == F.col("_per")).where(place <= F.col("_share")).select(*df.columns)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Small Arrow batches in this session, so that several workers fit beside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """A string column as its bytes and its offsets; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -105,6 +114,7 @@ def add_columns(
     Input columns of the same name give way to the new ones; those in ``without`` reach
     ``make`` but are left out of the result.
     """
+    bound_batches(df.sparkSession)
     new = {name for name, _ in fields}
     df = df.drop(*[c for c in df.columns if c in new])
     keep = [f for f in df.schema.fields if f.name not in without]

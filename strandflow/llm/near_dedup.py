@@ -30,7 +30,7 @@ SHORT = 16
 #: Document ids that are broadcast to pick their texts; beyond it the join shuffles.
 MOST_BROADCAST = 500_000
 SKETCH_BITS = (16, 22)
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _ODD = lambda n: _rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,14 +147,15 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, cls (the set's class) and sig of every document."""
 
     def make(batch: pa.RecordBatch):
-        sets = shingle_sets(*utf8(batch.column("text")), width)
-        sizes = np.array([len(s) for s in sets], np.int64)
-        full = np.flatnonzero(sizes)
-        sig: list[bytes | None] = [None] * len(sets)
-        if len(full):
-            for at, row in zip(full, minhash([sets[f] for f in full]), strict=True):
-                sig[at] = row.tobytes()
-        return pa.array(sizes), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())
+        data, offsets = utf8(batch.column("text"))
+        sizes, classes, sig = [], [], []
+        for i, j in spans(offsets, CHUNK):  # a stretch's sets are gone before the next
+            sets = shingle_sets(data, offsets[i : j + 1], width)
+            sizes += [len(s) for s in sets]
+            classes += [class_of(s) for s in sets]
+            rows = iter(minhash([s for s in sets if len(s)]))
+            sig += [next(rows).tobytes() if len(s) else None for s in sets]
+        return pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(sig, pa.binary())
 
     fields = [("n_shingles", "bigint"), ("cls", "bigint"), ("sig", "binary")]
     return add_columns(docs.select("doc_id", "text"), fields, make, without=("text",))
