@@ -1,9 +1,10 @@
 """Benchmark decontamination by templates.
 
 Texts become template words: numbers, units after numbers and capitalised names turn into
-typed placeholders, other words are lower-cased. Documents that hold too few of an item's
+typed placeholders, other words are lower-cased. A second, folded form lower-cases names as
+well, so that case alone never breaks a window: words agree on either form. Documents that hold too few of an item's
 anchors (pairs of neighbouring words) are left out first; of the others, windows of ``WINDOW`` template words are
-hash-joined with the benchmark's. On each diagonal (a fixed shift between document and
+hash-joined with the benchmark's on either form. On each diagonal (a fixed shift between document and
 item) the fillers of matching slots must correspond one to one, which holds for copies and
 for questions whose numbers or names were replaced consistently, and not for chance.
 DataFrame functions only.
@@ -32,8 +33,8 @@ def raw_words(text: str = "text") -> Column:
     return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def template(words: Column) -> Column:
-    """Template words of raw words, as an array of the same length."""
+def template(words: Column, names: bool = True) -> Column:
+    """Template words of raw words, as an array of the same length; folded ones without ``names``."""
     units = F.array(*[F.lit(u) for u in UNITS])
 
     def one(w: Column, i: Column) -> Column:
@@ -41,7 +42,7 @@ def template(words: Column) -> Column:
         number = (F.substring(w, 1, 1) >= "0") & (F.substring(w, 1, 1) <= "9")
         # initcap lower-cases the rest, so only the first letter is a capital
         name = (w != low) & (w == F.initcap(w))
-        return F.when(number, "\x01").when(name, "\x02").otherwise(low)
+        return F.when(number, "\x01").when(name & F.lit(names), "\x02").otherwise(low)
 
     plain = F.transform(words, one)
 
@@ -63,21 +64,26 @@ def windows(words: Column, size: Column | int) -> Column:
     return F.transform(F.array(words), of)[0]
 
 
+def either(words: Column, folded: Column, size: Column | int) -> Column:
+    """Of each window, the hashes of its two forms: one where no name makes them differ."""
+    return F.zip_with(windows(words, size), windows(folded, size), lambda a, b: F.array_distinct(F.array(a, b)))
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words, raw, item_windows, size, at, k, anchor) of every benchmark window.
+    """(item_id, words, folded, raw, item_windows, size, at, ks, anchor) of every benchmark window.
 
     Items shorter than ``WINDOW`` words are one window of their own length; items of fewer
     than two words, or null, have none. A window counts if so many of its words are
     literal that two of them must be neighbours; the longest such pair is its anchor.
     """
     items = benchmark.select("item_id", raw_words().alias("raw")).where(F.size("raw") > 1)
-    items = items.withColumn("words", template(F.col("raw"))).withColumn("size", F.least(F.size("raw"), F.lit(WINDOW)))
-    items = items.select("*", F.posexplode(windows(F.col("words"), F.col("size"))).alias("at", "k"))
+    items = items.withColumn("words", template(F.col("raw"))).withColumn("folded", template(F.col("raw"), False)).withColumn("size", F.least(F.size("raw"), F.lit(WINDOW)))
+    items = items.select("*", F.posexplode(either(F.col("words"), F.col("folded"), F.col("size"))).alias("at", "ks"))
     part = F.slice("words", F.col("at") + 1, F.col("size"))
     items = items.withColumn("part", part).where(F.size(F.filter("part", lambda w: w >= " ")) > F.floor((F.col("size") + 1) / 2))
     pairs = F.zip_with(F.slice("part", 1, F.col("size") - 1), F.slice("part", 2, F.col("size") - 1), lambda a, b: F.when((a >= " ") & (b >= " "), F.struct((F.length(a) + F.length(b)).alias("n"), F.xxhash64(a, b).alias("pair"))))
-    items = items.select("item_id", "raw", "words", "size", "at", "k", F.array_max(pairs)["pair"].alias("anchor"))
-    items = items.dropDuplicates(["item_id", "size", "at", "k"])
+    items = items.select("item_id", "raw", "words", "folded", "size", "at", "ks", F.array_max(pairs)["pair"].alias("anchor"))
+    items = items.dropDuplicates(["item_id", "size", "at", "ks"])
     return items.withColumn("item_windows", F.count("*").over(Window.partitionBy("item_id")))
 
 
@@ -116,37 +122,49 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     few = suspects.count() <= MOST_BROADCAST
     suspects = suspects.withColumnRenamed("doc_id", "_s")
     docs = docs.join(F.broadcast(suspects) if few else suspects, docs["doc_id"].eqNullSafe(suspects["_s"]), "left_semi")
-    base = docs.withColumn("words", template(raw_words()))
-    found = docs.sparkSession.createDataFrame([], base.select("doc_id", "text").schema).select("doc_id", "text", *[F.lit(None).cast(t).alias(c) for c, t in items.select("item_id", "item_windows", "at").dtypes], F.lit(0).alias("shift"))
+    base = docs.withColumn("words", template(raw_words())).withColumn("folded", template(raw_words(), False))
+    found = docs.sparkSession.createDataFrame([], base.select("doc_id", "text").schema).select("doc_id", "text", *[F.lit(None).cast(t).alias(c) for c, t in items.select("item_id", "item_windows").dtypes], F.lit(0).alias("shift"))
     for size in sorted(sizes):
-        wide = base.select("doc_id", "text", F.posexplode(windows(F.col("words"), size)).alias("pos", "k"))
-        side = items.where(F.col("size") == size).select("item_id", "item_windows", "at", "k")
+        wide = base.select("doc_id", "text", F.posexplode(either(F.col("words"), F.col("folded"), size)).alias("pos", "ks")).select("doc_id", "text", "pos", F.explode("ks").alias("k"))
+        side = items.where(F.col("size") == size).select("item_id", "item_windows", "at", F.explode("ks").alias("k"))
         hits = wide.join(F.broadcast(side) if small else side, "k")
-        found = found.unionByName(hits.select("doc_id", "text", "item_id", "item_windows", "at", (F.col("pos") - F.col("at")).alias("shift")))
-    # a diagonal has no more windows than the item, so its group is bounded by the item
+        found = found.unionByName(hits.select("doc_id", "text", "item_id", "item_windows", (F.col("pos") - F.col("at")).alias("shift")))
     key = ["doc_id", "item_id", "item_windows", "shift"]
-    one = found.groupBy(*key, F.xxhash64("text").alias("copy")).agg(F.sort_array(F.collect_set("at")).alias("ats"), F.first("text").alias("text"))
-    sides = items.groupBy("item_id").agg(F.first("words").alias("words"), F.first("raw").alias("item_raw"), F.first("size").alias("size"))
+    one = found.groupBy(*key, F.xxhash64("text").alias("copy")).agg(F.first("text").alias("text"))
+    sides = items.groupBy("item_id").agg(F.first("words").alias("words"), F.first("folded").alias("folded"), F.first("raw").alias("item_raw"), F.first("size").alias("size"), F.collect_set("at").alias("tried"))
     one = one.join(F.broadcast(sides) if small else sides, "item_id")
-
-    def filled(doc: Column) -> Column:
-        """Kind, the item's filler and the document's of the slots in the matching stretch:
-        from the first to the last window, and on as far as the template words agree."""
-        places = F.sequence(F.lit(0), F.size("words") - 1)
-        agree = lambda i: F.coalesce((i + F.col("shift") >= 0) & (F.get("words", i) == F.get(doc["w"], i + F.col("shift"))), F.lit(False))
-        off = F.filter(places, lambda i: ~agree(i))
-        low = F.coalesce(F.array_max(F.filter(off, lambda i: i < F.array_min("ats"))), F.lit(-1))
-        high = F.coalesce(F.array_min(F.filter(off, lambda i: i >= F.array_max("ats") + F.col("size"))), F.size("words"))
-        inside = F.filter(F.sequence(low + 1, high - 1), lambda i: agree(i) & (F.get("words", i) < " "))
-        return F.transform(inside, lambda i: F.struct(F.get("words", i).alias("kind"), F.lower(F.get("item_raw", i)).alias("a"), F.lower(F.get(doc["r"], i + F.col("shift"))).alias("b")))
+    places = F.sequence(F.lit(0), F.size("words") - 1)
+
+    def judged(doc: Column) -> Column:
+        """The diagonal's windows with the slots of the matching stretch, on either form and on
+        the typed one alone: a diagonal counts if the slots of one of the two correspond."""
+        typed = lambda i: F.coalesce((i + F.col("shift") >= 0) & (F.get("words", i) == F.get(doc["w"], i + F.col("shift"))), F.lit(False))
+        folded = lambda i: F.coalesce((i + F.col("shift") >= 0) & (F.get("folded", i) == F.get(doc["f"], i + F.col("shift"))), F.lit(False))
+        fits = F.array(F.transform(places, lambda i: typed(i) | folded(i)), F.transform(places, typed))
+        kind = lambda i: F.when(typed(i), F.get("words", i)).otherwise(F.get("folded", i))
+
+        def slots(fit: Column, ats: Column) -> Column:
+            """Kind, the item's filler and the document's of the slots in the matching stretch:
+            from the first to the last window, and on as far as the words agree."""
+            off = F.filter(places, lambda i: ~F.get(fit, i))
+            low = F.coalesce(F.array_max(F.filter(off, lambda i: i < F.array_min(ats))), F.lit(-1))
+            high = F.coalesce(F.array_min(F.filter(off, lambda i: i >= F.array_max(ats) + F.col("size"))), F.size("words"))
+            inside = F.filter(places, lambda i: (i > low) & (i < high) & F.get(fit, i) & (kind(i) < " "))
+            return F.array_distinct(F.transform(inside, lambda i: F.struct(kind(i).alias("kind"), F.lower(F.get("item_raw", i)).alias("a"), F.lower(F.get(doc["r"], i + F.col("shift"))).alias("b"))))
+
+        def way(fit: Column) -> Column:
+            ats = F.filter("tried", lambda at: F.forall(F.slice(fit, at + 1, F.col("size")), lambda x: x))
+            return F.transform(F.array(ats), lambda a: F.struct(a.alias("ats"), slots(fit, a).alias("pairs")))[0]
+
+        return F.transform(fits, way)
 
     # the document's words are bound once, not taken apart again for each slot
-    bound = F.transform(F.array(F.struct(raw_words().alias("r"), template(raw_words()).alias("w"))), filled)[0]
-    one = one.select(*key, "ats", F.array_distinct(bound).alias("pairs"))
-    ones = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p[side])))) == F.size("pairs")
-    one = one.where(ones("a") & ones("b"))
-    same = F.forall("pairs", lambda p: p["a"] == p["b"])
-    held = one.select("doc_id", "item_id", "item_windows", F.explode("ats").alias("at"), same.alias("same"))
+    bound = F.transform(F.array(F.struct(raw_words().alias("r"), template(raw_words()).alias("w"), template(raw_words(), False).alias("f"))), judged)[0]
+    ones = lambda pairs, side: F.size(F.array_distinct(F.transform(pairs, lambda p: F.struct(p["kind"], p[side])))) == F.size(pairs)
+    # the first way that corresponds
+    one = one.select(*key, bound.alias("ways")).select(*key, F.get(F.filter("ways", lambda v: ones(v["pairs"], "a") & ones(v["pairs"], "b")), F.lit(0)).alias("way"))
+    same = F.forall("way.pairs", lambda p: p["a"] == p["b"])
+    held = one.select("doc_id", "item_id", "item_windows", F.explode("way.ats").alias("at"), same.alias("same"))
     whole = held.groupBy("doc_id", "item_id", "item_windows").agg((F.countDistinct("at") / F.col("item_windows")).alias("coverage"), F.every("same").alias("same_fillers"))
     return whole.where(F.col("coverage") >= coverage).select("doc_id", "item_id", "coverage", "same_fillers")
 

@@ -130,6 +130,15 @@ def test_leaks(spark, items, docs, empty):
     assert decontam.find_leaks(empty, items).count() == 0 == decontam.find_leaks(docs, items.limit(0)).count()
 
 
+def test_leaks_in_any_case(spark, items):
+    """Case alone breaks no window, also where numbers are replaced."""
+    copy = LEAKS[1][0]
+    changed = [copy.lower(), copy.upper(), copy.title(), copy.lower().replace("12", "77"), copy.upper().replace(" 3 ", " 5 "), copy.lower().replace("12", "4")]
+    table = spark.createDataFrame(list(enumerate(changed)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["item_id"], r["coverage"], r["same_fillers"]) for r in decontam.find_leaks(table, items).collect()}
+    assert got == {i: (1, 1.0, i < 3) for i in range(5)}  # in the last, two numbers become one
+
+
 def test_large_benchmarks_shuffle(spark, items, monkeypatch):
     monkeypatch.setattr(decontam, "MOST_BROADCAST", 0)
     table = spark.createDataFrame([(i, t) for i, (t, _) in LEAKS.items()], "doc_id bigint, text string")
