@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
@@ -71,25 +73,52 @@ def runs(marked: DataFrame, keys: list[str], at: str) -> DataFrame:
 
 
 def handles(edges: DataFrame, paths: DataFrame, k: int, longest: int) -> DataFrame:
-    """Sub-walks that leave a path and come back to it within ``longest`` edges.
+    """Sub-walks that leave a path and come back to it, or run to an end of the graph, within
+    ``longest`` edges.
 
-    (sample_id, path_id, start, stop, seq): the walk's first and last positions on the
-    path, and what it spells. Frontier join: each round extends the open walks by the
-    graph's edges; walks that are back on the path stop.
+    (sample_id, path_id, start, stop, seq): the walk's first and last positions, and what it
+    spells. Frontier joins: each round extends the open walks by the graph's edges, forwards
+    until they are back on the path or in the sample's last layer, and backwards until they
+    are at position 0.
     """
-    on = paths.select("sample_id", "path_id", F.col("seq").alias("path"))
     leaves = edges.select("sample_id", "position", "src", "dst")
-    spelled = lambda pos: F.substring("path", F.col(pos) + 1, F.lit(k))
-    open_walks = on.join(leaves, "sample_id").where((F.col("src") == spelled("position")) & (F.col("dst") != F.substring("path", F.col("position") + 2, F.lit(k))))
-    open_walks = open_walks.select("sample_id", "path_id", "path", F.col("position").alias("start"), (F.col("position") + 1).alias("at"), F.col("dst").alias("kmer"), F.concat("src", F.right("dst", F.lit(1))).alias("seq"))
-    done = None
-    for _ in range(longest - 1):
-        step = open_walks.join(leaves.withColumnRenamed("position", "at").withColumnRenamed("src", "kmer"), ["sample_id", "at", "kmer"])
-        step = cut(step.select("sample_id", "path_id", "path", "start", (F.col("at") + 1).alias("at"), F.col("dst").alias("kmer"), F.concat("seq", F.right("dst", F.lit(1))).alias("seq")))
-        back = F.col("kmer") == spelled("at")
-        found = step.where(back).select("sample_id", "path_id", "start", F.col("at").alias("stop"), "seq")
-        done = found if done is None else done.unionByName(found)
-        open_walks = step.where(~back)
-        if open_walks.isEmpty():
-            break
-    return done
+    last = leaves.groupBy("sample_id").agg((F.max("position") + 1).alias("last"))
+    on = paths.select("sample_id", "path_id", F.col("seq").alias("path"))
+    id_ = ["sample_id", "path_id", "path", "last"]
+    spelled = lambda pos: F.substring("path", pos + 1, F.lit(k))
+    at, shape = F.col("at"), ["sample_id", "path_id", "start", "stop", "seq"]
+    done = []
+
+    def walk(walks: DataFrame, ended: Column, extend: Callable[[DataFrame], DataFrame]) -> None:
+        for size in range(1, longest + 1):
+            walks = cut(walks)
+            done.append(walks.where(ended).select(*shape))
+            walks = walks.where(~ended)
+            if size == longest or walks.isEmpty():
+                break
+            walks = extend(walks)
+
+    ahead = leaves.withColumnRenamed("position", "at").withColumnRenamed("src", "kmer")
+    right = on.join(leaves, "sample_id").join(last, "sample_id").where((F.col("src") == spelled(F.col("position"))) & (F.col("dst") != spelled(F.col("position") + 1)))
+    right = right.select(*id_, F.col("position").alias("start"), (F.col("position") + 1).alias("stop"), (F.col("position") + 1).alias("at"), F.col("dst").alias("kmer"), F.concat("src", F.right("dst", F.lit(1))).alias("seq"))
+    back = F.col("kmer") == spelled(at)
+
+    def forwards(walks: DataFrame) -> DataFrame:
+        step = walks.join(ahead, ["sample_id", "at", "kmer"])
+        return step.select(*id_, "start", (at + 1).alias("stop"), (at + 1).alias("at"), F.col("dst").alias("kmer"), F.concat("seq", F.right("dst", F.lit(1))).alias("seq"))
+
+    walk(right, back | (at == F.col("last")), forwards)
+
+    behind = leaves.select("sample_id", (F.col("position") + 1).alias("at"), F.col("dst").alias("kmer"), "src")
+    left = on.join(leaves, "sample_id").join(last, "sample_id").where((F.col("position") < longest) & (F.col("dst") == spelled(F.col("position") + 1)) & (F.col("src") != spelled(F.col("position"))))
+    left = left.select(*id_, F.col("position").alias("start"), (F.col("position") + 1).alias("stop"), F.col("position").alias("at"), F.col("src").alias("kmer"), F.concat(F.left("src", F.lit(1)), "dst").alias("seq"))
+
+    def backwards(walks: DataFrame) -> DataFrame:
+        step = walks.join(behind, ["sample_id", "at", "kmer"]).where(F.col("src") != F.substring("path", at, F.lit(k)))
+        return step.select(*id_, (at - 1).alias("start"), "stop", (at - 1).alias("at"), F.col("src").alias("kmer"), F.concat(F.left("src", F.lit(1)), "seq").alias("seq"))
+
+    walk(left, at == 0, backwards)
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.distinct()

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from strandflow.jobs import reconstruct
-from strandflow.operators import align, graph, overlay, sampler, scoring
+from strandflow.operators import align, graph, intervals, overlay, sampler, scoring
 
 READS = {"GCT": 1, "GAT": 4, "CTT": 1, "ATT": 3, "TTA": 2, "TAT": 1, "TAC": 4, "ATA": 1, "ACA": 3}
 STARTS = {"GCT": 0, "GAT": 0, "CTT": 1, "ATT": 1, "TTA": 2, "TAT": 3, "TAC": 3, "ATA": 4, "ACA": 4}
@@ -75,6 +75,35 @@ def test_both_ways_of_cutting_agree(spark):
     assert {r[0]: r[1] for r in before if r[1]} == {r[0]: r[1] for r in after if r[1]}
 
 
+@pytest.mark.parametrize("longest", [3, 5])
+def test_handles_against_all_walks(spark, reads, longest):
+    """Every stretch of the graph off the path that rejoins it or runs to an end."""
+    edges = graph.edges(reads, 2)
+    seqs = ["GATTACA", "GCTTATA"]
+    paths = spark.createDataFrame([(1, i, q, 0.5) for i, q in enumerate(seqs)], "sample_id bigint, path_id bigint, seq string, weight double")
+    got = sorted(map(tuple, intervals.handles(edges, paths, 2, longest).select("path_id", "start", "stop", "seq").collect()))
+
+    walks = [(p, s) for p, s, _ in EDGES] + [(5, "TA"), (5, "CA")]
+    all_walks, last = [], 5
+    for _ in range(longest):
+        walks = [(p, w + d[-1]) for p, w in walks for q, s, d in EDGES if q == p + len(w) - 2 and s == w[-2:]]
+        all_walks += walks
+    want = set()
+    for i, q in enumerate(seqs):
+        for p, w in all_walks:
+            on = [q[p + j : p + j + 2] == w[j : j + 2] for j in range(len(w) - 1)]
+            stop = p + len(w) - 2
+            inner = not any(on[1:-1])
+            rejoins = on[0] and on[-1] and stop - p > 1
+            if inner and (rejoins or on[0] and not on[-1] and stop == last or not on[0] and on[-1] and p == 0):
+                want.add((i, p, stop, w))
+    assert got == sorted(want)
+    assert any(p == 0 and w[:2] != seqs[i][:2] for i, p, _, w in want) or longest < 2
+    edges_of_one = graph.normalise(edges).toPandas()
+    chain = sampler.Chain(edges_of_one, sampler.Settings(k=2, longest_handle=longest), 0, 1)
+    assert got == sorted((i, *h) for i, q in enumerate(seqs) for h in chain.find_handles(q))
+
+
 def test_path_shares_sum_to_one(reads):
     got = graph.path_shares(graph.edges(reads, 2)).groupBy("position").agg({"count_left": "sum", "count_right": "sum"}).collect()
     assert all(r[1] == pytest.approx(1) and r[2] == pytest.approx(1) for r in got)
