@@ -7,6 +7,8 @@ anchors (pairs of neighbouring words) are left out first; of the others, windows
 hash-joined with the benchmark's on either form. On each diagonal (a fixed shift between document and
 item) the fillers of matching slots must correspond one to one, which holds for copies and
 for questions whose numbers or names were replaced consistently, and not for chance.
+Windows short of literal words match on the folded form alone or, short of those too, word by
+word. A run of ``RUN`` matching words is reported whatever share of the item it is.
 DataFrame functions only.
 """
 
@@ -20,6 +22,9 @@ from .common import materialise
 WINDOW = 8
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.5
+#: Words of one run that are reported at any coverage, and its windows.
+RUN = 13
+RUN_WINDOWS = RUN - WINDOW + 1
 #: Benchmark windows that are broadcast; beyond it the join shuffles.
 MOST_BROADCAST = 1_000_000
 
@@ -64,52 +69,76 @@ def windows(words: Column, size: Column | int) -> Column:
     return F.transform(F.array(words), of)[0]
 
 
-def either(words: Column, folded: Column, size: Column | int) -> Column:
-    """Of each window, the hashes of its two forms: one where no name makes them differ."""
-    return F.zip_with(windows(words, size), windows(folded, size), lambda a, b: F.array_distinct(F.array(a, b)))
+def either(words: Column, folded: Column, plain: Column, size: Column | int) -> Column:
+    """Of each window, the hashes of its typed, folded and plain form."""
+    both = F.zip_with(windows(words, size), windows(folded, size), lambda a, b: F.array(a, b))
+    return F.zip_with(both, windows(plain, size), lambda a, b: F.concat(a, F.array(b)))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words, folded, raw, item_windows, size, at, ks, anchor) of every benchmark window.
+    """(item_id, words, folded, plain, raw, item_windows, strong, size, at, need, ks, anchor, digits)
+    of every benchmark window.
 
     Items shorter than ``WINDOW`` words are one window of their own length; items of fewer
-    than two words, or null, have none. A window counts if so many of its words are
-    literal that two of them must be neighbours; the longest such pair is its anchor.
+    than two words, or null, have none. ``need`` is 1 if so many of the window's typed words
+    are literal that two of them must be neighbours, 2 if only of its folded words, else 3:
+    the least form on which it matches. The longest pair of literal neighbours is its anchor,
+    of two words without digits where there is one; ``strong`` counts the windows of need 1.
     """
     items = benchmark.select("item_id", raw_words().alias("raw")).where(F.size("raw") > 1)
-    items = items.withColumn("words", template(F.col("raw"))).withColumn("folded", template(F.col("raw"), False)).withColumn("size", F.least(F.size("raw"), F.lit(WINDOW)))
-    items = items.select("*", F.posexplode(either(F.col("words"), F.col("folded"), F.col("size"))).alias("at", "ks"))
-    part = F.slice("words", F.col("at") + 1, F.col("size"))
-    items = items.withColumn("part", part).where(F.size(F.filter("part", lambda w: w >= " ")) > F.floor((F.col("size") + 1) / 2))
-    pairs = F.zip_with(F.slice("part", 1, F.col("size") - 1), F.slice("part", 2, F.col("size") - 1), lambda a, b: F.when((a >= " ") & (b >= " "), F.struct((F.length(a) + F.length(b)).alias("n"), F.xxhash64(a, b).alias("pair"))))
-    items = items.select("item_id", "raw", "words", "folded", "size", "at", "ks", F.array_max(pairs)["pair"].alias("anchor"))
-    items = items.dropDuplicates(["item_id", "size", "at", "ks"])
-    return items.withColumn("item_windows", F.count("*").over(Window.partitionBy("item_id")))
+    items = items.withColumn("words", template(F.col("raw"))).withColumn("folded", template(F.col("raw"), False)).withColumn("plain", F.transform("raw", F.lower)).withColumn("size", F.least(F.size("raw"), F.lit(WINDOW)))
+    items = items.select("*", F.posexplode(either(F.col("words"), F.col("folded"), F.col("plain"), F.col("size"))).alias("at", "ks"))
+    part = lambda c: F.slice(c, F.col("at") + 1, F.col("size"))
+    many = lambda c: F.size(F.filter(part(c), lambda w: w >= " ")) > F.floor((F.col("size") + 1) / 2)
+    items = items.withColumn("need", F.when(many("words"), 1).when(many("folded"), 2).otherwise(3))
+    least = lambda one, two, three: F.when(F.col("need") == 1, one).when(F.col("need") == 2, two).otherwise(three)
+    marks = F.zip_with(part("plain"), least(part("words"), part("folded"), part("plain")), lambda w, form: F.struct(w.alias("w"), (form >= " ").alias("ok"), w.rlike(r"^[\p{L}\p{M}]").alias("letters")))
+
+    def pair(a: Column, b: Column) -> Column:
+        letters = a["letters"] & b["letters"]
+        pair = F.when(letters, F.xxhash64(a["w"], b["w"])).otherwise(F.xxhash64(F.lit("#"), a["w"], b["w"]))
+        return F.when(a["ok"] & b["ok"], F.struct(letters.alias("letters"), (F.length(a["w"]) + F.length(b["w"])).alias("n"), pair.alias("pair")))
+
+    best = F.array_max(F.transform(F.array(marks), lambda m: F.zip_with(F.slice(m, 1, F.col("size") - 1), F.slice(m, 2, F.col("size") - 1), pair))[0])
+    ks = least(F.array_distinct(F.slice("ks", 1, 2)), F.slice("ks", 2, 1), F.slice("ks", 3, 1))
+    items = items.select("item_id", "raw", "words", "folded", "plain", "size", "at", "need", ks.alias("ks"), best.alias("best"))
+    items = items.select("*", F.col("best.pair").alias("anchor"), (~F.col("best.letters")).alias("digits")).drop("best").dropDuplicates(["item_id", "size", "at", "ks"])
+    own = Window.partitionBy("item_id")
+    return items.withColumn("item_windows", F.count("*").over(own)).withColumn("strong", F.count(F.when(F.col("need") == 1, 1)).over(own))
 
 
 def _suspects(docs: DataFrame, items: DataFrame, small: bool, coverage: float) -> DataFrame:
     """doc_id of the documents that hold enough anchors of an item to hold its windows.
 
-    Exact: ``coverage`` of an item's windows can't be there without the fewest anchors
-    that stand for that many windows. Reads each text once and shuffles only the hits.
+    Exact: ``coverage`` of an item's windows, of those of need 1 or of all, or the windows of
+    a run can't be there without the fewest anchors that stand for that many windows. Reads
+    each text once and shuffles only the hits.
     """
-    each = items.groupBy("item_id", "item_windows", "anchor").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("item_id").orderBy(F.desc("n"), "anchor").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shares = items.where("need = 1").select("item_id", F.lit(-1).alias("target"), "anchor", (F.col("strong") * coverage).alias("least"))
+    shares = shares.unionByName(items.where("strong < item_windows").select("item_id", F.lit(-2).alias("target"), "anchor", (F.col("item_windows") * coverage).alias("least")))
+    runs = items.select("item_id", F.explode(F.sequence(F.col("at") - RUN_WINDOWS + 1, "at")).alias("target"), "anchor", F.lit(float(RUN_WINDOWS)).alias("least")).where("target >= 0")
+    each = shares.unionByName(runs).groupBy("item_id", "target", "least", "anchor").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("item_id", "target")
+    order = own.orderBy(F.desc("n"), "anchor").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     each = each.withColumn("reached", F.sum("n").over(order)).withColumn("rank", F.count("*").over(order))
-    fewest = F.min(F.when(F.col("reached") >= F.col("item_windows") * coverage, F.col("rank"))).over(Window.partitionBy("item_id"))
-    anchors = each.select("item_id", "anchor", fewest.alias("fewest"))
+    fewest = F.min(F.when(F.col("reached") >= F.col("least"), F.col("rank"))).over(own)
+    anchors = each.select("item_id", "target", "anchor", fewest.alias("fewest")).where("fewest is not null")
     words = F.split(F.lower("text"), r"[^\p{L}\p{M}]+")
     pairs = F.transform(F.array(words), lambda w: F.zip_with(w, F.slice(w, 2, F.lit(1 << 30)), lambda a, b: F.xxhash64(a, b)))[0]
+    if items.where("digits").take(1):
+        plain = F.transform(raw_words(), F.lower)
+        pairs = F.concat(pairs, F.transform(F.array(plain), lambda w: F.zip_with(w, F.slice(w, 2, F.lit(1 << 30)), lambda a, b: F.xxhash64(F.lit("#"), a, b)))[0])
     wide = docs.where(F.col("text").isNotNull()).select("doc_id", F.explode(pairs).alias("anchor"))
     hits = wide.join(F.broadcast(anchors) if small else anchors, "anchor")
-    held = hits.groupBy("doc_id", "item_id", "fewest").agg(F.countDistinct("anchor").alias("n"))
+    held = hits.groupBy("doc_id", "item_id", "target", "fewest").agg(F.countDistinct("anchor").alias("n"))
     return held.where(F.col("n") >= F.col("fewest")).select("doc_id").distinct()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, coverage, same_fillers) of each document that holds an item.
 
-    Coverage is the share of the item's windows found with consistent slots;
+    Coverage is the share of the item's windows found with consistent slots, of those with
+    enough literal words or of all, whichever is more; a run may be reported at a lower one.
     same_fillers tells a copy from a re-parameterised question. Null or empty texts and
     items match nothing. Rows that repeat an id count as one document, as do those with
     a null id. Other columns are not read. Empty tables give an empty result.
@@ -122,51 +151,72 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     few = suspects.count() <= MOST_BROADCAST
     suspects = suspects.withColumnRenamed("doc_id", "_s")
     docs = docs.join(F.broadcast(suspects) if few else suspects, docs["doc_id"].eqNullSafe(suspects["_s"]), "left_semi")
-    base = docs.withColumn("words", template(raw_words())).withColumn("folded", template(raw_words(), False))
-    found = docs.sparkSession.createDataFrame([], base.select("doc_id", "text").schema).select("doc_id", "text", *[F.lit(None).cast(t).alias(c) for c, t in items.select("item_id", "item_windows").dtypes], F.lit(0).alias("shift"))
+    base = docs.withColumn("words", template(raw_words())).withColumn("folded", template(raw_words(), False)).withColumn("plain", F.transform(raw_words(), F.lower))
+    found = docs.sparkSession.createDataFrame([], base.select("doc_id", "text").schema).select("doc_id", "text", *[F.lit(None).cast(t).alias(c) for c, t in items.select("item_id", "item_windows", "strong").dtypes], F.lit(0).alias("shift"))
+    forms = 3 if items.where("need = 3").take(1) else 2
     for size in sorted(sizes):
-        wide = base.select("doc_id", "text", F.posexplode(either(F.col("words"), F.col("folded"), size)).alias("pos", "ks")).select("doc_id", "text", "pos", F.explode("ks").alias("k"))
-        side = items.where(F.col("size") == size).select("item_id", "item_windows", "at", F.explode("ks").alias("k"))
+        wide = base.select("doc_id", "text", F.posexplode(either(F.col("words"), F.col("folded"), F.col("plain"), size)).alias("pos", "ks"))
+        wide = wide.select("doc_id", "text", "pos", F.explode(F.array_distinct(F.slice("ks", 1, forms))).alias("k"))
+        side = items.where(F.col("size") == size).select("item_id", "item_windows", "strong", "at", F.explode("ks").alias("k"))
         hits = wide.join(F.broadcast(side) if small else side, "k")
-        found = found.unionByName(hits.select("doc_id", "text", "item_id", "item_windows", (F.col("pos") - F.col("at")).alias("shift")))
-    key = ["doc_id", "item_id", "item_windows", "shift"]
+        found = found.unionByName(hits.select("doc_id", "text", "item_id", "item_windows", "strong", (F.col("pos") - F.col("at")).alias("shift")))
+    key = ["doc_id", "item_id", "item_windows", "strong", "shift"]
     one = found.groupBy(*key, F.xxhash64("text").alias("copy")).agg(F.first("text").alias("text"))
-    sides = items.groupBy("item_id").agg(F.first("words").alias("words"), F.first("folded").alias("folded"), F.first("raw").alias("item_raw"), F.first("size").alias("size"), F.collect_set("at").alias("tried"))
+    sides = items.groupBy("item_id").agg(F.first("words").alias("words"), F.first("folded").alias("folded"), F.first("plain").alias("plain"), F.first("raw").alias("item_raw"), F.first("size").alias("size"), F.sort_array(F.collect_set(F.struct("at", "need"))).alias("tried"))
     one = one.join(F.broadcast(sides) if small else sides, "item_id")
     places = F.sequence(F.lit(0), F.size("words") - 1)
 
+    bind = lambda c, use: F.transform(F.array(c), use)[0]
+    as_many = lambda pairs, side: F.size(F.array_distinct(F.transform(pairs, lambda p: F.struct(p["kind"], p[side])))) == F.size(pairs)
+    ones = lambda pairs: bind(pairs, lambda x: as_many(x, "a") & as_many(x, "b"))
+
     def judged(doc: Column) -> Column:
-        """The diagonal's windows with the slots of the matching stretch, on either form and on
-        the typed one alone: a diagonal counts if the slots of one of the two correspond."""
-        typed = lambda i: F.coalesce((i + F.col("shift") >= 0) & (F.get("words", i) == F.get(doc["w"], i + F.col("shift"))), F.lit(False))
-        folded = lambda i: F.coalesce((i + F.col("shift") >= 0) & (F.get("folded", i) == F.get(doc["f"], i + F.col("shift"))), F.lit(False))
-        fits = F.array(F.transform(places, lambda i: typed(i) | folded(i)), F.transform(places, typed))
-        kind = lambda i: F.when(typed(i), F.get("words", i)).otherwise(F.get("folded", i))
-
-        def slots(fit: Column, ats: Column) -> Column:
+        """The diagonal's windows and the slots of the matching stretch, on any form, on the
+        typed one alone, and of the runs that hold by themselves; with whether there are any."""
+        same = lambda c, i: F.coalesce((i + F.col("shift") >= 0) & (F.get(c, i) == F.get(doc[c], i + F.col("shift"))), F.lit(False))
+        # a window of need n matches where each of its words fits as n or more
+        fit_any = F.transform(places, lambda i: F.when(same("plain", i), 3).when(same("folded", i), 2).when(same("words", i), 1).otherwise(0))
+        fit_typed = F.transform(places, lambda i: same("words", i).cast("int"))
+        kind = lambda i: F.when(same("words", i), F.get("words", i)).otherwise(F.get("folded", i))
+
+        def slots(fit: Column, first: Column, last: Column) -> Column:
             """Kind, the item's filler and the document's of the slots in the matching stretch:
             from the first to the last window, and on as far as the words agree."""
-            off = F.filter(places, lambda i: ~F.get(fit, i))
-            low = F.coalesce(F.array_max(F.filter(off, lambda i: i < F.array_min(ats))), F.lit(-1))
-            high = F.coalesce(F.array_min(F.filter(off, lambda i: i >= F.array_max(ats) + F.col("size"))), F.size("words"))
-            inside = F.filter(places, lambda i: (i > low) & (i < high) & F.get(fit, i) & (kind(i) < " "))
-            return F.array_distinct(F.transform(inside, lambda i: F.struct(kind(i).alias("kind"), F.lower(F.get("item_raw", i)).alias("a"), F.lower(F.get(doc["r"], i + F.col("shift"))).alias("b"))))
+            off = F.filter(places, lambda i: F.get(fit, i) == 0)
+            low = F.coalesce(F.array_max(F.filter(off, lambda i: i < first)), F.lit(-1))
+            high = F.coalesce(F.array_min(F.filter(off, lambda i: i >= last + F.col("size"))), F.size("words"))
+            inside = F.filter(places, lambda i: (i > low) & (i < high) & (F.get(fit, i) > 0) & (kind(i) < " "))
+            return F.array_distinct(F.transform(inside, lambda i: F.struct(kind(i).alias("kind"), F.lower(F.get("item_raw", i)).alias("a"), F.lower(F.get(doc["raw"], i + F.col("shift"))).alias("b"))))
 
         def way(fit: Column) -> Column:
-            ats = F.filter("tried", lambda at: F.forall(F.slice(fit, at + 1, F.col("size")), lambda x: x))
-            return F.transform(F.array(ats), lambda a: F.struct(a.alias("ats"), slots(fit, a).alias("pairs")))[0]
+            ats = F.array_distinct(F.transform(F.filter("tried", lambda t: F.forall(F.slice(fit, t["at"] + 1, F.col("size")), lambda x: x >= t["need"])), lambda t: t["at"]))
+            return bind(ats, lambda a: F.struct(fit.alias("fit"), a.alias("ats"), slots(fit, F.array_min(a), F.array_max(a)).alias("pairs")))
+
+        exact = lambda fit, a: F.forall(F.slice(fit, a + 1, RUN), lambda x: x == 3)
+
+        def runs(whole: Column) -> Column:
+            """Where the runs start that are the same word by word or lie in a consistent stretch."""
+            starts = F.filter(whole["ats"], lambda a, j: F.get(whole["ats"], j + RUN_WINDOWS - 1) == a + RUN_WINDOWS - 1)
+            alone = F.filter(starts, lambda a: exact(whole["fit"], a) | ones(slots(whole["fit"], a, a + RUN_WINDOWS - 1)))
+            return F.when(ones(whole["pairs"]), starts).otherwise(alone)
+
+        def chosen(ways: Column, starts: Column) -> Column:
+            fit, whole = ways[0]["fit"], F.get(F.filter(ways, lambda v: (F.size(v["ats"]) > 0) & ones(v["pairs"])), F.lit(0))
+            ats = F.array_distinct(F.flatten(F.transform(starts, lambda a: F.sequence(a, a + RUN_WINDOWS - 1))))
+            pairs = F.flatten(F.transform(starts, lambda a: F.when(exact(fit, a), F.slice(ways[0]["pairs"], 1, 0)).otherwise(slots(fit, a, a + RUN_WINDOWS - 1))))
+            return bind(whole, lambda w: F.struct(F.coalesce(w["ats"], ats).alias("ats"), F.coalesce(w["pairs"], pairs).alias("pairs"), (F.size(starts) > 0).alias("run")))
 
-        return F.transform(fits, way)
+        return bind(F.transform(F.array(fit_any, fit_typed), way), lambda ways: bind(runs(ways[0]), lambda starts: chosen(ways, starts)))
 
     # the document's words are bound once, not taken apart again for each slot
-    bound = F.transform(F.array(F.struct(raw_words().alias("r"), template(raw_words()).alias("w"), template(raw_words(), False).alias("f"))), judged)[0]
-    ones = lambda pairs, side: F.size(F.array_distinct(F.transform(pairs, lambda p: F.struct(p["kind"], p[side])))) == F.size(pairs)
-    # the first way that corresponds
-    one = one.select(*key, bound.alias("ways")).select(*key, F.get(F.filter("ways", lambda v: ones(v["pairs"], "a") & ones(v["pairs"], "b")), F.lit(0)).alias("way"))
+    doc = F.struct(raw_words().alias("raw"), template(raw_words()).alias("words"), template(raw_words(), False).alias("folded"), F.transform(raw_words(), F.lower).alias("plain"))
+    one = one.select(*key, F.transform("tried", lambda t: F.when(t["need"] == 1, t["at"])).alias("literal"), bind(doc, judged).alias("way"))
     same = F.forall("way.pairs", lambda p: p["a"] == p["b"])
-    held = one.select("doc_id", "item_id", "item_windows", F.explode("way.ats").alias("at"), same.alias("same"))
-    whole = held.groupBy("doc_id", "item_id", "item_windows").agg((F.countDistinct("at") / F.col("item_windows")).alias("coverage"), F.every("same").alias("same_fillers"))
-    return whole.where(F.col("coverage") >= coverage).select("doc_id", "item_id", "coverage", "same_fillers")
+    held = one.select("doc_id", "item_id", "item_windows", "strong", "literal", F.explode("way.ats").alias("at"), same.alias("same"), F.col("way.run").alias("run"))
+    of_strong = F.countDistinct(F.when(F.array_contains(F.array_compact("literal"), F.col("at")), F.col("at"))) / F.nullif(F.col("strong"), F.lit(0))
+    share = F.greatest(F.countDistinct("at") / F.col("item_windows"), of_strong)
+    whole = held.groupBy("doc_id", "item_id", "item_windows", "strong").agg(share.alias("coverage"), F.every("same").alias("same_fillers"), F.max("run").alias("run"))
+    return whole.where((F.col("coverage") >= coverage) | F.col("run")).select("doc_id", "item_id", "coverage", "same_fillers")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

@@ -133,10 +133,22 @@ def test_leaks(spark, items, docs, empty):
 def test_leaks_in_any_case(spark, items):
     """Case alone breaks no window, also where numbers are replaced."""
     copy = LEAKS[1][0]
-    changed = [copy.lower(), copy.upper(), copy.title(), copy.lower().replace("12", "77"), copy.upper().replace(" 3 ", " 5 "), copy.lower().replace("12", "4")]
+    changed = [copy.lower(), copy.upper(), copy.title(), copy.lower().replace("12", "77"), copy.upper().replace(" 3 ", " 5 "), copy.lower().replace("12", "4").replace("bob", "eve")]
     table = spark.createDataFrame(list(enumerate(changed)), "doc_id bigint, text string")
     got = {r["doc_id"]: (r["item_id"], r["coverage"], r["same_fillers"]) for r in decontam.find_leaks(table, items).collect()}
-    assert got == {i: (1, 1.0, i < 3) for i in range(5)}  # in the last, two numbers become one
+    assert got == {i: (1, 1.0, i < 3) for i in range(5)}  # in the last, two numbers become one and no run is long
+
+
+def test_passages_and_items_short_of_literals(spark):
+    long = "in the early autumn of that year a small group of farmers walked across the northern hills to sell their wool at a market which had never before been open to people from outside the valley and its neighbours"
+    numbers, names = "12 7 9 31 4 8 15 16 23 42 108", "Anna Bell Carl Dorn Erik Fahl Gina Holt Ivan Jung"
+    items = spark.createDataFrame([(1, long), (2, numbers), (3, names)], "item_id bigint, text string")
+    part = lambda n: "see " + " ".join(long.split()[10 : 10 + n]) + " here"
+    other = " ".join(str(n) for n in range(200, 211))
+    texts = [part(13), part(13).upper(), part(12), "x " + numbers, "x " + other, "x " + names.lower() + " y", names.replace("Erik Fahl", "Olga Pohl"), long]
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontam.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), items).collect()}
+    assert set(got) == {(0, 1), (1, 1), (3, 2), (5, 3), (7, 1)}
+    assert got[0, 1] < 0.5 and got[3, 2] == got[5, 3] == got[7, 1] == 1
 
 
 def test_large_benchmarks_shuffle(spark, items, monkeypatch):
