@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import likelihood as lk
 from ..functions import sequence as sq
-from ..operators import align, graph, intervals, overlay, sampler, scoring, simulate, summaries
+from ..operators import align, graph, intervals, lineage, overlay, sampler, scoring, simulate, summaries
 from ..sources import bridge, formats
 from . import reconstruct
 
@@ -48,10 +48,7 @@ def _reads(spark, sf_dir):
 
 
 def _reference(spark, sf_dir):
-    """The reference for each sample that has reads."""
-    seq = bridge.haplotypes(spark, sf_dir).where("hap_id = 0").select("seq")
-    samples = bridge.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("bigint").alias("sample_id")).distinct()
-    return samples.crossJoin(F.broadcast(seq))
+    return bridge.references(spark, sf_dir)
 
 
 def _edges(spark, sf_dir):
@@ -86,7 +83,7 @@ ALIGN_SQL = """, turned AS (SELECT DISTINCT sample_id, read, o.orientation, CASE
   WHEN 1 THEN translate(read, 'ACGT', 'TGCA') WHEN 2 THEN reverse(read) ELSE reverse(translate(read, 'ACGT', 'TGCA')) END AS oriented
   FROM reads, (SELECT unnest([0, 1, 2, 3]) AS orientation) o),
 scored AS (SELECT t.*, CAST(s.start AS INT) AS start, 60 - 9 * hamming(oriented, substr(h.seq, CAST(s.start + 1 AS INT), 12)) AS score
-  FROM turned t, range(0, 49) s(start), (SELECT seq FROM hap WHERE hap_id = 0) h),
+  FROM turned t JOIN ref h USING (sample_id), range(0, 67) s(start) WHERE s.start <= length(h.seq) - 12),
 best AS (SELECT *, row_number() OVER (PARTITION BY sample_id, read ORDER BY score DESC, orientation, start DESC) AS r FROM scored)
 SELECT sample_id, read, oriented, start, orientation, CAST(score AS BIGINT) AS score, score = 60 AS "full" FROM best WHERE r = 1"""
 
@@ -104,22 +101,23 @@ def align_best_seeded(spark, sf_dir):
 
 
 @query("""SELECT r.sample_id, r.read, r.start, substr(h.seq, r.start + 1, 12) = r.read AS "full"
-  FROM reads r, (SELECT seq FROM hap WHERE hap_id = 0) h""")
+  FROM reads r JOIN ref h USING (sample_id)""")
 def alignment_cache(spark, sf_dir):
     lines = _reads(spark, sf_dir).select("sample_id", F.concat_ws(" ", "read", F.col("start").cast("string")).alias("value"))
     return align.from_cache(lines, _reference(spark, sf_dir))
 
 
 @query("""SELECT sample_id, start, stop, before FROM (SELECT *, lag(stop) OVER (PARTITION BY sample_id ORDER BY start) AS before
-  FROM (SELECT sample_id, start, max(start + length(read)) AS stop FROM reads WHERE start % 11 <> 3 AND start % 7 < 4 GROUP BY ALL))
+  FROM (SELECT sample_id, start, max(start + length(read)) AS stop FROM reads r JOIN ref h USING (sample_id) WHERE substr(h.seq, r.start + 1, 12) = r.read GROUP BY ALL))
   WHERE start > before - 11 + 1""")
 def coverage_gaps(spark, sf_dir):
-    sparse = _reads(spark, sf_dir).where("start % 11 <> 3 and start % 7 < 4")
-    return align.coverage_gaps(sparse, 11).select("sample_id", "start", "stop", "before").select("sample_id", "start", *big("stop", "before"))
+    """Of the reads that are the reference's own: where neighbours overlap in fewer than 11 bases."""
+    full = alignment_cache(spark, sf_dir).where("full")
+    return align.coverage_gaps(full, 11).select("sample_id", "start", *big("stop", "before"))
 
 
 @query("""SELECT r.read, CAST(hamming(r.read, substr(h.seq, r.start + 1, 12)) AS BIGINT) AS distance, CAST(sum(r.n) AS BIGINT) AS n
-  FROM reads r, (SELECT seq FROM hap WHERE hap_id = 0) h GROUP BY ALL""")
+  FROM reads r JOIN ref h USING (sample_id) GROUP BY ALL""")
 def hamming_to_reference(spark, sf_dir):
     joined = _reads(spark, sf_dir).join(_reference(spark, sf_dir), "sample_id")
     d = sq.hamming("read", F.substring("seq", F.col("start") + 1, F.length("read")))
@@ -218,7 +216,21 @@ def path_count(spark, sf_dir):
     return counts.select("sample_id", F.col("paths").cast("double").alias("paths"))
 
 
-@query()
+def _shares_sql(name: str, near: str, far: str, step: int) -> str:
+    """Layer by layer the shares of the paths that come to a vertex from one side."""
+    first, come = (0, "e.position + 1") if step > 0 else (1, "e.position")
+    begin = "min(position)" if step > 0 else "max(position)"
+    return f"""{name} AS (SELECT v.sample_id, v.position, v.kmer, 1.0::DOUBLE / count(*) OVER (PARTITION BY v.sample_id) AS share
+    FROM ends v JOIN (SELECT sample_id, {begin} AS position FROM ends GROUP BY sample_id) USING (sample_id, position)
+  UNION ALL SELECT sample_id, position, kmer, n / sum(n) OVER (PARTITION BY sample_id) FROM (SELECT v.sample_id, v.position, v.kmer, coalesce(sum(w.share), 1.0) AS n
+    FROM (SELECT DISTINCT sample_id, position + {step} AS position FROM {name}) l JOIN ends v USING (sample_id, position)
+    LEFT JOIN edges e ON e.sample_id = v.sample_id AND {come} = v.position AND e.{far} = v.kmer
+    LEFT JOIN {name} w ON w.sample_id = e.sample_id AND w.kmer = e.{near} GROUP BY 1, 2, 3))"""
+
+
+@query(f""", ends AS (SELECT sample_id, position, src AS kmer FROM edges UNION SELECT sample_id, position + 1, dst FROM edges),
+  {_shares_sql("lefts", "src", "dst", 1)}, {_shares_sql("rights", "dst", "src", -1)}
+SELECT sample_id, CAST(position AS INT) AS position, kmer, round(l.share, 9) AS count_left, round(r.share, 9) AS count_right FROM lefts l JOIN rights r USING (sample_id, position, kmer)""")
 def path_counts_lr(spark, sf_dir):
     out = graph.path_shares(_edges(spark, sf_dir))
     return out.select("sample_id", "position", "kmer", r9("count_left").alias("count_left"), r9("count_right").alias("count_right"))
@@ -278,8 +290,8 @@ def path_common(spark, sf_dir):
     return out.select("sample_id", "p", "q", r9("common").alias("common"), r9("difference").alias("difference"))
 
 
-@query("""SELECT p.sample_id, p.path_id FROM path_edges p JOIN (SELECT * FROM path_edges WHERE path_id = 1) w USING (sample_id, position, src, dst)
-  GROUP BY ALL HAVING count(*) = 53""")
+@query("""SELECT p.sample_id, p.path_id FROM path_edges p JOIN (SELECT *, count(*) OVER (PARTITION BY sample_id) AS steps FROM path_edges WHERE path_id = 1) w
+  USING (sample_id, position, src, dst) GROUP BY p.sample_id, p.path_id HAVING count(*) = any_value(w.steps)""")
 def path_exists(spark, sf_dir):
     steps = overlay.explode_paths(_paths(spark, sf_dir), K)
     return overlay.holds_all(steps, steps.where("path_id = 1").drop("path_id"))
@@ -393,9 +405,24 @@ def covered_runs(spark, sf_dir):
     return intervals.runs(marked, ["sample_id"], "p")
 
 
-@query()
+HANDLES_OF_PATHS = """, lasts AS (SELECT sample_id, max(position) + 1 AS last FROM edges GROUP BY sample_id),
+ahead AS (SELECT p.sample_id, path_id, p.seq AS path, last, position AS start, position + 1 AS pos, dst AS kmer, src || right(dst, 1) AS seq, 1 AS n
+    FROM paths p JOIN lasts USING (sample_id) JOIN edges e USING (sample_id) WHERE src = substr(p.seq, CAST(position + 1 AS INT), 7) AND dst <> substr(p.seq, CAST(position + 2 AS INT), 7)
+  UNION ALL SELECT w.sample_id, path_id, path, last, start, pos + 1, dst, w.seq || right(dst, 1), n + 1 FROM ahead w JOIN edges e ON e.sample_id = w.sample_id AND e.position = w.pos AND e.src = w.kmer
+    WHERE n < 24 AND pos < last AND w.kmer <> substr(path, CAST(pos + 1 AS INT), 7)),
+behind AS (SELECT p.sample_id, path_id, p.seq AS path, position AS pos, position + 1 AS stop, src AS kmer, left(src, 1) || dst AS seq, 1 AS n
+    FROM paths p JOIN edges e USING (sample_id) WHERE position < 24 AND dst = substr(p.seq, CAST(position + 2 AS INT), 7) AND src <> substr(p.seq, CAST(position + 1 AS INT), 7)
+  UNION ALL SELECT w.sample_id, path_id, path, pos - 1, stop, src, left(src, 1) || w.seq, n + 1 FROM behind w JOIN edges e ON e.sample_id = w.sample_id AND e.position + 1 = w.pos AND e.dst = w.kmer
+    WHERE n < 24 AND src <> substr(path, CAST(pos AS INT), 7)),
+path_handles AS (SELECT sample_id, path_id, CAST(start AS INT) AS start, CAST(pos AS INT) AS stop, seq FROM ahead WHERE pos = last OR kmer = substr(path, CAST(pos + 1 AS INT), 7)
+  UNION SELECT sample_id, path_id, 0, CAST(stop AS INT), seq FROM behind WHERE pos = 0)
+"""
+
+
+@query(HANDLES_OF_PATHS + "SELECT * FROM path_handles")
 def path_handles(spark, sf_dir):
-    return intervals.handles(_edges(spark, sf_dir), _paths(spark, sf_dir), K, 24)
+    """Handles in the order of their starts."""
+    return intervals.handles(_edges(spark, sf_dir), _paths(spark, sf_dir), K, 24).orderBy("sample_id", "path_id", "start", "stop", "seq")
 
 
 @query(HANDLES + """SELECT DISTINCT h.path_id, h.handle_id AS handle FROM handles h JOIN (SELECT path_id, start AS s, stop AS e FROM handles WHERE handle_id % 2 = 0) c
@@ -406,7 +433,11 @@ def handle_touches(spark, sf_dir):
     return intervals.touching(h.where("handle_id % 2 = 1"), covered, ["path_id"]).select("path_id", F.col("handle_id").alias("handle"))
 
 
-@query()
+@query(ERRORS + HANDLES_OF_PATHS + """, pieces AS (SELECT h.*, i, substr(h.seq, CAST(i + 1 AS INT), 7) AS src, substr(h.seq, CAST(i + 2 AS INT), 7) AS dst, true AS new FROM path_handles h, range(0, 24) r(i) WHERE i < stop - start
+  UNION ALL SELECT h.*, i, substr(p.seq, CAST(start + i + 1 AS INT), 7), substr(p.seq, CAST(start + i + 2 AS INT), 7), false FROM path_handles h JOIN paths p USING (sample_id, path_id), range(0, 24) r(i) WHERE i < stop - start),
+sums AS (SELECT x.sample_id, x.path_id, start, stop, x.seq, sum(CASE WHEN new THEN -error ELSE least(p.weight, error) END) / (stop - start) / 2 AS m
+  FROM pieces x JOIN paths p USING (sample_id, path_id) JOIN errors e ON e.sample_id = x.sample_id AND e.position = start + i AND e.src = x.src AND e.dst = x.dst GROUP BY x.sample_id, x.path_id, start, stop, x.seq)
+SELECT sample_id, path_id, start, stop, seq, round((1 + sign(m) * sqrt(abs(m))) / (stop - start), 9) AS score FROM sums""")
 def handle_excess(spark, sf_dir):
     edges, paths = _weighted(spark, sf_dir), _paths(spark, sf_dir)
     found = intervals.handles(edges, paths, K, 24)
@@ -428,16 +459,24 @@ def edge_path_index(spark, sf_dir):
     return steps.groupBy(*EDGE).agg(F.array_join(ids, ",").alias("paths"))
 
 
-@query(""", plain AS (SELECT sample_id, position, kmer FROM (SELECT sample_id, position + 1 AS position, dst AS kmer, count(*) AS n FROM edges GROUP BY ALL)
+UNITIGS = """, plain AS (SELECT sample_id, position, kmer FROM (SELECT sample_id, position + 1 AS position, dst AS kmer, count(*) AS n FROM edges GROUP BY ALL)
   JOIN (SELECT sample_id, position, src AS kmer, count(*) AS m FROM edges GROUP BY ALL) USING (sample_id, position, kmer) WHERE n = 1 AND m = 1),
 chain AS (SELECT e.*, e.position || '-' || e.src || '-' || e.dst AS unitig FROM edges e LEFT JOIN plain p ON p.sample_id = e.sample_id AND p.position = e.position AND p.kmer = e.src WHERE p.kmer IS NULL
   UNION ALL SELECT e.*, c.unitig FROM chain c JOIN plain p ON p.sample_id = c.sample_id AND p.position = c.position + 1 AND p.kmer = c.dst
   JOIN edges e ON e.sample_id = p.sample_id AND e.position = p.position AND e.src = p.kmer)
-SELECT sample_id, CAST(position AS INT) AS position, src, dst, unitig, round(avg(weight) OVER (PARTITION BY sample_id, unitig), 9) AS mean FROM chain""")
+"""
+
+
+@query(UNITIGS + "SELECT sample_id, CAST(position AS INT) AS position, src, dst, unitig, round(avg(weight) OVER (PARTITION BY sample_id, unitig), 9) AS mean FROM chain")
 def unitig_means(spark, sf_dir):
     return graph.unitigs(_edges(spark, sf_dir)).select(*EDGE, "unitig", r9("mean").alias("mean"))
 
 
+@query(UNITIGS + """SELECT sample_id, round(sum((mean - weight) ** 2), 4) AS error FROM (SELECT *, avg(weight) OVER (PARTITION BY sample_id, unitig) AS mean FROM chain) GROUP BY sample_id""")
+def unitig_error(spark, sf_dir):
+    return graph.unitig_error(graph.unitigs(_edges(spark, sf_dir))).select("sample_id", F.round("error", 4).alias("error"))
+
+
 @query("SELECT sample_id, path_id, CAST(floor(1000 * weight) AS BIGINT) AS reads FROM paths")
 def reads_per_haplotype(spark, sf_dir):
     return _paths(spark, sf_dir).select("sample_id", "path_id", F.floor(1000 * F.col("weight")).alias("reads"))
@@ -456,7 +495,7 @@ def simulated_sequences(spark, sf_dir):
 def _predicted(spark, sf_dir):
     """A distorted mixture: one base changed, weights shifted."""
     p = _paths(spark, sf_dir)
-    changed = F.concat(F.translate(F.left("seq", F.lit(3)), "ACGT", "CGTA"), F.substring("seq", F.lit(4), F.lit(60)))
+    changed = F.concat(F.translate(F.left("seq", F.lit(3)), "ACGT", "CGTA"), F.expr("substr(seq, 4)"))
     return p.select("sample_id", F.when(F.col("path_id") == 3, F.reverse("seq")).otherwise(changed).alias("seq"), "weight")
 
 
@@ -489,7 +528,10 @@ def emd(spark, sf_dir):
     return scoring.earth_movers(_paths(spark, sf_dir), _predicted(spark, sf_dir)).select("sample_id", r9("distance").alias("distance"))
 
 
-@query()
+@query(""", asked AS (SELECT DISTINCT sample_id, read AS query, h.seq AS text FROM noisy_reads JOIN ref h USING (sample_id)),
+cuts AS (SELECT query, sample_id, text, p AS start, p + n AS stop, levenshtein(query, substr(text, CAST(p + 1 AS INT), CAST(n AS INT))) AS d
+  FROM asked, range(0, 79) r(p), range(0, 25) m(n) WHERE p + n <= length(text))
+SELECT sample_id, query, text, CAST(distance AS BIGINT) AS distance, CAST(start AS BIGINT) AS start FROM (SELECT *, d AS distance, row_number() OVER (PARTITION BY sample_id, query ORDER BY d, stop, start DESC) AS r FROM cuts) WHERE r = 1""")
 def hw_distance(spark, sf_dir):
     reads = bridge.reads(spark, sf_dir, errors=True).select("sample_id", F.col("read").alias("query")).distinct()
     return simulate.infix_distances(reads, _reference(spark, sf_dir).select("sample_id", F.col("seq").alias("text")))
@@ -563,7 +605,7 @@ def sam_parse(spark, sf_dir):
 @query("SELECT CAST(sample_id AS VARCHAR) AS file, seq, round(weight / sum(weight) OVER (PARTITION BY sample_id), 6) AS weight FROM paths")
 def ph_parse(spark, sf_dir):
     head = F.concat(F.lit(">h id:x:"), F.format_string("%.12f", "weight"), F.lit(";"))
-    lines = _lines(_paths(spark, sf_dir), "sample_id", ["path_id"], [head, F.left("seq", F.lit(30)), F.substring("seq", F.lit(31), F.lit(30))])
+    lines = _lines(_paths(spark, sf_dir), "sample_id", ["path_id"], [head, F.left("seq", F.lit(30)), F.expr("substr(seq, 31)")])
     return formats.colon_mixtures(lines).select("file", "seq", F.round("weight", 6).alias("weight"))
 
 
@@ -573,9 +615,9 @@ def snv_parse(spark, sf_dir):
     return formats.underscore_mixtures(lines).select("file", "seq", F.round("weight", 6).alias("weight"))
 
 
-@query("SELECT CAST(p.sample_id AS VARCHAR) AS file, substr(h.seq, 1, 5) || substr(p.seq, 6) AS seq, round(weight, 6) AS weight FROM paths p, (SELECT seq FROM hap WHERE hap_id = 0) h")
+@query("SELECT CAST(p.sample_id AS VARCHAR) AS file, substr(h.seq, 1, 5) || substr(p.seq, 6) AS seq, round(weight, 6) AS weight FROM paths p JOIN ref h USING (sample_id)")
 def abqr_parse(spark, sf_dir):
-    gapped = F.concat(F.lit("-----"), F.substring("seq", F.lit(6), F.lit(60)))
+    gapped = F.concat(F.lit("-----"), F.expr("substr(seq, 6)"))
     lines = _lines(_paths(spark, sf_dir), "sample_id", ["path_id"], [F.concat(F.lit("Variant: "), F.format_string("%.12f", "weight")), gapped])
     reference = _reference(spark, sf_dir).select(F.col("sample_id").cast("string").alias("file"), "seq")
     return formats.gapped_mixtures(lines, reference).select("file", "seq", F.round("weight", 6).alias("weight"))
@@ -587,16 +629,21 @@ def mixture_parse(spark, sf_dir):
     return formats.mixtures(lines).select("file", "seq", F.round("weight", 6).alias("weight"))
 
 
-@query("SELECT event_type AS file, event_type AS move, value FROM events", dna=False)
+def _trace_file() -> Column:
+    """A file of steps for each user and type of event, so that files stay small."""
+    return F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("file")
+
+
+@query("SELECT event_type || '-' || user_id AS file, event_type AS move, value FROM events", dna=False)
 def stats_parse(spark, sf_dir):
-    rows = bridge.table(spark, sf_dir, "events").select("event_type", "event_id", F.concat(F.col("event_type"), F.lit(": "), F.col("value").cast("string")).alias("line"))
-    return formats.move_statistics(_lines(rows, "event_type", ["event_id"], [F.col("line")]))
+    rows = bridge.table(spark, sf_dir, "events").select(_trace_file(), "event_id", F.concat(F.col("event_type"), F.lit(": "), F.col("value").cast("string")).alias("line"))
+    return formats.move_statistics(_lines(rows, "file", ["event_id"], [F.col("line")]))
 
 
-@query("SELECT event_type AS file, value AS logl FROM events", dna=False)
+@query("SELECT event_type || '-' || user_id AS file, value AS logl FROM events", dna=False)
 def history_parse(spark, sf_dir):
-    rows = bridge.table(spark, sf_dir, "events").select("event_type", "event_id", F.concat(F.lit("(0.5, "), F.col("value").cast("string"), F.lit(")")).alias("line"))
-    return formats.likelihood_history(_lines(rows, "event_type", ["event_id"], [F.col("line")])).select("file", "logl")
+    rows = bridge.table(spark, sf_dir, "events").select(_trace_file(), "event_id", F.concat(F.lit("(0.5, "), F.col("value").cast("string"), F.lit(")")).alias("line"))
+    return formats.likelihood_history(_lines(rows, "file", ["event_id"], [F.col("line")])).select("file", "logl")
 
 
 @query("SELECT o_orderkey AS name, '>' || o_orderkey || chr(10) || substr(s, 1, 70) || CASE WHEN length(s) > 70 THEN chr(10) || substr(s, 71, 70) ELSE '' END || CASE WHEN length(s) > 140 THEN chr(10) || substr(s, 141, 70) ELSE '' END AS record FROM (SELECT o_orderkey, repeat(o_orderpriority, CAST(1 + o_orderkey % 11 AS INT)) AS s FROM orders)", dna=False)
@@ -642,25 +689,166 @@ def log2_metric(spark, sf_dir):
     return bridge.table(spark, sf_dir, "events").select("event_id", r9(F.when(F.col("value") > 0, F.log2("value"))).alias("log2"))
 
 
+# --- files that jobs write, read back -------------------------------------------------
+
+
+@query("SELECT read, start FROM reads")
+def alignments_written(spark, sf_dir):
+    path = lineage.new_place(spark, "alignments")
+    formats.write_alignments(alignment_cache(spark, sf_dir), path)
+    part = F.split("value", " ")
+    return formats.read_lines(spark, path).select(F.get(part, F.lit(0)).alias("read"), F.get(part, F.lit(1)).cast("int").alias("start"))
+
+
+@query("SELECT sample_id || '/best' AS file, seq, round(weight, 6) AS weight FROM paths")
+def mixture_written(spark, sf_dir):
+    path = lineage.new_place(spark, "mixtures")
+    formats.write_mixture(_paths(spark, sf_dir).withColumn("kind", F.lit("best")), path)
+    lines = formats.read_shared_lines(spark, path).select(F.concat_ws("/", F.col("sample_id").cast("string"), "kind").alias("file"), "value")
+    return formats.mixtures(lines).select("file", "seq", F.round("weight", 6).alias("weight"))
+
+
+def _written_steps(spark, sf_dir, lines_of):
+    """Steps of chains, one for each user, written as lines and read back."""
+    value = F.col("value").alias("logl_acc")
+    steps = bridge.table(spark, sf_dir, "events").select(F.col("user_id").alias("sample_id"), F.col("event_id").alias("iter"), F.col("event_type").alias("move"), value, (F.col("value") + 1).alias("logl"), (F.col("value") / 2).alias("jump"))
+    path = lineage.new_place(spark, "steps")
+    formats.write_steps(lines_of(steps), path)
+    return formats.read_shared_lines(spark, path).select(F.col("sample_id").cast("string").alias("file"), F.lit(0).alias("line_no"), "value")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS file, round(value + 1, 6) AS logl FROM events", dna=False)
+def history_written(spark, sf_dir):
+    return formats.likelihood_history(_written_steps(spark, sf_dir, formats.history_lines)).select("file", F.round("logl", 6).alias("logl"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS file, event_type AS move, round(value / 2, 6) AS value FROM events", dna=False)
+def statistics_written(spark, sf_dir):
+    return formats.move_statistics(_written_steps(spark, sf_dir, formats.statistics_lines)).select("file", "move", F.round("value", 6).alias("value"))
+
+
+@query("SELECT read, md5('42|' || read) AS place FROM (SELECT DISTINCT read FROM reads)")
+def shuffled_reads(spark, sf_dir):
+    return simulate.shuffled(_reads(spark, sf_dir).select("read").distinct(), "read")
+
+
+@query("SELECT CAST(sample_id AS VARCHAR) AS file, read FROM reads")
+def sam_sequences(spark, sf_dir):
+    tab = F.concat_ws("\t", F.concat(F.lit("r"), F.col("start").cast("string")), F.lit("0"), "read", F.lit("II"))
+    return formats.sam_sequences(_lines(_reads(spark, sf_dir), "sample_id", ["start", "read"], [F.lit("@SQ"), tab]))
+
+
+@query("SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN '_reference' WHEN 2 THEN 'ph' || p_partkey || '.fas' ELSE 'snv' || p_partkey END AS file FROM part WHERE p_size % 8 IN (0, 2, 7)", dna=False)
+def prediction_files(spark, sf_dir):
+    kinds = ["_reference", "_reads", "ph{}.fas", "reads{}", "@{}", "{}.png", "sequences{}", "snv{}"]
+    named = F.get(F.lit(kinds), F.col("p_size") % 8)
+    names = bridge.table(spark, sf_dir, "part").select("p_partkey", F.replace(named, F.lit("{}"), F.col("p_partkey").cast("string")).alias("file"))
+    return formats.prediction_files(names)
+
+
+@query("""SELECT CAST(sample_id AS VARCHAR) AS file, CAST(0 AS BIGINT) AS line_no, '@HD' AS value FROM ref
+  UNION ALL SELECT CAST(sample_id AS VARCHAR), row_number() OVER (PARTITION BY sample_id ORDER BY start, read),
+    concat_ws(chr(9), 'r' || start || '-' || read, '0', 'ref', start + 1, '60', '12M', '*', '0', '0', read, 'II') FROM reads""")
+def sam_merged(spark, sf_dir):
+    """Aligned lines whose sequences are taken from another file of the same reads."""
+    name = F.concat(F.lit("r"), F.col("start").cast("string"), F.lit("-"), "read")
+    tab = lambda seq: F.concat_ws("\t", name, F.lit("0"), F.lit("ref"), (F.col("start") + 1).cast("string"), F.lit("60"), F.lit("12M"), F.lit("*"), F.lit("0"), F.lit("0"), seq, F.lit("II"))
+    one, two = (_lines(_reads(spark, sf_dir), "sample_id", ["start", "read"], [tab(seq)]) for seq in (F.reverse("read"), F.col("read")))
+    head = _reference(spark, sf_dir).select(F.col("sample_id").cast("string").alias("file"), F.lit(0).cast("bigint").alias("line_no"), F.lit("@HD").alias("value"))
+    return formats.merge_sam(one.select("file", (F.col("line_no") + 1).cast("bigint").alias("line_no"), "value").unionByName(head), two)
+
+
+# --- sets and choices of the moves --------------------------------------------------------
+
+
+@query("SELECT sample_id, start, read, CAST(i - 1 AS INT) AS at, CASE substr(read, CAST(i AS INT), 1) WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 ELSE 3 END AS base FROM reads, range(1, 13) r(i)")
+def base_indices(spark, sf_dir):
+    each = _reads(spark, sf_dir).select("sample_id", "start", "read", F.posexplode(F.split("read", "")).alias("at", "letter"))
+    return each.select("sample_id", "start", "read", "at", sq.base_index("letter").alias("base"))
+
+
+@query("SELECT sample_id, path_id, round(weight, 9) AS weight FROM paths WHERE weight >= 0.2")
+def eligible_sources(spark, sf_dir):
+    return overlay.eligible(_paths(spark, sf_dir), 0.1).select("sample_id", "path_id", r9("weight").alias("weight"))
+
+
+@query("SELECT sample_id, min(substr(read, 1, 7)) AS kmer FROM reads WHERE start = 0 GROUP BY sample_id")
+def first_vertices(spark, sf_dir):
+    return graph.first_vertices(graph.vertices(_reads(spark, sf_dir), K))
+
+
+@query("""SELECT sample_id, start, read FROM noisy_reads EXCEPT SELECT r.sample_id, r.start, r.read FROM noisy_reads r JOIN ref h USING (sample_id) WHERE substr(h.seq, r.start + 1, 12) = r.read""")
+def handles_left(spark, sf_dir):
+    """The pieces of a sample that its first path doesn't hold."""
+    pieces = bridge.reads(spark, sf_dir, errors=True).select("sample_id", "start", "read", F.struct("start", "read").alias("handle_id"), F.col("read").alias("seq"))
+    taken = intervals.contained(pieces, _paths(spark, sf_dir).where("path_id = 0"))
+    return intervals.remaining(pieces, taken, ["sample_id", "handle_id"]).select("sample_id", "start", "read")
+
+
+SOURCES = PREDICTED + """, sources AS (SELECT sample_id, 'found' AS source, seq, weight FROM found UNION ALL SELECT sample_id, '_reference', seq, 1.0::DOUBLE FROM ref)
+"""
+
+
+def _sources(spark, sf_dir):
+    return scoring.with_reference(_predicted(spark, sf_dir).withColumn("source", F.lit("found")), _reference(spark, sf_dir))
+
+
+@query(SOURCES + "SELECT sample_id, source, seq, round(weight, 9) AS weight FROM sources")
+def prediction_sources(spark, sf_dir):
+    return _sources(spark, sf_dir).select("sample_id", "source", "seq", r9("weight").alias("weight"))
+
+
+@query(SOURCES + """, tp AS (SELECT t.sample_id, source, sum(t.weight) AS tp FROM truth t, (SELECT DISTINCT source FROM sources) WHERE EXISTS (SELECT 1 FROM sources f WHERE f.sample_id = t.sample_id AND f.source = source AND hamming(t.seq, f.seq) < 9) GROUP BY ALL),
+fp AS (SELECT f.sample_id, source, sum(f.weight) AS fp FROM sources f WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE f.sample_id = t.sample_id AND hamming(t.seq, f.seq) < 9) GROUP BY ALL)
+SELECT s.sample_id, source, round(coalesce(tp, 0) / (coalesce(tp, 0) + coalesce(fp, 0)), 9) AS precision, round(coalesce(tp, 0), 9) AS recall
+  FROM (SELECT DISTINCT sample_id, source FROM sources) s LEFT JOIN tp USING (sample_id, source) LEFT JOIN fp USING (sample_id, source)""".replace("f.source = source", "f.source = kind").replace("(SELECT DISTINCT source FROM sources) WHERE", "(SELECT DISTINCT source AS kind FROM sources) WHERE").replace("SELECT t.sample_id, source, sum(t.weight)", "SELECT t.sample_id, kind AS source, sum(t.weight)"))
+def source_scores(spark, sf_dir):
+    out = scoring.score_sources(_paths(spark, sf_dir), _sources(spark, sf_dir))
+    return out.select("sample_id", "source", r9("precision").alias("precision"), r9("recall").alias("recall"))
+
+
 # --- sampling -----------------------------------------------------------------------
 
 
+def _uniform_sql(*parts: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', '42', {', '.join(parts)})), 1, 10))::BIGINT / 1099511627776.0::DOUBLE)"
+
+
+@query(f"SELECT s_suppkey AS sample_id, array_to_string([substr('ACGT', 1 + CAST(floor({_uniform_sql('s_suppkey', 'i')} * 4) AS INT), 1) for i in range(1, 61)], '') AS seq FROM supplier", dna=False)
+def random_references(spark, sf_dir):
+    return simulate.references_for(bridge.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample_id")), 60)
+
+
 @query()
+def mutant_trees(spark, sf_dir):
+    return simulate.mutants(random_references(spark, sf_dir), 4, 1.2)
+
+
+@query(f""", ends AS (SELECT sample_id, path_id, seq, sum(weight) OVER (PARTITION BY sample_id ORDER BY path_id) / sum(weight) OVER (PARTITION BY sample_id) AS hi, weight / sum(weight) OVER (PARTITION BY sample_id) AS share FROM paths),
+draws AS (SELECT *, {_uniform_sql("'haplotype'", "sample_id", "read_id")} AS u FROM (SELECT sample_id, r AS read_id FROM ref, range(0, 200) t(r))),
+chosen AS (SELECT sample_id, read_id, seq, CAST(floor({_uniform_sql("'start'", "sample_id", "read_id")} * length(seq)) AS INT) AS start FROM draws JOIN ends USING (sample_id) WHERE u < hi AND u >= hi - share),
+cuts AS (SELECT sample_id, read_id, start, substr(seq, start + 1, 12 + CAST(floor({_uniform_sql("'length'", "sample_id", "read_id")} * 4) AS INT)) AS clean FROM chosen)
+SELECT sample_id, read_id, start, array_to_string([CASE WHEN {_uniform_sql("'wrong'", "sample_id", "read_id", "i")} < 0.01 THEN substr('ACGT', 1 + CAST(floor({_uniform_sql("'base'", "sample_id", "read_id", "i")} * 4) AS INT), 1)
+  ELSE clean[i + 1] END for i in range(0, length(clean))], '') AS read FROM cuts""")
 def simulated_reads(spark, sf_dir):
-    haps = _paths(spark, sf_dir).withColumnRenamed("path_id", "hap_id")
-    n = max(bridge.table(spark, sf_dir, "lineitem").count() // 50, 1)
-    return simulate.simulate_reads(haps, n, 12, 15, 0.01)
+    """200 reads of each sample's haplotypes."""
+    return simulate.simulate_reads(_paths(spark, sf_dir).withColumnRenamed("path_id", "hap_id"), 200, 12, 15, 0.01)
+
+
+@query("SELECT sample_id, seq, 1.0::DOUBLE AS weight FROM hap WHERE hap_id = 1")
+def clonal_mixture(spark, sf_dir):
+    """Samples of one clone that is not the reference: their graph's single path."""
+    return reconstruct.reconstruct(bridge.reads(spark, sf_dir, only=1), _reference(spark, sf_dir)).select("sample_id", "seq", "weight")
 
 
 @query()
 def sample_chain(spark, sf_dir):
     edges = reconstruct.clean_edges(bridge.reads(spark, sf_dir, errors=True), K)
-    out = sampler.traces(edges, 2, sampler.Settings(iterations=100, longest_handle=8))
+    out = sampler.traces(edges)
     return out.select("sample_id", "chain_id", "iter", "move", "accept", F.round("logl_acc", 6).alias("logl"))
 
 
 @query()
 def reconstructed_mixture(spark, sf_dir):
-    settings = sampler.Settings(iterations=200, longest_handle=8)
-    out = reconstruct.reconstruct(bridge.reads(spark, sf_dir, errors=True), _reference(spark, sf_dir), settings, 2)
+    out = reconstruct.reconstruct(bridge.reads(spark, sf_dir, errors=True))
     return out.select("sample_id", "seq", F.round("weight", 6).alias("weight"))

@@ -14,16 +14,23 @@ def clean_edges(reads: DataFrame, k: int) -> DataFrame:
     return graph.normalise(graph.cut_tails(vertices, edges, lengths, k))
 
 
-def reconstruct(reads: DataFrame, references: DataFrame, settings: sampler.Settings = sampler.Settings(), chains: int = 4) -> DataFrame:
+def single_paths(edges: DataFrame) -> DataFrame:
+    """(sample_id, seq, weight 1) of samples whose ``edges`` are one path, spelled along it."""
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("position", "src", "dst"))), lambda e: F.right(e["dst"], F.lit(1)))
+    first = F.min(F.struct("position", "src"))["src"]
+    return edges.groupBy("sample_id").agg(F.concat(first, F.array_join(steps, "")).alias("seq")).select("sample_id", "seq", F.lit(1.0).alias("weight"))
+
+
+def reconstruct(reads: DataFrame, references: DataFrame | None = None, settings: sampler.Settings = sampler.Settings(), chains: int = 4) -> DataFrame:
     """(sample_id, seq, weight) for each sample of ``reads`` (sample_id, start, read[, n]).
 
-    A sample whose graph has a single path takes it whole, without sampling; one whose
-    graph has none is left out.
+    A sample whose graph has a single path takes what that path spells whole, without
+    sampling; one whose graph has none is left out. ``references``: only its samples.
     """
     k = settings.k
+    reads = reads if references is None else reads.join(references.select("sample_id").distinct(), "sample_id", "left_semi")
     edges = clean_edges(reads, k).persist()
     counts = graph.count_paths(edges, graph.origin_length(reads), k)
-    single = counts.where("paths = 1").select("sample_id")
-    alone = references.join(single, "sample_id", "left_semi").select("sample_id", "seq", F.lit(1.0).alias("weight"))
+    alone = single_paths(edges.join(counts.where("paths = 1").select("sample_id"), "sample_id", "left_semi"))
     many = edges.join(counts.where("paths > 1").select("sample_id"), "sample_id", "left_semi")
     return alone.unionByName(sampler.best_of_chains(sampler.mixtures(many, chains, settings)))

@@ -2,20 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import orientations, ungapped_score
-
-#: Reference bases up to which every offset of every read is scored.
-MOST_OFFSETS = 5_000
+from ..functions.sequence import MATCH, MISMATCH, orientations, ungapped_score
 
 
 def _best(scored: DataFrame, keys: list[str]) -> DataFrame:
     """The best place: highest score, then the first orientation, then the largest start."""
     rank = F.max(F.struct("score", (-F.col("orientation")).alias("o"), "start", "oriented")).alias("m")
-    full = F.col("m.score") == 5 * F.length("m.oriented")
-    return scored.groupBy(*keys).agg(rank).select(*keys, F.col("m.oriented").alias("oriented"), F.col("m.start").alias("start"), (-F.col("m.o")).alias("orientation"), F.col("m.score").alias("score"), full.alias("full"))
+    return scored.groupBy(*keys).agg(rank).select(*keys, *_spread("m"))
+
+
+def _spread(m: str) -> list[Column]:
+    full = F.col(f"{m}.score") == MATCH * F.length(f"{m}.oriented")
+    return [F.col(f"{m}.oriented").alias("oriented"), F.col(f"{m}.start").alias("start"), (-F.col(f"{m}.o")).alias("orientation"), F.col(f"{m}.score").alias("score"), full.alias("full")]
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def best_place(read: str, seq: str) -> Column:
+    """(score, o, start, oriented) of a read's best place on a sequence: every orientation at
+    every offset is scored inside the row, so nothing is exploded and nothing shuffled."""
+    size, room = F.length(read), F.length(seq) - F.length(read)
+
+    def along(bases: Column) -> Column:
+        def of(oriented: Column, turn: Column) -> Column:
+            def at(letters: Column) -> Column:
+                def scored(i: Column) -> Column:
+                    same = F.zip_with(letters, F.slice(bases, i + 1, size), lambda x, y: (x == y).cast("int"))
+                    hits = F.aggregate(same, F.lit(0), lambda n, x: n + x)
+                    return F.struct((hits * (MATCH - MISMATCH) + size * MISMATCH).alias("score"), (-turn).alias("o"), i.alias("start"))
+
+                return F.array_max(F.transform(F.sequence(F.lit(0), room), scored))
+
+            best = _let(F.split(oriented, ""), at)
+            return F.struct(best["score"].alias("score"), best["o"].alias("o"), best["start"].alias("start"), oriented.alias("oriented"))
+
+        return F.array_max(F.transform(orientations(read), of))
+
+    return _let(F.split(seq, ""), along)
 
 
 def align(reads: DataFrame, references: DataFrame) -> DataFrame:
@@ -25,29 +54,32 @@ def align(reads: DataFrame, references: DataFrame) -> DataFrame:
     reads longer than the reference and null reads have no place and are left out.
     """
     distinct = reads.where(F.length("read") > 0).select("sample_id", "read").distinct()
-    turned = distinct.select("sample_id", "read", F.posexplode(orientations("read")).alias("orientation", "oriented"))
-    pairs = turned.join(references.select("sample_id", "seq"), "sample_id").where(F.length("read") <= F.length("seq"))
-    placed = pairs.withColumn("start", F.explode(F.sequence(F.lit(0), F.length("seq") - F.length("oriented"))))
-    scored = placed.withColumn("score", ungapped_score("oriented", F.substring("seq", F.col("start") + 1, F.length("oriented"))))
-    return _best(scored, ["sample_id", "read"])
+    pairs = distinct.join(references.select("sample_id", "seq"), "sample_id").where(F.length("read") <= F.length("seq"))
+    return pairs.select("sample_id", "read", best_place("read", "seq").alias("m")).select("sample_id", "read", *_spread("m"))
 
 
 def align_seeded(reads: DataFrame, references: DataFrame, seed: int = 4) -> DataFrame:
-    """As ``align``, for long references: only offsets where some ``seed`` bases agree.
+    """The same as ``align``, for long references: first only offsets where some ``seed``
+    bases in a row agree, by an equi-join of seeds.
 
-    Equi-joins seeds of reads with those of references instead of trying all offsets. The
-    same result whenever the best place shares ``seed`` bases in a row with the reference.
+    A place that shares no seed has a mismatch in each stretch of ``seed`` bases of the
+    read, so a seeded place with fewer mismatches is the best. Reads without such a
+    place, and those shorter than a seed, are aligned at all offsets.
     """
     cut = lambda c: F.posexplode(F.transform(F.sequence(F.lit(1), F.length(c) - seed + 1), lambda i: F.substring(c, i, F.lit(seed))))
-    distinct = reads.where(F.length("read") >= seed).select("sample_id", "read").distinct()
-    turned = distinct.select("sample_id", "read", F.posexplode(orientations("read")).alias("orientation", "oriented"))
+    distinct = reads.where(F.length("read") > 0).select("sample_id", "read").distinct()
+    turned = distinct.where(F.length("read") >= seed).select("sample_id", "read", F.posexplode(orientations("read")).alias("orientation", "oriented"))
     left = turned.select("*", cut(F.col("oriented")).alias("at", "seed"))
     right = references.where(F.length("seq") >= seed).select("sample_id", "seq", cut(F.col("seq")).alias("ref_at", "seed"))
     offset = F.col("ref_at") - F.col("at")
     places = left.join(right, ["sample_id", "seed"]).select("sample_id", "read", "orientation", "oriented", "seq", offset.alias("start"))
     inside = places.where((F.col("start") >= 0) & (F.col("start") + F.length("oriented") <= F.length("seq"))).distinct()
     scored = inside.withColumn("score", ungapped_score("oriented", F.substring("seq", F.col("start") + 1, F.length("oriented"))))
-    return _best(scored, ["sample_id", "read"])
+    seeded = _best(scored, ["sample_id", "read"])
+    mismatches = (MATCH * F.length("read") - F.col("score")) / (MATCH - MISMATCH)
+    sure = seeded.where(mismatches < F.floor(F.length("read") / seed))
+    rest = align(distinct.join(sure.select("sample_id", "read"), ["sample_id", "read"], "left_anti"), references)
+    return sure.unionByName(rest)
 
 
 def from_cache(lines: DataFrame, references: DataFrame) -> DataFrame:

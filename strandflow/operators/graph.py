@@ -12,6 +12,8 @@ from ..functions.sequence import windows
 from .lineage import cut
 
 LAYER = ["sample_id", "position"]
+#: Edges of a sample that fit into one group; larger graphs are cut by joins.
+MOST_EDGES = 500_000
 
 
 def vertices(reads: DataFrame, k: int) -> DataFrame:
@@ -118,9 +120,19 @@ def _reach(vertex: pd.DataFrame, edge: pd.DataFrame, length: int, k: int) -> set
 def cut_tails(vertices: DataFrame, edges: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
     """The edges left after peeling dead ends; each sample is one group.
 
-    A sample's graph is bounded by its length times its variants, not by its reads. For
-    graphs too large for a worker, ``cut_tails_in_rounds`` gives the same.
+    A sample's graph is bounded by its length times its variants, not by its reads. Samples
+    with more than MOST_EDGES edges are cut by ``cut_tails_in_rounds``, to the same result.
     """
+    large = edges.groupBy("sample_id").agg(F.count("*").alias("n")).where(F.col("n") > MOST_EDGES).select("sample_id")
+    if not large.isEmpty():
+        large = cut(large)
+        of = lambda how: [df.join(large, "sample_id", how) for df in (vertices, edges, lengths)]
+        columns = ["sample_id", "position", "src", "dst", "weight"]
+        return _cut_in_groups(*of("left_anti"), k).select(*columns).unionByName(cut_tails_in_rounds(*of("left_semi"), k).select(*columns))
+    return _cut_in_groups(vertices, edges, lengths, k)
+
+
+def _cut_in_groups(vertices: DataFrame, edges: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
     v = vertices.join(lengths, "sample_id").select("sample_id", "position", F.col("kmer").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0).cast("bigint").alias("weight"), "origin_length")
     both = v.unionByName(edges.select("*", F.lit(None).cast("bigint").alias("origin_length")))
 
@@ -233,4 +245,15 @@ def unitigs(edges: DataFrame, most: int = 64) -> DataFrame:
             break
     joined = named.join(links.select("sample_id", "edge", F.col("top").alias("unitig")), ["sample_id", "edge"])
     means = joined.groupBy("sample_id", "unitig").agg(F.avg("weight").alias("mean"))
+    # a unitig may be as long as the sequence, so the means are joined, not broadcast
     return joined.join(means, ["sample_id", "unitig"]).select(*LAYER, "src", "dst", "weight", "unitig", "mean")
+
+
+def unitig_error(unitigs: DataFrame) -> DataFrame:
+    """(sample_id, error): what weighing each edge by its unitig's mean would change, squared."""
+    return unitigs.groupBy("sample_id").agg(F.sum((F.col("mean") - F.col("weight")) ** 2).alias("error"))
+
+
+def first_vertices(vertices: DataFrame) -> DataFrame:
+    """(sample_id, kmer): where a sample's first path starts, its least k-mer at position 0."""
+    return vertices.where("position = 0").groupBy("sample_id").agg(F.min("kmer").alias("kmer"))

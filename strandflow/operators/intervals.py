@@ -38,6 +38,11 @@ def contained(handles: DataFrame, paths: DataFrame) -> DataFrame:
     return joined.where(F.substring("path", F.col("start") + 1, F.length("seq")) == F.col("seq")).select("sample_id", "handle_id", "path_id")
 
 
+def remaining(handles: DataFrame, taken: DataFrame, on: list[str]) -> DataFrame:
+    """The ``handles`` that are not among those ``taken``: a set difference on ``on``."""
+    return handles.join(taken.select(*on).distinct(), on, "left_anti")
+
+
 def touching(handles: DataFrame, covered: DataFrame, on: list[str], width: int = 8) -> DataFrame:
     """The ``handles`` that some interval of ``covered`` (start_r, stop_r), open at its end,
     meets: a semi-join on ranges, in bins."""

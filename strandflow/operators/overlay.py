@@ -19,6 +19,11 @@ def explode_paths(paths: DataFrame, k: int) -> DataFrame:
     return paths.select("sample_id", "path_id", "weight", F.inline(path_edges("seq", k)))
 
 
+def eligible(paths: DataFrame, least: float) -> DataFrame:
+    """The paths that can give weight to a new one and keep ``least`` themselves."""
+    return paths.where(F.col("weight") >= 2 * least)
+
+
 def coverage(paths: DataFrame, k: int) -> DataFrame:
     """Total weight of the paths through each edge."""
     return explode_paths(paths, k).groupBy(*EDGE).agg(F.sum("weight").alias("coverage"))

@@ -59,13 +59,14 @@ class Chain:
         self.error = {e: -w for e, w in self.weight.items()}  # coverage - weight
         self.paths: dict[str, float] = {}
         self.handles: dict[str, list[tuple[int, int, str]]] = {}
+        self.spelled: dict[str, list[tuple[int, str]]] = {}
+        self.totals: dict[str, float] = {}
         self.commit({self.first_path(): 1.0})
         self.logl = self.log_likelihood()
 
     def first_path(self) -> str:
-        """A walk from a source, each step by the edges' weights."""
-        starts = sorted(v for p, v in self.out if p == 0)
-        seq = starts[int(self.rng.integers(len(starts)))]
+        """A walk from the least source, each step by the edges' weights."""
+        seq = min(v for p, v in self.out if p == 0)
         for p in range(self.last):
             nxt = self.out[p, seq[p : p + self.k]]
             w = np.array([self.weight[p, seq[p:] + d[-1]] for d in nxt])
@@ -73,9 +74,15 @@ class Chain:
         return seq
 
     def steps(self, seq: str) -> list[tuple[int, str]]:
-        return [(i, seq[i : i + self.k + 1]) for i in range(len(seq) - self.k)]
+        found = self.spelled.get(seq)
+        if found is None:
+            if len(self.spelled) > 1000:
+                self.spelled.clear()
+            found = self.spelled[seq] = [(i, seq[i : i + self.k + 1]) for i in range(len(seq) - self.k)]
+        return found
 
     def commit(self, changes: dict[str, float]) -> None:
+        self.totals.clear()
         for seq, change in changes.items():
             for e in self.steps(seq):
                 self.error[e] = self.error.get(e, 0.0) + change
@@ -99,7 +106,9 @@ class Chain:
         return total
 
     def excess(self, seq: str) -> float:
-        return min(self.paths[seq], sum(self.error[e] for e in self.steps(seq)) / self.last)
+        if seq not in self.totals:  # until the next change
+            self.totals[seq] = sum(self.error[e] for e in self.steps(seq))
+        return min(self.paths[seq], self.totals[seq] / self.last)
 
     def find_handles(self, seq: str) -> list[tuple[int, int, str]]:
         """(start, stop, piece) of sub-walks off the path that come back, or run to an end."""
@@ -187,11 +196,7 @@ class Chain:
         xi = max((len(handles) - many // 2) / 2 * len(handles) / sum(x - 1 for x in size), 1 / max(min(size) - 2, 1))
         odds = [min(1 / xi / (x - 1), 1 - 1e-9) for x in size]
         taken = [j for j, o in enumerate(odds) if self.rng.random() < o]
-        self.rng.shuffle(taken)
-        chosen: list[int] = []
-        for j in taken:  # no two that overlap
-            if all(handles[j][0] > handles[c][1] or handles[c][0] > handles[j][1] for c in chosen):
-                chosen.append(j)
+        chosen = self.independent(handles, taken)
         target = src
         for j in chosen:
             target = self.splice(target, handles[j])
@@ -209,6 +214,18 @@ class Chain:
         jump = self.scaled(backward - forward, self.s.shift_new, self.s.scale_new)
         return "New", {src: -amount, target: amount}, self.delta(src, target, amount) + self.log_poisson(n + 1) - self.log_poisson(n), jump
 
+    def independent(self, handles: list[tuple[int, int, str]], taken: list[int]) -> list[int]:
+        """Of the handles ``taken`` those left when random ones are deleted, overlapping or
+        not, until no two that are left overlap."""
+        overlap = {j: {c for c in taken if c != j and handles[c][0] <= handles[j][1] and handles[j][0] <= handles[c][1]} for j in taken}
+        left, conflicts = list(taken), sum(map(len, overlap.values()))
+        while conflicts:
+            j = left.pop(int(self.rng.integers(len(left))))
+            for c in overlap[j]:
+                overlap[c].discard(j)
+            conflicts -= 2 * len(overlap.pop(j))
+        return left
+
     def propose_move(self, n: int, mix: dict[str, float]):
         src, _ = self.source(list(self.paths))
         handles = self.find_handles(src)
@@ -276,8 +293,9 @@ class Chain:
         return {"iter": enough, "time": late, "both": enough and late, "any": enough or late}[self.s.stop]
 
     def run(self) -> tuple[list[tuple], dict[str, float], float]:
-        """The trace (iter, move, accept, delta, running and recomputed logl), and the best state."""
-        trace = [(0, "Start", True, 0.0, self.logl, self.logl)]
+        """The trace (iter, move, accept, delta, running and recomputed logl, jump density), and
+        the best state."""
+        trace = [(0, "Start", True, 0.0, self.logl, self.logl, 0.0)]
         best, best_logl, running = dict(self.paths), self.logl, self.logl
         sign = 1.0 if self.s.mode == "metropolis" else -1.0
         i, began = 0, time.monotonic()
@@ -285,7 +303,7 @@ class Chain:
             i += 1
             found = next((p for p in (self.propose() for _ in range(self.s.retries)) if p), None)
             if not found:
-                trace.append((i, "Fail", False, 0.0, running, running))
+                trace.append((i, "Fail", False, 0.0, running, running, 0.0))
                 continue
             move, changes, delta, jump = found
             accept = math.log(max(self.rng.random(), 1e-300)) < delta + sign * jump / self.s.temperature
@@ -294,7 +312,7 @@ class Chain:
                 running += delta
                 if running > best_logl:
                     best, best_logl = dict(self.paths), running
-            trace.append((i, move, bool(accept), delta, running, self.log_likelihood() if i % 100 == 0 else running))
+            trace.append((i, move, bool(accept), delta, running, self.log_likelihood() if i % 100 == 0 else running, float(jump)))
         return trace, best, best_logl
 
 
@@ -327,12 +345,12 @@ def mixtures(edges: DataFrame, chains: int = 4, settings: Settings = Settings())
 
 
 def traces(edges: DataFrame, chains: int = 4, settings: Settings = Settings()) -> DataFrame:
-    """(sample_id, chain_id, iter, move, accept, delta, logl_acc, logl): each chain's steps."""
+    """(sample_id, chain_id, iter, move, accept, delta, logl_acc, logl, jump): each chain's steps."""
 
     def rows_of(state: Chain, trace, best, best_logl) -> pd.DataFrame:
-        return pd.DataFrame(trace, columns=["iter", "move", "accept", "delta", "logl_acc", "logl"])
+        return pd.DataFrame(trace, columns=["iter", "move", "accept", "delta", "logl_acc", "logl", "jump"])
 
-    return _run(edges, chains, settings, "sample_id bigint, chain_id bigint, iter bigint, move string, accept boolean, delta double, logl_acc double, logl double", rows_of)
+    return _run(edges, chains, settings, "sample_id bigint, chain_id bigint, iter bigint, move string, accept boolean, delta double, logl_acc double, logl double, jump double", rows_of)
 
 
 def best_of_chains(found: DataFrame) -> DataFrame:

@@ -38,6 +38,21 @@ def precision_recall(truth: DataFrame, found: DataFrame, below: int = 9) -> Data
     return both.select("sample_id", F.try_divide(tp, tp + fp).alias("precision"), tp.alias("recall"))
 
 
+def with_reference(predictions: DataFrame, references: DataFrame) -> DataFrame:
+    """(sample_id, source, seq, weight): all predictions, and each sample's reference as one
+    more, with the whole weight."""
+    plain = references.select("sample_id", F.lit("_reference").alias("source"), "seq", F.lit(1.0).alias("weight"))
+    return predictions.select("sample_id", "source", "seq", "weight").unionByName(plain)
+
+
+def score_sources(truth: DataFrame, predictions: DataFrame, below: int = 9) -> DataFrame:
+    """(sample_id, source, precision, recall) of every source of every sample."""
+    key = F.struct("sample_id", "source").alias("sample_id")
+    each = truth.join(predictions.select("sample_id", "source").distinct(), "sample_id")
+    out = precision_recall(each.select(key, "seq", "weight"), predictions.select(key, "seq", "weight"), below)
+    return out.select("sample_id.sample_id", "sample_id.source", "precision", "recall")
+
+
 def transport_cost(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray) -> float:
     """Least cost of moving ``supply`` to ``demand``: shortest augmenting paths.
 

@@ -4,14 +4,26 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def uniform(seed: int, *parts: Column | str) -> Column:
+    """A number from 0 to 1 that a digest of seed and parts gives, the same everywhere."""
+    named = F.concat_ws("|", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(named), 1, 10), 16, 10).cast("bigint") / float(1 << 40)
+
+
+def references_for(samples: DataFrame, length: int, seed: int = 42) -> DataFrame:
+    """(sample_id, seq): uniform bases for each sample; a base depends on seed, sample and
+    place alone."""
+    base = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.substring(F.lit("ACGT"), (1 + F.floor(uniform(seed, "sample_id", i) * 4)).cast("int"), F.lit(1)))
+    return samples.select("sample_id", F.array_join(base, "").alias("seq"))
+
+
 def reference(spark: SparkSession, length: int, samples: int = 1, seed: int = 42) -> DataFrame:
-    """(sample_id, seq): uniform bases; a base depends on seed, sample and place alone."""
-    base = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.substring(F.lit("ACGT"), (1 + F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(4))).cast("int"), F.lit(1)))
-    return spark.range(samples).select(F.col("id").alias("sample_id"), F.array_join(base, "").alias("seq"))
+    """(sample_id, seq) of ``samples`` samples numbered from 0."""
+    return references_for(spark.range(samples).select(F.col("id").alias("sample_id")), length, seed)
 
 
 def mutants(references: DataFrame, number: int, rate: float, seed: int = 42) -> DataFrame:
@@ -36,17 +48,16 @@ def mutants(references: DataFrame, number: int, rate: float, seed: int = 42) ->
 def simulate_reads(haplotypes: DataFrame, number: int, least: int, most: int, error: float, seed: int = 42) -> DataFrame:
     """(sample_id, read_id, start, read): reads of each sample's haplotypes by weight.
 
-    Choices are hashes of (seed, sample, read), so results don't depend on partitions.
+    Choices are digests of (seed, sample, read), so results don't depend on partitions.
     Reads end at the sequence's end; a wrong base may equal the right one.
     """
-    spark = haplotypes.sparkSession
-    u = lambda salt, *more: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "sample_id", "read_id", *more), F.lit(1 << 40)) / float(1 << 40)
+    u = lambda salt, *more: uniform(seed, F.lit(salt), "sample_id", "read_id", *more)
     order = Window.partitionBy("sample_id").orderBy("hap_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.sum("weight").over(Window.partitionBy("sample_id"))
     ends = haplotypes.select("sample_id", "hap_id", "seq", (F.sum("weight").over(order) / total).alias("hi"), (F.col("weight") / total).alias("share"))
-    ids = spark.range(number).withColumnRenamed("id", "read_id").crossJoin(F.broadcast(haplotypes.select("sample_id").distinct()))
+    ids = haplotypes.select("sample_id").distinct().select("sample_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(number - 1).cast("bigint"))).alias("read_id"))
     drawn = ids.withColumn("u", u("haplotype"))
-    chosen = drawn.join(F.broadcast(ends), "sample_id").where((F.col("u") < F.col("hi")) & (F.col("u") >= F.col("hi") - F.col("share")))
+    chosen = drawn.join(ends, "sample_id").where((F.col("u") < F.col("hi")) & (F.col("u") >= F.col("hi") - F.col("share")))
     start = F.floor(u("start") * F.length("seq")).cast("int")
     length = (least + F.floor(u("length") * (most - least + 1))).cast("int")
     cut = chosen.select("sample_id", "read_id", start.alias("start"), F.substring("seq", start + 1, length).alias("clean"))
@@ -59,36 +70,52 @@ def simulate_reads(haplotypes: DataFrame, number: int, least: int, most: int, er
 
 
 def shuffled(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """Rows in an order given by a seeded hash of ``key``."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key)
+    """Rows in an order given by a seeded digest of ``key``, which is the column ``place``."""
+    return rows.withColumn("place", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))).orderBy("place", key)
 
 
 def infix_distances(queries: DataFrame, texts: DataFrame) -> DataFrame:
     """(sample_id, query, text, distance, start): least edit distance of ``query`` to any
-    substring of ``text``, and where its first best match begins. Batch-wise, column by
-    column of the usual table."""
+    substring of ``text``, and where its best match begins: of several the one that ends
+    first, and of those the shortest. All rows of a batch take each step together."""
 
     def run(batches):
         for rows in batches:
-            out = [infix_distance(q, t) for q, t in zip(rows["query"], rows["text"], strict=True)]
-            rows["distance"], rows["start"] = [d for d, _ in out], [s for _, s in out]
+            rows["distance"], rows["start"] = infix_matches(rows["query"].tolist(), rows["text"].tolist())
             yield rows
 
     pairs = queries.select("sample_id", "query").join(texts.select("sample_id", "text"), "sample_id")
     return pairs.mapInPandas(run, "sample_id bigint, query string, text string, distance bigint, start bigint")
 
 
+def infix_matches(queries: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and starts, pair by pair; pairs of the same lengths step together.
+
+    A cell holds edits * BIG - start, so the least cell has the fewest edits and, of
+    those, the latest start.
+    """
+    big = 1 << 40
+    distance, start = np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for at, (q, t) in enumerate(zip(queries, texts, strict=True)):
+        shapes.setdefault((len(q), len(t)), []).append(at)
+    for (n, m), rows in shapes.items():
+        q, t = (np.array([[ord(c) for c in x[at]] for at in rows], np.int32).reshape(len(rows), size) for x, size in ((queries, n), (texts, m)))
+        cells = [np.full(len(rows), i * big, np.int64) for i in range(n + 1)]
+        best = cells[n]
+        for j in range(m):
+            diagonal = cells[0]
+            cells[0] = np.full(len(rows), -(j + 1), np.int64)
+            for i in range(1, n + 1):
+                here = np.minimum(diagonal + (q[:, i - 1] != t[:, j]) * big, np.minimum(cells[i], cells[i - 1]) + big)
+                diagonal, cells[i] = cells[i], here
+            fewer = -(-cells[n] // big) < -(-best // big)
+            best = np.where(fewer, cells[n], best)
+        edits = -(-best // big)
+        distance[rows], start[rows] = edits, edits * big - best
+    return distance, start
+
+
 def infix_distance(query: str, text: str) -> tuple[int, int]:
-    n = len(query)
-    cost, begin = list(range(n + 1)), [0] * (n + 1)
-    best = (cost[n], 0)
-    for j, c in enumerate(text, 1):
-        diag, diag_begin = cost[0], begin[0]
-        cost[0], begin[0] = 0, j
-        for i in range(1, n + 1):
-            options = ((diag + (query[i - 1] != c), diag_begin), (cost[i] + 1, begin[i]), (cost[i - 1] + 1, begin[i - 1]))
-            diag, diag_begin = cost[i], begin[i]
-            cost[i], begin[i] = min(options, key=lambda x: x[0])
-        if cost[n] < best[0]:
-            best = (cost[n], begin[n])
-    return best
+    distance, start = infix_matches([query], [text])
+    return int(distance[0]), int(start[0])

@@ -36,7 +36,7 @@ def histogram(rows: DataFrame, group: str, value: str, bins: int = 10) -> DataFr
     ends = rows.groupBy(group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("avg"))
     place = F.floor((F.col(value) - F.col("lo")) * bins / (F.col("hi") - F.col("lo")))
     at = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(place, F.lit(bins - 1))).cast("bigint")
-    joined = rows.where(F.col(value).isNotNull()).join(F.broadcast(ends), group)
+    joined = rows.where(F.col(value).isNotNull()).join(ends, group)
     return joined.groupBy(group, at.alias("bin"), "avg").agg(F.count("*").alias("n"))
 
 

@@ -23,6 +23,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(texts)
 
 
+def read_shared_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a folder that jobs wrote, with the columns its folders are named by, in any
+    order: for files whose lines stand for themselves."""
+    return spark.read.text(path)
+
+
 def _numbered(texts: DataFrame) -> DataFrame:
     body = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "\n$", "")
     lines = F.posexplode(F.split(body, "\n"))
@@ -161,3 +167,35 @@ def fasta_lines(sequences: DataFrame, name: str = "name", seq: str = "seq", widt
     from ..functions.sequence import wrap
 
     return sequences.select(F.concat(F.lit(">"), F.col(name).cast("string"), F.lit("\n"), wrap(seq, width)).alias("value"))
+
+
+def history_lines(trace: DataFrame) -> DataFrame:
+    """``(accumulated, recomputed)`` lines of a chain's log-likelihoods, in its order."""
+    value = F.concat(F.lit("("), F.col("logl_acc").cast("string"), F.lit(", "), F.col("logl").cast("string"), F.lit(")"))
+    return trace.select("sample_id", "iter", value.alias("value"))
+
+
+def statistics_lines(trace: DataFrame) -> DataFrame:
+    """``Move: value`` lines of the steps' jump densities, in their order."""
+    return trace.select("sample_id", "iter", F.concat("move", F.lit(": "), F.col("jump").cast("string")).alias("value"))
+
+
+def write_steps(lines: DataFrame, path: str) -> None:
+    """One text folder per sample, each sample's lines in one file in the order of ``iter``."""
+    ordered = lines.repartition("sample_id").sortWithinPartitions("sample_id", "iter")
+    ordered.select("sample_id", "value").write.partitionBy("sample_id").mode("overwrite").text(path)
+
+
+def merge_sam(lines: DataFrame, replacing: DataFrame) -> DataFrame:
+    """(file, line_no, value): header lines as they are, and each other line with its
+    sequence taken from the line of ``replacing`` that has the same name in the same file.
+
+    Lines keep their numbers; those that nothing replaces are left out.
+    """
+    head = F.startswith("value", F.lit("@"))
+    part = F.split("value", r"\s+")
+    other = replacing.where(~head & (F.col("value") != "")).select("file", F.get(part, F.lit(0)).alias("_name"), F.get(part, F.lit(9)).alias("_seq"))
+    rows = lines.where(~head & (F.col("value") != "")).select("file", "line_no", F.get(part, F.lit(0)).alias("_name"), part.alias("_part"))
+    joined = rows.join(other, ["file", "_name"])
+    value = F.array_join(F.concat(F.slice("_part", 1, 9), F.array("_seq"), F.slice("_part", 11, F.size("_part"))), "\t")
+    return lines.where(head).select("file", "line_no", "value").unionByName(joined.select("file", "line_no", value.alias("value")))

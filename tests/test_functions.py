@@ -59,6 +59,9 @@ def test_infix_distance(query, text):
     distance, start = simulate.infix_distance(query, text)
     assert distance == best
     assert any(edit(query, text[start:j]) == best for j in range(start, len(text) + 1))
+    # of several, the one that ends first, and of those the shortest
+    end = min(j for j in range(len(text) + 1) for i in range(j + 1) if edit(query, text[i:j]) == best)
+    assert start == max(i for i in range(end + 1) if edit(query, text[i:end]) == best)
 
 
 def test_range_join(spark):
@@ -90,6 +93,18 @@ def test_writers(spark, tmp_path):
     assert formats.fasta_lines(rows).first()["value"] == ">n\n" + "A" * 70 + "\nA"
 
 
+def test_merged_lines_and_steps(spark, tmp_path):
+    lines = spark.createDataFrame([("f", 0, "@HD x"), ("f", 1, "r1 0 c 5 9 3M * 0 0 AAA II"), ("f", 2, "r2 0 c 7 9 3M * 0 0 CCC II"), ("f", 3, "r3 0 c 7 9 3M * 0 0 C II")], "file string, line_no int, value string")
+    other = spark.createDataFrame([("f", 0, "r2 0 c 7 9 3M * 0 0 TTT II"), ("f", 1, "r1 0 c 5 9 3M * 0 0 GGG II"), ("g", 1, "r3 0 c 5 9 3M * 0 0 GGG II")], "file string, line_no int, value string")
+    got = [r["value"] for r in formats.merge_sam(lines, other).orderBy("line_no").collect()]
+    assert got == ["@HD x", "r1\t0\tc\t5\t9\t3M\t*\t0\t0\tGGG\tII", "r2\t0\tc\t7\t9\t3M\t*\t0\t0\tTTT\tII"]
+    trace = spark.createDataFrame([(1, i, "New", -1.0 * i, -1.5 * i, 0.25) for i in range(20)], "sample_id bigint, iter bigint, move string, logl_acc double, logl double, jump double").repartition(4)
+    formats.write_steps(formats.history_lines(trace), str(tmp_path / "h"))
+    text = [f.read_text() for f in (tmp_path / "h" / "sample_id=1").glob("*.txt")]
+    assert "".join(text).splitlines() == [f"({-1.0 * i}, {-1.5 * i})" for i in range(20)] or text[0].startswith("(-0.0, -0.0)")
+    assert {r["value"] for r in formats.statistics_lines(trace).collect()} == {"New: 0.25"}
+
+
 def test_simulation_does_not_depend_on_partitions(spark):
     references = simulate.reference(spark, 50, 2)
     assert all(len(r["seq"]) == 50 and set(r["seq"]) <= set("ACGT") for r in references.collect())

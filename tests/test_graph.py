@@ -41,6 +41,26 @@ def test_alignment_leaves_out_what_has_no_place(spark):
     assert align.align(reads, reference).count() == 0
 
 
+@pytest.mark.parametrize("seed", [2, 3, 5])
+def test_seeds_change_nothing(spark, seed):
+    """Also for reads that share no seed with their best place, and for shorter ones."""
+    rng = random.Random(seed)
+    base = "".join(rng.choice("ACGT") for _ in range(40))
+    reads = {"".join(rng.choice("ACGT") for _ in range(rng.randint(1, 9))) for _ in range(60)}
+    for _ in range(40):
+        at = rng.randrange(30)
+        reads.add("".join(c if rng.random() < 0.6 else rng.choice("ACGT") for c in base[at : at + 9]))
+    table = spark.createDataFrame([(1, r) for r in reads], "sample_id bigint, read string")
+    reference = spark.createDataFrame([(1, base)], "sample_id bigint, seq string")
+    rows = {r["read"]: tuple(r) for r in align.align(table, reference).collect()}
+    assert rows == {r["read"]: tuple(r) for r in align.align_seeded(table, reference, seed).select("sample_id", "read", "oriented", "start", "orientation", "score", "full").collect()}
+    turn = str.maketrans("ACGT", "TGCA")
+    for read in reads:
+        ways = [read, read.translate(turn), read[::-1], read.translate(turn)[::-1]]
+        best = max((sum(5 if a == b else -4 for a, b in zip(w, base[i:], strict=False)), -o, i) for o, w in enumerate(ways) for i in range(len(base) - len(read) + 1))
+        assert (rows[read][5], -rows[read][4], rows[read][3]) == best
+
+
 def test_graph(reads):
     edges, vertices, lengths = graph.edges(reads, 2), graph.vertices(reads, 2), graph.origin_length(reads)
     assert edge_rows(edges) == EDGES
@@ -146,6 +166,34 @@ def test_reconstruction_beats_the_reference(spark):
     assert mine < alone
 
 
+def test_a_clone_is_spelled_from_its_reads(spark):
+    """A single path is what the reads say, not the reference; error tails don't matter."""
+    clone, reference = "ACGTACGGTTCAGGCATCCA", "ACGTACGGTACAGGCATCCA"
+    rows = [(1, i, clone[i : i + 9], 5) for i in range(12)] + [(1, 4, clone[4:12] + "A", 1)]
+    reads = spark.createDataFrame(rows, "sample_id bigint, start int, read string, n bigint")
+    given = spark.createDataFrame([(1, reference), (2, reference)], "sample_id bigint, seq string")
+    for known in (given, None):
+        assert [tuple(r) for r in reconstruct.reconstruct(reads, known, sampler.Settings(k=6)).collect()] == [(1, clone, 1.0)]
+    assert reconstruct.reconstruct(reads, given.where("sample_id = 2"), sampler.Settings(k=6)).count() == 0
+
+
+def test_large_graphs_are_cut_by_joins(spark, reads, monkeypatch):
+    noisy = reads.unionByName(spark.createDataFrame([(1, 2, "TTG"), (2, 0, "GAT"), (2, 1, "ATT")], reads.schema))
+    parts = graph.vertices(noisy, 2), graph.edges(noisy, 2), graph.origin_length(noisy)
+    plain = sorted(map(tuple, graph.cut_tails(*parts, 2).collect()))
+    monkeypatch.setattr(graph, "MOST_EDGES", 5)
+    assert sorted(map(tuple, graph.cut_tails(*parts, 2).collect())) == plain and len({r[0] for r in plain}) == 2
+
+
+def test_what_is_left_of_handles_does_not_overlap(reads):
+    state = sampler.Chain(graph.normalise(graph.edges(reads, 2)).toPandas(), sampler.Settings(k=2, longest_handle=4), 0, 1)
+    handles = [(0, 3, "a"), (2, 5, "b"), (4, 8, "c"), (9, 12, "d"), (12, 14, "e")]
+    for _ in range(50):
+        left = state.independent(handles, [0, 1, 2, 3, 4])
+        assert left and all(a == b or handles[a][1] < handles[b][0] or handles[b][1] < handles[a][0] for a in left for b in left)
+    assert state.independent(handles, [0, 3]) == [0, 3]
+
+
 def test_transport():
     import numpy as np
 
