@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +18,14 @@ from pyspark.sql import types as T
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 #: Rows and bytes of a batch that goes to a Python worker: what a worker holds follows these.
-BATCH_ROWS, BATCH_BYTES = 2_000, "8m"
+BATCH_ROWS, BATCH_BYTES = 1_000, 2 << 20
+#: Hot keys that are broadcast, and the rows from which a key can be hot. A key is hot from
+#: a share of 1 / MOST_HOT of all rows on, so that there can't be more hot keys than that.
+MOST_HOT, LEAST_HOT = 50_000, 500
+#: Rows that one task may have: smaller tables have no hot key.
+ONE_TASK = 5_000
+#: Parts into which a hot key's rows are split.
+SALTS = 64
 
 _TEST_DIRS: dict[str, str] = {}
 
@@ -26,10 +35,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is named."""
+    """The folder that the cluster shares; a temporary one only where none is named and
+    driver and executors are one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     app = spark.sparkContext.applicationId
     if app not in _TEST_DIRS:
         _TEST_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="strandflow-")
@@ -40,15 +52,58 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends
     there, so a lost executor costs a re-read instead of a recomputation."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``materialise`` wrote and nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def hot_keys(counts: DataFrame, key: str, total: int) -> DataFrame | None:
+    """(key) of ``counts`` (key, n) with so many of ``total`` rows that one task shouldn't
+    have them all; MOST_HOT keys at most, as each has at least that share of the rows.
+    None if all rows fit into one task."""
+    if total <= ONE_TASK:
+        return None
+    return counts.where(F.col("n") > max(LEAST_HOT, total / MOST_HOT)).select(key)
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame | None, how: str = "inner", salts: int = SALTS, by: tuple[str, ...] = ()) -> DataFrame:
+    """``many`` joined with ``one`` on ``key``, the rows of each key in ``hot`` (bounded, see
+    ``hot_keys``) and those without a key dealt to ``salts`` parts by a hash of ``by`` or
+    all columns; ``one`` should have few rows for such a key."""
+    if hot is None:
+        return many.join(one, key, how)
+    keys = F.broadcast(hot.select(F.col(key).alias("_hot_key")))
+    mark = lambda df: df.join(keys, F.col(key) == F.col("_hot_key"), "left")
+    spread = F.col("_hot_key").isNotNull() | F.col(key).isNull()
+    part = F.when(spread, F.pmod(F.xxhash64(*(by or many.columns)), F.lit(salts))).otherwise(0).cast("int")
+    every = F.explode(F.when(F.col("_hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    left = mark(many).select(*many.columns, part.alias("_part"))
+    right = mark(one).select(*one.columns, every.alias("_part"))
+    return left.join(right, [key, "_part"], how).drop("_part")
+
+
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """A name for each stem that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 def held_out(doc_id: str = "doc_id"):
     """True where crc32 of the id as text is divisible by five; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
@@ -59,24 +114,34 @@ def in_training(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 != 0, F.lit(False))
 
 
-def hash_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
-    """The ``rows`` rows with the smallest hash of ``key``: a bounded sample that doesn't
-    depend on partitions. Each partition is trimmed to ``rows`` before they meet."""
-    return df.orderBy(F.xxhash64(key), F.col(key)).limit(rows)
+def place(*key: str):
+    """A number from 0 to 1 that a hash of ``key`` gives: samples drawn by it don't depend
+    on partitions, and rows with the same key are in or out together."""
+    return F.pmod(F.xxhash64(*key), F.lit(1 << 30)) / float(1 << 30)
 
 
-def hash_share(df: DataFrame, rows: int, per: str, key: str = "doc_id") -> DataFrame:
-    """About ``rows`` rows of each value of ``per``: those whose hash of ``key`` is under the
-    share that this number is of the value's rows. No group meets in one task."""
-    share = df.groupBy(F.col(per).alias("_per")).agg(F.least(F.lit(1.0), rows / F.count("*")).alias("_share"))
-    place = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
-    return df.join(F.broadcast(share), F.col(per) == F.col("_per")).where(place <= F.col("_share")).select(*df.columns)
+def bound_batches(spark: SparkSession) -> None:
+    """Small Arrow batches in this session, so that several workers fit beside the heap.
 
+    The plan reads these settings when it runs, so they stay; they are only ever lowered.
+    """
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    given = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size))
+    if not 0 < given <= BATCH_BYTES:
+        spark.conf.set(size, BATCH_BYTES)
 
-def bound_batches(spark: SparkSession) -> None:
-    """Small Arrow batches in this session, so that several workers fit beside the heap."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+def release() -> None:
+    """Hand free memory back to the system: a Python worker lives on after its task, and
+    what it still held would stand beside the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +168,17 @@ def spans(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def pieces(raw: bytes, size: int) -> Iterator[bytes]:
+    """A text in pieces of about ``size`` bytes that end before a space, so that a very long
+    one is taken apart bit by bit."""
+    at = 0
+    while at < len(raw):
+        end = raw.find(b" ", at + size)
+        end = len(raw) if end < 0 else end
+        yield raw[at:end]
+        at = end
+
+
 def add_columns(
     df: DataFrame,
     fields: list[tuple[str, str]],
@@ -128,5 +204,31 @@ def add_columns(
             made = list(make(batch))
             old = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays(old + made, names=names + [n for n, _ in fields])
+            del batch, made, old
+        release()
 
     return df.mapInArrow(run, T.StructType(keep + added.fields))
+
+
+def keep_rows(df: DataFrame, using: dict[str, str | Column], mask: Callable[..., np.ndarray]) -> DataFrame:
+    """The rows of ``df`` that ``mask`` keeps, all columns as they are.
+
+    ``mask`` gets an Arrow array for each entry of ``using``: a column of ``df`` by its
+    name, or an expression, which travels under a name that no column of ``df`` has.
+    """
+    bound_batches(df.sparkSession)
+    made = {k: c for k, c in using.items() if not isinstance(c, str)}
+    added = dict(zip(made, free_names(df, *made), strict=True))
+    columns = [*df.columns, *added.values()]
+    places = [columns.index(added[k] if k in added else c) for k, c in using.items()]
+    width = len(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keep = mask(*[batch.column(i) for i in places])
+                yield batch.select(list(range(width))).filter(pa.array(keep, pa.bool_()))
+                del batch
+        release()
+
+    return df.select("*", *[made[k].alias(n) for k, n in added.items()]).mapInArrow(run, df.schema)

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, hash_sample, held_out, in_training, utf8
+from .common import add_columns, held_out, in_training, keep_rows, materialise, pieces, release, utf8
 
-#: Labelled documents in the training sample, features, documents a feature needs.
+#: Distinct labelled texts in the training sample (whole ones of any length), features,
+#: documents a feature needs.
 SAMPLE_DOCS = 20_000
-SAMPLE_BYTES = 200_000
 MOST_FEATURES = 2_000
 LEAST_DOCS = 4
 #: Chi-square that a feature needs; far above what the many words reach by chance.
@@ -49,12 +49,19 @@ class Model:
     bias: float
 
 
+#: Bytes of a text that are taken apart at a time.
+CHUNK = 1 << 18
+
+
 def words_of(text: str | bytes | None) -> set[bytes]:
     """The distinct words of a whole text: runs of letters, A-Z lower-cased."""
     if text is None:
         return set()
-    raw = text.encode() if isinstance(text, str) else text
-    return set(raw.translate(_TABLE).split())
+    raw = (text.encode() if isinstance(text, str) else text).translate(_TABLE)
+    out: set[bytes] = set()
+    for piece in pieces(raw, CHUNK):
+        out.update(piece.split())
+    return out
 
 
 def train(docs: list[tuple[frozenset[str], int]], features: list[str], counterfactual: float = COUNTERFACTUAL, decay: float = DECAY, rounds: int = 800) -> Model:
@@ -96,81 +103,92 @@ def train(docs: list[tuple[frozenset[str], int]], features: list[str], counterfa
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    """(key, toxic, word) rows: each distinct word of each text once."""
+    """(toxic, words) of (toxic, text): the distinct words of each whole text."""
 
     def run(batches):
         for batch in batches:
-            key, toxic, word = [], [], []
-            columns = (batch.column(c).to_pylist() for c in ("key", "toxic", "text"))
-            for k, t, text in zip(*columns, strict=True):
-                found = words_of(text)
-                key += [k] * len(found)
-                toxic += [t] * len(found)
-                word += [w.decode("utf-8", "ignore") for w in found]
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(toxic, pa.int32()), pa.array(word, pa.string())], names=["key", "toxic", "word"])
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = [[w.decode("utf-8", "ignore") for w in words_of(text)]]
+                yield pa.RecordBatch.from_arrays([pa.array([toxic], pa.int32()), pa.array(words, pa.list_(pa.string()))], names=["toxic", "words"])
+        release()
 
-    return docs.select("key", "toxic", "text").mapInArrow(run, "key bigint, toxic int, word string")
+    return docs.select("toxic", "text").mapInArrow(run, "toxic int, words array<string>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Train on the ``sample_docs`` labelled documents with the smallest id hash.
+    """Train on at most ``sample_docs`` distinct labelled texts, whole ones of any length:
+    those of the ids, and then of the texts, with the smallest hashes.
 
-    Only rows of the training fold with a label of 0 or 1 count; copies of a text count
-    once, an id labelled twice takes the larger label, and texts over ``SAMPLE_BYTES`` are
-    left out of the sample. Without labelled rows the score is 0.5 / rounds down to clean.
+    Only rows of the training fold with a label of 0 or 1 and a text count; copies of a text
+    count once, whether under one id or many, an id labelled twice or a text with both
+    labels takes the larger. Without labelled rows, or with one label only, that label is
+    the model.
     """
     named = labels.where(in_training() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = hash_sample(named, sample_docs)
-    texts = docs.select("doc_id", "text").where(F.octet_length("text").between(1, SAMPLE_BYTES))
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64("text").alias("key")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
-    words = _words(rows)
-    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
+    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    texts = docs.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("toxic", "text", F.xxhash64("text").alias("key"))
+    keys = texts.groupBy("key").agg(F.max("toxic").alias("label")).orderBy("key").limit(sample_docs)
+    rows = texts.drop("toxic").join(F.broadcast(keys.withColumnRenamed("key", "_key")), F.col("key") == F.col("_key"))
+    rows = rows.groupBy("key", "label").agg(F.first("text").alias("text")).select(F.col("label").alias("toxic"), "text")
+    words = materialise(_words(rows), "labelled-words")
+    total = words.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     n, t = total["n"], total["t"]
     if not n or not t or t == n:
         return Model({}, 20.0 if n and t == n else -20.0)
-    seen = words.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).where(F.col("n") >= LEAST_DOCS)
+    seen = words.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).where(F.col("n") >= LEAST_DOCS)
     rate = t / n
     chi2 = (F.col("t") - F.col("n") * rate) ** 2 / (F.col("n") * rate * (1 - rate)) * (n / F.greatest(n - F.col("n"), F.lit(1)))
     best = seen.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "word").limit(MOST_FEATURES)
     features = [r["word"] for r in best.select("word").collect()]
-    wanted = {*features, *(w for kind in IDENTITY.values() for w in kind)}
-    shared = docs.sparkSession.sparkContext.broadcast({w.encode() for w in wanted})
-
-    def make(batch: pa.RecordBatch):
-        present = [[w.decode() for w in words_of(x) & shared.value] for x in batch.column("text").to_pylist()]
-        return [pa.array(present, pa.list_(pa.string()))]
-
-    found = add_columns(rows.select("toxic", "text"), [("present", "array<string>")], make, without=("text",))
+    wanted = sorted({*features, *(w for kind in IDENTITY.values() for w in kind)})
+    found = words.select("toxic", F.filter("words", lambda w: w.isin(wanted)).alias("present"))
     sample = [(frozenset(r["present"]), r["toxic"]) for r in found.toLocalIterator()]
     return train(sorted(sample, key=lambda x: (x[1], sorted(x[0]))), features)
 
 
+def scores(model: Model, text: pa.Array) -> np.ndarray:
+    """The probability of label 1 of each whole text; a null or empty one has no words."""
+    weights, known = model.weights, frozenset(model.weights)
+    data, offsets = utf8(text)
+    z = np.full(len(offsets) - 1, model.bias)
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        raw = data[a:b].tobytes().translate(_TABLE)
+        if len(raw) <= CHUNK:
+            found = known.intersection(raw.split())
+        else:
+            found = set().union(*(known.intersection(piece.split()) for piece in pieces(raw, CHUNK)))
+        z[i] += sum([weights[w] for w in found])
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def predict(docs: DataFrame, model: Model, without: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on).
 
-    Only ``text`` is read. A null or empty text has the score of no words. Row-wise:
-    repeated rows and hot sources don't matter. Clashing column names are replaced.
+    Only ``text`` is read, all of it. A null or empty text has the score of no words.
+    Row-wise: repeated rows and hot sources don't matter, and an empty table gives an empty
+    result. Columns named like the new ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(batch: pa.RecordBatch):
-        weights, bias = shared.value.weights, shared.value.bias
-        known = frozenset(weights)
-        data, offsets = utf8(batch.column("text"))
-        raw = data.tobytes() if len(data) else b""
-        z = [bias + sum([weights[w] for w in known.intersection(raw[a:b].translate(_TABLE).split())]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        score = 1 / (1 + np.exp(-np.clip(np.array(z, float), -500, 500)))
+        score = scores(shared.value, batch.column("text"))
         return pa.array(score), pa.array((score >= 0.5).astype(np.int32))
 
     return add_columns(docs, [("score", "double"), ("predicted", "int")], make, without)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on the labelled rows and score every row: doc_id, held_out, score, predicted."""
+    """Fit on the labelled rows and score every row: doc_id, held_out, score, predicted.
+
+    Null and empty texts are scored like one without words; rows repeat as given, a null id
+    is not held out, other columns are not read, and empty tables give an empty result.
+    """
     scored = predict(docs.select("doc_id", "text"), fit(docs, labels), without=("text",))
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, columns unchanged."""
-    return predict(docs, fit(docs, labels)).where("predicted = 0").select(*docs.columns)
+    """The rows of ``docs`` that are not predicted toxic, all columns as they are, whatever
+    their names; null and empty texts stay, and rows repeat as given."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    return keep_rows(docs, {"text": "text"}, lambda text: scores(shared.value, text) < 0.5)
