@@ -9,7 +9,9 @@ Lists of a value are merged: short ones by pairs, long ones through the member t
 most long lists, skipping pairs whose set sizes alone rule them out. What agrees in enough coordinates is
 confirmed on the full sets. Long lists that are then still in several components are
 posted again, under the rarest shingles of their full sets (the same prefix rule, now
-exact), and merged by pairs of which one side is outside the list's main component.
+exact), and merged by pairs of which one side is outside the list's main component; a post's
+place among a set's rarest shingles bounds the sizes of sets that it can still be similar
+to, and only posts of such sizes meet. Rows of hot keys are dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, add_columns, materialise, spans, utf8
+from .common import SPACE_BYTES, add_columns, discard, hot_keys, materialise, new_path, release, salted_join, spans, utf8
 
 COORDS = 64
 MATCHES = 34
@@ -30,7 +32,10 @@ SHORT = 16
 #: Document ids that are broadcast to pick their texts; beyond it the join shuffles.
 MOST_BROADCAST = 500_000
 SKETCH_BITS = (16, 22)
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Ratio of the set sizes that share a bucket, and the parts of a bucket that is hot.
+BUCKET = 1.06
+FEW_SALTS = 8
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _ODD = lambda n: _rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -195,6 +200,8 @@ def _sketch(rows: DataFrame, keys, size: int) -> np.ndarray:
         for i in range(0, len(at), 1 << 16):
             part = at[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["b", "c"])
+        del total, at
+        release()
 
     counts = rows.mapInArrow(run, "b bigint, c bigint").groupBy("b").agg(F.sum("c").alias("c"))
     found = counts.where("c > 1").select("b", F.ceil(F.log2("c")).cast("byte").alias("c")).toArrow()
@@ -212,6 +219,7 @@ def _posts(rows: DataFrame, make) -> DataFrame:
                 row, k, place = make(batch)
                 cls, n = (np.asarray(batch.column(c)) for c in ("cls", "n"))
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(cls[row]), pa.array(n[row]), pa.array(place)], names=["k", "cls", "n", "place"])
+        release()
 
     return rows.mapInArrow(run, "k bigint, cls bigint, n bigint, place bigint")
 
@@ -252,10 +260,12 @@ def _set_posts(sets: DataFrame, percent: int) -> DataFrame:
     return _posts(rows, make)
 
 
-def _lists(posts: DataFrame, name: str) -> DataFrame:
-    """Posts whose key has two classes or more, with the size of the list."""
-    sizes = posts.groupBy("k").agg(F.count("*").alias("size"))
-    return materialise(posts.join(sizes.where("size > 1"), "k"), name)
+def _lists(posts: DataFrame, name: str, total: int) -> DataFrame:
+    """Posts whose key has two classes or more, with the size of the list; ``total`` is about
+    how many posts there are."""
+    sizes = materialise(posts.groupBy("k").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    hot = hot_keys(sizes.withColumnRenamed("size", "n"), "k", total)
+    return materialise(salted_join(posts, sizes, "k", hot), name)
 
 
 def _skip(percent: int, a: str, b: str):
@@ -268,35 +278,68 @@ def _merge(lists: DataFrame, percent: int) -> DataFrame:
     short = lists.where(F.col("size") <= SHORT).select("k", "cls", "n")
     left, right = short.select("k", F.col("cls").alias("a"), F.col("n").alias("na")), short.select("k", F.col("cls").alias("b"), F.col("n").alias("nb"))
     pairs = left.join(right, "k").where((F.col("a") < F.col("b")) & _skip(percent, "na", "nb"))
-    long = lists.where(F.col("size") > SHORT).select("k", "cls", "n")
+    long = lists.where(F.col("size") > SHORT).select("k", "cls", "n", "size")
     # a group's middle is on most of its long lists; its members are near it, if not each other
     central = long.groupBy("cls").agg(F.count("*").alias("on"))
-    heads = long.join(central, "cls").groupBy("k").agg(F.max(F.struct("on", "n", "cls")).alias("head"))
-    star = long.join(heads, "k").where((F.col("cls") != F.col("head.cls")) & _skip(percent, "n", "head.n"))
-    stars = star.select(F.least("cls", "head.cls").alias("a"), F.greatest("cls", "head.cls").alias("b"))
+    heads = materialise(long.join(central, "cls").groupBy("k").agg(F.max(F.struct("on", "n", "cls")).alias("head"), F.first("size").alias("size")), "heads")
+    total = heads.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    hot = hot_keys(heads.withColumnRenamed("size", "n"), "k", total)
+    heads = heads.select("k", F.col("head.cls").alias("mid"), F.col("head.n").alias("nm"))
+    star = salted_join(long.drop("size"), heads, "k", hot).where((F.col("cls") != F.col("mid")) & _skip(percent, "n", "nm"))
+    stars = star.select(F.least("cls", "mid").alias("a"), F.greatest("cls", "mid").alias("b"))
     return pairs.select("a", "b").unionByName(stars).distinct()
 
 
 def _merge_apart(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs a < b of different components: in each list, those of which one side
-    is outside the component that most of the list is in."""
-    of = lists.select("k", "cls", "n", "place").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    is outside the component that most of the list is in.
+
+    Sets of n and m shingles that share none before the places p and q of a shingle can
+    only be similar if m <= (n - p) * (100 + percent) / percent - n, and likewise n. So a
+    post meets posts in the buckets of the sizes that its place allows, not its whole list.
+    """
+    of = lists.select("k", "cls", "n", "place", "size").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     sizes = of.groupBy("k", "comp").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("k").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
-    split = materialise(of.join(main, "k"), "split")
-    left = split.where("comp <> main").select("k", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("comp").alias("ca"))
-    right = split.select("k", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("comp").alias("cb"))
+    main = materialise(sizes.groupBy("k").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count("*").alias("comps"), F.sum("size").alias("n")).where("comps > 1"), "main")
+    total = main.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    split = materialise(salted_join(of.drop("size"), main.select("k", "main"), "k", hot_keys(main, "k", total)), "split")
+    bucket = lambda size: F.floor(F.log(size) / math.log(BUCKET))
+    key = lambda b: F.xxhash64("k", b).alias("kb")
+    most = (F.col("n") - F.col("place")) * (100 + percent) / percent - F.col("n")
+    least = F.col("n") * percent / 100
+    meets = F.explode(F.sequence(bucket(least - 1e-6), bucket(most + 1e-6)))
+    left = split.where((F.col("comp") != F.col("main")) & (most >= least)).select("k", "cls", "n", "place", "comp", meets.alias("bucket"))
+    left = left.select(key("bucket"), F.col("k").alias("ka"), F.col("cls").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("comp").alias("ca"))
+    right = split.select(key(bucket(F.col("n"))), F.col("k").alias("kb_"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("comp").alias("cb"))
+    counts = left.groupBy("kb").agg(F.count("*").alias("n"))
     # what two sets of these sizes must share can't all stand after these places
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
     early = (F.col("pa") + need <= F.col("na")) & (F.col("pb") + need <= F.col("nb"))
-    pairs = left.join(right, "k").where((F.col("ca") != F.col("cb")) & _skip(percent, "na", "nb") & early)
+    joined = salted_join(left, right, "kb", hot_keys(counts, "kb", total), salts=FEW_SALTS)
+    pairs = joined.where((F.col("ka") == F.col("kb_")) & (F.col("ca") != F.col("cb")) & _skip(percent, "na", "nb") & early)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _hubs(pairs: DataFrame) -> DataFrame | None:
+    """(cls) of the classes that are on so many of the ``pairs`` that one task shouldn't
+    have them all."""
+    return hot_keys(_ends(pairs).groupBy("cls").agg(F.count("*").alias("n")), "cls", 2 * pairs.count())
+
+
+def _at_both(pairs: DataFrame, table: DataFrame, hubs: DataFrame | None, names: dict[str, tuple[str, str]], how: str = "inner") -> DataFrame:
+    """``pairs`` (a, b) with columns of ``table`` (cls, ..) for either side, under the
+    names given for each."""
+    for side, at in (("a", 0), ("b", 1)):
+        one = table.select(F.col("cls").alias(side), *[F.col(c).alias(n[at]) for c, n in names.items()])
+        hot = hubs.withColumnRenamed("cls", side) if hubs is not None else None
+        pairs = salted_join(pairs, one, side, hot, how, by=("a", "b"))
+    return pairs
+
+
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs that agree in MATCHES coordinates or more, with the number."""
-    sigs = classes.select("cls", "sig")
-    both = pairs.join(sigs.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("cls").alias("b"), F.col("sig").alias("sb")), "b")
+    pairs = materialise(pairs.select("a", "b"), "pairs")
+    both = _at_both(pairs, classes.select("cls", "sig"), _hubs(pairs), {"sig": ("sa", "sb")})
 
     def make(batch: pa.RecordBatch):
         return [pa.array((_coords(batch.column("sa")) == _coords(batch.column("sb"))).sum(1).astype(np.int32))]
@@ -321,8 +364,7 @@ def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int) -> Da
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``pairs`` with ``linked``: whether the full sets are similar enough."""
-    one = sets.select(F.col("cls").alias("a"), F.col("items").alias("ia"))
-    two = sets.select(F.col("cls").alias("b"), F.col("items").alias("ib"))
+    pairs = materialise(pairs.select("a", "b"), "tried")
 
     def make(batch: pa.RecordBatch):
         out = np.zeros(batch.num_rows, bool)
@@ -332,33 +374,47 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out[i] = 100 * same >= percent * (len(x) + len(y) - same)
         return [pa.array(out)]
 
-    both = pairs.select("a", "b").join(one, "a").join(two, "b")
+    both = _at_both(pairs, sets.select("cls", "items"), _hubs(pairs), {"items": ("ia", "ib")})
     return add_columns(both.select("a", "b", "ia", "ib"), [("linked", "boolean")], make, without=("ia", "ib"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(cls, comp) of the classes on ``edges`` (a, b): the smallest class reachable.
 
-    Each round takes the smallest label among neighbours, then the label's label, and
-    writes the result; rounds follow the logarithm of the longest path.
+    Each round takes the least label's label among a class's neighbours for the class and
+    for the label that it had, so whole trees move at once: about log2 of the longest path
+    rounds. Each is written, and the tables of the round before are deleted.
     """
+    spark = edges.sparkSession
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    hubs = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b", both.count())
+    hubs = hubs and materialise(hubs, "hubs")
+    old = [new_path(spark, "labels")]
+    labels = materialise(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels", old[0])
+    vertices = labels.count()
     while True:
-        near = both.join(labels.withColumnRenamed("cls", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        least = labels.join(near.withColumnRenamed("a", "cls"), "cls").select("cls", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("cls").alias("comp"), F.col("comp").alias("top"))
-        nxt = materialise(least.join(jump, "comp").select("cls", "was", F.least("comp", "top").alias("comp")), "labels")
+        paths = [new_path(spark, "step"), new_path(spark, "labels")]
+        roots = hot_keys(labels.groupBy("comp").agg(F.count("*").alias("n")), "comp", vertices)
+        tops = salted_join(labels, labels.select(F.col("cls").alias("comp"), F.col("comp").alias("top")), "comp", roots)
+        near = salted_join(both, tops.select(F.col("cls").alias("b"), "top"), "b", hubs).groupBy(F.col("a").alias("cls")).agg(F.min("top").alias("near"))
+        step = materialise(tops.join(near, "cls"), "step", paths[0])
+        hook = step.groupBy(F.col("comp").alias("cls")).agg(F.min("near").alias("hook"))
+        least = F.least("comp", "top", "near", "hook").alias("comp")  # leaves nulls out
+        nxt = materialise(step.join(hook, "cls", "left").select("cls", F.col("comp").alias("was"), least), "labels", paths[1])
+        done = nxt.where("was <> comp").isEmpty()
         labels = nxt.select("cls", "comp")
-        if nxt.where("was <> comp").isEmpty():
+        for path in [*old, paths[0]]:
+            discard(spark, path)
+        old = [paths[1]]
+        if done:
             return labels
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs whose classes are in different components."""
-    ca, cb = labels.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("cls").alias("b"), F.col("comp").alias("cb"))
-    both = pairs.join(ca, "a", "left").join(cb, "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+    pairs = materialise(pairs.select("a", "b"), "pairs")
+    both = _at_both(pairs, labels, _hubs(pairs), {"comp": ("ca", "cb")}, "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def _link(candidates: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -395,21 +451,24 @@ def find_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """
     rows = materialise(signatures(docs, width), "signatures")
     alive = rows.where("n_shingles > 0 and doc_id is not null")
-    reps = alive.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    reps = alive.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
     classes = materialise(reps, "classes")
-    labels = _all_links(docs, classes, width, percent)
+    labels = _all_links(docs, classes.drop("copies"), width, percent)
     named = classes.select("cls", F.col("doc_id").alias("low")).join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    of_class = named.join(lowest, "comp").select("cls", "component_id")
+    lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    total, n_classes = classes.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count("*")).first()
+    of_class = salted_join(named, lowest.drop("n"), "comp", hot_keys(lowest, "comp", n_classes)).select("cls", "component_id")
+    copied = hot_keys(classes.select("cls", F.col("copies").alias("n")), "cls", total)
     empty = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("cls")).alias("cls")).join(of_class, "cls", "left")
+    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("cls")).alias("cls"))
+    out = salted_join(out, of_class, "cls", copied, "left")
     component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _all_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    lists = _lists(_coordinate_posts(classes), "lists")
+    lists = _lists(_coordinate_posts(classes), "lists", classes.count() * (COORDS - MATCHES + 1))
     none = classes.select("cls", F.col("cls").alias("comp")).limit(0)
     candidates = materialise(_agreeing(_merge(lists, percent), classes), "candidates")
     labels = _link(candidates, _sets(docs, classes, _ends(candidates), width), none, percent)
@@ -418,7 +477,8 @@ def _all_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) ->
     if again.isEmpty():
         return labels
     sets = _sets(docs, classes, again, width)
-    lists = _lists(_set_posts(sets, percent), "lists")
+    posts = sets.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0.0))).first()[0]
+    lists = _lists(_set_posts(sets, percent), "lists", int(posts))
     candidates = materialise(_agreeing(_merge_apart(lists, labels, percent), classes), "candidates")
     return labels if candidates.isEmpty() else _link(candidates, sets, labels, percent)
 
@@ -426,15 +486,18 @@ def _all_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) ->
 def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """(cls) of the classes on lists that are in two components or more."""
     of = lists.select("k", "cls").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    split = of.groupBy("k").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    return lists.join(split.select("k"), "k", "left_semi").select("cls").distinct()
+    split = of.groupBy("k").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high")
+    split = materialise(split.select("k", "n"), "mixed")
+    total = split.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return salted_join(lists.select("k", "cls"), split.select("k"), "k", hot_keys(split, "k", total), "left_semi").select("cls").distinct()
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group, columns unchanged: the smallest doc_id.
 
-    Rows with a null id stay; of rows that repeat an id, those of the group's other
-    members go with it and the rest stay as given.
+    Rows with a null id stay, as do null and wordless texts; of rows that repeat an id,
+    those of the group's other members go with it and the rest stay as given.
     """
-    gone = find_groups(docs, width, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialise(find_groups(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    few = gone.count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
