@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os.path
 import unicodedata
 from functools import lru_cache
 
@@ -22,8 +23,9 @@ from pyspark.sql import DataFrame
 
 from .common import add_columns
 
-#: Words whose ids a worker remembers, and pairs whose test it remembers.
-MEMO_WORDS = 200_000
+#: Bytes of the stretches and of the words whose ids a worker remembers, the characters of
+#: those that it does (longer ones hardly come again), and pairs whose test it remembers.
+MEMO_BYTES, MEMO_CHARS = 64 << 20, 64
 MEMO_PAIRS = 150_000
 #: Stands for the end of a word inside the automaton; no byte maps to it.
 END = ""
@@ -58,6 +60,24 @@ class _Memo(dict):
         return value
 
 
+class _Parts(dict):
+    """The same for the ids and the decoded string of stretches of text, bounded in bytes."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.size = make, most, 0
+
+    def __missing__(self, key: str) -> tuple[bytes, str]:
+        value = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            self.size += 300 + 4 * len(key) + len(value[0]) + 4 * len(value[1])  # with what Python adds
+            if self.size > self.most:
+                self.clear()
+                self.size = 0
+            self[key] = value
+        return value
+
+
 def _byte_chars() -> list[str]:
     """The printable stand-in for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -65,11 +85,30 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+def _check(spec: dict) -> None:
+    """An error for a tokenizer file that asks for something else than ``Encoder`` does."""
+    model = spec["model"]
+    steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", ())]
+    splits = [p["type"] for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", ())]
+    flags = ("single_word", "lstrip", "rstrip", "normalized")
+    right = {
+        "model": model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")),
+        "normalizer": steps == ["NFC", "Replace", "Lowercase"],
+        "pre_tokenizer": splits == ["Split", "ByteLevel"] and not spec["pre_tokenizer"]["pretokenizers"][1].get("add_prefix_space"),
+        "decoder": spec.get("decoder") is None,
+        "added_tokens": not any(t.get(k) for t in spec["added_tokens"] for k in flags),
+    }
+    wrong = [k for k, good in right.items() if not good]
+    if wrong:
+        raise ValueError(f"this tokenizer file is not of the kind that is encoded here: {', '.join(wrong)}")
+
+
 class Encoder:
     """Ids and decoded text as the given tokenizer file defines them.
 
     The file must hold a BPE model whose words end in a suffix, with byte-level words,
-    case folding, composed characters and the split pattern stated in it.
+    case folding, composed characters and the split pattern stated in it, and added tokens
+    that stand for themselves wherever they are; any other file raises an error.
     """
 
     def __init__(self, path: str):
@@ -77,7 +116,10 @@ class Encoder:
             spec = json.load(f)
         model = spec["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+        _check(spec)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        #: What each added token begins with: texts without it hold none.
+        self.mark = os.path.commonprefix(list(self.added))
         self.strings = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(_as_library(pattern), regex.V1)
@@ -97,8 +139,8 @@ class Encoder:
             body = token[: -len(suffix)] if ends else token
             self.automaton.add_word(body + END * ends, (len(body), i))
         self.automaton.make_automaton()
-        self.memo = _Memo(self._chunk, MEMO_WORDS)
-        self.memo_words = _Memo(self._word, MEMO_WORDS // 2)
+        self.memo = _Parts(self._chunk, MEMO_BYTES)
+        self.memo_words = _Parts(self._word, MEMO_BYTES // 2)
 
     def _apart(self, pair: int) -> bool:
         """Whether two neighbouring tokens stay two when their text is merged as one.
@@ -169,7 +211,7 @@ class Encoder:
 
     def parts(self, text: str) -> list[tuple[bytes, str]]:
         """Ids and decoded string of each part of the whole text, in order."""
-        if "<|" not in text or not self.added:
+        if not self.added or self.mark not in text:
             return self._plain(text)
         out, at = [], 0
         for m in self.specials.finditer(text):
@@ -193,25 +235,42 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with ``ids`` (array of int); a null text is empty.
+def _id_lists(raw: list[bytes]) -> pa.Array:
+    sizes = np.cumsum([0] + [len(r) // 4 for r in raw])
+    values = np.frombuffer(b"".join(raw), "<i4")
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int32()))
+
+
+def _digests(enc: Encoder, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
+    """Of each whole text its ids, and the SHA-256 of what they decode to."""
+    ids, decoded = [], []
+    for text in texts:
+        parts = enc.parts(text or "")
+        ids.append(b"".join([i for i, _ in parts]))
+        decoded.append(hashlib.sha256(" ".join([d for _, d in parts]).encode()).hexdigest())
+    return ids, decoded
+
 
-    Row-wise: rows may repeat, and no row meets another, so hot sources or copies
-    don't matter. A clashing column ``ids`` is replaced.
+def encode(docs: DataFrame, path: str, text: str = "text", without: tuple[str, ...] = (), decoded: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` (array of int) of each whole text; a null text is empty.
+
+    With ``decoded``, also ``decoded_sha256``, the digest of the text that the ids decode
+    to. Row-wise: rows may repeat, and no row meets another, so hot sources or copies
+    don't matter; an empty table gives an empty result. Columns named like the new ones
+    are replaced. What a worker remembers is bounded in bytes, whatever the texts are.
     """
 
     def make(batch: pa.RecordBatch):
-        enc = encoder(path)
-        raw = [enc.encode(t or "") for t in batch.column(text).to_pylist()]
-        sizes = np.cumsum([0] + [len(r) // 4 for r in raw])
-        values = np.frombuffer(b"".join(raw), "<i4")
-        return [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int32()))]
+        raw, digests = _digests(encoder(path), batch.column(text).to_pylist())
+        return [_id_lists(raw), pa.array(digests, pa.string())][: 1 + decoded]
 
-    return add_columns(docs, [("ids", "array<int>")], make, without)
+    fields = [("ids", "array<int>"), ("decoded_sha256", "string")][: 1 + decoded]
+    return add_columns(docs, fields, make, without)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """``rows`` with ``decoded``, the text that the ids stand for; null ids are empty."""
+    """``rows`` with ``decoded``, the text that the ids stand for; null or empty ids give an
+    empty text. Row-wise; a column ``decoded`` is replaced; an empty table stays empty."""
 
     def make(batch: pa.RecordBatch):
         enc = encoder(path)
@@ -222,22 +281,18 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids and of the decoded text.
+    """doc_id, n_tokens and the SHA-256 of the ids and of the decoded text of every row.
 
     The same encoder and decoder as ``encode``; the digests are taken where the ids are
-    made, so that neither ids nor texts go back to the JVM.
+    made, so that neither ids nor texts go back to the JVM. A null text is empty, null ids
+    stay, rows repeat as given, other columns are not read, and an empty table gives an
+    empty result.
     """
 
     def make(batch: pa.RecordBatch):
-        enc = encoder(path)
-        n, one, two = [], [], []
-        for t in batch.column("text").to_pylist():
-            parts = enc.parts(t or "")
-            ids = b"".join([i for i, _ in parts])
-            n.append(len(ids) // 4)
-            one.append(hashlib.sha256(ids).hexdigest())
-            two.append(hashlib.sha256(" ".join([d for _, d in parts]).encode()).hexdigest())
-        return pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())
+        ids, decoded = _digests(encoder(path), batch.column("text").to_pylist())
+        n = [len(i) // 4 for i in ids]
+        return pa.array(n, pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()), pa.array(decoded, pa.string())
 
     fields = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
     return add_columns(docs.select("doc_id", "text"), fields, make, without=("text",))
