@@ -7,7 +7,7 @@ their own, hashed into one bounded weight vector.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from itertools import product
 
 import numpy as np
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns
+from .common import add_columns, hot_keys, salted_join
 
 #: The rules (host/path-prefix) and their verdicts.
 RULES = {
@@ -26,31 +26,68 @@ RULES = {
     "com/de/": "block",
 }
 
-#: Words of hosts and paths that the default labelled table is built from.
+#: Words, host endings and paths that the default labelled table is built from.
 BLOCK_WORDS = "adult ads banner bet bets bonus casino cheap click coupon free gambling hot jackpot loan lottery pharma pills poker porn promo sex slots spam track tracker viagra win xxx".split()
-ALLOW_WORDS = "archive art blog books city college daily docs field garden health history journal library market museum music news notes open paper physics press review school science travel weather wiki".split()
+ALLOW_WORDS = (
+    "academy airport alphabet animal archive area art atlas author autumn baker bank basket battery beach better bicycle bird blog board boat book books "
+    "bridge brother build cabin camera canal candle castle center chemistry child church citizen city climate clinic cloud coast coffee college color community "
+    "concert cook corner cotton council country courier craft culture daily dance data design digital dinner doctor docs drama earth economy editor engine estate europe "
+    "evening event factory family farm fashion field film finance fish flower food football forest forum fruit future gallery garden gazette global gold green guide "
+    "guitar harbor health heart herald history home honey horse hospital house idea industry island journal kitchen labor lake language law learn letter library "
+    "light local machine magazine map marine market math medical memory metal mirror modern money morning mountain museum music nature network news north note "
+    "ocean office open opera orange outdoor paper park people phone photo physics planet plant police post press project public radio "
+    "rail recipe report research review river road roads school science season shop society sport spring station stone story street student studio summer "
+    "teacher theater tower travel tree valley video village water weather wiki window winter wood work world"
+).split()
 SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
-PATHS = ["/", "/en/12", "/de/345/", "/fr/678.html", "/es/90", "/post/7/", "/a/b", ""]
+PREFIXES = ["", "www.", "m.", "blog."]
+ENDINGS = [".com", ".net", ".org", ".example.com"]
+PATHS = ["", "/", "/en/12", "/de/345/", "/fr/678.html", "/es/90", "/post/7/", "/a/b", "/index.html", "/2024/05/31/story"]
+
+#: Paths that each host of the table is with.
+TURNS = 6
 
 #: Rules that fit in each worker; longer lists are joined (``match_rules``).
 MOST_RULES = 10_000
-BITS = 16
+BITS = 18
 SIZES = (3, 4, 5)
 THRESHOLD = 0.5
+#: Weight of the rows with label 1 in training.
+PRIOR = 0.3
+
+
+def made_words(number: int) -> list[str]:
+    """Words of two to four syllables, by rule: neutral ones in a great variety, so that
+    what marks a neutral host is that no block word is in it."""
+    n = len(SYLLABLES)
+    at = lambda k, step: SYLLABLES[(k * step + k // n * (step + 2) + step) % n]
+    return ["".join(at(k, step) for step in (1, 7, 11, 17)[: 2 + k % 3]) for k in range(number)]
 
 
-def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, label) rows: 1 for hosts to block, 0 for hosts to allow."""
+def labelled_urls(block: Sequence[str] = BLOCK_WORDS, allow: Sequence[str] = ALLOW_WORDS, paths: Sequence[str] = PATHS, made: int = 200) -> list[tuple[str, str, int]]:
+    """(host, path, label) rows: 1 if the host or the path has a block word, else 0.
+
+    Hosts are a word, alone and joined to many neutral ones in both orders; every one of
+    them has each prefix and each ending once. Paths are the given neutral ones, folders and
+    pages of made words, and folders of block words; hosts take them in turn. So prefixes,
+    endings and neutral paths are as often with hosts of either label.
+    """
+    plain = made_words(made)
+    neutral = [*allow, *plain]
+
+    def hosts(words: Sequence[str], label: int, mates: int) -> list[tuple[str, int]]:
+        forms = ("{0}-{1}", "{1}{0}", "{1}-{0}{2}", "{0}{1}")
+        bodies = [word for word in words for _ in range(mates // 4)]
+        bodies += [forms[j % 4].format(word, neutral[(k * mates + j) * 7 % len(neutral)], k % 10) for k, word in enumerate(words) for j in range(mates)]
+        return [(f"{p}{body}{ENDINGS[(i + k) % len(ENDINGS)]}", label) for k, body in enumerate(bodies) for i, p in enumerate(PREFIXES)]
+
+    shapes = ("/{0}/{1}", "/{0}-{1}.html", "/{2}/{1}/{0}", "/{0}")
+    spread = lambda words, label: [(shapes[k % 4].format(w, 37 * k % 1000, SYLLABLES[k % len(SYLLABLES)]), label) for k, w in enumerate(words)]
+    where = [*((p, 0) for p in paths), *spread([*allow, *plain[::3]], 0), *spread([w for w in block for _ in shapes], 1)]
     rows = []
-    for k, (a, b) in enumerate(product(BLOCK_WORDS, BLOCK_WORDS + ALLOW_WORDS)):
-        if a != b and k % 2 == 0:
-            rows.append((f"{['', 'www.', 'm.', 'blog.'][k % 4]}{a}-{b}.example.{['com', 'net', 'org'][k % 3]}", PATHS[k % len(PATHS)], 1))
-    for k, (a, b) in enumerate(product(ALLOW_WORDS, ALLOW_WORDS)):
-        if a != b and k % 3 == 0:
-            rows.append((f"{['', 'www.', 'm.', 'blog.'][k % 4]}{a}{['-', ''][k % 2]}{b}.example.{['com', 'net', 'org'][k % 3]}", PATHS[k % len(PATHS)], 0))
-    for k, (a, b) in enumerate(product(SYLLABLES, SYLLABLES)):
-        c = SYLLABLES[(k * 7) % len(SYLLABLES)] if k % 2 else ""
-        rows.append((f"{['', 'www.', 'm.', 'blog.'][k % 4]}{a}{b}{c}.example.{['com', 'net', 'org'][k % 3]}", PATHS[k % len(PATHS)], 0))
+    for found in (hosts(block, 1, 16), hosts(neutral, 0, 4)):
+        for k, (host, a) in enumerate(found):
+            rows += [(host, path, a | b) for path, b in (where[(k * TURNS + j) % len(where)] for j in range(TURNS))]
     return rows
 
 
@@ -76,27 +113,39 @@ def _grams(texts: list[str], salt: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket) of the n-grams of each host and path, and the factor of each row's sum:
+    1, so that a long path doesn't thin out what the host says."""
     (r1, b1), (r2, b2) = _grams(hosts, 0), _grams(paths, 1)
-    row, bucket = np.concatenate([r1, r2]), np.concatenate([b1, b2])
-    n = np.maximum(np.bincount(row, minlength=len(hosts)), 1)
-    return row, bucket, 1 / np.sqrt(n)
+    return np.concatenate([r1, r2]), np.concatenate([b1, b2]), np.ones(len(hosts))
+
 
+def train(rows: Iterable[tuple[str, str, int]], rounds: int = 250, rate: float = 0.25, decay: float = 1e-5) -> np.ndarray:
+    """Weights (the last is the bias) by gradient descent with momentum on the labelled rows.
 
-def train(rows: Iterable[tuple[str, str, int]], rounds: int = 600, rate: float = 2.0, decay: float = 1e-4) -> np.ndarray:
-    """Weights (the last is the bias) by gradient descent on the labelled rows."""
+    Loss: mean log loss, with a share of PRIOR for label 1, + decay * squared weights. A
+    row's sum is its host's and its path's, so n-grams are taken once for each distinct
+    host and path.
+    """
     hosts, paths, labels = map(list, zip(*rows, strict=True))
     y = np.array(labels, float)
-    row, bucket, scale = _features(hosts, paths)
-    share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))  # both classes alike
-    w, bias, g2 = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-8)
+    (hosts, h), (paths, p) = ((x.tolist(), at) for x, at in (np.unique(np.array(c, object).astype(str), return_inverse=True) for c in (hosts, paths)))
+    (r1, b1), (r2, b2) = _grams(hosts, 0), _grams(paths, 1)
+    used, at = np.unique(np.concatenate([b1, b2]), return_inverse=True)
+    b1, b2, most = at[: len(b1)], at[len(b1) :], len(used)
+    share = np.where(y > 0, PRIOR / max(y.sum(), 1), (1 - PRIOR) / max((1 - y).sum(), 1))
+    w, v, bias = np.zeros(most), np.zeros(most), 0.0
     for _ in range(rounds):
-        z = np.bincount(row, w[bucket], len(y)) * scale + bias
-        err = (1 / (1 + np.exp(-z)) - y) * share
-        g = np.bincount(bucket, (err * scale)[row], 1 << BITS) + decay * w / len(y)
-        g2 += g * g
-        w -= rate * 0.1 * g / np.sqrt(g2)
-        bias -= rate * err.sum()
-    return np.append(w, bias)
+        z = np.bincount(r1, w[b1], len(hosts))[h] + np.bincount(r2, w[b2], len(paths))[p] + bias
+        score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        err = (score - y) * share
+        g = np.bincount(b1, np.bincount(h, err, len(hosts))[r1], most) + np.bincount(b2, np.bincount(p, err, len(paths))[r2], most) + 2 * decay * w
+        v = 0.9 * v - rate * g
+        w = w + v
+        # a Newton step: what all rows share should stand in the bias, not in their n-grams
+        bias -= 0.5 * err.sum() / max((score * (1 - score) * share).sum(), 1e-3)
+    out = np.zeros((1 << BITS) + 1)
+    out[used], out[-1] = w, bias
+    return out
 
 
 def parts(url: str = "url"):
@@ -130,15 +179,19 @@ def by_host(rules: Iterable[str]) -> dict[str, list[tuple[str, str]]]:
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct (host, path) of ``urls`` with the rule that fits, for rule lists of any size.
 
-    ``rules``: (rule, verdict). Joins on the host's suffixes, one row per label.
+    ``rules``: (rule, verdict). Joins the host's suffixes, each with the path cut to the
+    lengths that rules have, so that only what fits meets; hot keys are dealt to many tasks.
     """
-    keys = urls.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    k = F.explode(F.sequence(F.lit(1), F.size(labels)))
-    wide = keys.withColumn("_k", k).withColumn("_suffix", F.array_join(F.slice(labels, F.col("_k"), F.size(labels)), "."))
     listed = rules.select("rule", "verdict", F.regexp_extract("rule", "^[^/]*", 0).alias("_suffix"), F.regexp_extract("rule", "^[^/]*(.*)$", 1).alias("_prefix"))
-    fits = wide.join(listed, "_suffix").where(F.startswith("path", "_prefix"))
-    best = F.max(F.struct(F.length("rule"), F.length("_suffix"), "rule", "verdict")).alias("m")
+    lengths = sorted(r[0] for r in listed.select(F.length("_prefix")).distinct().collect())  # as many as rules have lengths
+    labels = F.split("host", r"\.")
+    wide = urls.select("host", "path").distinct().select("host", "path", labels.alias("_labels"), F.explode(F.sequence(F.lit(1), F.size(labels))).alias("_k"))
+    wide = wide.select("host", "path", F.array_join(F.slice("_labels", F.col("_k"), F.size("_labels")), ".").alias("_suffix"), F.explode(F.lit(lengths).cast("array<int>")).alias("_n"))
+    wide = wide.where(F.length("path") >= F.col("_n")).select("host", "path", F.struct("_suffix", F.left("path", F.col("_n")).alias("_prefix")).alias("_key"))
+    listed = listed.select("rule", "verdict", F.struct("_suffix", "_prefix").alias("_key"))
+    counts = wide.groupBy("_key").agg(F.count("*").alias("n"))
+    fits = salted_join(wide, listed, "_key", hot_keys(counts, "_key", wide.count()))
+    best = F.max(F.struct(F.length("rule"), F.length("_key._suffix"), "rule", "verdict")).alias("m")
     return fits.groupBy("host", "path").agg(best).select("host", "path", "m.rule", "m.verdict")
 
 
@@ -146,28 +199,32 @@ def judge(pages: DataFrame, rules: dict[str, str] | None = None, model: np.ndarr
     """page_id, host, path, rule, verdict and score (the model's) of every row.
 
     A rule's verdict holds; without one, the model's at ``THRESHOLD``. A null url or one
-    without ``://`` has an empty host and path and is judged as such. Row-wise, so
-    repeated rows and hot hosts don't matter. Other columns are not read.
+    without ``://`` has an empty host and path and is judged as such; long urls are judged
+    whole. Row-wise, so repeated rows and hot hosts don't matter. Other columns are not
+    read, and an empty table gives an empty result.
     """
     rules = RULES if rules is None else rules
     model = train(labelled_urls()) if model is None else model
     spark = pages.sparkSession
-    shared = spark.sparkContext.broadcast((model, by_host(rules) if len(rules) <= MOST_RULES else {}, rules if len(rules) <= MOST_RULES else {}))
+    short = len(rules) <= MOST_RULES
+    shared = spark.sparkContext.broadcast((model.astype(np.float32), by_host(rules) if short else {}, rules if short else {}))
 
     def make(batch: pa.RecordBatch):
         w, hosts_of, verdicts = shared.value
         hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
         row, bucket, scale = _features(hosts, paths)
         z = np.bincount(row, w[:-1][bucket], len(hosts)) * scale + w[-1]
-        score = 1 / (1 + np.exp(-z))
+        score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         rule = [best_rule(h, p, hosts_of) for h, p in zip(hosts, paths, strict=True)]
         verdict = [verdicts[r] if r else "block" if s >= THRESHOLD else "allow" for r, s in zip(rule, score, strict=True)]
         return pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(score)
 
     out = add_columns(pages.select("page_id", *parts()), [("rule", "string"), ("verdict", "string"), ("score", "double")], make)
-    if len(rules) <= MOST_RULES:
+    if short:
         return out
     listed = spark.createDataFrame(list(rules.items()), "rule string, verdict string")
-    matched = match_rules(out, listed).withColumnRenamed("verdict", "_verdict")
-    joined = out.drop("rule").join(matched, ["host", "path"], "left")
+    matched = match_rules(out, listed).select(F.struct("host", "path").alias("_url"), "rule", F.col("verdict").alias("_verdict"))
+    keyed = out.drop("rule").withColumn("_url", F.struct("host", "path"))
+    hot = hot_keys(keyed.groupBy("_url").agg(F.count("*").alias("n")), "_url", keyed.count())
+    joined = salted_join(keyed, matched, "_url", hot, "left")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("_verdict", "verdict").alias("verdict"), "score")
