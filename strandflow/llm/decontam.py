@@ -25,8 +25,9 @@ COVERAGE = 0.5
 #: Words of one run that are reported at any coverage, and its windows.
 RUN = 13
 RUN_WINDOWS = RUN - WINDOW + 1
-#: Benchmark windows that are broadcast; beyond it the join shuffles.
-MOST_BROADCAST = 1_000_000
+#: Benchmark windows, and characters of whole items, that are broadcast; beyond it the
+#: joins shuffle.
+MOST_BROADCAST, MOST_CHARS = 1_000_000, 8_000_000
 
 #: Units that count as such right after a number.
 UNITS = "mm cm m km in inch inches ft feet yd mi mile miles mg g kg lb lbs oz ml l s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent mph kmh kph w kw hz khz mhz ghz kb mb gb tb degrees".split()
@@ -44,7 +45,8 @@ def template(words: Column, names: bool = True) -> Column:
 
     def one(w: Column, i: Column) -> Column:
         low = F.lower(w)
-        number = (F.substring(w, 1, 1) >= "0") & (F.substring(w, 1, 1) <= "9")
+        first = F.substring(w, 1, 1)  # words of letters and marks, or numbers of any script
+        number = F.when(first < "\x80", (first >= "0") & (first <= "9")).otherwise(w.rlike(r"^\p{N}"))
         # initcap lower-cases the rest, so only the first letter is a capital
         name = (w != low) & (w == F.initcap(w))
         return F.when(number, "\x01").when(name & F.lit(names), "\x02").otherwise(low)
@@ -140,8 +142,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     Coverage is the share of the item's windows found with consistent slots, of those with
     enough literal words or of all, whichever is more; a run may be reported at a lower one.
     same_fillers tells a copy from a re-parameterised question. Null or empty texts and
-    items match nothing. Rows that repeat an id count as one document, as do those with
-    a null id. Other columns are not read. Empty tables give an empty result.
+    items match nothing; long ones are compared whole. Rows that repeat an id count as one
+    document, as do those with a null id. Other columns are not read, whatever their names.
+    Empty tables give an empty result.
     """
     docs = docs.select("doc_id", "text")
     items = materialise(item_windows(benchmark), "items")
@@ -163,7 +166,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     key = ["doc_id", "item_id", "item_windows", "strong", "shift"]
     one = found.groupBy(*key, F.xxhash64("text").alias("copy")).agg(F.first("text").alias("text"))
     sides = items.groupBy("item_id").agg(F.first("words").alias("words"), F.first("folded").alias("folded"), F.first("plain").alias("plain"), F.first("raw").alias("item_raw"), F.first("size").alias("size"), F.sort_array(F.collect_set(F.struct("at", "need"))).alias("tried"))
-    one = one.join(F.broadcast(sides) if small else sides, "item_id")
+    chars = sides.agg(F.coalesce(F.sum(F.length(F.array_join("item_raw", " "))), F.lit(0))).first()[0]
+    one = one.join(F.broadcast(sides) if small and chars <= MOST_CHARS else sides, "item_id")
     places = F.sequence(F.lit(0), F.size("words") - 1)
 
     bind = lambda c, use: F.transform(F.array(c), use)[0]
@@ -220,7 +224,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs`` without a leak, columns unchanged; null ids count as one document."""
+    """The rows of ``docs`` without a leak, columns unchanged; null ids count as one document,
+    null and empty texts stay, rows repeat as given, and empty tables change nothing."""
     leaks = materialise(find_leaks(docs, benchmark, coverage).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
     few = leaks.count() <= MOST_BROADCAST
     return docs.join(F.broadcast(leaks) if few else leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti").select(*docs.columns)

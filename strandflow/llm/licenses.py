@@ -14,7 +14,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import add_columns
+from .common import add_columns, pieces
 
 #: The base phrases and their labels.
 PHRASES = {
@@ -23,24 +23,101 @@ PHRASES = {
     "all rights reserved": "reserved",
 }
 
-#: Notices in template markup, by label.
+#: Licenses and notices in template markup, by label. The whole wording outside
+#: the regions is mandatory; -opening labels are only the first clause of a license.
 TEMPLATES = {
-    "mit": "<<beginOptional>>this software is <<endOptional>>released under the <<beginOptional>>terms of the <<endOptional>>mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-    "apache-2.0": "licensed under the apache license <<beginOptional>>version <<endOptional>>2 0",
-    "gpl-3.0": "licensed under the <<beginOptional>>terms of the <<endOptional>>gnu general public license <<beginOptional>>version <<endOptional>><<beginOptional>>v <<endOptional>>3",
-    "gpl-2.0": "licensed under the <<beginOptional>>terms of the <<endOptional>>gnu general public license <<beginOptional>>version <<endOptional>><<beginOptional>>v <<endOptional>>2",
-    "cc-by-nc-4.0": "licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>cc by nc 4 0",
-    "cc-by-sa-4.0": "licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>cc by sa 4 0",
-    "cc-by-4.0": "licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>cc by 4 0",
-    "copyright-notice": "copyright <<beginOptional>>c <<endOptional>><<var;most=8>> all rights reserved",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "mit": "<<beginOptional>>this software is <<endOptional>>released under the <<beginOptional>>terms of the <<endOptional>>MIT License",
+    "mit-opening": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+        associated documentation files (the "Software"), to deal in the Software without restriction, including without
+        limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+        Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        <<beginOptional>>1.<<endOptional>> The above copyright notice and this permission notice <<beginOptional>>(including the
+        next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.
+        <<beginOptional>>2.<<endOptional>> THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+        INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+        IN NO EVENT SHALL <<var;most=40>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+        TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "isc": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose
+        with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in
+        all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;most=40>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;most=40>> BE LIABLE FOR ANY
+        SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+        PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH
+        THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-opening": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+        that the following conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the
+        above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>>
+        Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY
+        <<var;most=40>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;most=40>> BE LIABLE FOR
+        ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+        PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+        AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+        ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+        that the following conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the
+        above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>>
+        Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution. <<beginOptional>>3.<<endOptional>>
+        Neither the name of <<var;most=40>> nor the names of <<beginOptional>>its<<endOptional>><<beginOptional>>their<<endOptional>>
+        contributors may be used to endorse or promote products derived from this software without specific prior written
+        permission. THIS SOFTWARE IS PROVIDED BY <<var;most=40>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
+        NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+        EVENT SHALL <<var;most=40>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+        (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+        INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+        NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+        DAMAGE.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the
+        <<beginOptional>>author<<endOptional>><<beginOptional>>authors<<endOptional>> be held liable for any damages arising from the use of this software. Permission
+        is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+        redistribute it freely, subject to the following restrictions: <<beginOptional>>1.<<endOptional>> The origin of this
+        software must not be misrepresented; you must not claim that you wrote the original software. If you use this software
+        in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+        <<beginOptional>>2.<<endOptional>> Altered source versions must be plainly marked as such, and must not be misrepresented
+        as being the original software. <<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any
+        source distribution.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means.""",
+    "apache-2.0": "licensed under the Apache License<<beginOptional>>, version <<endOptional>> 2.0",
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use <<var;most=12>> except
+        in compliance with the License. You may obtain a copy of the License at <<beginOptional>>https<<endOptional>>
+        <<beginOptional>>http<<endOptional>> <<beginOptional>>www.<<endOptional>>apache.org/licenses/LICENSE-2.0 Unless required by
+        applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+        governing permissions and limitations under the License.""",
+    "gpl-3.0": "licensed under the <<beginOptional>>terms of the <<endOptional>>GNU General Public License <<beginOptional>>version <<endOptional>><<beginOptional>>v <<endOptional>>3",
+    "gpl-2.0": "licensed under the <<beginOptional>>terms of the <<endOptional>>GNU General Public License <<beginOptional>>version <<endOptional>><<beginOptional>>v <<endOptional>>2",
+    "gpl-3.0-notice": """is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+        version. <<var;most=12>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+        details.""",
+    "cc-by-nc-4.0": "licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>CC BY-NC 4.0",
+    "cc-by-sa-4.0": "licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>CC BY-SA 4.0",
+    "cc-by-4.0": "licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>CC BY 4.0",
+    "copyright-notice": "copyright <<beginOptional>>(c) <<endOptional>><<var;most=40>> all rights reserved",
 }
 
+#: Bytes of a text that are taken apart at a time.
+CHUNK = 1 << 18
+
 #: Bytes that are no part of a word become spaces; A-Z become a-z.
 _TABLE = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
 
+def _parts(markup: str) -> list[str]:
+    """Marks of regions, and the words between them as texts have theirs."""
+    out: list[str] = []
+    for part in re.findall(r"<<.*?>>|[^<]+", markup):
+        out += [part] if part.startswith("<<") else [w.decode() for w in part.encode().translate(_TABLE).split()]
+    return out
+
+
 def compile_template(markup: str) -> tuple[list, int]:
     """Arcs of each state and the accepting state.
 
@@ -48,7 +125,7 @@ def compile_template(markup: str) -> tuple[list, int]:
     """
     arcs: list[list[tuple[str | None, int]]] = [[]]
     opened: list[int] = []
-    for part in re.findall(r"<<.*?>>|[^\s<]+", markup):
+    for part in _parts(markup):
         at = len(arcs) - 1
         if part == "<<beginOptional>>":
             opened.append(at)
@@ -97,7 +174,8 @@ class Automaton:
 
     def accepts_at(self, words: list[bytes], start: int) -> bool:
         states = self.closed[0]
-        for word in words[start:]:
+        for i in range(start, len(words)):
+            word = words[i]
             nxt: set[int] = set()
             for s in states:
                 for w, to in self.arcs[s]:
@@ -110,14 +188,15 @@ class Automaton:
             states = nxt
         return False
 
-    def found_in(self, words: list[bytes]) -> bool:
-        return any(w in self.begins and self.accepts_at(words, i) for i, w in enumerate(words))
+    def found_in(self, words: list[bytes], starts: int) -> bool:
+        """Whether a place among the first ``starts`` words is accepted."""
+        return any(words[i] in self.begins and self.accepts_at(words, i) for i in range(starts))
 
 
 def markup_words(markup: str) -> list[bytes]:
     """The mandatory words: those outside any region."""
     text, depth = [], 0
-    for part in re.findall(r"<<.*?>>|[^\s<]+", markup):
+    for part in _parts(markup):
         depth += (part == "<<beginOptional>>") - (part == "<<endOptional>>")
         if not part.startswith("<<") and not depth:
             text.append(part.encode())
@@ -134,40 +213,59 @@ def _compiled(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, Automat
     return out
 
 
-def _places(line: bytes, phrase: bytes) -> list[int]:
-    """Byte offsets of a phrase's words; places may overlap."""
-    out, at = [], line.find(phrase)
+def _places(line: bytes, phrase: bytes):
+    """At which words of a line a phrase's words stand; places may overlap."""
+    word, last, at = 0, 0, line.find(phrase)
     while at >= 0:
-        out.append(at)
-        at = line.find(phrase, at + 1)
-    return out
+        word += line.count(b" ", last, at)
+        yield word
+        last, at = at, line.find(phrase, at + 1)
+
+
+def _stretches(raw: bytes, reach: int):
+    """(words, starts) of a text's words bit by bit: ``starts`` new words, and up to
+    ``reach`` more that what begins in them may go on into."""
+    parts = pieces(raw, CHUNK)
+    words = next(parts, b"").split()
+    more = True
+    while more:
+        ahead: list[bytes] = []
+        while len(ahead) < reach and (part := next(parts, None)) is not None:
+            ahead += part.split()
+        more = bool(ahead)
+        yield words + ahead[:reach], len(words)
+        words = ahead
 
 
 def scan_text(text: str | None, phrases: dict[str, str], templates: tuple) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels and score of a text."""
-    words = (text or "").encode().translate(_TABLE).split(b" ")
-    words = [w for w in words if w]
-    line = b" " + b" ".join(words) + b" "
-    n, first, last, base = 0, None, None, set()
-    for phrase, label in phrases.items():
-        for at in _places(line, b" " + phrase.encode() + b" "):
-            word = line.count(b" ", 0, at)
-            n, base = n + 1, base | {label}
-            first = word if first is None else min(first, word)
-            last = word if last is None else max(last, word)
-    labels = set(base)
-    own = {label for label, automaton, rarest in _compiled(templates) if rarest in line and automaton.found_in(words)}
-    labels |= own
+    compiled = _compiled(templates)
+    reach = max([len(a.arcs) for _, a, _ in compiled] + [len(p.split()) for p in phrases], default=1)
+    total, n, first, last = 0, 0, None, None
+    base: set[str] = set()
+    own: set[str] = set()
+    for words, starts in _stretches((text or "").encode().translate(_TABLE), reach):
+        line = b" " + b" ".join(words) + b" "
+        for phrase, label in phrases.items():
+            for word in _places(line, b" " + phrase.encode() + b" "):
+                if word >= starts:
+                    break
+                n, base, word = n + 1, base | {label}, word + total
+                first = word if first is None else min(first, word)
+                last = word if last is None else max(last, word)
+        own |= {label for label, automaton, rarest in compiled if label not in own and rarest in line and automaton.found_in(words, starts)}
+        total += starts
     score = 1.0 if own else 0.5 if base else 0.0
-    return len(words), n, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
+    return total, n, first, last, ",".join(sorted(base)), ",".join(sorted(base | own)), score
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id and what ``scan_text`` finds in each row's whole text.
 
     Score is 1 where a template is accepted, 0.5 where only base phrases stand, else 0.
-    A null or empty text has no words, null places, empty labels and score 0. Row-wise:
-    repeated rows and hot sources don't matter. Other columns are not read.
+    A null or empty text has no words, null places, empty labels and score 0; a very long
+    one is scanned whole, bit by bit. Row-wise: repeated rows and hot sources don't matter.
+    Other columns are not read, and an empty table gives an empty result.
     """
     compiled = tuple(templates.items())
 

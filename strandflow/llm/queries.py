@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,20 +90,25 @@ _PLACES = {
     "gpl": "[i for i in range(0, len(w)) if w[i + 1] = 'general' and w[i + 2] = 'public' and w[i + 3] = 'license']",
     "reserved": "[i for i in range(0, len(w)) if w[i + 1] = 'all' and w[i + 2] = 'rights' and w[i + 3] = 'reserved']",
 }
-_TEMPLATES = {
-    "mit": "released under the (terms of the )?mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-    "apache-2.0": "licensed under the apache license (version )?2 0",
-    "gpl-3.0": "licensed under the (terms of the )?gnu general public license (version )?(v )?3",
-    "gpl-2.0": "licensed under the (terms of the )?gnu general public license (version )?(v )?2",
-    "cc-by-nc-4.0": "licensed under (a )?(the )?cc by nc 4 0",
-    "cc-by-sa-4.0": "licensed under (a )?(the )?cc by sa 4 0",
-    "cc-by-4.0": "licensed under (a )?(the )?cc by 4 0",
-    "copyright-notice": "copyright (c )?([^ ]+ ){0,8}all rights reserved",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-}
+
+
+def _as_regex(markup: str) -> str:
+    """A license template as a regular expression over words with one space after each."""
+    out = ""
+    for part in re.split(r"(<<.*?>>)", markup):
+        if part == "<<beginOptional>>":
+            out += "("
+        elif part == "<<endOptional>>":
+            out += ")?"
+        elif part.startswith("<<var"):
+            out += "([^ ]+ ){0,%s}" % re.findall(r"\d+", part)[0]
+        else:
+            out += "".join(w + " " for w in re.findall("[0-9a-z]+", part.lower()))
+    return out
+
+
 _BASE = ", ".join(f"CASE WHEN len({p}) > 0 THEN '{label}' END" for label, p in _PLACES.items())
-_OWN = ", ".join(f"CASE WHEN regexp_matches(line, ' {t} ') THEN '{label}' END" for label, t in _TEMPLATES.items())
+_OWN = ", ".join(f"CASE WHEN regexp_matches(line, ' {_as_regex(t)}') THEN '{label}' END" for label, t in licenses.TEMPLATES.items())
 LICENSES_SQL = rf"""
 WITH t AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 x AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS line FROM t),
@@ -115,25 +121,77 @@ FROM p
 
 _UNITS = ", ".join(f"'{u}'" for u in decontam.UNITS)
 _RAW = "regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{M}]+|\\p{N}+(?:[.,]\\p{N}+)*')"
-_PLAIN = "[CASE WHEN x[1] >= '0' AND x[1] <= '9' THEN chr(1) WHEN x <> lower(x) AND x = upper(x[1]) || lower(x[2:]) THEN chr(2) ELSE lower(x) END for x in r]"
-_TEMPLATE = f"[CASE WHEN i > 1 AND p[i - 1] = chr(1) AND p[i] IN ({_UNITS}) THEN chr(3) ELSE p[i] END for i in range(1, len(p) + 1)]"
+_NAME = "x <> lower(x) AND x = upper(x[1]) || lower(x[2:])"
+_MARKED = "[CASE WHEN regexp_matches(x, '^\\p{{N}}') THEN chr(1) WHEN {name} THEN chr(2) ELSE lower(x) END for x in r]"
+_WITH_UNITS = f"[CASE WHEN i > 1 AND {{p}}[i - 1] = chr(1) AND {{p}}[i] IN ({_UNITS}) THEN chr(3) ELSE {{p}}[i] END for i in range(1, len({{p}}) + 1)]"
+#: Of raw words r: the typed form t, the folded form f and the plain form q.
+_FORMS = f"{_WITH_UNITS.format(p='t0')} AS t, {_WITH_UNITS.format(p='f0')} AS f, [lower(x) for x in r] AS q"
+_FROM = f"SELECT *, {_MARKED.format(name=_NAME)} AS t0, {_MARKED.format(name='false')} AS f0"
+_KEY = "array_to_string({w}[{nth} + 1 : {nth} + size], chr(31))"
+_LITERAL = "len([x for x in {w}[nth + 1 : nth + size] if x >= ' ']) > (size + 1) // 2"
+
+
+def _slots(fit: str, first: str, last: str) -> str:
+    """The slots of the matching stretch around the windows from first to last."""
+    low = f"coalesce(list_max([j for j in range(0, len(t)) if {fit}[j + 1] = 0 AND j < {first}]), -1)"
+    high = f"coalesce(list_min([j for j in range(0, len(t)) if {fit}[j + 1] = 0 AND j >= {last} + size]), len(t))"
+    return f"list_distinct([{{'k': kind[j + 1], 'a': q[j + 1], 'b': lower(dr[j + shift + 1])}} for j in range({low} + 1, {high}) if {fit}[j + 1] > 0 AND kind[j + 1] < ' '])"
+
+
+def _ones(pairs: str) -> str:
+    """Whether slots correspond one to one."""
+    return f"(len(list_distinct([{{'k': x.k, 'a': x.a}} for x in {pairs}])) = len({pairs}) AND len(list_distinct([{{'k': x.k, 'b': x.b}} for x in {pairs}])) = len({pairs}))"
+
+
 LEAKS_SQL = f"""
-WITH items AS (SELECT item_id, r, {_TEMPLATE} AS w, least(len(r), 8) AS size FROM (SELECT *, {_PLAIN} AS p FROM (SELECT item_id, {_RAW} AS r FROM benchmark)) WHERE len(r) > 1),
-docs AS (SELECT doc_id, md5(text) AS copy, r, {_TEMPLATE} AS w FROM (SELECT *, {_PLAIN} AS p FROM (SELECT doc_id, text, {_RAW} AS r FROM documents))),
-item_windows AS (SELECT DISTINCT item_id, size, nth, array_to_string(w[nth + 1 : nth + size], chr(31)) AS k FROM (SELECT *, unnest(range(0, len(w) - size + 1)) AS nth FROM items)
-  WHERE len([x for x in w[nth + 1 : nth + size] if x >= ' ']) > (size + 1) // 2),
-item_sizes AS (SELECT item_id, count(*) AS item_windows FROM item_windows GROUP BY item_id),
-doc_windows AS (SELECT doc_id, copy, size, pos, array_to_string(w[pos + 1 : pos + size], chr(31)) AS k FROM (SELECT doc_id, copy, w, size, unnest(range(0, len(w) - size + 1)) AS pos
-  FROM docs, (SELECT DISTINCT size FROM item_windows)) WHERE len(w) >= size),
-diagonals AS (SELECT doc_id, copy, item_id, pos - nth AS shift, list(DISTINCT nth) AS ats FROM doc_windows JOIN item_windows USING (size, k) GROUP BY ALL),
-bound AS (SELECT g.*, i.w, i.r, i.size, d.w AS dw, d.r AS dr, [j for j in range(0, len(i.w)) if NOT coalesce(j + shift >= 0 AND i.w[j + 1] = d.w[j + shift + 1], false)] AS off
-  FROM diagonals g JOIN items i USING (item_id) JOIN (SELECT DISTINCT ON (doc_id, copy) * FROM docs) d USING (doc_id, copy)),
-region AS (SELECT *, coalesce(list_max([j for j in off if j < list_min(ats)]), -1) AS low, coalesce(list_min([j for j in off if j >= list_max(ats) + size]), len(w)) AS high FROM bound),
-slots AS (SELECT doc_id, copy, item_id, shift, ats, list_distinct([{{'k': w[j + 1], 'a': lower(r[j + 1]), 'b': lower(dr[j + shift + 1])}} for j in range(low + 1, high) if w[j + 1] < ' ']) AS pairs FROM region),
-held AS (SELECT doc_id, item_id, unnest(ats) AS nth, len([x for x in pairs if x.a <> x.b]) = 0 AS same FROM slots
-  WHERE len(list_distinct([{{'k': x.k, 'a': x.a}} for x in pairs])) = len(pairs) AND len(list_distinct([{{'k': x.k, 'b': x.b}} for x in pairs])) = len(pairs))
-SELECT doc_id, item_id, count(DISTINCT nth) / any_value(item_windows)::DOUBLE AS coverage, bool_and(same) AS same_fillers
-FROM held JOIN item_sizes USING (item_id) GROUP BY doc_id, item_id HAVING count(DISTINCT nth) >= 0.5 * any_value(item_windows)
+WITH items AS (SELECT DISTINCT item_id, r, {_FORMS}, least(len(r), 8) AS size FROM ({_FROM} FROM (SELECT item_id, {_RAW} AS r FROM benchmark)) WHERE len(r) > 1),
+docs AS (SELECT doc_id, copy, r, {_FORMS} FROM ({_FROM} FROM (SELECT doc_id, any_value(text) AS text, md5(text) AS copy, any_value({_RAW}) AS r FROM documents WHERE text IS NOT NULL GROUP BY doc_id, md5(text)))),
+placed AS (SELECT *, unnest(range(0, len(r) - size + 1)) AS nth FROM items),
+tried AS (SELECT item_id, size, nth, CASE WHEN {_LITERAL.format(w="t")} THEN 1 WHEN {_LITERAL.format(w="f")} THEN 2 ELSE 3 END AS need,
+  {_KEY.format(w="t", nth="nth")} AS kt, {_KEY.format(w="f", nth="nth")} AS kf, {_KEY.format(w="q", nth="nth")} AS kq FROM placed),
+sizes AS (SELECT item_id, count(*) AS item_windows, count(*) FILTER (need = 1) AS strong, list({{'nth': nth, 'need': need}} ORDER BY nth) AS tried FROM tried GROUP BY item_id),
+posts AS (SELECT DISTINCT item_id, size, nth, unnest(CASE need WHEN 1 THEN [kt, kf] WHEN 2 THEN [kf] ELSE [kq] END) AS k FROM tried),
+doc_places AS (SELECT *, unnest(range(0, len(r) - size + 1)) AS pos FROM docs, (SELECT DISTINCT size FROM posts) WHERE len(r) >= size),
+doc_posts AS (SELECT doc_id, copy, size, pos, unnest([{_KEY.format(w="t", nth="pos")}, {_KEY.format(w="f", nth="pos")}, {_KEY.format(w="q", nth="pos")}]) AS k FROM doc_places),
+diagonals AS (SELECT DISTINCT doc_id, copy, item_id, pos - nth AS shift FROM doc_posts JOIN posts USING (size, k)),
+bound AS (SELECT g.*, i.t, i.f, i.q, i.size, s.item_windows, s.strong, s.tried, d.r AS dr,
+  [CASE WHEN j + shift < 0 THEN 0 WHEN i.q[j + 1] = d.q[j + shift + 1] THEN 3 WHEN i.f[j + 1] = d.f[j + shift + 1] THEN 2 WHEN i.t[j + 1] = d.t[j + shift + 1] THEN 1 ELSE 0 END for j in range(0, len(i.t))] AS fit,
+  [CASE WHEN j + shift >= 0 AND i.t[j + 1] = d.t[j + shift + 1] THEN 1 ELSE 0 END for j in range(0, len(i.t))] AS typed
+  FROM diagonals g JOIN items i USING (item_id) JOIN sizes s USING (item_id) JOIN docs d ON d.doc_id IS NOT DISTINCT FROM g.doc_id AND d.copy = g.copy),
+fits AS (SELECT *, [CASE WHEN typed[j] = 1 THEN t[j] ELSE f[j] END for j in range(1, len(t) + 1)] AS kind,
+  [x.nth for x in tried if list_min(fit[x.nth + 1 : x.nth + size]) >= x.need] AS ats, [x.nth for x in tried if list_min(typed[x.nth + 1 : x.nth + size]) >= x.need] AS ats_typed FROM bound),
+slots AS (SELECT *, CASE WHEN len(ats) > 0 THEN {_slots("fit", "list_min(ats)", "list_max(ats)")} ELSE [] END AS pairs,
+  CASE WHEN len(ats_typed) > 0 THEN {_slots("typed", "list_min(ats_typed)", "list_max(ats_typed)")} ELSE [] END AS pairs_typed,
+  [a for a in ats if list_contains(ats, a + 1) AND list_contains(ats, a + 2) AND list_contains(ats, a + 3) AND list_contains(ats, a + 4) AND list_contains(ats, a + 5)] AS starts FROM fits),
+each_start AS (SELECT *, [{{'a': a, 'exact': list_min(fit[a + 1 : a + 13]) = 3, 'pairs': {_slots("fit", "a", "a + 5")}}} for a in starts] AS stretches FROM slots),
+runs AS (SELECT *, CASE WHEN {_ones("pairs")} THEN stretches ELSE [x for x in stretches if x.exact OR {_ones("x.pairs").replace("for x in x.pairs", "for y in x.pairs").replace("x.k", "y.k").replace("'a': x.a", "'a': y.a").replace("'b': x.b", "'b': y.b")}] END AS run FROM each_start),
+chosen AS (SELECT doc_id, item_id, item_windows, strong, tried, len(run) > 0 AS run,
+  CASE WHEN len(ats) > 0 AND {_ones("pairs")} THEN ats WHEN len(ats_typed) > 0 AND {_ones("pairs_typed")} THEN ats_typed ELSE flatten([range(x.a, x.a + 6) for x in run]) END AS ats,
+  CASE WHEN len(ats) > 0 AND {_ones("pairs")} THEN pairs WHEN len(ats_typed) > 0 AND {_ones("pairs_typed")} THEN pairs_typed ELSE flatten([CASE WHEN x.exact THEN x.pairs[1:0] ELSE x.pairs END for x in run]) END AS pairs FROM runs),
+held AS (SELECT doc_id, item_id, item_windows, strong, [x.nth for x in tried if x.need = 1] AS literal, unnest(list_distinct(ats)) AS nth, len([x for x in pairs if x.a <> x.b]) = 0 AS same, run FROM chosen)
+SELECT * EXCLUDE (run) FROM (SELECT doc_id, item_id, greatest(count(DISTINCT nth) / any_value(item_windows)::DOUBLE, coalesce(count(DISTINCT CASE WHEN list_contains(literal, nth) THEN nth END) / nullif(any_value(strong), 0)::DOUBLE, 0)) AS coverage,
+  bool_and(same) AS same_fillers, bool_or(run) AS run FROM held GROUP BY doc_id, item_id) WHERE coverage >= 0.5 OR run
+"""
+
+#: What op8's windows come to. Turn numbers repeat in no conversation here, so ties play no part.
+_ESCAPED = "replace(replace(replace({x}, '\\', '\\b'), '#', '\\h'), '<', '\\l')"
+CHAT_SQL = rf"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (SELECT *, {_ESCAPED.format(x="text")} AS e, 14 + length(replace({_ESCAPED.format(x="role")}, ':', '\c')) + length({_ESCAPED.format(x="text")}) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx FROM said),
+counted AS (SELECT *, (strlen(e) + 3) // 4 + 4 AS tokens FROM sized),
+roomy AS (SELECT c.*, s.tokens AS system_tokens, s.chars AS system_chars, greatest(384 - 96 - coalesce(s.tokens, 0), 64) AS room
+  FROM counted c LEFT JOIN (SELECT * FROM counted WHERE idx = 0 AND role = 'system') s ON s.conv_id IS NOT DISTINCT FROM c.conv_id),
+summed AS (SELECT *, coalesce(sum(tokens) OVER prev, 0) AS before, coalesce(sum(CASE WHEN tokens * 2 > room THEN 1 ELSE 0 END) OVER prev, 0) AS longs FROM roomy
+  WINDOW prev AS (PARTITION BY conv_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT *, min(idx) OVER (PARTITION BY conv_id, before * 2 // room, longs, tokens * 2 > room) AS win FROM summed),
+spans AS (SELECT DISTINCT conv_id, win, system_chars FROM cut WHERE win > 0),
+late AS (SELECT s.conv_id, c.chars, sum(c.tokens) OVER (PARTITION BY s.conv_id, s.win ORDER BY c.idx DESC) AS taken FROM spans s JOIN cut c
+  ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.idx BETWEEN s.win - 2 AND s.win - 1 AND (c.system_chars IS NULL OR c.idx > 0)),
+extra AS (SELECT conv_id, sum(chars) AS chars FROM (SELECT conv_id, chars FROM late WHERE taken <= 96 UNION ALL SELECT conv_id, system_chars FROM spans WHERE system_chars IS NOT NULL) GROUP BY conv_id),
+whole AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY idx) AS said, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY idx), '') AS loss, sum(chars) AS chars FROM cut GROUP BY conv_id)
+SELECT w.conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(w.chars + coalesce(x.chars, 0) AS BIGINT) AS formatted_chars
+FROM whole w LEFT JOIN extra x ON x.conv_id IS NOT DISTINCT FROM w.conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": LEAKS_SQL, "op6_near_dedup": NEAR_DEDUP_SQL, "op10_licenses": LICENSES_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": LEAKS_SQL, "op6_near_dedup": NEAR_DEDUP_SQL, "op8_chat_format": CHAT_SQL, "op10_licenses": LICENSES_SQL}

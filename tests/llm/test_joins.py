@@ -228,6 +228,28 @@ def test_chat(spark):
     assert seen.count() > 50 and seen.where("window > 0 and n_context = 0").count() == 0
 
 
+def test_a_token_column_sets_the_budget(spark):
+    """Windows follow counted tokens; a missing count falls back to the estimate."""
+    rows = [(1, i, "user" if i % 2 else "assistant", f"turn {i}", 90) for i in range(12)] + [(2, i, "user", f"turn {i}", None) for i in range(12)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, n_tokens int")
+    count = {r["conv_id"]: r["count"] for r in chat.format_windows(table).groupBy("conv_id").count().collect()}
+    assert count == {1: 8, 2: 1}  # 94 tokens a turn, 144 a half of the room
+    assert chat.format_windows(table.drop("n_tokens")).where("conv_id = 1").count() == 1
+    got, plain = (sorted(map(tuple, chat.digests(chat.format_windows(t)).drop("formatted_chars").collect())) for t in (table, table.drop("n_tokens")))
+    assert got == plain
+
+
+def test_many_turns_of_one_number(spark):
+    """Equal and null numbers are ordered by role and text hash, and spread over tasks."""
+    rows = [(1, None if i % 2 else 7, "user", f"text {i}") for i in range(3000)] + [(1, 7, "system", "s")] * 2
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(6)
+    windows = chat.format_windows(table)
+    said = [t["text"] for r in windows.select("window", F.slice(chat.read_turns(F.col("formatted")), F.col("n_context") + 1, 10_000).alias("own")).orderBy("window").collect() for t in r["own"]]
+    assert sorted(said) == sorted(r[3] for r in rows)
+    assert {int(x.split()[1]) % 2 for x in said[:1500]} == {1} and said[1500:1502] == ["s", "s"]
+    assert chat.digests(windows).first()["n_turns"] == len(rows)
+
+
 # --- pipeline
 
 
@@ -252,4 +274,79 @@ def test_pipeline(spark):
     last = pipeline.run(spark, data)
     assert {r["doc_id"] for r in last.collect()} == {r["doc_id"] for r in before.collect()}
     assert last.where("n_tokens = 0 or n_tokens <> size(ids)").count() == 0
+    from strandflow.llm import bpe, queries
+
+    decoded = bpe.decode(last, queries.tokenizer_path(spark, "word_bpe_49k.json"))
+    assert decoded.where("decoded_sha256 <> sha2(decoded, 256)").count() == 0
     assert langid.keep_known(docs).count() >= 0.95 * docs.count()
+
+
+def test_pipeline_of_odd_tables(spark, clashing, empty):
+    """Nulls, repeated rows and ids, columns of any name, and no rows at all."""
+    import corpus_pipeline as pipeline
+
+    data = "/root/testdata/sf0.001"
+    for docs in (clashing, empty):
+        before = docs
+        for name, stage in pipeline.STAGES[:-1]:
+            after = stage(spark, before, data).cache()
+            assert after.columns == docs.columns, name
+            assert after.exceptAll(before).isEmpty(), name
+            before = after
+        last = pipeline.STAGES[-1][1](spark, before, data)
+        assert last.count() == before.count()
+
+
+def test_components_in_few_rounds(spark, monkeypatch):
+    """Rounds follow the logarithm of the longest path, whichever way its ids run."""
+    n, rounds, write = 64, [], near_dedup.materialise
+    up_and_down = [*range(0, n, 2), *range(n - 1, 0, -2)]
+    crossing = [x for pair in zip(range(0, n, 2), range(n - 1, 0, -2), strict=True) for x in pair]
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, name, path=None: (rounds.append(name), write(df, name, path))[1])
+    for path in (up_and_down, crossing):
+        rounds.clear()
+        edges = spark.createDataFrame(list(zip(path, path[1:], strict=False)), "a bigint, b bigint")
+        assert {(r["cls"], r["comp"]) for r in near_dedup.components(edges).collect()} == {(i, 0) for i in range(n)}
+        assert rounds.count("step") <= 2 * 6
+
+
+def test_groups_with_hot_keys(spark, monkeypatch):
+    """The same groups where every join deals its hot keys to parts, and lists are long."""
+    from strandflow.llm import common
+
+    monkeypatch.setattr(common, "ONE_TASK", 0)
+    monkeypatch.setattr(common, "LEAST_HOT", 2)
+    monkeypatch.setattr(near_dedup, "SHORT", 3)
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared = [word() for _ in range(70)]
+    rows = [(i, " ".join(shared + [word() for _ in range(rng.choice([4, 9, 12, 16, 20]))])) for i in range(60)]
+    rows += [(100 + i, rows[i % 3][1]) for i in range(40)] + [(200 + i, None) for i in range(9)] + [(None, rows[0][1])] * 3
+    rows += [(300 + i, " ".join([word() for _ in range(3)] + shared[:40])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = groups(rows, 2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.find_groups(docs, 2).collect() if r["doc_id"] is not None}
+    assert got == want and 1 < len({c for _, c in want.values()}) < 140
+
+
+def test_leaks_as_the_sql_says(spark, items):
+    """Case, numbers of other scripts, runs and short items, against the query's SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    from strandflow.llm import queries
+
+    long = "in the early autumn of that year a small group of farmers walked across the northern hills to sell their wool at a market which had never before been open to people from outside the valley and its neighbours"
+    more = [(7, "approximately ½ hectare"), (8, long), (9, "12 7 9 31 4 8 15 16 23 42 108"), (10, "maria sold 15 red boxes near Rome and 20 blue ones in Paris for 9 euros")]
+    bench = [*map(tuple, items.collect()), *more]
+    one = bench[0][1]
+    words = long.split()
+    texts = [one, one.lower(), one.upper(), one.replace("12", "77"), one.replace("12", "１２").replace(" 3 ", " ٣ "), LEAKS[3][0], None, "", "approximately ½ hectare", "approximately ¼ hectare"]
+    texts += ["see " + " ".join(words[10:n]) + " here" for n in (22, 23)] + ["x " + more[2][1], more[3][1].lower(), "Maria sold 18 red boxes near Oslo and 21 blue ones in Bonn for 7 euros", " ".join(words[5:20] + ["and"] + words[14:34]), one + " " + one.replace("12", "99")]
+    rows = [*enumerate(texts), (0, "another text"), (None, bench[1][1])]
+    con = duckdb.connect()
+    for name, key, data in (("documents", "doc_id", rows), ("benchmark", "item_id", bench)):
+        con.execute(f"create table {name} ({key} bigint, text varchar)")
+        con.executemany(f"insert into {name} values (?, ?)", data)
+    want = {(r[0], r[1]): r[2:] for r in con.execute(f"select doc_id, item_id, coverage, same_fillers from ({queries.LEAKS_SQL})").fetchall()}
+    got = decontam.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string"))
+    assert {(r["doc_id"], r["item_id"]): (r["coverage"], r["same_fillers"]) for r in got.collect()} == want
+    assert {(4, 1), (8, 7), (11, 8), (13, 10), (14, 10)} <= want.keys() and (10, 8) not in want and (9, 7) not in want

@@ -88,6 +88,37 @@ def test_language_of_held_out_documents(docs, empty, clashing):
     assert not {r["doc_id"] for r in kept.collect()} & {300, 301, 302, 303}
 
 
+def test_a_language_of_long_texts_and_repeated_ids(spark):
+    """Texts of any length are learned from, and copies of one id don't fill the sample."""
+    rng = random.Random(3)
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(i, text("abcde", 4000), "long") for i in range(40)] + [(100 + i, text("fghij", 40), "short") for i in range(60)]
+    rows += [(7, rows[7][1], "long")] * 300 + [(8, text("abcde", 50), "long") for _ in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert all(r["lang_pred"] == ("long" if r["doc_id"] < 100 else "short") for r in langid.identify(docs).collect())
+    few = langid.fit(docs, sample_docs=5)
+    assert few.langs == ["long", "short"]
+
+
+def test_many_languages_fit_in_a_bounded_model(monkeypatch):
+    rng = random.Random(4)
+    texts = {f"l{k}": [bytes(rng.choices(range(97, 123), k=3000))] for k in range(20)}
+    monkeypatch.setattr(langid, "MOST_CELLS", 60_000)
+    model = langid.train(texts, least=2)
+    assert model.cost.size <= 60_000
+    data = np.frombuffer(texts["l3"][0], np.uint8)
+    assert langid.code_lengths(model, data, np.array([0, len(data)]))[0].argmin() == model.langs.index("l3")
+
+
+def test_stages_keep_clashing_columns(clashing, docs, spark):
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)], "doc_id bigint, quality int, toxic int")
+    for kept in (langid.keep_known(clashing), toxicity.keep_clean(clashing, labels)):
+        assert kept.columns == clashing.columns and kept.schema == clashing.schema
+        rows = kept.collect()
+        assert rows and all(r["score"] == r["predicted"] == r["_letter"] == r["lang_pred"] == "x" for r in rows)
+    assert toxicity.classify(clashing, labels).count() == docs.count()
+
+
 def test_prediction_does_not_read_the_label(docs):
     model = langid.fit(docs)
     one = langid.predict(docs.select("doc_id", "text"), model).orderBy("doc_id", "score").collect()
@@ -121,6 +152,31 @@ def test_bpe_on_any_text(text):
     assert np.frombuffer(bpe.encoder(BPE).encode(low), "<u4").tolist() == library.encode(low, add_special_tokens=False).ids
 
 
+def test_memory_of_words_is_bounded(monkeypatch):
+    """Long stretches are not kept, and what is kept stays under its bound."""
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 1 << 16)
+    own, rng = bpe.Encoder(BPE), random.Random(5)
+    for _ in range(300):
+        own.encode("".join(rng.choice("中文字母abc.") for _ in range(400)) + " " + "".join(rng.choice("abcdefgh") for _ in range(9)))
+    assert own.memo.size <= 1 << 16 and own.memo_words.size <= 1 << 15 and max(map(len, own.memo)) <= bpe.MEMO_CHARS
+    counter = token_counts.Counter(PIECES)
+    for n in (10, 64, 65, 5000):
+        counter.count("a" * n + "\n" + "b" * n)
+    assert max(map(len, [*counter, *counter.lines])) <= token_counts.MEMO_CHARS
+
+
+def test_other_tokenizer_files_raise(tmp_path):
+    import json
+
+    with open(BPE, encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"decoder": {"type": "BPEDecoder"}}, {"normalizer": None}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match=next(iter(change))):
+            bpe.Encoder(str(path))
+
+
 def test_bpe_table(docs, empty, clashing):
     rows = bpe.encode(docs, BPE)
     back = bpe.decode(rows, BPE).collect()
@@ -204,6 +260,60 @@ def test_toxic_words_are_learned_and_group_names_are_not(spark, empty):
     assert kept.columns == docs.columns and 300 < kept.count() < 603
 
 
+def test_training_follows_the_gradient():
+    """The weights are where the stated loss has no slope, by finite differences."""
+    rng = random.Random(2)
+    docs = [(frozenset(rng.sample(["a", "b", "women", "men", "c"], 3)), rng.randint(0, 1)) for _ in range(40)]
+    model = toxicity.train(docs, ["a", "b", "c"], counterfactual=2.0, decay=0.05, rounds=4000)
+    names = ["a", "b", "c", "women", "men", "woman", "girls"]
+    kin = [t for t in toxicity.IDENTITY["gender"]]
+
+    def loss(w, bias):
+        z = [bias + sum(w.get(x, 0) for x in present) for present, _ in docs]
+        fit = np.mean([np.log1p(np.exp(-v if y else v)) for v, (_, y) in zip(z, docs, strict=True)])
+        swaps = [(w.get(t, 0) - w.get(u, 0)) ** 2 for present, _ in docs for t in present if t in kin for u in kin if u != t and u not in present]
+        return fit + 2.0 * np.mean(swaps) + 0.05 * sum(v * v for v in w.values())
+
+    at = {k.decode(): v for k, v in model.weights.items()}
+    for name in names:
+        up, down = dict(at), dict(at)
+        up[name], down[name] = at.get(name, 0) + 1e-4, at.get(name, 0) - 1e-4
+        assert abs(loss(up, model.bias) - loss(down, model.bias)) / 2e-4 < 2e-3, name
+    assert abs(loss(at, model.bias + 1e-4) - loss(at, model.bias - 1e-4)) / 2e-4 < 2e-3
+
+
+def test_scores_row_by_row(spark, monkeypatch):
+    rng = random.Random(6)
+    model = toxicity.Model({b"bad": 2.0, b"worse": 3.5, b"fine": -1.0, "ärger".encode(): 1.0}, -1.5)
+    texts = [None, "", "BAD!", "bad,bad worse", "ärger fine-bad", "9" * 50] + [" ".join(rng.choice(["bad", "Fine", "x1", "worse.", "y"]) for _ in range(200)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+    def by_hand(text):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c if "a" <= c <= "z" or ord(c) > 127 else " " for c in text or "")
+        return 1 / (1 + np.exp(-(model.bias + sum(model.weights.get(w.encode(), 0) for w in set(low.split())))))
+
+    got = {r["doc_id"]: r for r in toxicity.predict(docs, model).collect()}
+    for i, text in enumerate(texts):
+        assert got[i]["score"] == pytest.approx(by_hand(text)) and got[i]["predicted"] == (by_hand(text) >= 0.5)
+    import pyarrow as pa
+
+    for size in (1, 7, 100):
+        monkeypatch.setattr(toxicity, "CHUNK", size)
+        assert toxicity.scores(model, pa.array(texts)) == pytest.approx([by_hand(t) for t in texts])
+
+
+def test_a_label_of_long_texts_only(spark):
+    """Long labelled texts are learned from, and copies under one id stay one."""
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in str(i))
+    rows = [(i, f"{'zork ' if i % 2 else ''}doc{name(i)} " + "word filler " * 20_000) for i in range(120)]
+    rows += [(500 + i, "zork some words" if i % 2 else "just some words") for i in range(60)] + [(1, "zork")] * 50
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(120)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.weights.get(b"zork", 0) > 1
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in toxicity.predict(docs, model).collect())
+
+
 # --- URL filter
 
 
@@ -243,6 +353,53 @@ def test_url_model_on_hosts_it_has_not_seen():
     assert (z > 0).tolist() == [True, True, False, False]
 
 
+def blocked(w, hosts, path):
+    row, bucket, scale = url_filter._features(hosts, [path] * len(hosts))
+    return np.bincount(row, w[:-1][bucket], len(hosts)) * scale + w[-1] >= 0
+
+
+def test_prefixes_endings_and_neutral_paths_are_as_often_with_either_label():
+    rows = url_filter.labelled_urls()
+    for part in (lambda h, p: next(x for x in ("www.", "m.", "blog.", "") if h.startswith(x)), lambda h, p: h[h.index(".", h.startswith(("www.", "m.", "blog.")) * (h.index(".") + 1)) :]):
+        shares = {}
+        for host, path, label in rows:
+            if path in url_filter.PATHS:
+                seen = shares.setdefault(part(host, path), [0, 0])
+                seen[label] += 1
+        rates = [b / (a + b) for a, b in shares.values()]
+        assert len(rates) > 3 and max(rates) - min(rates) < 0.02
+    by_path = {p: [label for _, q, label in rows if q == p] for p in url_filter.PATHS}
+    rates = [np.mean(x) for x in by_path.values()]
+    assert max(rates) - min(rates) < 0.05
+
+
+def test_url_model_without_some_words_and_paths():
+    """Accuracy on neutral words and paths that were left out, and what a path moves."""
+    held, paths = url_filter.ALLOW_WORDS[::6], [*url_filter.PATHS[1::2], "/it/55", "/x/y/z"]
+    w = url_filter.train(url_filter.labelled_urls(allow=[x for x in url_filter.ALLOW_WORDS if x not in held], paths=url_filter.PATHS[::2]))
+    good = [f"{p}{a}{s}{b}{e}" for p in url_filter.PREFIXES for e in url_filter.ENDINGS for a in held for b in held[5:9] for s in ("", "-") if a != b]
+    bad = [f"{p}{a}-{b}{e}" for p in url_filter.PREFIXES for e in url_filter.ENDINGS for a in url_filter.BLOCK_WORDS for b in held[:5]]
+    of_good, of_bad = (np.array([blocked(w, hosts, path) for path in paths]) for hosts in (good, bad))
+    assert of_bad.mean() > 0.98 and of_good.mean() < 0.2
+    assert (of_bad.any(0) != of_bad.all(0)).mean() < 0.02 and (of_good.any(0) != of_good.all(0)).mean() < 0.2
+    whole = url_filter.train(url_filter.labelled_urls())
+    hosts = ["porn.com", "casino.example.net", "www.freepoker.org", "blog.cheap-loans.example.com", "blog.tionsh.example.com", "m.thonth.example.org", "river-journal.net", "www.stanford.edu"]
+    for path in [*url_filter.PATHS, *paths, "/news-item-9.html"]:
+        assert blocked(whole, hosts, path).tolist() == [True] * 4 + [False] * 4, path
+    assert blocked(whole, ["river-journal.net"], "/casino/12").all() and not blocked(whole, ["river-journal.net"], "/" + "long/" * 400).any()
+
+
+def test_rule_lists_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MOST_RULES", 0)
+    urls = ["http://a.b.com/fr/1", "http://b.com/fr/1", "http://b.com/de/", "http://b.com/deer", "http://c.org", "no url", None, "http://b.com/fr/1"]
+    pages = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)], "page_id bigint, url string, _key string")
+    rules = {"com/": "block", "b.com/fr/": "allow", "b.com/de": "block", "a.b.com/fr/1": "block", "org/x": "block"}
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules).collect()}
+    want = ["a.b.com/fr/1", "b.com/fr/", "b.com/de", "b.com/de", None, None, None, "b.com/fr/"]
+    assert [got[i][0] for i in range(8)] == want and [got[i][1] for i in range(4)] == ["block", "allow", "block", "block"]
+    assert url_filter.judge(pages.limit(0), rules).count() == 0
+
+
 # --- licenses
 
 
@@ -254,7 +411,8 @@ def test_url_model_on_hosts_it_has_not_seen():
         ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0"),
         ("Licensed under CC BY-NC 3.0.", "cc-by"),
         ("Copyright (c) 2020 Some Body. All rights reserved.", "copyright-notice,reserved"),
-        ("Copyright one two three four five six seven eight nine all rights reserved", "reserved"),
+        ("Copyright one two three four five six seven eight nine all rights reserved", "copyright-notice,reserved"),
+        ("Copyright " + "one " * 41 + "all rights reserved", "reserved"),
         ("released under the mit licence", ""),
         ("Released under the terms of the MIT License", "mit"),
         ("licensed under the apache license, version 2.0", "apache-2.0"),
@@ -265,6 +423,68 @@ def test_templates(text, labels):
     assert licenses.scan_text(text, licenses.PHRASES, tuple(licenses.TEMPLATES.items()))[5] == labels
 
 
+def filled(label, *fillers, without=()):
+    """A template's text with regions filled, and optional ones there unless left out."""
+    parts = re.split(r"(<<.*?>>)", licenses.TEMPLATES[label])
+    fill, optional, out, inside = iter(fillers), 0, [], False
+    for part in parts:
+        if part == "<<beginOptional>>":
+            inside, optional = True, optional + 1
+        elif part == "<<endOptional>>":
+            inside = False
+        elif part.startswith("<<var"):
+            out.append(next(fill, ""))
+        elif not inside or optional - 1 not in without:
+            out.append(part)
+    return " ".join(out)
+
+
+BULLETED = filled("bsd-3-clause", "Some Institute nor of its University,", "THE COPYRIGHT HOLDERS", "the owner", without=(4,)).replace("1.", "\n * ")
+
+
+@pytest.mark.parametrize(
+    ("text", "label", "found"),
+    [
+        (filled("mit-text", "the authors or copyright holders"), "mit-text", True),
+        (filled("mit-text", "X", without=(0, 1, 2)).upper(), "mit-text", True),
+        (filled("mit-text", "X").replace("merge", "fold"), "mit-text", False),
+        (filled("mit-text", "X").replace("merge", "fold"), "mit-opening", True),
+        (filled("mit-text", "one " * 41), "mit-text", False),
+        (filled("mit-text", "one " * 40), "mit-text", True),
+        (BULLETED, "bsd-3-clause", True),
+        (BULLETED, "bsd-2-clause", False),
+        (BULLETED.replace("endorse", "praise"), "bsd-3-clause", False),
+        (filled("bsd-2-clause", "me", "me"), "bsd-2-clause", True),
+        (filled("bsd-2-clause", "me", "me"), "bsd-3-clause", False),
+        (filled("bsd-2-clause", "me", "me")[:-9], "bsd-2-clause", False),
+        (filled("isc", "the author", "he", without=(0,)), "isc", True),
+        (filled("zlib", without=(0,)), "zlib", True),
+        (filled("zlib").replace("must not", "should not"), "zlib", False),
+        (filled("apache-2.0-notice", "this file", without=(1,)), "apache-2.0-notice", True),
+        (filled("gpl-3.0-notice", "This program"), "gpl-3.0-notice", True),
+        (filled("gpl-3.0-notice", "It").replace("3", "4"), "gpl-3.0-notice", False),
+        (filled("unlicense") + " more", "unlicense", True),
+    ],
+)
+def test_whole_licenses(text, label, found):
+    around = f"Copyright (c) 2001, 2002 Someone\n\n{text}\n and then the code"
+    got = licenses.scan_text(around, licenses.PHRASES, tuple(licenses.TEMPLATES.items()))
+    assert (label in got[5].split(",")) == found
+
+
+def test_long_texts_are_scanned_bit_by_bit(monkeypatch):
+    args = licenses.PHRASES, tuple(licenses.TEMPLATES.items())
+    rng = random.Random(12)
+    parts = [filled("mit-text", "someone"), "cc by cc by", "all rights reserved", "copyright (c) a b all rights reserved", "x" * 300, "word " * 90]
+    for _ in range(20):
+        text = " ".join(rng.choice(parts) for _ in range(12))
+        monkeypatch.setattr(licenses, "CHUNK", 1 << 18)
+        whole = licenses.scan_text(text, *args)
+        for size in (1, 50, 700):
+            monkeypatch.setattr(licenses, "CHUNK", size)
+            assert licenses.scan_text(text, *args) == whole
+
+
 def test_license_table(spark, docs, empty, clashing):
     phrases = [*licenses.PHRASES, "cc by cc by", "All Rights  Reserved", "ccé by", "x\x7fcc\x00by"]
     rng = random.Random(1)

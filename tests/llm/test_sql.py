@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the tables are not he
 def test_same_as_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got = queries.QUERIES[name](spark, str(DATA))
     cursor = con.execute(queries.ORACLE_SQL[name])
