@@ -328,7 +328,10 @@ def _run(edges: DataFrame, chains: int, settings: Settings, schema: str, rows_of
         out.insert(0, "sample_id", sample)
         return out
 
-    return shipped.groupBy("sample_id", "chain_id").applyInPandas(work, schema)
+    # a chain is long work on a small graph: a stated number of tasks isn't merged by size
+    spark = edges.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return shipped.repartition(tasks, "sample_id", "chain_id").groupBy("sample_id", "chain_id").applyInPandas(work, schema)
 
 
 def mixtures(edges: DataFrame, chains: int = 4, settings: Settings = Settings()) -> DataFrame:
