@@ -25,7 +25,7 @@ from .common import add_columns
 
 #: Bytes of the stretches and of the words whose ids a worker remembers, the characters of
 #: those that it does (longer ones hardly come again), and pairs whose test it remembers.
-MEMO_BYTES, MEMO_CHARS = 64 << 20, 64
+MEMO_BYTES, MEMO_CHARS = 160 << 20, 64
 MEMO_PAIRS = 150_000
 #: Stands for the end of a word inside the automaton; no byte maps to it.
 END = ""
