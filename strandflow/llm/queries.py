@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, licenses, near_dedup, quality, token_counts, toxicity, url_filter
+from . import bpe, chat, decontam, langid, licenses, near_dedup, quality, repeats, token_counts, toxicity, url_filter
 from .common import read_table
 
 
@@ -68,8 +68,37 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
+def cycled(text: Column, h: Column) -> Column:
+    """The contract of op13 asks for texts whose words go round: from word a on, the first p
+    of them again and again, where the digest h of the row's id gives a and p. A null or
+    wordless text, or one without an id, stays."""
+    g = F.floor(h / 10)
+
+    def go_round(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        turns = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(turns, F.lit(1), n - a)), " ")).otherwise(text)
+
+    # a lambda's argument is computed once
+    made = F.transform(F.array(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"))), go_round)[0]
+    return F.when(F.coalesce(h % 10 == 0, F.lit(False)), made).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    text = cycled(F.col("text"), F.crc32(F.col("doc_id").cast("string")))
+    found = repeats.collapse(docs.select("doc_id", text.alias("text")))
+    more = lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b)
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), more)
+    line = lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))
+    found = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_language_id, op3_decontamination, op4_bpe, op5_toxicity, op6_near_dedup, op7_token_counts, op8_chat_format, op9_quality, op10_licenses)
+    f.__name__: f for f in (op1_url_filter, op2_language_id, op3_decontamination, op4_bpe, op5_toxicity, op6_near_dedup, op7_token_counts, op8_chat_format, op9_quality, op10_licenses, op13_periodic_runs)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
