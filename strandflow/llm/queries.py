@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, decontam, langid, licenses, near_dedup, quality, repeats, token_counts, toxicity, url_filter
+from . import alignment, bpe, chat, decontam, langid, licenses, near_dedup, quality, repeats, suffix_dedup, token_counts, toxicity, url_filter
 from .common import read_table
 
 
@@ -68,6 +68,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove(read_table(spark, sf_dir, "documents"))
+    gone = F.col("n_bytes") - F.octet_length("kept")
+    return found.select("doc_id", "n_bytes", gone.cast("bigint").alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digests(read_table(spark, sf_dir, "documents"), tokenizer_path(spark, "byte_bpe_50k.json"), tokenizer_path(spark, "piece_bpe_32k.model"))
 
@@ -102,7 +108,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_language_id, op3_decontamination, op4_bpe, op5_toxicity, op6_near_dedup, op7_token_counts, op8_chat_format, op9_quality, op10_licenses, op12_token_alignment, op13_periodic_runs)
+    f.__name__: f for f in (op1_url_filter, op2_language_id, op3_decontamination, op4_bpe, op5_toxicity, op6_near_dedup, op7_token_counts, op8_chat_format, op9_quality, op10_licenses, op11_suffix_dedup, op12_token_alignment, op13_periodic_runs)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
