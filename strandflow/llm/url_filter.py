@@ -27,9 +27,12 @@ RULES = {
 }
 
 #: Words, host endings and paths that the default labelled table is built from.
-BLOCK_WORDS = "adult ads banner bet bets bonus casino cheap click coupon free gambling hot jackpot loan lottery pharma pills poker porn promo sex slots spam track tracker viagra win xxx".split()
+#: The first list marks a host or path wherever it stands, the second as a whole token only.
+BLOCK_PARTS = "casino escort gambling hentai jackpot lottery milf poker porn viagra xvideos xxx".split()
+BLOCK_TOKENS = "adult ads banner bet bets bonus cheap click coupon escorts free girls hot loan loans nude pharma pills promo sex slots spam track tracker win".split()
+BLOCK_WORDS = [*BLOCK_PARTS, *BLOCK_TOKENS]
 ALLOW_WORDS = (
-    "academy airport alphabet animal archive area art atlas author autumn baker bank basket battery beach better bicycle bird blog board boat book books "
+    "academy airport alphabet animal archive area art atlas author autumn baker bank basket battery beach better bicycle bird board boat book books "
     "bridge brother build cabin camera canal candle castle center chemistry child church citizen city climate clinic cloud coast coffee college color community "
     "concert cook corner cotton council country courier craft culture daily dance data design digital dinner doctor docs drama earth economy editor engine estate europe "
     "evening event factory family farm fashion field film finance fish flower food football forest forum fruit future gallery garden gazette global gold green guide "
@@ -41,19 +44,28 @@ ALLOW_WORDS = (
 ).split()
 SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
 PREFIXES = ["", "www.", "m.", "blog."]
-ENDINGS = [".com", ".net", ".org", ".example.com"]
-PATHS = ["", "/", "/en/12", "/de/345/", "/fr/678.html", "/es/90", "/post/7/", "/a/b", "/index.html", "/2024/05/31/story"]
+#: What stands around a block word inside a neutral one.
+FRONTS = ["es", "mid", "sus", "un", "up", "down", "time", "sound", "al", "s", "ca", "de", "dar", "ph", "ro", "out", "bro"]
+BACKS = ["s", "ed", "er", "ing", "y", "el", "land", "ston", "ham", "burg", "field", "house", "ter", "chester", "ors", "ology", "ic", "on", "a"]
+ENDINGS = [".com", ".net", ".org", ".de", ".co.uk", ".mysite.com", ".pages.dev", ".homepage.org"]
+PATHS = ["", "/", "/about", "/contact/", "/index.html", "/news/2024/05/31/story", "/post/7/", "/a/b", "/img/logo.png", "/products/12", "/page-3.html", "/docs/v2/guide"]
+
+PATH_WORDS = (
+    "about account admin api archive article assets blog browse careers cart category comments company contact content courses data docs download events faq feed files forum "
+    "help home images index info item jobs language latest login media members menu page pages photos policy post posts privacy product products profile program project projects protocol "
+    "search section service services share sitemap static stories support tag tags team terms topic upload user users videos view wiki"
+).split()
 
-#: Paths that each host of the table is with.
-TURNS = 6
+#: Other paths that each host of the table is with.
+TURNS = 3
 
 #: Rules that fit in each worker; longer lists are joined (``match_rules``).
 MOST_RULES = 10_000
 BITS = 18
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6, 7)
 THRESHOLD = 0.5
 #: Weight of the rows with label 1 in training.
-PRIOR = 0.3
+PRIOR = 0.5
 
 
 def made_words(number: int) -> list[str]:
@@ -65,34 +77,45 @@ def made_words(number: int) -> list[str]:
 
 
 def labelled_urls(block: Sequence[str] = BLOCK_WORDS, allow: Sequence[str] = ALLOW_WORDS, paths: Sequence[str] = PATHS, made: int = 200) -> list[tuple[str, str, int]]:
-    """(host, path, label) rows: 1 if the host or the path has a block word, else 0.
-
-    Hosts are a word, alone and joined to many neutral ones in both orders; every one of
-    them has each prefix and each ending once. Paths are the given neutral ones, folders and
-    pages of made words, and folders of block words; hosts take them in turn. So prefixes,
-    endings and neutral paths are as often with hosts of either label.
+    """(host, path, label) rows: 1 if the host or the path is marked by a block word, else 0.
+
+    A marked host has a block word as a token among neutral ones, or one of BLOCK_PARTS run
+    together with one or inside a made word. Neutral hosts are of neutral words and of made words that hold a word of
+    BLOCK_TOKENS inside (as *essex* holds *sex*), so that such a word is told by where it
+    ends. Each has every prefix and endings in turn. Paths are the given neutral ones,
+    folders and pages of neutral words, and folders of block words; hosts take one of the first
+    and some of the others in turn. So prefixes, endings and neutral paths are as often with hosts
+    of either label.
     """
     plain = made_words(made)
     neutral = [*allow, *plain]
+    n = len(SYLLABLES)
+    around = [*((f, "") for f in FRONTS), *(("", b) for b in BACKS), *((FRONTS[j * 5 % len(FRONTS)], BACKS[j * 7 % len(BACKS)]) for j in range(20))]
+    within = lambda words: [x for x in dict.fromkeys(f"{front}{word}{back}" for word in words for front, back in around) if x not in block]
+    inside, marked = within([w for w in block if w not in BLOCK_PARTS]), within([w for w in block if w in BLOCK_PARTS])
 
     def hosts(words: Sequence[str], label: int, mates: int) -> list[tuple[str, int]]:
-        forms = ("{0}-{1}", "{1}{0}", "{1}-{0}{2}", "{0}{1}")
-        bodies = [word for word in words for _ in range(mates // 4)]
-        bodies += [forms[j % 4].format(word, neutral[(k * mates + j) * 7 % len(neutral)], k % 10) for k, word in enumerate(words) for j in range(mates)]
+        def forms(word: str) -> tuple[str, ...]:
+            joined = ("{1}{0}", "{0}{1}") if word not in block or word in BLOCK_PARTS else ("{1}-{0}-{1}", "{0}{2}")
+            return ("{0}-{1}", "{1}-{0}", *joined)
+
+        bodies = list(words) + [forms(word)[j % 4].format(word, neutral[(k * mates + j) * 7 % len(neutral)], 5 * j + k % 7) for k, word in enumerate(words) for j in range(mates)]
         return [(f"{p}{body}{ENDINGS[(i + k) % len(ENDINGS)]}", label) for k, body in enumerate(bodies) for i, p in enumerate(PREFIXES)]
 
     shapes = ("/{0}/{1}", "/{0}-{1}.html", "/{2}/{1}/{0}", "/{0}")
-    spread = lambda words, label: [(shapes[k % 4].format(w, 37 * k % 1000, SYLLABLES[k % len(SYLLABLES)]), label) for k, w in enumerate(words)]
-    where = [*((p, 0) for p in paths), *spread([*allow, *plain[::3]], 0), *spread([w for w in block for _ in shapes], 1)]
+    spread = lambda words, label: [(shapes[k % 4].format(w, 37 * k % 1000, SYLLABLES[k % n]), label) for k, w in enumerate(words)]
+    where = [*spread([*allow, *plain[::3], *inside, *PATH_WORDS, *PATH_WORDS[1:]], 0), *spread([w for w in block for _ in shapes], 1)]
     rows = []
-    for found in (hosts(block, 1, 16), hosts(neutral, 0, 4)):
+    for found in (hosts(block, 1, 24) + hosts(marked[::2], 1, 1), hosts(neutral, 0, 4) + hosts(inside, 0, 1)):
         for k, (host, a) in enumerate(found):
+            body, turn = divmod(k, len(PREFIXES))
+            rows.append((host, paths[(body + 3 * turn) % len(paths)], a))
             rows += [(host, path, a | b) for path, b in (where[(k * TURNS + j) % len(where)] for j in range(TURNS))]
     return rows
 
 
 def _grams(texts: list[str], salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every n-gram of each text between two marks."""
+    """(row, bucket) of the distinct n-grams of each text between two marks."""
     raw = [b"\x02" + t.encode() + b"\x03" for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64) + np.uint64(1)
     ends = np.cumsum([len(r) for r in raw])
@@ -109,7 +132,10 @@ def _grams(texts: list[str], salt: int) -> tuple[np.ndarray, np.ndarray]:
         h = (h + np.uint64(size * 2 + salt)) * np.uint64(0x9E3779B97F4A7C15)
         rows.append(row[:m][inside])
         buckets.append((h[inside] >> np.uint64(64 - BITS)).astype(np.int64))
-    return (np.concatenate(rows), np.concatenate(buckets)) if rows else (np.zeros(0, np.int64),) * 2
+    if not rows:
+        return (np.zeros(0, np.int64),) * 2
+    found = np.unique(np.concatenate(rows).astype(np.int64) << BITS | np.concatenate(buckets))
+    return found >> BITS, found & ((1 << BITS) - 1)
 
 
 def _features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,33 +145,51 @@ def _features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([r1, r2]), np.concatenate([b1, b2]), np.ones(len(hosts))
 
 
-def train(rows: Iterable[tuple[str, str, int]], rounds: int = 250, rate: float = 0.25, decay: float = 1e-5) -> np.ndarray:
-    """Weights (the last is the bias) by gradient descent with momentum on the labelled rows.
+def _descend(texts: list[str], salt: int, y: np.ndarray, offset: float | None, rounds: int, rate: float, decay: float, centre: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression, whose bias may be given as ``offset`` and whose
+    weights are then zero or more, on the n-grams of ``texts``, by gradient descent with steps scaled for each weight.
 
-    Loss: mean log loss, with a share of PRIOR for label 1, + decay * squared weights. A
-    row's sum is its host's and its path's, so n-grams are taken once for each distinct
-    host and path.
+    Loss: mean log loss, with a share of PRIOR for label 1, + decay * squared weights +
+    centre * the mean squared sum of the texts with label 0.
     """
-    hosts, paths, labels = map(list, zip(*rows, strict=True))
-    y = np.array(labels, float)
-    (hosts, h), (paths, p) = ((x.tolist(), at) for x, at in (np.unique(np.array(c, object).astype(str), return_inverse=True) for c in (hosts, paths)))
-    (r1, b1), (r2, b2) = _grams(hosts, 0), _grams(paths, 1)
-    used, at = np.unique(np.concatenate([b1, b2]), return_inverse=True)
-    b1, b2, most = at[: len(b1)], at[len(b1) :], len(used)
+    row, bucket = _grams(texts, salt)
+    used, at = np.unique(bucket, return_inverse=True)
     share = np.where(y > 0, PRIOR / max(y.sum(), 1), (1 - PRIOR) / max((1 - y).sum(), 1))
-    w, v, bias = np.zeros(most), np.zeros(most), 0.0
-    for _ in range(rounds):
-        z = np.bincount(r1, w[b1], len(hosts))[h] + np.bincount(r2, w[b2], len(paths))[p] + bias
-        score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    w, mean, spread, bias = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used)), offset or 0.0
+    for k in range(1, rounds + 1):
+        z = np.bincount(row, w[at], len(texts))
+        score = 1 / (1 + np.exp(-np.clip(z + bias, -30, 30)))
         err = (score - y) * share
-        g = np.bincount(b1, np.bincount(h, err, len(hosts))[r1], most) + np.bincount(b2, np.bincount(p, err, len(paths))[r2], most) + 2 * decay * w
-        v = 0.9 * v - rate * g
-        w = w + v
-        # a Newton step: what all rows share should stand in the bias, not in their n-grams
-        bias -= 0.5 * err.sum() / max((score * (1 - score) * share).sum(), 1e-3)
-    out = np.zeros((1 << BITS) + 1)
-    out[used], out[-1] = w, bias
-    return out
+        g = np.bincount(at, (err + 2 * centre * z * (1 - y) / len(texts))[row], len(used)) + 2 * decay * w
+        mean, spread = 0.9 * mean + 0.1 * g, 0.99 * spread + 0.01 * g * g
+        w = w - rate * (1 - k / (rounds + 1)) * (mean / (1 - 0.9**k)) / (np.sqrt(spread / (1 - 0.99**k)) + 1e-8)
+        if offset is not None:
+            w = np.maximum(w, 0)
+        else:  # a Newton step: what all rows share should stand in the bias
+            bias -= 0.5 * err.sum() / max((score * (1 - score) * share).sum(), 1e-3)
+    out = np.zeros(1 << BITS)
+    out[used] = w
+    return out, bias
+
+
+def train(rows: Iterable[tuple[str, str, int]], rounds: int = 150, rate: float = 0.05, decay: float = 1e-4, centre: float = 1.0) -> np.ndarray:
+    """Weights (the last is the bias) by two logistic regressions, hosts first.
+
+    A host's label is the least of its urls', and so is a path's: what a marked path adds isn't
+    the host's. The bias comes from the hosts. Paths are trained with the bias of an average
+    neutral host, weights of zero or more, and the sums of neutral ones held at zero: what no
+    marked path has weighs nothing, a neutral path moves no verdict, and a marked one blocks.
+    """
+    least: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    for host, path, label in rows:
+        for of, text in zip(least, (host, path), strict=True):
+            of[text] = min(label, of.get(text, 1))
+    (hosts, y), (paths, marked) = ((sorted(of), np.array([of[t] for t in sorted(of)], float)) for of in least)
+    w, bias = _descend(hosts, 0, y, None, rounds, rate, decay, 0.0)
+    row, bucket = _grams(hosts, 0)
+    usual = float((np.bincount(row, w[bucket], len(hosts)) + bias)[y == 0].mean()) if (y == 0).any() else bias
+    of_paths, _ = _descend(paths, 1, marked, usual, rounds, rate, decay, centre)
+    return np.append(w + of_paths, bias)
 
 
 def parts(url: str = "url"):

@@ -500,3 +500,19 @@ def test_license_table(spark, docs, empty, clashing):
         assert (r["first_word"], r["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
         assert r["base_labels"] == ",".join(sorted({p[1] for p in places})) and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
     assert licenses.scan(docs).count() == docs.count() == licenses.scan(clashing).count() and licenses.scan(empty).count() == 0
+
+
+def test_url_model_on_neutral_hosts_with_block_words_inside():
+    """Hosts whose words are not in the labelled table: below 5 in 100 are blocked."""
+    neutral = (
+        "essex.ac.uk sussex.org middlesex.edu winchester.gov pillsbury.com adsorption.org hotel.com clickhouse.com tracking.dhl.de trackandfield.org windsor.ca elizabeth.org tibet.net "
+        "betterhomes.com alphabet.xyz caterpillar.com pillow.com roads.gov threads.net uploads.io photonics.com hotelbeds.com soundtrack.net sloan.org freedom.org freeman.com cheapside.co.uk "
+        "promotion.com adulthood.org bannerman.com pharmacy.com wing.com twins.org darwin.edu swing.com shotput.com unisex.com sextant.org betafish.net clicks.dev trackers.gg windows.com winery.fr "
+        "spamalot.com bonuspoints.org loanword.org freezer.com slotted.com www.stanford.edu news.ycombinator.com kernel.org wikipedia.org nytimes.com heidelberg.de lemonde.fr github.com"
+    ).split()
+    marked = "xvideos.com escort-girls.com porn.com casino.example.net www.freepoker.org cheap-loans.net hot-sex.com sex.com free-ads.org win-bonus.net best-viagra.org onlinecasino.com buy-pills.org bet365-bonus.com spam.org".split()
+    w = url_filter.train(url_filter.labelled_urls())
+    for path in ("/", "/en/12", "/about.html"):
+        assert blocked(w, neutral, path).mean() < 0.05, path
+        assert blocked(w, marked, path).mean() > 0.9, path
+    assert blocked(w, ["river-journal.net", "en.wikipedia.org"], "/casino/12").all() and not blocked(w, ["river-journal.net", "en.wikipedia.org"], "/hotel/sussex").any()
