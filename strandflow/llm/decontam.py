@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hot_keys, materialise, salted_join
 
 WINDOW = 8
 #: Share of an item's windows that a document must hold.
@@ -25,7 +25,7 @@ COVERAGE = 0.5
 #: Words of one run that are reported at any coverage, and its windows.
 RUN = 13
 RUN_WINDOWS = RUN - WINDOW + 1
-#: Benchmark windows, and characters of whole items, that are broadcast; beyond it the
+#: Rows of benchmark windows or anchors, and characters of whole items, that are broadcast; beyond it the
 #: joins shuffle.
 MOST_BROADCAST, MOST_CHARS = 1_000_000, 8_000_000
 
@@ -39,6 +39,12 @@ def raw_words(text: str = "text") -> Column:
     return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def one_sigma(text: Column) -> Column:
+    """One letter for both small sigmas: which of them a capital becomes depends on what
+    follows, so that a word alone and the same word in its text may differ."""
+    return F.translate(text, "ς", "σ")
+
+
 def template(words: Column, names: bool = True) -> Column:
     """Template words of raw words, as an array of the same length; folded ones without ``names``."""
     units = F.array(*[F.lit(u) for u in UNITS])
@@ -97,6 +103,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     marks = F.zip_with(part("plain"), least(part("words"), part("folded"), part("plain")), lambda w, form: F.struct(w.alias("w"), (form >= " ").alias("ok"), w.rlike(r"^[\p{L}\p{M}]").alias("letters")))
 
     def pair(a: Column, b: Column) -> Column:
+        a, b = (x.withField("w", one_sigma(x["w"])) for x in (a, b))
         letters = a["letters"] & b["letters"]
         pair = F.when(letters, F.xxhash64(a["w"], b["w"])).otherwise(F.xxhash64(F.lit("#"), a["w"], b["w"]))
         return F.when(a["ok"] & b["ok"], F.struct(letters.alias("letters"), (F.length(a["w"]) + F.length(b["w"])).alias("n"), pair.alias("pair")))
@@ -109,7 +116,17 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return items.withColumn("item_windows", F.count("*").over(own)).withColumn("strong", F.count(F.when(F.col("need") == 1, 1)).over(own))
 
 
-def _suspects(docs: DataFrame, items: DataFrame, small: bool, coverage: float) -> DataFrame:
+def _meet(wide: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """``wide`` joined with ``few`` on ``key``. ``few`` is broadcast up to MOST_BROADCAST rows,
+    those that are sent; beyond it the rows of hot keys are dealt to many tasks."""
+    if few.count() <= MOST_BROADCAST:
+        return wide.join(F.broadcast(few), key)
+    counts = materialise(wide.groupBy(key).agg(F.count("*").alias("n")).join(few.select(key).distinct(), key), "counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return salted_join(wide, few, key, hot_keys(counts, key, total))
+
+
+def _suspects(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
     """doc_id of the documents that hold enough anchors of an item to hold its windows.
 
     Exact: ``coverage`` of an item's windows, of those of need 1 or of all, or the windows of
@@ -125,13 +142,13 @@ def _suspects(docs: DataFrame, items: DataFrame, small: bool, coverage: float) -
     each = each.withColumn("reached", F.sum("n").over(order)).withColumn("rank", F.count("*").over(order))
     fewest = F.min(F.when(F.col("reached") >= F.col("least"), F.col("rank"))).over(own)
     anchors = each.select("item_id", "target", "anchor", fewest.alias("fewest")).where("fewest is not null")
-    words = F.split(F.lower("text"), r"[^\p{L}\p{M}]+")
+    words = F.split(one_sigma(F.lower("text")), r"[^\p{L}\p{M}]+")
     pairs = F.transform(F.array(words), lambda w: F.zip_with(w, F.slice(w, 2, F.lit(1 << 30)), lambda a, b: F.xxhash64(a, b)))[0]
     if items.where("digits").take(1):
-        plain = F.transform(raw_words(), F.lower)
+        plain = F.transform(raw_words(), lambda w: one_sigma(F.lower(w)))
         pairs = F.concat(pairs, F.transform(F.array(plain), lambda w: F.zip_with(w, F.slice(w, 2, F.lit(1 << 30)), lambda a, b: F.xxhash64(F.lit("#"), a, b)))[0])
     wide = docs.where(F.col("text").isNotNull()).select("doc_id", F.explode(pairs).alias("anchor"))
-    hits = wide.join(F.broadcast(anchors) if small else anchors, "anchor")
+    hits = _meet(wide, materialise(anchors, "anchors"), "anchor")
     held = hits.groupBy("doc_id", "item_id", "target", "fewest").agg(F.countDistinct("anchor").alias("n"))
     return held.where(F.col("n") >= F.col("fewest")).select("doc_id").distinct()
 
@@ -150,7 +167,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     items = materialise(item_windows(benchmark), "items")
     sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most WINDOW values
     small = items.count() <= MOST_BROADCAST
-    suspects = materialise(_suspects(docs, items, small, coverage), "suspects")
+    suspects = materialise(_suspects(docs, items, coverage), "suspects")
     few = suspects.count() <= MOST_BROADCAST
     suspects = suspects.withColumnRenamed("doc_id", "_s")
     docs = docs.join(F.broadcast(suspects) if few else suspects, docs["doc_id"].eqNullSafe(suspects["_s"]), "left_semi")
@@ -160,8 +177,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     for size in sorted(sizes):
         wide = base.select("doc_id", "text", F.posexplode(either(F.col("words"), F.col("folded"), F.col("plain"), size)).alias("pos", "ks"))
         wide = wide.select("doc_id", "text", "pos", F.explode(F.array_distinct(F.slice("ks", 1, forms))).alias("k"))
-        side = items.where(F.col("size") == size).select("item_id", "item_windows", "strong", "at", F.explode("ks").alias("k"))
-        hits = wide.join(F.broadcast(side) if small else side, "k")
+        side = materialise(items.where(F.col("size") == size).select("item_id", "item_windows", "strong", "at", F.explode("ks").alias("k")), "windows")
+        hits = _meet(wide, side, "k")
         found = found.unionByName(hits.select("doc_id", "text", "item_id", "item_windows", "strong", (F.col("pos") - F.col("at")).alias("shift")))
     key = ["doc_id", "item_id", "item_windows", "strong", "shift"]
     one = found.groupBy(*key, F.xxhash64("text").alias("copy")).agg(F.first("text").alias("text"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandflow.llm import chat, decontam, langid, near_dedup, quality
+from strandflow.llm import chat, common, decontam, langid, near_dedup, quality
 
 
 def shingles(text, width):
@@ -350,3 +350,22 @@ def test_leaks_as_the_sql_says(spark, items):
     got = decontam.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string"))
     assert {(r["doc_id"], r["item_id"]): (r["coverage"], r["same_fillers"]) for r in got.collect()} == want
     assert {(4, 1), (8, 7), (11, 8), (13, 10), (14, 10)} <= want.keys() and (10, 8) not in want and (9, 7) not in want
+
+
+def test_copies_in_any_script_are_leaks(spark, monkeypatch):
+    """Exact copies of items, whatever their letters, also where everything is joined by a
+    shuffle and one pair of words is in every document."""
+    rnd = random.Random(12)
+    letters = ["ΣΑΣςσ'", "İıIi", "ßẞSs", "ÀàÉé-", "ДдЁё", "אבג", "देव", "Ǆǅǆ", "ﬁﬂ", "Ωω’Σ"]
+    word = lambda: "".join(rnd.choice(rnd.choice(letters)) for _ in range(rnd.randint(2, 7)))
+    bench = [(0, "ΜΕΓΑΛΟΣ'ΑΥΤΟΣ"), (1, "MEGALOS'AUTOS")] + [(i, " ".join(word() for _ in range(rnd.randint(2, 20)))) for i in range(2, 90)]
+    items = spark.createDataFrame(bench, "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, t) for i, t in bench] + [(1000 + i, f"of the {t} of the") for i, t in bench], "doc_id bigint, text string")
+    whole = {r["item_id"] for r in decontam.item_windows(items).select("item_id").distinct().collect()}
+    for most in (decontam.MOST_BROADCAST, 0):
+        monkeypatch.setattr(decontam, "MOST_BROADCAST", most)
+        monkeypatch.setattr(common, "ONE_TASK", 10)
+        monkeypatch.setattr(common, "LEAST_HOT", 5)
+        got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, items).collect()}
+        assert all((i, i) in got and (1000 + i, i) in got for i in whole)
+        assert {0, 1} <= whole
