@@ -96,7 +96,7 @@ def align_best(spark, sf_dir):
 
 @query(ALIGN_SQL)
 def align_best_seeded(spark, sf_dir):
-    out = align.align_seeded(_reads(spark, sf_dir), _reference(spark, sf_dir), seed=2)
+    out = align.align_seeded(_reads(spark, sf_dir), _reference(spark, sf_dir))
     return out.select("sample_id", "read", "oriented", "start", "orientation", *big("score"), "full")
 
 

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import MATCH, MISMATCH, orientations, ungapped_score
+from ..functions import packed
+from ..functions.sequence import MATCH, MISMATCH, hamming, orientations
+from .lineage import spread
+
+
+#: Parts into which a sample's reads are dealt.
+SALTS = 16
 
 
 def _best(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -19,14 +25,9 @@ def _spread(m: str) -> list[Column]:
     return [F.col(f"{m}.oriented").alias("oriented"), F.col(f"{m}.start").alias("start"), (-F.col(f"{m}.o")).alias("orientation"), F.col(f"{m}.score").alias("score"), full.alias("full")]
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
-def best_place(read: str, seq: str) -> Column:
-    """(score, o, start, oriented) of a read's best place on a sequence: every orientation at
-    every offset is scored inside the row, so nothing is exploded and nothing shuffled."""
+def _by_letters(read: str, seq: str) -> Column:
+    """(score, o, start, oriented) of a read's best place on a sequence, letter by letter: for
+    letters besides A, C, G and T."""
     size, room = F.length(read), F.length(seq) - F.length(read)
 
     def along(bases: Column) -> Column:
@@ -39,47 +40,83 @@ def best_place(read: str, seq: str) -> Column:
 
                 return F.array_max(F.transform(F.sequence(F.lit(0), room), scored))
 
-            best = _let(F.split(oriented, ""), at)
+            best = packed.let(F.split(oriented, ""), at)
             return F.struct(best["score"].alias("score"), best["o"].alias("o"), best["start"].alias("start"), oriented.alias("oriented"))
 
         return F.array_max(F.transform(orientations(read), of))
 
-    return _let(F.split(seq, ""), along)
+    return packed.let(F.split(seq, ""), along)
 
 
-def align(reads: DataFrame, references: DataFrame) -> DataFrame:
-    """(sample_id, read, oriented, start, orientation, score, full) per distinct read.
+def best_place(read: str, places: str) -> Column:
+    """(score, o, start, oriented) of a read's best place on a sequence: every orientation at
+    every offset is scored inside the row, so nothing is exploded and nothing shuffled.
 
-    Scores each orientation at each offset. Distinct reads are aligned once; empty reads,
-    reads longer than the reference and null reads have no place and are left out.
+    ``places``: the packed word at each place of the sequence. Two words are compared by xor and
+    a bit count, 32 bases at once.
     """
-    distinct = reads.where(F.length("read") > 0).select("sample_id", "read").distinct()
-    pairs = distinct.join(references.select("sample_id", "seq"), "sample_id").where(F.length("read") <= F.length("seq"))
-    return pairs.select("sample_id", "read", best_place("read", "seq").alias("m")).select("sample_id", "read", *_spread("m"))
+    size = F.length(read)
+
+    def of(oriented: Column, turn: Column) -> Column:
+        def at(words: Column) -> Column:
+            def scored(i: Column) -> Column:
+                wrong = packed.mismatches_at(words, size, F.col(places), i)
+                return F.struct((size * MATCH - wrong * (MATCH - MISMATCH)).alias("score"), (-turn).alias("o"), i.alias("start"))
+
+            return F.array_max(F.transform(F.sequence(F.lit(0), F.size(places) - size), scored))
 
+        best = packed.let(packed.pack(oriented), at)
+        return F.struct(best["score"].alias("score"), best["o"].alias("o"), best["start"].alias("start"), oriented.alias("oriented"))
 
-def align_seeded(reads: DataFrame, references: DataFrame, seed: int = 4) -> DataFrame:
-    """The same as ``align``, for long references: first only offsets where some ``seed``
-    bases in a row agree, by an equi-join of seeds.
+    return F.array_max(F.transform(orientations(read), of))
 
-    A place that shares no seed has a mismatch in each stretch of ``seed`` bases of the
-    read, so a seeded place with fewer mismatches is the best. Reads without such a
-    place, and those shorter than a seed, are aligned at all offsets.
+
+def align(reads: DataFrame, references: DataFrame) -> DataFrame:
+    """(sample_id, read, oriented, start, orientation, score, full) per distinct read.
+
+    Scores each orientation at each offset. Distinct reads are aligned once; empty reads,
+    reads longer than the reference and null reads have no place and are left out. Few
+    bytes are much work here, so the reads of each sample are dealt to SALTS parts, with a copy
+    of its reference in each, and these to a stated number of tasks.
+    """
+    salt = F.pmod(F.xxhash64("read"), F.lit(SALTS)).cast("int").alias("_salt")
+    distinct = reads.where(F.length("read") > 0).select("sample_id", "read").distinct().select("sample_id", "read", salt)
+    known = references.select("sample_id", "seq", F.when(packed.packable("seq"), packed.word_at_each("seq")).alias("places"))
+    known = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    pairs = spread(distinct, "sample_id", "_salt").join(spread(known, "sample_id", "_salt"), ["sample_id", "_salt"]).where(F.length("read") <= F.length("seq"))
+    plain = packed.packable("read") & F.col("places").isNotNull()
+    place = F.when(plain, best_place("read", "places")).otherwise(_by_letters("read", "seq"))
+    return pairs.select("sample_id", "read", place.alias("m")).select("sample_id", "read", *_spread("m"))
+
+
+def align_seeded(reads: DataFrame, references: DataFrame, mismatches: int = 3) -> DataFrame:
+    """The same as ``align``, for long references: first by an index of blocks.
+
+    A read cut into ``mismatches`` + 1 blocks has one without a mismatch at each place with at
+    most that many, so an equi-join of blocks with the reference's pieces of the same size
+    finds all such places, exactly. The best of them is the read's best; reads without one,
+    and those with fewer bases than blocks, are aligned at all offsets.
     """
-    cut = lambda c: F.posexplode(F.transform(F.sequence(F.lit(1), F.length(c) - seed + 1), lambda i: F.substring(c, i, F.lit(seed))))
+    parts = mismatches + 1
     distinct = reads.where(F.length("read") > 0).select("sample_id", "read").distinct()
-    turned = distinct.where(F.length("read") >= seed).select("sample_id", "read", F.posexplode(orientations("read")).alias("orientation", "oriented"))
-    left = turned.select("*", cut(F.col("oriented")).alias("at", "seed"))
-    right = references.where(F.length("seq") >= seed).select("sample_id", "seq", cut(F.col("seq")).alias("ref_at", "seed"))
-    offset = F.col("ref_at") - F.col("at")
-    places = left.join(right, ["sample_id", "seed"]).select("sample_id", "read", "orientation", "oriented", "seq", offset.alias("start"))
-    inside = places.where((F.col("start") >= 0) & (F.col("start") + F.length("oriented") <= F.length("seq"))).distinct()
-    scored = inside.withColumn("score", ungapped_score("oriented", F.substring("seq", F.col("start") + 1, F.length("oriented"))))
-    seeded = _best(scored, ["sample_id", "read"])
-    mismatches = (MATCH * F.length("read") - F.col("score")) / (MATCH - MISMATCH)
-    sure = seeded.where(mismatches < F.floor(F.length("read") / seed))
-    rest = align(distinct.join(sure.select("sample_id", "read"), ["sample_id", "read"], "left_anti"), references)
-    return sure.unionByName(rest)
+    turned = distinct.where(F.length("read") >= parts).select("sample_id", "read", F.posexplode(orientations("read")).alias("orientation", "oriented"))
+    size = F.floor(F.length("read") / parts).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.struct((k * size).cast("int").alias("at"), F.substring("oriented", (k * size + 1).cast("int"), size).alias("block")))
+    left = turned.select("sample_id", "read", "orientation", "oriented", F.inline(blocks))
+    sizes = turned.select("sample_id", size.alias("size")).distinct()
+    index = references.join(sizes, "sample_id").where(F.length("seq") >= F.col("size"))
+    piece = F.transform(F.sequence(F.lit(0), F.length("seq") - F.col("size")), lambda i: F.struct(i.alias("ref_at"), F.substring("seq", i + 1, F.col("size")).alias("block")))
+    right = index.select("sample_id", F.inline(piece))
+    start = F.col("ref_at") - F.col("at")
+    found = left.join(right, ["sample_id", "block"]).where(start >= 0).select("sample_id", "read", "orientation", "oriented", start.alias("start")).distinct()
+    placed = found.join(references.select("sample_id", "seq"), "sample_id")
+    inside = placed.withColumn("piece", F.substring("seq", F.col("start") + 1, F.length("oriented"))).where(F.length("piece") == F.length("oriented")).drop("seq")
+    plain = packed.packable("oriented") & packed.packable("piece")
+    wrong = F.when(plain, packed.mismatches(packed.pack("oriented"), packed.pack("piece"))).otherwise(hamming("oriented", "piece"))
+    near = inside.withColumn("wrong", wrong).where(F.col("wrong") <= mismatches)
+    seeded = _best(near.withColumn("score", MATCH * F.length("read") - (MATCH - MISMATCH) * F.col("wrong")), ["sample_id", "read"])
+    rest = align(distinct.join(seeded.select("sample_id", "read"), ["sample_id", "read"], "left_anti"), references)
+    return seeded.unionByName(rest)
 
 
 def from_cache(lines: DataFrame, references: DataFrame) -> DataFrame:

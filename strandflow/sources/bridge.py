@@ -46,7 +46,8 @@ def haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.substring(F.lit("ACGT"), (F.when(changed, plain + 1 + h % 3).otherwise(plain) % 4 + 1).cast("int"), F.lit(1))
 
     places = F.sequence(F.lit(0).cast("bigint"), length(s) - 1)
-    return both.select("sample_id", "hap_id", F.array_join(F.transform(places, base), "").alias("seq"))
+    # never null, so that no join has it spelled for each row of the table to see whether it is
+    return both.select("sample_id", "hap_id", F.coalesce(F.array_join(F.transform(places, base), ""), F.lit("")).alias("seq"))
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:

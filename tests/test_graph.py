@@ -41,24 +41,48 @@ def test_alignment_leaves_out_what_has_no_place(spark):
     assert align.align(reads, reference).count() == 0
 
 
-@pytest.mark.parametrize("seed", [2, 3, 5])
-def test_seeds_change_nothing(spark, seed):
-    """Also for reads that share no seed with their best place, and for shorter ones."""
-    rng = random.Random(seed)
-    base = "".join(rng.choice("ACGT") for _ in range(40))
-    reads = {"".join(rng.choice("ACGT") for _ in range(rng.randint(1, 9))) for _ in range(60)}
-    for _ in range(40):
-        at = rng.randrange(30)
-        reads.add("".join(c if rng.random() < 0.6 else rng.choice("ACGT") for c in base[at : at + 9]))
+def by_definition(read, base):
+    """(score, orientation, start) of the best place."""
+    turn = str.maketrans("ACGT", "TGCA")
+    ways = [read, read.translate(turn), read[::-1], read.translate(turn)[::-1]]
+    score, o, at = max((sum(5 if a == b else -4 for a, b in zip(w, base[i:], strict=False)), -o, i) for o, w in enumerate(ways) for i in range(len(base) - len(read) + 1))
+    return score, -o, at
+
+
+@pytest.mark.parametrize("mismatches", [0, 1, 2, 4])
+def test_blocks_change_nothing(spark, mismatches):
+    """Also for reads with more mismatches than blocks allow for, for shorter ones, for ties,
+    for reads of one to several words, and for other letters."""
+    rng = random.Random(mismatches)
+    base = "".join(rng.choice("ACGT") for _ in range(150)) + "ACACACACACACACACACAC"
+    reads = {"".join(rng.choice("ACGT") for _ in range(rng.randint(1, 9))) for _ in range(40)} | {"ACAC", "GTGTGT", "ACNCA", base, "N", "acgt"}
+    for size in (9, 31, 32, 33, 64, 65, 96, 130):
+        for wrong in (0, 1, 2, 5):
+            at = rng.randrange(len(base) - size)
+            read = list(base[at : at + size])
+            for k in rng.sample(range(size), wrong):
+                read[k] = rng.choice("ACGT")
+            read = "".join(read)
+            reads.add(rng.choice([read, read[::-1], read.translate(str.maketrans("ACGT", "TGCA"))]))
     table = spark.createDataFrame([(1, r) for r in reads], "sample_id bigint, read string")
     reference = spark.createDataFrame([(1, base)], "sample_id bigint, seq string")
     rows = {r["read"]: tuple(r) for r in align.align(table, reference).collect()}
-    assert rows == {r["read"]: tuple(r) for r in align.align_seeded(table, reference, seed).select("sample_id", "read", "oriented", "start", "orientation", "score", "full").collect()}
-    turn = str.maketrans("ACGT", "TGCA")
-    for read in reads:
-        ways = [read, read.translate(turn), read[::-1], read.translate(turn)[::-1]]
-        best = max((sum(5 if a == b else -4 for a, b in zip(w, base[i:], strict=False)), -o, i) for o, w in enumerate(ways) for i in range(len(base) - len(read) + 1))
-        assert (rows[read][5], -rows[read][4], rows[read][3]) == best
+    assert rows == {r["read"]: tuple(r) for r in align.align_seeded(table, reference, mismatches).select("sample_id", "read", "oriented", "start", "orientation", "score", "full").collect()}
+    assert {r: (x[5], x[4], x[3]) for r, x in rows.items()} == {r: by_definition(r, base) for r in reads}
+
+
+def test_other_letters_in_the_reference(spark):
+    reads = spark.createDataFrame([(1, "GATN"), (1, "TTAC")], "sample_id bigint, read string")
+    reference = spark.createDataFrame([(1, "GATNTTACA")], "sample_id bigint, seq string")
+    assert {r["read"]: (r["start"], r["full"]) for r in align.align(reads, reference).collect()} == {"GATN": (0, True), "TTAC": (4, True)}
+
+
+def test_reads_are_dealt_to_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    reads = spark.range(400).select(F.lit(1).cast("bigint").alias("sample_id"), F.translate(F.conv("id", 10, 4), "0123", "ACGT").alias("read"))
+    reference = spark.createDataFrame([(1, "GATTACACCGTGA")], "sample_id bigint, seq string")
+    assert align.align(reads, reference).groupBy(F.spark_partition_id()).count().count() > 1
 
 
 def test_graph(reads):
