@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, sampler
+from ..operators import graph, lineage, sampler
 
 
 def clean_edges(reads: DataFrame, k: int) -> DataFrame:
@@ -29,8 +29,8 @@ def reconstruct(reads: DataFrame, references: DataFrame | None = None, settings:
     """
     k = settings.k
     reads = reads if references is None else reads.join(references.select("sample_id").distinct(), "sample_id", "left_semi")
-    edges = clean_edges(reads, k).persist()
-    counts = graph.count_paths(edges, graph.origin_length(reads), k)
-    alone = single_paths(edges.join(counts.where("paths = 1").select("sample_id"), "sample_id", "left_semi"))
-    many = edges.join(counts.where("paths > 1").select("sample_id"), "sample_id", "left_semi")
+    edges = lineage.cut(clean_edges(reads, k))
+    kinds = graph.path_kinds(edges, graph.origin_length(reads), k)
+    alone = single_paths(edges.join(kinds.where("kind = 'one'").select("sample_id"), "sample_id", "left_semi"))
+    many = edges.join(kinds.where("kind = 'many'").select("sample_id"), "sample_id", "left_semi")
     return alone.unionByName(sampler.best_of_chains(sampler.mixtures(many, chains, settings)))

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sequence import windows
+from . import layers
 from .lineage import cut
 
 LAYER = ["sample_id", "position"]
-#: Edges of a sample that fit into one group; larger graphs are cut by joins.
-MOST_EDGES = 500_000
+#: Residues are below this, so that the product of two fits into a long.
+PRIME_BELOW = 1 << 31
 
 
 def vertices(reads: DataFrame, k: int) -> DataFrame:
@@ -83,71 +83,57 @@ def branching(edges: DataFrame) -> DataFrame:
     return out.unionByName(into)
 
 
-def _per_sample(df: DataFrame, schema: str, work: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    return df.groupBy("sample_id").applyInPandas(work, schema)
-
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """Steps (sample_id, way, position, src, dst): way 1 as the edges go, way -1 against
+    them, at negative positions."""
+    ahead = edges.select("sample_id", F.lit(1).alias("way"), F.col("position").cast("bigint").alias("position"), "src", "dst")
+    back = edges.select("sample_id", F.lit(-1).alias("way"), (-1 - F.col("position")).cast("bigint").alias("position"), F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return ahead.unionByName(back)
 
-def _reach(vertex: pd.DataFrame, edge: pd.DataFrame, length: int, k: int) -> set[tuple[int, str]]:
-    """Vertices left when dead ends are peeled off until none is left.
 
-    In a layered graph: an inner vertex stays if it is reached from the left boundary and
-    reaches the right one; a boundary vertex if it had no inner edges or has a kept neighbour.
-    """
-    last = length - k
-    nodes = set(zip(vertex["position"], vertex["kmer"], strict=True))
-    nxt: dict[tuple[int, str], list[tuple[int, str]]] = {v: [] for v in nodes}
-    prv: dict[tuple[int, str], list[tuple[int, str]]] = {v: [] for v in nodes}
-    for p, s, d in zip(edge["position"], edge["src"], edge["dst"], strict=True):
-        nxt[p, s].append((p + 1, d))
-        prv[p + 1, d].append((p, s))
-    ordered = sorted(nodes)
-    left, right = set(), set()
-    for v in ordered:
-        if v[0] <= 0 or any(u in left for u in prv[v]):
-            left.add(v)
-    for v in reversed(ordered):
-        if v[0] >= last or any(u in right for u in nxt[v]):
-            right.add(v)
-    inner = {v for v in nodes if 0 < v[0] < last and v in left and v in right}
-
-    def stays(v: tuple[int, str]) -> bool:
-        near = nxt[v] if v[0] <= 0 else prv[v]
-        return not near or any(u in inner or not 0 < u[0] < last for u in near)
-
-    return inner | {v for v in nodes if not 0 < v[0] < last and stays(v)}
+def reached(vertices: DataFrame, edges: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
+    """(sample_id, way, position, kmer) of the vertices that are reached from position 0 (way
+    1), and of those that reach the right boundary (way -1)."""
+    keys = ["sample_id", "way"]
+    ends = lengths.select("sample_id", (F.col("origin_length") - k).alias("last")).where("last > 0")
+    span = ends.select("sample_id", F.explode(F.array(F.struct(F.lit(1).alias("way"), F.lit(0).cast("bigint").alias("lo"), (F.col("last") - 1).alias("hi")), F.struct(F.lit(-1).alias("way"), (-F.col("last")).alias("lo"), F.lit(-1).cast("bigint").alias("hi")))).alias("s")).select("sample_id", "s.*")
+    spans = cut(span)
+    any_ = lambda w: F.max(w)
+    levels = layers.compose(_both_ways(edges).withColumn("w", F.lit(1)), keys, spans, any_)
+    at = vertices.select("sample_id", F.explode(F.array(F.struct(F.lit(1).alias("way"), F.col("position").cast("bigint").alias("at")), F.struct(F.lit(-1).alias("way"), (-F.col("position")).cast("bigint").alias("at")))).alias("s"), "kmer").select("sample_id", "s.*", "kmer")
+    start = at.join(spans, keys).where(F.col("at") == F.col("lo")).select(*keys, "lo", "hi", F.col("kmer").alias("vertex"), F.lit(1).alias("w"))
+    found = layers.states(levels, keys, start, any_)
+    return found.select("sample_id", "way", (F.col("position") * F.col("way")).cast("int").alias("position"), F.col("vertex").alias("kmer"))
 
 
 def cut_tails(vertices: DataFrame, edges: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
-    """The edges left after peeling dead ends; each sample is one group.
+    """The edges left after peeling dead ends until there is none.
 
-    A sample's graph is bounded by its length times its variants, not by its reads. Samples
-    with more than MOST_EDGES edges are cut by ``cut_tails_in_rounds``, to the same result.
+    In a layered graph an inner vertex stays if it is reached from the left boundary and
+    reaches the right one; a boundary vertex if it had no inner edges or has a kept neighbour.
+    Reachability comes from blocks of layers, so rounds follow the logarithm of the length,
+    not the longest tail.
     """
-    large = edges.groupBy("sample_id").agg(F.count("*").alias("n")).where(F.col("n") > MOST_EDGES).select("sample_id")
-    if not large.isEmpty():
-        large = cut(large)
-        of = lambda how: [df.join(large, "sample_id", how) for df in (vertices, edges, lengths)]
-        columns = ["sample_id", "position", "src", "dst", "weight"]
-        return _cut_in_groups(*of("left_anti"), k).select(*columns).unionByName(cut_tails_in_rounds(*of("left_semi"), k).select(*columns))
-    return _cut_in_groups(vertices, edges, lengths, k)
-
-
-def _cut_in_groups(vertices: DataFrame, edges: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
-    v = vertices.join(lengths, "sample_id").select("sample_id", "position", F.col("kmer").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(0).cast("bigint").alias("weight"), "origin_length")
-    both = v.unionByName(edges.select("*", F.lit(None).cast("bigint").alias("origin_length")))
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        edge = rows[rows["dst"].notna()]
-        vertex = rows[rows["dst"].isna()].rename(columns={"src": "kmer"})
-        kept = _reach(vertex, edge, int(vertex["origin_length"].iloc[0]), k)
-        on = [(p, s) in kept and (p + 1, d) in kept for p, s, d in zip(edge["position"], edge["src"], edge["dst"], strict=True)]
-        return edge.loc[on, ["sample_id", "position", "src", "dst", "weight"]]
-
-    return _per_sample(both, "sample_id bigint, position int, src string, dst string, weight bigint", work)
+    key = ["sample_id", "position", "kmer"]
+    ways = reached(vertices, edges, lengths, k).groupBy(*key).agg(F.count("*").alias("ways")).where("ways = 2").select(*key, F.lit(True).alias("through"))
+    marked = vertices.join(lengths, "sample_id").join(ways, key, "left")
+    first, last = F.col("position") <= 0, F.col("position") + k >= F.col("origin_length")
+    marked = cut(marked.select(*key, first.alias("first"), last.alias("last"), (F.coalesce("through", F.lit(False)) | first | last).alias("on")))
+    side = lambda name, shift, c: marked.select("sample_id", (F.col("position") - shift).alias("position"), F.col("kmer").alias(c), F.col("on").alias(f"{name}_on"), F.col("first").alias(f"{name}_first"), F.col("last").alias(f"{name}_last"))
+    both = edges.join(side("a", 0, "src"), ["sample_id", "position", "src"]).join(side("b", 1, "dst"), ["sample_id", "position", "dst"])
+    # what a boundary vertex leads to, or is led to by, must be left
+    alive = both.where("a_on and b_on")
+    held = alive.where("a_first").select("sample_id", "position", F.col("src").alias("kmer")).union(alive.where("b_last and not b_first").select("sample_id", F.col("position") + 1, "dst"))
+    near = both.where("a_first").select("sample_id", "position", F.col("src").alias("kmer")).union(both.where("b_last and not b_first").select("sample_id", F.col("position") + 1, "dst"))
+    lost = near.distinct().join(held.distinct(), key, "left_anti")
+    kept = alive.join(lost.withColumnRenamed("kmer", "src"), ["sample_id", "position", "src"], "left_anti")
+    kept = kept.join(lost.select("sample_id", (F.col("position") - 1).alias("position"), F.col("kmer").alias("dst")), ["sample_id", "position", "dst"], "left_anti")
+    return kept.select("sample_id", "position", "src", "dst", "weight")
 
 
 def cut_tails_in_rounds(vertices: DataFrame, edges: DataFrame, lengths: DataFrame, k: int, most: int = 10_000) -> DataFrame:
-    """The same by rounds of anti-joins, each round written to the checkpoint folder.
+    """The same by rounds of anti-joins, each round written to the checkpoint folder: the
+    better way where tails are known to be a few vertices long.
 
     Rounds are as many as the longest tail has vertices.
     """
@@ -169,60 +155,99 @@ def cut_tails_in_rounds(vertices: DataFrame, edges: DataFrame, lengths: DataFram
     raise RuntimeError("tails are left")
 
 
-def _layers(rows: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
-    yield from rows.sort_values("position").groupby("position", sort=True)
+def path_kinds(edges: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
+    """(sample_id, kind) of graphs without dead ends: ``none``, ``one`` or ``many`` source-to-sink
+    paths, without counting them. Every layer must have an edge, and more than one in
+    any layer are paths that part."""
+    of = edges.groupBy("sample_id").agg(F.countDistinct("position").alias("layers"), F.count("*").alias("edges")).join(lengths, "sample_id")
+    kind = F.when(F.col("layers") < F.col("origin_length") - k, "none").when(F.col("edges") == F.col("layers"), "one").otherwise("many")
+    return of.select("sample_id", kind.alias("kind"))
 
 
-def count_paths(edges: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
-    """(sample_id, paths): source-to-sink paths, exact up to 38 digits."""
+def _primes(number: int) -> list[int]:
+    """The largest primes below PRIME_BELOW."""
+    small = [p for p in range(2, 46_342) if all(p % q for q in range(2, int(p**0.5) + 1))]
+    found, at = [], PRIME_BELOW
+    while len(found) < number:
+        at -= 1
+        if all(at % p for p in small):
+            found.append(at)
+    return found
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        last = int(rows["origin_length"].iloc[0]) - k
-        counts: dict[str, int] = {}
-        for position, layer in _layers(rows):
-            if position == 0:
-                counts = dict.fromkeys(layer["src"], 1)
-            nxt: dict[str, int] = {}
-            for s, d in zip(layer["src"], layer["dst"], strict=True):
-                nxt[d] = nxt.get(d, 0) + counts.get(s, 0)
-            counts = nxt
-            if position + 1 == last:
-                break
-        from decimal import Decimal
 
-        return pd.DataFrame({"sample_id": [rows["sample_id"].iloc[0]], "paths": [Decimal(sum(counts.values()))]})
+def count_paths(edges: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
+    """(sample_id, paths, digits): source-to-sink paths; ``digits`` is the exact number as a
+    string, ``paths`` the same as decimal(38,0), null where it has more digits.
 
-    return _per_sample(edges.join(lengths, "sample_id"), "sample_id bigint, paths decimal(38,0)", work)
+    Paths are counted modulo as many primes as a bound of the number needs (the product
+    of each layer's largest out-degree), by composing blocks of layers, and the number is
+    rebuilt from its residues.
+    """
+    ends = lengths.select("sample_id", (F.col("origin_length") - k).alias("last")).where("last > 0")
+    inner = edges.join(ends, "sample_id").where("position >= 0 and position < last")
+    out = inner.groupBy("sample_id", "position", "src").agg(F.count("*").alias("n"))
+    layer = out.groupBy("sample_id", "position").agg(F.log2(F.max("n")).alias("bits"), F.log2(F.count("*")).alias("sources"))
+    bits = layer.groupBy("sample_id").agg((F.sum("bits") + F.max(F.when(F.col("position") == 0, F.col("sources")).otherwise(0))).alias("bits"))
+    # rounding must not take the last bit, and each prime gives more than 30
+    needed = cut(bits.select("sample_id", F.ceil((F.col("bits") * 1.000001 + 2) / 30).cast("int").alias("number")))
+    primes = _primes(needed.agg(F.max("number")).first()[0] or 1)
+    listed = F.array(*[F.lit(p).cast("bigint") for p in primes])
+    residues = inner.join(needed, "sample_id").select("sample_id", F.explode(F.slice(listed, F.lit(1), F.col("number"))).alias("prime"), "position", "src", "dst", F.lit(1).cast("bigint").alias("w"))
+    spans = ends.join(needed, "sample_id").select("sample_id", F.explode(F.slice(listed, F.lit(1), F.col("number"))).alias("prime"), F.lit(0).cast("bigint").alias("lo"), (F.col("last") - 1).alias("hi"))
+    add = lambda w: F.sum(w % F.col("prime")) % F.col("prime")
+    top = layers.compose(residues, ["sample_id", "prime"], cut(spans), add)[-1]
+    sums = top.groupBy("sample_id", "prime").agg((F.sum("w") % F.col("prime")).alias("r"))
+    rebuilt = sums.groupBy("sample_id").agg(_rebuild(F.sort_array(F.collect_list(F.struct("prime", "r")))).alias("digits"))
+    found = edges.select("sample_id").distinct().join(rebuilt, "sample_id", "left").select("sample_id", F.coalesce("digits", F.lit("0")).alias("digits"))
+    return found.select("sample_id", F.expr("try_cast(digits AS decimal(38,0))").alias("paths"), "digits")
+
+
+@F.pandas_udf(T.StringType())
+def _rebuild(residues: pd.Series) -> pd.Series:
+    """The number below the product of the primes that has these residues, in digits."""
+
+    def one(pairs) -> str:
+        number, product = 0, 1
+        for pair in pairs:
+            prime, r = int(pair["prime"]), int(pair["r"])
+            number += product * ((r - number) * pow(product, -1, prime) % prime)
+            product *= prime
+        digits = []
+        while number >= 10**1000:  # str() of longer numbers is refused
+            number, low = divmod(number, 10**1000)
+            digits.append(f"{low:01000d}")
+        return str(number) + "".join(reversed(digits))
+
+    return residues.map(one)
 
 
 def path_shares(edges: DataFrame) -> DataFrame:
     """(sample_id, position, kmer, count_left, count_right): shares of the paths that
-    come to a vertex and that go on from it, normalised in each layer."""
-
-    def one_way(rows: pd.DataFrame, near: str, far: str, step: int) -> dict[tuple[int, str], float]:
-        """Layer by layer: the sum over the neighbours before, or 1 without any, as shares."""
-        first = 0 if step > 0 else 1
-        layers: dict[int, set[str]] = {}
-        before: dict[tuple[int, str], list[tuple[int, str]]] = {}
-        for p, a, b in zip(rows["position"], rows[near], rows[far], strict=True):
-            at, to = p + first, p + first + step
-            layers.setdefault(at, set()).add(a)
-            layers.setdefault(to, set()).add(b)
-            before.setdefault((to, b), []).append((at, a))
-        out: dict[tuple[int, str], float] = {}
-        for p in sorted(layers, reverse=step < 0):
-            sums = {v: sum(out[u] for u in before[p, v]) if (p, v) in before else 1.0 for v in sorted(layers[p])}
-            total = sum(sums.values())
-            out |= {(p, v): x / total for v, x in sums.items()}
-        return out
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = one_way(rows, "src", "dst", 1), one_way(rows, "dst", "src", -1)
-        keys = sorted(left.keys() | right.keys())
-        sample = rows["sample_id"].iloc[0]
-        return pd.DataFrame([(sample, p, v, left.get((p, v), 0.0), right.get((p, v), 0.0)) for p, v in keys], columns=["sample_id", "position", "kmer", "count_left", "count_right"])
-
-    return _per_sample(edges, "sample_id bigint, position int, kmer string, count_left double, count_right double", work)
+    come to a vertex and that go on from it, normalised in each layer.
+
+    A vertex that nothing comes to counts as much as the whole layer before it: that is a step
+    from each vertex there. So shares are products of layers, which are composed in blocks
+    and normalised on the way. A layer after a gap begins anew.
+    """
+    keys = ["sample_id", "way", "run"]
+    steps = _both_ways(edges)
+    at = steps.select("sample_id", "way", "position", F.col("src").alias("kmer")).union(steps.select("sample_id", "way", F.col("position") + 1, "dst")).distinct()
+    order = F.row_number().over(Window.partitionBy("sample_id", "way").orderBy("position"))
+    runs = at.select("sample_id", "way", "position").distinct().withColumn("run", F.col("position") - order)
+    spans = cut(runs.groupBy(*keys).agg(F.min("position").alias("lo"), (F.max("position") - 1).alias("hi")))
+    at = cut(at.join(runs, ["sample_id", "way", "position"]))
+    fed = steps.select("sample_id", "way", (F.col("position") + 1).alias("position"), F.col("dst").alias("kmer")).distinct()
+    new = at.join(fed, ["sample_id", "way", "position", "kmer"], "left_anti").select(*keys, (F.col("position") - 1).alias("position"), F.col("kmer").alias("dst"))
+    fresh = at.withColumnRenamed("kmer", "src").join(new, [*keys, "position"])
+    known = steps.join(runs, ["sample_id", "way", "position"])
+    every = known.select(*keys, "position", "src", "dst").unionByName(fresh.select(*keys, "position", "src", "dst")).withColumn("w", F.lit(1.0))
+    start = at.join(spans, keys).where(F.col("position") == F.col("lo")).select(*keys, "lo", "hi", F.col("kmer").alias("vertex"), F.lit(1.0).alias("w"))
+    levels = layers.compose(every, keys, spans, F.sum, scale=True)
+    found = layers.states(levels, keys, start, F.sum, scale=True)
+    share = found.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy(*keys, "position")))
+    share = share.select("sample_id", (F.col("position") * F.col("way")).cast("int").alias("position"), F.col("vertex").alias("kmer"), "way", "w")
+    of = lambda way: F.coalesce(F.max(F.when(F.col("way") == way, F.col("w"))), F.lit(0.0))
+    return share.groupBy("sample_id", "position", "kmer").agg(of(1).alias("count_left"), of(-1).alias("count_right"))
 
 
 def unitigs(edges: DataFrame, most: int = 64) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from strandflow.jobs import reconstruct
-from strandflow.operators import align, graph, intervals, overlay, sampler, scoring
+from strandflow.operators import align, graph, intervals, layers, overlay, sampler, scoring
 
 READS = {"GCT": 1, "GAT": 4, "CTT": 1, "ATT": 3, "TTA": 2, "TAT": 1, "TAC": 4, "ATA": 1, "ACA": 3}
 STARTS = {"GCT": 0, "GAT": 0, "CTT": 1, "ATT": 1, "TTA": 2, "TAT": 3, "TAC": 3, "ATA": 4, "ACA": 4}
@@ -201,12 +201,84 @@ def test_a_clone_is_spelled_from_its_reads(spark):
     assert reconstruct.reconstruct(reads, given.where("sample_id = 2"), sampler.Settings(k=6)).count() == 0
 
 
-def test_large_graphs_are_cut_by_joins(spark, reads, monkeypatch):
-    noisy = reads.unionByName(spark.createDataFrame([(1, 2, "TTG"), (2, 0, "GAT"), (2, 1, "ATT")], reads.schema))
-    parts = graph.vertices(noisy, 2), graph.edges(noisy, 2), graph.origin_length(noisy)
-    plain = sorted(map(tuple, graph.cut_tails(*parts, 2).collect()))
-    monkeypatch.setattr(graph, "MOST_EDGES", 5)
-    assert sorted(map(tuple, graph.cut_tails(*parts, 2).collect())) == plain and len({r[0] for r in plain}) == 2
+def test_tails_are_cut_in_logarithmic_rounds(spark, monkeypatch):
+    """A tail of 5,000 vertices on either side of a path, in at most 30 written rounds."""
+    rounds = []
+    plain_cut = layers.cut
+    monkeypatch.setattr(layers, "cut", lambda df: rounds.append(1) or plain_cut(df))
+    size = 6_000
+    rows = [(1, p, "p", "p", 3) for p in range(size)] + [(1, p, "p" if p == 500 else "t", "t", 1) for p in range(500, 5_500)] + [(1, p, "u", "p" if p == 5_499 else "u", 1) for p in range(499, 5_500)]
+    edges = spark.createDataFrame(rows, "sample_id bigint, position int, src string, dst string, weight bigint")
+    vertices = edges.select("sample_id", "position", edges["src"].alias("kmer")).union(edges.selectExpr("sample_id", "position + 1", "dst")).distinct()
+    lengths = spark.createDataFrame([(1, size + 2)], "sample_id bigint, origin_length bigint")
+    kept = graph.cut_tails(vertices, edges, lengths, 2)
+    assert kept.count() == size and kept.where("src <> 'p' or dst <> 'p'").count() == 0
+    assert len(rounds) <= 30
+
+
+def bubbles(number, size):
+    """A path of ``size`` layers, of which ``number`` two-way bubbles take two each."""
+    out = []
+    for p in range(size):
+        at = p // 2 < number
+        out += [(p, "a", "a")] + ([(p, "a", "b")] if at and p % 2 == 0 else []) + ([(p, "b", "a")] if at and p % 2 else [])
+    return out
+
+
+def test_numbers_of_paths_of_any_size(spark):
+    sizes = {1: (150, 300), 2: (3, 40), 3: (1_000, 2_000), 4: (0, 5)}
+    rows = [(s, *e, 1) for s, (n, size) in sizes.items() for e in bubbles(n, size)] + [(5, 0, "a", "b", 1), (5, 2, "a", "b", 1)]
+    edges = spark.createDataFrame(rows, "sample_id bigint, position int, src string, dst string, weight bigint")
+    lengths = spark.createDataFrame([(s, size + 2) for s, (_, size) in sizes.items()] + [(5, 5)], "sample_id bigint, origin_length bigint")
+    got = {r["sample_id"]: (r["paths"], r["digits"]) for r in graph.count_paths(edges, lengths, 2).collect()}
+    assert {s: d for s, (_, d) in got.items()} == {1: str(2**150), 2: "8", 3: str(2**1000), 4: "1", 5: "0"}
+    assert got[1][0] is None and got[2][0] == 8
+    assert {r["sample_id"]: r["kind"] for r in graph.path_kinds(edges, lengths, 2).collect()} == {1: "many", 2: "many", 3: "many", 4: "one", 5: "none"}
+
+
+def test_numbers_longer_than_strings_may_be(spark):
+    pairs = [{"prime": p, "r": pow(2, 20_000, p)} for p in sorted(graph._primes(700))]
+    import pandas as pd
+
+    digits = graph._rebuild.func(pd.Series([pairs]))[0]
+    assert len(digits) == 6_021 and digits.endswith(str(2**20_000 % 10**18))
+
+
+def shares_by_layer(edges):
+    """Layer by layer, as defined."""
+    out = {}
+    for way, near, far, step in ((0, 1, 2, 1), (1, 2, 1, -1)):
+        at, before = {}, {}
+        for e in edges:
+            p, q = (e[0], e[0] + 1) if step > 0 else (e[0] + 1, e[0])
+            at.setdefault(p, set()).add(e[near])
+            at.setdefault(q, set()).add(e[far])
+            before.setdefault((q, e[far]), []).append((p, e[near]))
+        share = {}
+        for p in sorted(at, reverse=step < 0):
+            sums = {v: sum(share[u] for u in before[p, v]) if (p, v) in before else 1.0 for v in at[p]}
+            share |= {(p, v): x / sum(sums.values()) for v, x in sums.items()}
+        for v, x in share.items():
+            out.setdefault(v, [0.0, 0.0])[way] = x
+    return out
+
+
+def test_shares_are_those_of_layer_after_layer(spark):
+    rng = random.Random(9)
+    samples = {}
+    for s in range(5):
+        size = rng.choice([1, 2, 7, 40])
+        samples[s] = sorted({(rng.randrange(size), rng.choice("abc"), rng.choice("abc")) for _ in range(4 * size)})
+    samples[9] = bubbles(700, 1_500)
+    rows = [(s, *e, 1) for s, edges in samples.items() for e in edges]
+    edges = spark.createDataFrame(rows, "sample_id bigint, position int, src string, dst string, weight bigint")
+    got = {}
+    for r in graph.path_shares(edges).collect():
+        got.setdefault(r["sample_id"], {})[r["position"], r["kmer"]] = [r["count_left"], r["count_right"]]
+    for s, of in samples.items():
+        want = shares_by_layer(of)
+        assert got[s].keys() == want.keys()
+        assert all(got[s][v] == pytest.approx(want[v], abs=1e-9) for v in want)
 
 
 def test_what_is_left_of_handles_does_not_overlap(reads):
