@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.sequence import windows
 from . import layers
-from .lineage import cut
+from .lineage import cut, written
 
 LAYER = ["sample_id", "position"]
 #: Residues are below this, so that the product of two fits into a long.
@@ -97,7 +97,7 @@ def reached(vertices: DataFrame, edges: DataFrame, lengths: DataFrame, k: int) -
     keys = ["sample_id", "way"]
     ends = lengths.select("sample_id", (F.col("origin_length") - k).alias("last")).where("last > 0")
     span = ends.select("sample_id", F.explode(F.array(F.struct(F.lit(1).alias("way"), F.lit(0).cast("bigint").alias("lo"), (F.col("last") - 1).alias("hi")), F.struct(F.lit(-1).alias("way"), (-F.col("last")).alias("lo"), F.lit(-1).cast("bigint").alias("hi")))).alias("s")).select("sample_id", "s.*")
-    spans = cut(span)
+    spans = written(span, "spans")
     any_ = lambda w: F.max(w)
     levels = layers.compose(_both_ways(edges).withColumn("w", F.lit(1)), keys, spans, any_)
     at = vertices.select("sample_id", F.explode(F.array(F.struct(F.lit(1).alias("way"), F.col("position").cast("bigint").alias("at")), F.struct(F.lit(-1).alias("way"), (-F.col("position")).cast("bigint").alias("at")))).alias("s"), "kmer").select("sample_id", "s.*", "kmer")
@@ -115,10 +115,12 @@ def cut_tails(vertices: DataFrame, edges: DataFrame, lengths: DataFrame, k: int)
     not the longest tail.
     """
     key = ["sample_id", "position", "kmer"]
+    # each is read several times
+    vertices, edges, lengths = written(vertices, "vertices"), written(edges, "edges"), written(lengths, "lengths")
     ways = reached(vertices, edges, lengths, k).groupBy(*key).agg(F.count("*").alias("ways")).where("ways = 2").select(*key, F.lit(True).alias("through"))
     marked = vertices.join(lengths, "sample_id").join(ways, key, "left")
     first, last = F.col("position") <= 0, F.col("position") + k >= F.col("origin_length")
-    marked = cut(marked.select(*key, first.alias("first"), last.alias("last"), (F.coalesce("through", F.lit(False)) | first | last).alias("on")))
+    marked = written(marked.select(*key, first.alias("first"), last.alias("last"), (F.coalesce("through", F.lit(False)) | first | last).alias("on")), "marked")
     side = lambda name, shift, c: marked.select("sample_id", (F.col("position") - shift).alias("position"), F.col("kmer").alias(c), F.col("on").alias(f"{name}_on"), F.col("first").alias(f"{name}_first"), F.col("last").alias(f"{name}_last"))
     both = edges.join(side("a", 0, "src"), ["sample_id", "position", "src"]).join(side("b", 1, "dst"), ["sample_id", "position", "dst"])
     # what a boundary vertex leads to, or is led to by, must be left
@@ -183,19 +185,20 @@ def count_paths(edges: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
     of each layer's largest out-degree), by composing blocks of layers, and the number is
     rebuilt from its residues.
     """
+    edges = written(edges, "edges")
     ends = lengths.select("sample_id", (F.col("origin_length") - k).alias("last")).where("last > 0")
     inner = edges.join(ends, "sample_id").where("position >= 0 and position < last")
     out = inner.groupBy("sample_id", "position", "src").agg(F.count("*").alias("n"))
     layer = out.groupBy("sample_id", "position").agg(F.log2(F.max("n")).alias("bits"), F.log2(F.count("*")).alias("sources"))
     bits = layer.groupBy("sample_id").agg((F.sum("bits") + F.max(F.when(F.col("position") == 0, F.col("sources")).otherwise(0))).alias("bits"))
     # rounding must not take the last bit, and each prime gives more than 30
-    needed = cut(bits.select("sample_id", F.ceil((F.col("bits") * 1.000001 + 2) / 30).cast("int").alias("number")))
+    needed = written(bits.select("sample_id", F.ceil((F.col("bits") * 1.000001 + 2) / 30).cast("int").alias("number")), "needed")
     primes = _primes(needed.agg(F.max("number")).first()[0] or 1)
     listed = F.array(*[F.lit(p).cast("bigint") for p in primes])
     residues = inner.join(needed, "sample_id").select("sample_id", F.explode(F.slice(listed, F.lit(1), F.col("number"))).alias("prime"), "position", "src", "dst", F.lit(1).cast("bigint").alias("w"))
     spans = ends.join(needed, "sample_id").select("sample_id", F.explode(F.slice(listed, F.lit(1), F.col("number"))).alias("prime"), F.lit(0).cast("bigint").alias("lo"), (F.col("last") - 1).alias("hi"))
     add = lambda w: F.sum(w % F.col("prime")) % F.col("prime")
-    top = layers.compose(residues, ["sample_id", "prime"], cut(spans), add)[-1]
+    top = layers.compose(residues, ["sample_id", "prime"], written(spans, "spans"), add)[-1]
     sums = top.groupBy("sample_id", "prime").agg((F.sum("w") % F.col("prime")).alias("r"))
     rebuilt = sums.groupBy("sample_id").agg(_rebuild(F.sort_array(F.collect_list(F.struct("prime", "r")))).alias("digits"))
     found = edges.select("sample_id").distinct().join(rebuilt, "sample_id", "left").select("sample_id", F.coalesce("digits", F.lit("0")).alias("digits"))
@@ -230,12 +233,12 @@ def path_shares(edges: DataFrame) -> DataFrame:
     and normalised on the way. A layer after a gap begins anew.
     """
     keys = ["sample_id", "way", "run"]
-    steps = _both_ways(edges)
+    steps = _both_ways(written(edges, "edges"))
     at = steps.select("sample_id", "way", "position", F.col("src").alias("kmer")).union(steps.select("sample_id", "way", F.col("position") + 1, "dst")).distinct()
     order = F.row_number().over(Window.partitionBy("sample_id", "way").orderBy("position"))
     runs = at.select("sample_id", "way", "position").distinct().withColumn("run", F.col("position") - order)
-    spans = cut(runs.groupBy(*keys).agg(F.min("position").alias("lo"), (F.max("position") - 1).alias("hi")))
-    at = cut(at.join(runs, ["sample_id", "way", "position"]))
+    spans = written(runs.groupBy(*keys).agg(F.min("position").alias("lo"), (F.max("position") - 1).alias("hi")), "spans")
+    at = written(at.join(runs, ["sample_id", "way", "position"]), "places")
     fed = steps.select("sample_id", "way", (F.col("position") + 1).alias("position"), F.col("dst").alias("kmer")).distinct()
     new = at.join(fed, ["sample_id", "way", "position", "kmer"], "left_anti").select(*keys, (F.col("position") - 1).alias("position"), F.col("kmer").alias("dst"))
     fresh = at.withColumnRenamed("kmer", "src").join(new, [*keys, "position"])

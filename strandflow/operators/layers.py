@@ -4,7 +4,7 @@ A layer's steps lead from vertices at one position to vertices at the next. Step
 neighbouring blocks of layers compose to steps of both together, so a tree of blocks takes as many
 rounds as the logarithm of the length, whatever the tails or bubbles of the graph; going down
 again takes the state before a block to each of its halves. Every round is a join on vertices
-and a sum. Rows are those of connected pairs of a block's two ends.
+and a sum, written in the shared folder, as the next reads it more than once. Rows are those of connected pairs of a block's two ends.
 
 Tables of steps: key columns, position, src, dst and a weight ``w``; positions from ``lo`` to
 ``hi`` of each key are one sequence of layers.
@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import written
 
 #: Adds up the weights of a group.
 Add = Callable[[Column], Column]
@@ -36,7 +36,7 @@ def compose(steps: DataFrame, keys: list[str], spans: DataFrame, add: Add, scale
     ``spans``: (keys, lo, hi). With ``scale``, weights of a block are shares of their total.
     """
     level = steps.join(spans, keys).where("position between lo and hi").select(*keys, "lo", "hi", F.col("position").cast("bigint").alias("block"), "src", "dst", "w")
-    levels = [cut(level)]
+    levels = [written(level, "layers")]
     for j in range(_depth(spans)):
         level = levels[-1]
         first, last = F.shiftright("lo", j), F.shiftright("hi", j)
@@ -49,7 +49,7 @@ def compose(steps: DataFrame, keys: list[str], spans: DataFrame, add: Add, scale
         made = both.select(*keys, "lo", "hi", "block", "src", "dst", "w").unionByName(level.where(alone).select(*up, "src", "dst", "w"))
         if scale:
             made = made.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy(*keys, "block")))
-        levels.append(cut(made))
+        levels.append(written(made, "layers"))
     return levels
 
 
@@ -65,13 +65,13 @@ def states(levels: list[DataFrame], keys: list[str], start: DataFrame, add: Add,
 
     for j in range(len(levels) - 2, -1, -1):
         first, last = F.shiftright("lo", j), F.shiftright("hi", j)
-        left, right = F.col("block") * 2, F.col("block") * 2 + 1
-        halves = state.where(left >= first).withColumn("block", left)
-        only = state.where(left < first).withColumn("block", right)
-        later = through(halves.where(F.col("block") + 1 <= last), levels[j], F.col("block") + 1)
-        state = halves.unionByName(only).unionByName(later)
+        # the state before a block is that before its first half that there is
+        half = F.when(F.col("block") * 2 >= first, F.col("block") * 2).otherwise(F.col("block") * 2 + 1)
+        halves = state.withColumn("block", half)
+        both = (F.col("block").bitwiseAND(F.lit(1).cast("bigint")) == 0) & (F.col("block") + 1 <= last)
+        state = halves.unionByName(through(halves.where(both), levels[j], F.col("block") + 1))
         if scale:
             state = state.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy(*keys, "block")))
-        state = cut(state)
+        state = written(state, "states")
     end = through(state.where(F.col("block") == F.col("hi")), levels[0], F.col("block") + 1)
     return state.unionByName(end).select(*keys, F.col("block").alias("position"), "vertex", "w")

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_TEST_DIRS: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where
@@ -17,7 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-    return "file://" + tempfile.mkdtemp(prefix="strandflow-")
+    app = spark.sparkContext.applicationId
+    if app not in _TEST_DIRS:
+        _TEST_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="strandflow-")
+    return _TEST_DIRS[app]
 
 
 def new_place(spark: SparkSession, name: str) -> str:
@@ -33,6 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, where a checkpoint takes a second
+    run, and read again if an executor is lost."""
+    spark = df.sparkSession
+    place = new_place(spark, name)
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` dealt by ``keys`` to a stated number of tasks: rows of few bytes and much work
     would else be merged into one task by their size."""

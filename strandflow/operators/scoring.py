@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import hamming
@@ -22,12 +22,44 @@ def distances(truth: DataFrame, found: DataFrame, edit: bool = False) -> DataFra
     return pairs.withColumn("distance", measure.cast("bigint"))
 
 
+def _blocks(size: Column, number: int) -> Column:
+    """(k, block) of a column ``seq`` cut at its first ``size`` letters into ``number`` blocks."""
+    edge = lambda k: F.floor(k * size / number).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(number - 1)), lambda k: F.struct(k.alias("k"), F.substring("seq", edge(k) + 1, edge(k + 1) - edge(k)).alias("block")))
+
+
+def candidates(truth: DataFrame, found: DataFrame, below: int) -> DataFrame:
+    """(sample_id, t, f): distinct pairs that may be within Hamming distance ``below``.
+
+    Of two sequences with fewer than ``below`` differences, cut into as many blocks, one block
+    is the same in both, so pairs meet in blocks instead of all with all; no pair is lost. As
+    distances go over the length of ``t``, ``f`` is cut at each length that a ``t`` has.
+    """
+    t = truth.select("sample_id", "seq").distinct()
+    sizes = t.select("sample_id", F.length("seq").alias("size")).distinct()
+    f = found.select("sample_id", "seq").distinct().join(sizes, "sample_id").where(F.length("seq") >= F.col("size"))
+    left = t.withColumn("size", F.length("seq")).select("sample_id", F.col("seq").alias("t"), "size", F.inline(_blocks(F.col("size"), below)))
+    right = f.select("sample_id", F.col("seq").alias("f"), "size", F.inline(_blocks(F.col("size"), below)))
+    return left.join(right, ["sample_id", "size", "k", "block"]).select("sample_id", "t", "f").distinct()
+
+
+def near_pairs(truth: DataFrame, found: DataFrame, below: int) -> DataFrame:
+    """(sample_id, t, f): distinct pairs of a sample within Hamming distance ``below``; an error
+    if a sample has an ``f`` shorter than a ``t``, as the distance has none."""
+    longest = truth.groupBy("sample_id").agg(F.max(F.length("seq")).alias("most"))
+    shortest = found.groupBy("sample_id").agg(F.min(F.length("seq")).alias("least"))
+    fits = F.when(F.col("least") < F.col("most"), F.raise_error(F.lit("the second sequence is shorter")).cast("boolean")).otherwise(F.lit(True))
+    checked = longest.join(shortest, "sample_id").select("sample_id", fits.alias("fits")).where("fits")
+    close = candidates(truth, found, below).where(hamming("t", "f") < below)
+    return close.join(checked, "sample_id", "left_semi")
+
+
 def precision_recall(truth: DataFrame, found: DataFrame, below: int = 9) -> DataFrame:
     """Precision and recall by weight: a sequence counts if the other side has weight
     within Hamming distance ``below``. Precision is null where nothing was found."""
-    t = truth.select("sample_id", F.col("seq").alias("t"), F.col("weight").alias("tw"))
-    f = found.select("sample_id", F.col("seq").alias("f"), F.col("weight").alias("fw"))
-    near = t.join(f, "sample_id").where(hamming("t", "f") < below)
+    t = truth.groupBy("sample_id", F.col("seq").alias("t")).agg(F.sum("weight").alias("tw"))
+    f = found.groupBy("sample_id", F.col("seq").alias("f")).agg(F.sum("weight").alias("fw"))
+    near = near_pairs(truth, found, below).join(t, ["sample_id", "t"]).join(f, ["sample_id", "f"])
     hit = near.groupBy("sample_id", "t").agg(F.sum("fw").alias("mass")).where("mass > 0")
     true = t.join(hit, ["sample_id", "t"], "left_semi").groupBy("sample_id").agg(F.sum("tw").alias("tp"))
     close = near.groupBy("sample_id", "f").agg(F.sum("tw").alias("mass")).where("mass > 0")

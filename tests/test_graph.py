@@ -202,10 +202,10 @@ def test_a_clone_is_spelled_from_its_reads(spark):
 
 
 def test_tails_are_cut_in_logarithmic_rounds(spark, monkeypatch):
-    """A tail of 5,000 vertices on either side of a path, in at most 30 written rounds."""
+    """A tail of 5,000 vertices on either side of a path, in at most 30 rounds."""
     rounds = []
-    plain_cut = layers.cut
-    monkeypatch.setattr(layers, "cut", lambda df: rounds.append(1) or plain_cut(df))
+    write = layers.written
+    monkeypatch.setattr(layers, "written", lambda df, name: rounds.append(1) or write(df, name))
     size = 6_000
     rows = [(1, p, "p", "p", 3) for p in range(size)] + [(1, p, "p" if p == 500 else "t", "t", 1) for p in range(500, 5_500)] + [(1, p, "u", "p" if p == 5_499 else "u", 1) for p in range(499, 5_500)]
     edges = spark.createDataFrame(rows, "sample_id bigint, position int, src string, dst string, weight bigint")
@@ -304,3 +304,30 @@ def test_transport():
     cost = rng.random((5, 5))
     least = min(sum(cost[i, p[i]] for i in range(5)) for p in permutations(range(5))) / 5
     assert scoring.transport_cost(np.full(5, 0.2), np.full(5, 0.2), cost) == pytest.approx(least)
+
+
+def test_near_pairs_meet_in_blocks(spark):
+    """20,000 sequences of one sample: every near pair is found, few others are tried."""
+    rng = random.Random(21)
+    truth = ["".join(rng.choice("ACGT") for _ in range(90)) for _ in range(10_000)]
+    found, near = [], set()
+    for k in range(10_000):
+        seq = list(truth[k] if k % 2 else "".join(rng.choice("ACGT") for _ in range(90)))
+        for at in rng.sample(range(90), rng.choice([0, 1, 8, 9, 20])):
+            seq[at] = "ACGT"["ACGT".index(seq[at]) - 1]
+        found.append("".join(seq))
+        if k % 2 and sum(a != b for a, b in zip(found[k], truth[k], strict=True)) < 9:
+            near.add((truth[k], found[k]))
+    t, f = (spark.createDataFrame([(1, x, 1.0) for x in side], "sample_id bigint, seq string, weight double") for side in (truth, found))
+    assert {(r["t"], r["f"]) for r in scoring.near_pairs(t, f, 9).collect()} == near
+    assert scoring.candidates(t, f, 9).count() < 30_000
+
+
+@pytest.mark.parametrize("size", [1, 5, 9, 20])
+def test_near_pairs_of_short_and_uneven_sequences(spark, size):
+    rng = random.Random(size)
+    truth = [(s, "".join(rng.choice("AC") for _ in range(rng.randint(1, size)))) for s in (1, 2) for _ in range(12)]
+    found = [(s, "".join(rng.choice("AC") for _ in range(size + rng.randint(0, 3)))) for s in (1, 2) for _ in range(12)]
+    t, f = (spark.createDataFrame([(s, x, 1.0) for s, x in side], "sample_id bigint, seq string, weight double") for side in (truth, found))
+    want = {(s, a, b) for s, a in truth for r, b in found if r == s and sum(x != y for x, y in zip(a, b, strict=False)) < 4}
+    assert {tuple(r) for r in scoring.near_pairs(t, f, 4).collect()} == want
