@@ -386,6 +386,12 @@ def handle_overlap(spark, sf_dir):
     return intervals.overlaps(_intervals(spark, sf_dir))
 
 
+@query()
+def handle_independent(spark, sf_dir):
+    """Handles of each path that don't overlap, as many as a random order allows."""
+    return intervals.independent(_intervals(spark, sf_dir))
+
+
 @query(HANDLES + "SELECT path_id, stop - start + 1 AS size, count(*) AS n, round(count(*) / (stop - start + 1)::DOUBLE, 9) AS score FROM handles GROUP BY path_id, stop - start + 1", dna=False)
 def handles_by_size(spark, sf_dir):
     sized = _intervals(spark, sf_dir).withColumn("size", F.col("stop") - F.col("start") + 1)

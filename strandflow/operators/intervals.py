@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, written
 
 
 def range_join(left: DataFrame, right: DataFrame, on: list[str], width: int) -> DataFrame:
@@ -32,6 +32,30 @@ def overlaps(handles: DataFrame, width: int = 8) -> DataFrame:
     return pairs.where("handle <> other").select("path_id", "handle", "other")
 
 
+def independent(handles: DataFrame, seed: int = 42, width: int = 8) -> DataFrame:
+    """(path_id, handle_id): a largest-possible choice of handles of each path of which no two
+    overlap: what is left out overlaps one that is chosen.
+
+    The same as going through a path's handles in the order of a seeded digest of their ids and
+    taking each that overlaps none before it. Every round takes all handles whose open
+    neighbours come later and closes those neighbours, so a few rounds, as many as the longest
+    chain of handles that wait for each other, decide all paths.
+    """
+    rank = lambda c: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("path_id").cast("string"), F.col(c).cast("string"))), F.col(c))
+    pairs = written(overlaps(handles, width), "overlaps")
+    waits = written(pairs.where(rank("other") < rank("handle")), "waits")
+    open_ = written(handles.select("path_id", F.col("handle_id").alias("handle")).distinct(), "open")
+    chosen = open_.limit(0)
+    while not open_.isEmpty():
+        free = written(open_.join(waits.select("path_id", "handle").distinct(), ["path_id", "handle"], "left_anti"), "free")
+        chosen = chosen.unionByName(free)
+        closed = pairs.join(free, ["path_id", "handle"]).select("path_id", F.col("other").alias("handle")).union(free).distinct()
+        open_ = written(open_.join(closed, ["path_id", "handle"], "left_anti"), "open")
+        waits = waits.join(open_, ["path_id", "handle"], "left_semi")
+        waits = written(waits.join(open_.withColumnRenamed("handle", "other"), ["path_id", "other"], "left_semi"), "waits")
+    return chosen.select("path_id", F.col("handle").alias("handle_id"))
+
+
 def contained(handles: DataFrame, paths: DataFrame) -> DataFrame:
     """(handle_id, path_id) of handles whose sequence a path has at their place."""
     joined = handles.select("sample_id", "handle_id", "start", "seq").join(paths.select("sample_id", "path_id", F.col("seq").alias("path")), "sample_id")

@@ -331,3 +331,22 @@ def test_near_pairs_of_short_and_uneven_sequences(spark, size):
     t, f = (spark.createDataFrame([(s, x, 1.0) for s, x in side], "sample_id bigint, seq string, weight double") for side in (truth, found))
     want = {(s, a, b) for s, a in truth for r, b in found if r == s and sum(x != y for x, y in zip(a, b, strict=False)) < 4}
     assert {tuple(r) for r in scoring.near_pairs(t, f, 4).collect()} == want
+
+
+def test_independent_handles_are_the_greedy_choice(spark):
+    import hashlib
+
+    rng = random.Random(2)
+    rows = [(path, k, at, at + rng.randrange(6)) for path in range(6) for k in range(rng.choice([0, 1, 40])) for at in [rng.randrange(60)]]
+    want = set()
+    for path in range(6):
+        taken = []
+        order = sorted((hashlib.md5(f"7|{path}|{k}".encode()).hexdigest(), k, a, b) for p, k, a, b in rows if p == path)
+        for _, k, a, b in order:
+            if all(b < c or d < a for c, d in taken):
+                taken.append((a, b))
+                want.add((path, k))
+    table = spark.createDataFrame(rows, "path_id bigint, handle_id bigint, start bigint, stop bigint")
+    got = [tuple(r) for r in intervals.independent(table, seed=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert intervals.independent(table.limit(0)).count() == 0
