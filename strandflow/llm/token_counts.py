@@ -152,8 +152,9 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
 
     ``cache``: folder of the cache; None starts an empty one in the shared folder. Content
     is normalised as the tokenizer does before anything else: null becomes empty. Digests
-    are merged first and looked up alone; only a text whose digest is missing travels, once
-    from each partition that has it. Whole texts of any length are counted. Rows repeat as
+    are merged first and looked up alone. Up to MOST_BROADCAST missing digests are broadcast, and
+    only their texts travel, once from each partition that has them; with more, every distinct
+    text does. Whole texts of any length are counted. Rows repeat as
     given, null ids included, a hot digest's rows are dealt to many tasks, other columns are
     not read, and an empty table gives an empty result and adds nothing to the cache.
     """
