@@ -296,23 +296,24 @@ class Chain:
         """The trace (iter, move, accept, delta, running and recomputed logl, jump density), and
         the best state."""
         trace = [(0, "Start", True, 0.0, self.logl, self.logl, 0.0)]
-        best, best_logl, running = dict(self.paths), self.logl, self.logl
+        best, best_logl, running, anew = dict(self.paths), self.logl, self.logl, self.logl
         sign = 1.0 if self.s.mode == "metropolis" else -1.0
         i, began = 0, time.monotonic()
         while not self.ended(i, began):
             i += 1
             found = next((p for p in (self.propose() for _ in range(self.s.retries)) if p), None)
             if not found:
-                trace.append((i, "Fail", False, 0.0, running, running, 0.0))
+                trace.append((i, "Fail", False, 0.0, running, anew, 0.0))
                 continue
             move, changes, delta, jump = found
             accept = math.log(max(self.rng.random(), 1e-300)) < delta + sign * jump / self.s.temperature
             if accept:
                 self.commit(changes)
                 running += delta
+                anew = self.log_likelihood()  # changes with the state alone
                 if running > best_logl:
                     best, best_logl = dict(self.paths), running
-            trace.append((i, move, bool(accept), delta, running, self.log_likelihood() if i % 100 == 0 else running, float(jump)))
+            trace.append((i, move, bool(accept), delta, running, anew, float(jump)))
         return trace, best, best_logl
 
 

@@ -350,3 +350,10 @@ def test_independent_handles_are_the_greedy_choice(spark):
     got = [tuple(r) for r in intervals.independent(table, seed=7).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert intervals.independent(table.limit(0)).count() == 0
+
+
+def test_every_step_has_its_likelihood_anew(reads):
+    state = sampler.Chain(graph.normalise(graph.edges(reads, 2)).toPandas(), sampler.Settings(k=2, longest_handle=4, iterations=250), 0, 1)
+    trace, _, _ = state.run()
+    assert trace[-1][5] == state.log_likelihood() and all(t[4] == pytest.approx(t[5], abs=1e-9) for t in trace)
+    assert len({t[5] for t in trace}) > 5 and any(t[4] != t[5] for t in trace)
