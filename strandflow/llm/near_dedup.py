@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, add_columns, discard, hot_keys, materialise, new_path, release, salted_join, spans, utf8
+from . import common
+from .common import SPACE_BYTES, add_columns, discard, materialise, new_path, release, salted_join, spans, utf8
 
 COORDS = 64
 MATCHES = 34
@@ -51,6 +52,15 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[np.frombuffer(SPACE_BYTES, np.uint8)] = True
 
 
+def hot_keys(counts: DataFrame, key: str, total: int) -> DataFrame | None:
+    """As ``common.hot_keys``, but counted once, as several joins ask: the keys, MOST_HOT at
+    most, come to the driver and go back as a small table. None where no key is hot, so that
+    the joins stay plain."""
+    hot = common.hot_keys(counts, key, total)
+    rows = hot.toArrow() if hot is not None else None
+    return hot.sparkSession.createDataFrame(rows, hot.schema) if rows is not None and rows.num_rows else None
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -388,7 +398,6 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     hubs = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b", both.count())
-    hubs = hubs and materialise(hubs, "hubs")
     old = [new_path(spark, "labels")]
     labels = materialise(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels", old[0])
     vertices = labels.count()
