@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.infix import infix_match
+from .lineage import spread
+
 
 def uniform(seed: int, *parts: Column | str) -> Column:
     """A number from 0 to 1 that a digest of seed and parts gives, the same everywhere."""
@@ -77,19 +80,15 @@ def shuffled(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
 def infix_distances(queries: DataFrame, texts: DataFrame) -> DataFrame:
     """(sample_id, query, text, distance, start): least edit distance of ``query`` to any
     substring of ``text``, and where its best match begins: of several the one that ends
-    first, and of those the shortest. All rows of a batch take each step together."""
-
-    def run(batches):
-        for rows in batches:
-            rows["distance"], rows["start"] = infix_matches(rows["query"].tolist(), rows["text"].tolist())
-            yield rows
-
+    first, and of those the shortest. Bit-parallel inside the row (``functions.infix``), the
+    pairs dealt to a stated number of tasks."""
     pairs = queries.select("sample_id", "query").join(texts.select("sample_id", "text"), "sample_id")
-    return pairs.mapInPandas(run, "sample_id bigint, query string, text string, distance bigint, start bigint")
+    found = spread(pairs, "sample_id", "query").withColumn("m", infix_match("query", "text"))
+    return found.select("sample_id", "query", "text", "m.distance", "m.start")
 
 
 def infix_matches(queries: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and starts, pair by pair; pairs of the same lengths step together.
+    """The same by the whole table of the dynamic programming, pair by pair; pairs of the same lengths step together.
 
     A cell holds edits * BIG - start, so the least cell has the fewest edits and, of
     those, the latest start.

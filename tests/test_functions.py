@@ -136,3 +136,27 @@ def test_stream_counts_like_a_table(spark, tmp_path):
     want = {(r["window"]["start"], r["position"], r["src"], r["dst"]): r["weight"] for r in table}
     closed = {k: v for k, v in want.items() if k[0] + timedelta(hours=3) <= rows[-1][3]}
     assert got and all(want[k] == v for k, v in got.items()) and closed.keys() <= got.keys()
+
+
+def test_infix_matches_of_any_length(spark):
+    """Bit-parallel against the whole table, also for patterns of several words."""
+    import random
+
+    from strandflow.functions.infix import infix_match
+    from strandflow.operators.simulate import infix_matches
+
+    rng = random.Random(1)
+    rows = [("ACGT", ""), ("", "ACGT"), ("", ""), ("NNA", "ACGNNAX")]
+    for _ in range(120):
+        size, text = rng.choice([1, 3, 12, 59, 60, 61, 70, 125, 190]), "".join(rng.choice("ACGT") for _ in range(rng.choice([1, 20, 150])))
+        query = "".join(rng.choice("ACGT") for _ in range(size))
+        if rng.random() < 0.6 and len(text) > size:
+            at = rng.randrange(len(text) - size + 1)
+            query = list(text[at : at + size])
+            for _ in range(rng.randint(0, 4)):
+                query[rng.randrange(size)] = rng.choice(["A", "C", "", "GG"])
+            query = "".join(query)
+        rows.append((query, text))
+    table = spark.createDataFrame([*rows, (None, "A"), ("A", None)], "query string, text string").coalesce(1)
+    got = [r["m"] and tuple(r["m"]) for r in table.select(infix_match("query", "text").alias("m")).collect()]
+    assert got == [*zip(*(x.tolist() for x in infix_matches(*map(list, zip(*rows, strict=True)))), strict=True), None, None]
