@@ -40,10 +40,25 @@ def histogram(rows: DataFrame, group: str, value: str, bins: int = 10) -> DataFr
     return joined.groupBy(group, at.alias("bin"), "avg").agg(F.count("*").alias("n"))
 
 
+#: Steps of a chain that are added up in one group.
+BLOCK = 4096
+
+
 def trace(steps: DataFrame, by: list[str], order: str, start: Column) -> DataFrame:
-    """Running log-likelihood: its start, plus the deltas of the accepted steps."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return steps.withColumn("logl", start + F.sum(F.when(F.col("accept"), F.col("delta")).otherwise(0.0)).over(w))
+    """Running log-likelihood: its start, plus the deltas of the accepted steps.
+
+    ``order`` numbers the steps of a chain. Blocks of steps are summed up first; a block's steps
+    then add to what the blocks before it come to, so a long chain is many groups and only
+    its block sums are one.
+    """
+    block = F.floor(F.col(order) / BLOCK).alias("_block")
+    amount = F.when(F.col("accept"), F.col("delta")).otherwise(0.0)
+    sums = steps.groupBy(*by, block).agg(F.sum(amount).alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.struct(*by, "_block").alias("_key"), F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_before"))
+    joined = steps.withColumn("_key", F.struct(*by, block)).join(sums, "_key")
+    within = Window.partitionBy("_key").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return joined.withColumn("logl", start + F.col("_before") + F.sum(amount).over(within)).select(*steps.columns, "logl")
 
 
 def best_states(trace: DataFrame, by: list[str]) -> DataFrame:

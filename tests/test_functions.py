@@ -160,3 +160,21 @@ def test_infix_matches_of_any_length(spark):
     table = spark.createDataFrame([*rows, (None, "A"), ("A", None)], "query string, text string").coalesce(1)
     got = [r["m"] and tuple(r["m"]) for r in table.select(infix_match("query", "text").alias("m")).collect()]
     assert got == [*zip(*(x.tolist() for x in infix_matches(*map(list, zip(*rows, strict=True)))), strict=True), None, None]
+
+
+def test_a_long_chain_is_many_groups(spark):
+    from pyspark.sql import functions as F
+
+    from strandflow.operators import summaries
+
+    steps = spark.range(200_000).select(F.when(F.col("id") % 4 == 0, None).otherwise(F.lit(1)).alias("chain"), (F.col("id") * 7919 % 200_000).alias("iter"), (F.col("id") % 3 == 0).alias("accept"), (F.col("id") % 11 - 5).cast("double").alias("delta"))
+    steps = steps.repartition(8)
+    made = summaries.trace(steps, ["chain"], "iter", F.lit(10.0))
+    got = {(r["chain"], r["iter"]): r["logl"] for r in made.collect()}
+    want, running = {}, {None: 10.0, 1: 10.0}
+    for r in sorted(steps.collect(), key=lambda r: r["iter"]):
+        running[r["chain"]] += r["delta"] if r["accept"] else 0.0
+        want[r["chain"], r["iter"]] = running[r["chain"]]
+    assert got == want and made.columns == ["chain", "iter", "accept", "delta", "logl"]
+    groups = steps.groupBy("chain", F.floor(F.col("iter") / summaries.BLOCK)).count()
+    assert groups.agg(F.max("count")).first()[0] <= summaries.BLOCK
