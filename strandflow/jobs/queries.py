@@ -6,14 +6,15 @@ Sums of doubles are rounded to nine places on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import likelihood as lk
 from ..functions import sequence as sq
 from ..operators import align, graph, intervals, lineage, overlay, sampler, scoring, simulate, summaries
-from ..sources import bridge, formats
+from ..sources import bridge, folder, formats
 from . import reconstruct
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -373,8 +374,6 @@ HANDLES = """WITH handles AS (SELECT o AS path_id, row_number() OVER (PARTITION
 
 
 def _intervals(spark, sf_dir):
-    from pyspark.sql import Window
-
     start = F.col("l_partkey") % 49
     rows = bridge.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path_id"), start.alias("start"), (start + F.col("l_linenumber")).alias("stop")).distinct()
     return rows.withColumn("handle_id", F.row_number().over(Window.partitionBy("path_id").orderBy("start", "stop")).cast("bigint"))
@@ -575,8 +574,6 @@ def sam_merge(spark, sf_dir):
 
 def _lines(rows: DataFrame, file: str, order: list[str], parts: list[Column]) -> DataFrame:
     """Lines of one file per ``file``: the parts of its rows below each other, in order."""
-    from pyspark.sql import Window
-
     at = F.row_number().over(Window.partitionBy(file).orderBy(*order)) - 1
     exploded = rows.withColumn("_at", at).select(F.col(file).cast("string").alias("file"), "_at", F.posexplode(F.array(*parts)).alias("i", "value"))
     return exploded.select("file", (F.col("_at") * len(parts) + F.col("i")).alias("line_no"), "value")
@@ -733,6 +730,59 @@ def statistics_written(spark, sf_dir):
     return formats.move_statistics(_written_steps(spark, sf_dir, formats.statistics_lines)).select("file", "move", F.round("value", 6).alias("value"))
 
 
+def _sample_folder(spark, sf_dir):
+    """A folder for each sample: reference, reads in order and shuffled, frequencies, a prediction,
+    and files that are none."""
+    reads = _reads(spark, sf_dir)
+
+    def named(rows, name, value, *order):
+        at = F.row_number().over(Window.partitionBy("sample_id").orderBy(*order)).cast("bigint")
+        return rows.select(F.col("sample_id").cast("string").alias("sample"), F.lit(name).alias("name"), at.alias("line_no"), value.alias("value"))
+
+    weighted = F.concat_ws(" ", "seq", F.col("weight").cast("string"))
+    reference = _reference(spark, sf_dir)
+    found = _predicted(spark, sf_dir)
+    mixed = simulate.shuffled(reads.select("sample_id", "read", "start"), "read")
+    parts = [
+        named(reference, "_reference", F.col("seq"), "seq"),
+        named(reads, "_reads", F.col("read"), "start", "read"),
+        named(mixed, "reads_shuffled", F.col("read"), "place", "start"),
+        named(_paths(spark, sf_dir), "_origin", weighted, "seq"),
+        named(found, "ph_found", weighted, "seq"),
+        named(reference, "ph_plot.png", F.lit("no text"), "seq"),
+    ]
+    path = lineage.new_place(spark, "samples")
+    folder.write(reduce(DataFrame.unionByName, parts), path)
+    return path
+
+
+@query(PREDICTED + """, lines AS (
+  SELECT sample_id, '_reference' AS name, seq AS line, row_number() OVER (PARTITION BY sample_id ORDER BY seq) AS nth FROM ref
+  UNION ALL SELECT sample_id, '_reads', read, row_number() OVER (PARTITION BY sample_id ORDER BY start, read) FROM reads
+  UNION ALL SELECT sample_id, 'reads_shuffled', read, row_number() OVER (PARTITION BY sample_id ORDER BY md5('42|' || read), start) FROM reads
+  UNION ALL SELECT sample_id, '_origin', seq, row_number() OVER (PARTITION BY sample_id ORDER BY seq) FROM paths
+  UNION ALL SELECT sample_id, 'ph_found', seq, row_number() OVER (PARTITION BY sample_id ORDER BY seq) FROM found
+  UNION ALL SELECT sample_id, 'ph_plot.png', 'no', 1 FROM ref)
+SELECT CAST(sample_id AS VARCHAR) AS sample, name, CAST(nth - 1 AS BIGINT) AS line_no, line AS word FROM lines""")
+def folder_lines(spark, sf_dir):
+    """Every line of the folders of samples with its number, and its first word."""
+    lines = folder.read(spark, _sample_folder(spark, sf_dir))
+    return lines.select("sample", "name", "line_no", F.get(F.split("value", " "), F.lit(0)).alias("word"))
+
+
+@query(PREDICTED + """SELECT sample_id, 'ph_found' AS source, seq, round(weight, 6) AS weight FROM found
+  UNION ALL SELECT sample_id, '_reference', seq, 1.0::DOUBLE FROM ref""")
+def folder_sources(spark, sf_dir):
+    """The predictions of the folders of samples, their references as one more."""
+    path = _sample_folder(spark, sf_dir)
+    chosen = folder.files(spark, path, folder.prediction_names(("ph", "_"))).select("sample", "name", F.concat_ws("/", "sample", "name").alias("file"))
+    lines = folder.read(spark, path, folder.prediction_names(("ph", "_")))
+    mixtures = formats.mixtures(lines.where("name <> '_reference'"))
+    references = formats.fasta_as_one(lines.where("name = '_reference'")).withColumn("weight", F.lit(1.0))
+    rows = mixtures.unionByName(references).join(chosen, "file")
+    return rows.select(F.col("sample").cast("bigint").alias("sample_id"), F.col("name").alias("source"), "seq", F.round("weight", 6).alias("weight"))
+
+
 @query("SELECT read, md5('42|' || read) AS place FROM (SELECT DISTINCT read FROM reads)")
 def shuffled_reads(spark, sf_dir):
     return simulate.shuffled(_reads(spark, sf_dir).select("read").distinct(), "read")
