@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut, written
+from .lineage import written
 
 
 def range_join(left: DataFrame, right: DataFrame, on: list[str], width: int) -> DataFrame:
@@ -106,48 +104,37 @@ def handles(edges: DataFrame, paths: DataFrame, k: int, longest: int) -> DataFra
     ``longest`` edges.
 
     (sample_id, path_id, start, stop, seq): the walk's first and last positions, and what it
-    spells. Frontier joins: each round extends the open walks by the graph's edges, forwards
-    until they are back on the path or in the sample's last layer, and backwards until they
-    are at position 0.
+    spells. Stretches of 1, 2, 4 .. edges off the path are joined end to end, and walks that
+    left the path, or began beside it at position 0, are extended by each length in turn: after
+    j rounds all open walks with fewer than 2^j edges off the path are there. Those in the
+    sample's last layer are handles, and those that an edge takes back to the path.
     """
     leaves = edges.select("sample_id", "position", "src", "dst")
     last = leaves.groupBy("sample_id").agg((F.max("position") + 1).alias("last"))
     on = paths.select("sample_id", "path_id", F.col("seq").alias("path"))
-    id_ = ["sample_id", "path_id", "path", "last"]
+    at, id_ = F.col("position"), ["sample_id", "path_id"]
     spelled = lambda pos: F.substring("path", pos + 1, F.lit(k))
-    at, shape = F.col("at"), ["sample_id", "path_id", "start", "stop", "seq"]
-    done = []
-
-    def walk(walks: DataFrame, ended: Column, extend: Callable[[DataFrame], DataFrame]) -> None:
-        for size in range(1, longest + 1):
-            walks = cut(walks)
-            done.append(walks.where(ended).select(*shape))
-            walks = walks.where(~ended)
-            if size == longest or walks.isEmpty():
-                break
-            walks = extend(walks)
-
-    ahead = leaves.withColumnRenamed("position", "at").withColumnRenamed("src", "kmer")
-    right = on.join(leaves, "sample_id").join(last, "sample_id").where((F.col("src") == spelled(F.col("position"))) & (F.col("dst") != spelled(F.col("position") + 1)))
-    right = right.select(*id_, F.col("position").alias("start"), (F.col("position") + 1).alias("stop"), (F.col("position") + 1).alias("at"), F.col("dst").alias("kmer"), F.concat("src", F.right("dst", F.lit(1))).alias("seq"))
-    back = F.col("kmer") == spelled(at)
-
-    def forwards(walks: DataFrame) -> DataFrame:
-        step = walks.join(ahead, ["sample_id", "at", "kmer"])
-        return step.select(*id_, "start", (at + 1).alias("stop"), (at + 1).alias("at"), F.col("dst").alias("kmer"), F.concat("seq", F.right("dst", F.lit(1))).alias("seq"))
-
-    walk(right, back | (at == F.col("last")), forwards)
-
-    behind = leaves.select("sample_id", (F.col("position") + 1).alias("at"), F.col("dst").alias("kmer"), "src")
-    left = on.join(leaves, "sample_id").join(last, "sample_id").where((F.col("position") < longest) & (F.col("dst") == spelled(F.col("position") + 1)) & (F.col("src") != spelled(F.col("position"))))
-    left = left.select(*id_, F.col("position").alias("start"), (F.col("position") + 1).alias("stop"), F.col("position").alias("at"), F.col("src").alias("kmer"), F.concat(F.left("src", F.lit(1)), "dst").alias("seq"))
-
-    def backwards(walks: DataFrame) -> DataFrame:
-        step = walks.join(behind, ["sample_id", "at", "kmer"]).where(F.col("src") != F.substring("path", at, F.lit(k)))
-        return step.select(*id_, (at - 1).alias("start"), "stop", (at - 1).alias("at"), F.col("src").alias("kmer"), F.concat(F.left("src", F.lit(1)), "seq").alias("seq"))
-
-    walk(left, at == 0, backwards)
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    beside = on.join(leaves, "sample_id").withColumns({"leaves": F.col("src") == spelled(at), "returns": F.col("dst") == spelled(at + 1)})
+    beside = written(beside.where("NOT (leaves AND returns)").drop("path"), "beside")
+    letter = F.right("dst", F.lit(1))
+
+    left = beside.where("leaves").select(*id_, at.alias("start"), (at + 1).alias("at"), F.col("dst").alias("kmer"), F.concat("src", letter).alias("seq"), F.lit(True).alias("left"))
+    began = beside.where("position = 0 AND NOT leaves").select(*id_, at.alias("start"), at.alias("at"), F.col("src").alias("kmer"), F.col("src").alias("seq"), F.lit(False).alias("left")).distinct()
+    walks = written(left.unionByName(began), "walks")
+    off = beside.where("NOT leaves AND NOT returns").select(*id_, at.alias("at"), F.col("src").alias("kmer"), (at + 1).alias("to_at"), F.col("dst").alias("to"), letter.alias("more"))
+    short = F.col("to_at") - F.col("start") <= longest
+    size = 1
+    while size <= longest:
+        off = written(off, "off")
+        if off.isEmpty():
+            break
+        longer = walks.join(off, [*id_, "at", "kmer"]).where(short)
+        walks = written(walks.unionByName(longer.select(*id_, "start", F.col("to_at").alias("at"), F.col("to").alias("kmer"), F.concat("seq", "more").alias("seq"), "left")), "walks")
+        rest = off.select(*id_, F.col("at").alias("to_at"), F.col("kmer").alias("to"), F.col("to_at").alias("end_at"), F.col("to").alias("end"), F.col("more").alias("rest"))
+        off = off.join(rest, [*id_, "to_at", "to"]).select(*id_, "at", "kmer", F.col("end_at").alias("to_at"), F.col("end").alias("to"), F.concat("more", "rest").alias("more"))
+        size *= 2
+
+    ends = walks.where("left").join(last, "sample_id").where(F.col("at") == F.col("last")).select(*id_, "start", F.col("at").alias("stop"), "seq")
+    back = beside.where("NOT leaves AND returns").select(*id_, at.alias("at"), F.col("src").alias("kmer"), letter.alias("more"))
+    closed = walks.join(back, [*id_, "at", "kmer"]).where(F.col("at") + 1 - F.col("start") <= longest)
+    return ends.unionByName(closed.select(*id_, "start", (F.col("at") + 1).alias("stop"), F.concat("seq", "more").alias("seq"))).distinct()

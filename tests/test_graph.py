@@ -119,6 +119,22 @@ def test_both_ways_of_cutting_agree(spark):
     assert {r[0]: r[1] for r in before if r[1]} == {r[0]: r[1] for r in after if r[1]}
 
 
+def test_handles_take_few_rounds(spark, monkeypatch):
+    """24 edges off a path take five rounds, and a bubble of that length is one handle."""
+    rounds = []
+    kept = intervals.written
+    monkeypatch.setattr(intervals, "written", lambda df, name: rounds.append(name) or kept(df, name))
+    path, other = "A" * 30, "A" * 3 + "C" * 21 + "A" * 6
+    rows = {(1, at, q[at : at + 2], q[at + 1 : at + 3], 1) for q in (path, other) for at in range(28)}
+    edges = spark.createDataFrame(sorted(rows), "sample_id bigint, position int, src string, dst string, weight long")
+    paths = spark.createDataFrame([(1, 0, path)], "sample_id bigint, path_id int, seq string")
+    for longest, found in ((22, []), (23, [(1, 24)]), (24, [(1, 24)])):
+        rounds.clear()
+        got = intervals.handles(edges, paths, 2, longest).collect()
+        assert [(r["start"], r["stop"]) for r in got] == found and rounds.count("off") <= 5
+    assert got[0]["seq"] == other[1:26]
+
+
 @pytest.mark.parametrize("longest", [3, 5])
 def test_handles_against_all_walks(spark, reads, longest):
     """Every stretch of the graph off the path that rejoins it or runs to an end."""
