@@ -1,9 +1,12 @@
 """License scan: base phrases, and templates with optional and replaceable regions.
 
 A template is text with ``<<beginOptional>> .. <<endOptional>>`` around regions that may
-be missing and ``<<var;most=N>>`` where up to N words of any kind may stand. Compiled, it
-is an automaton over words; a place in a text is accepted if its words, with optional
-regions present or not and replaceable ones filled, are the mandatory wording exactly.
+be missing and ``<<var>>`` where any number of words of any kind may stand. Compiled, it is
+an automaton over words; a place in a text is accepted if its words, with optional regions
+present or not and replaceable ones filled, are the mandatory wording exactly. A replaceable
+region is a state that loops on every word, so a text of any length goes on from the
+earliest place at which that state was reached: the automaton falls into the parts between
+its loops, and each part is looked for behind the earliest end of the one before.
 """
 
 from __future__ import annotations
@@ -36,12 +39,12 @@ TEMPLATES = {
         next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software.
         <<beginOptional>>2.<<endOptional>> THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
         INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
-        IN NO EVENT SHALL <<var;most=40>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+        IN NO EVENT SHALL <<var>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
         TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "isc": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose
         with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in
-        all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var;most=40>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
-        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;most=40>> BE LIABLE FOR ANY
+        all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<var>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var>> BE LIABLE FOR ANY
         SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
         PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH
         THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
@@ -51,8 +54,8 @@ TEMPLATES = {
         above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>>
         Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
         disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY
-        <<var;most=40>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
-        MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var;most=40>> BE LIABLE FOR
+        <<var>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<var>> BE LIABLE FOR
         ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
         PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
         AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
@@ -62,11 +65,11 @@ TEMPLATES = {
         above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>>
         Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
         disclaimer in the documentation and/or other materials provided with the distribution. <<beginOptional>>3.<<endOptional>>
-        Neither the name of <<var;most=40>> nor the names of <<beginOptional>>its<<endOptional>><<beginOptional>>their<<endOptional>>
+        Neither the name of <<var>> nor the names of <<beginOptional>>its<<endOptional>><<beginOptional>>their<<endOptional>>
         contributors may be used to endorse or promote products derived from this software without specific prior written
-        permission. THIS SOFTWARE IS PROVIDED BY <<var;most=40>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
+        permission. THIS SOFTWARE IS PROVIDED BY <<var>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
         NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
-        EVENT SHALL <<var;most=40>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+        EVENT SHALL <<var>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
         (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
         INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
         NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
@@ -84,7 +87,7 @@ TEMPLATES = {
         publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
         purpose, commercial or non-commercial, and by any means.""",
     "apache-2.0": "licensed under the Apache License<<beginOptional>>, version <<endOptional>> 2.0",
-    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use <<var;most=12>> except
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use <<var>> except
         in compliance with the License. You may obtain a copy of the License at <<beginOptional>>https<<endOptional>>
         <<beginOptional>>http<<endOptional>> <<beginOptional>>www.<<endOptional>>apache.org/licenses/LICENSE-2.0 Unless required by
         applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
@@ -94,13 +97,13 @@ TEMPLATES = {
     "gpl-2.0": "licensed under the <<beginOptional>>terms of the <<endOptional>>GNU General Public License <<beginOptional>>version <<endOptional>><<beginOptional>>v <<endOptional>>2",
     "gpl-3.0-notice": """is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
         License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
-        version. <<var;most=12>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+        version. <<var>> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
         implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
         details.""",
     "cc-by-nc-4.0": "licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>CC BY-NC 4.0",
     "cc-by-sa-4.0": "licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>CC BY-SA 4.0",
     "cc-by-4.0": "licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>CC BY 4.0",
-    "copyright-notice": "copyright <<beginOptional>>(c) <<endOptional>><<var;most=40>> all rights reserved",
+    "copyright-notice": "copyright <<beginOptional>>(c) <<endOptional>><<var>> all rights reserved",
 }
 
 #: Bytes of a text that are taken apart at a time.
@@ -118,42 +121,38 @@ def _parts(markup: str) -> list[str]:
     return out
 
 
-def compile_template(markup: str) -> tuple[list, int]:
-    """Arcs of each state and the accepting state.
+def compile_part(parts: list[str]) -> tuple[list, int]:
+    """Arcs of each state and the accepting state of words and optional regions.
 
-    An arc is (word, next): None for any word, "" for a step that takes no word.
+    An arc is (word, next); "" is a step that takes no word.
     """
-    arcs: list[list[tuple[str | None, int]]] = [[]]
+    arcs: list[list[tuple[str, int]]] = [[]]
     opened: list[int] = []
-    for part in _parts(markup):
+    for part in parts:
         at = len(arcs) - 1
         if part == "<<beginOptional>>":
             opened.append(at)
         elif part == "<<endOptional>>":
+            if not opened:
+                raise ValueError("an optional region ends that has not begun")
             arcs.append([])
             arcs[at].append(("", at + 1))
             arcs[opened.pop()].append(("", at + 1))
-        elif m := re.match(r"<<var;most=(\d+)>>", part):
-            n = int(m[1])
-            arcs += [[] for _ in range(n + 1)]
-            for k in range(n):
-                arcs[at + k] += [(None, at + k + 1), ("", at + n + 1)]
-            arcs[at + n].append(("", at + n + 1))
         elif part.startswith("<<"):
             raise ValueError(f"unknown markup: {part}")
         else:
             arcs.append([])
             arcs[at].append((part, at + 1))
     if opened:
-        raise ValueError("an optional region is not ended")
+        raise ValueError("an optional region is not ended, or holds a replaceable one")
     return arcs, len(arcs) - 1
 
 
 class Automaton:
-    """A compiled template; states are closed over steps that take no word."""
+    """A part of a template between its loops; states are closed over steps that take no word."""
 
-    def __init__(self, markup: str):
-        arcs, self.final = compile_template(markup)
+    def __init__(self, parts: list[str]):
+        arcs, self.final = compile_part(parts)
 
         def closed(state: int) -> frozenset[int]:
             found, todo = {state}, [state]
@@ -165,52 +164,60 @@ class Automaton:
             return frozenset(found)
 
         self.closed = [closed(s) for s in range(len(arcs))]
-        self.arcs = [[(w if w is None else w.encode(), to) for w, to in a if w != ""] for a in arcs]
+        self.arcs = [[(w.encode(), to) for w, to in a if w != ""] for a in arcs]
         self.begins = {w for s in self.closed[0] for w, _ in self.arcs[s]}
-        if None in self.begins or self.final in self.closed[0]:
-            raise ValueError("a template begins with a mandatory or optional word")
-        # words that each text accepted must hold, for a quick look
-        self.must = {w for w in markup_words(markup)}
+        if self.final in self.closed[0]:
+            raise ValueError("no mandatory word stands at an end of a template or between two replaceable regions")
+        # a word that each text accepted must hold: one without it isn't searched further
+        self.rarest = b" " + max(mandatory(parts), key=len) + b" "
 
-    def accepts_at(self, words: list[bytes], start: int) -> bool:
+    def end_from(self, words: list[bytes], start: int) -> int | None:
+        """The earliest end of what is accepted from ``start`` on."""
         states = self.closed[0]
         for i in range(start, len(words)):
-            word = words[i]
-            nxt: set[int] = set()
-            for s in states:
-                for w, to in self.arcs[s]:
-                    if w is None or w == word:
-                        nxt |= self.closed[to]
+            nxt = {c for s in states for w, to in self.arcs[s] if w == words[i] for c in self.closed[to]}
             if self.final in nxt:
-                return True
+                return i + 1
             if not nxt:
-                return False
+                return None
             states = nxt
-        return False
+        return None
 
-    def found_in(self, words: list[bytes], starts: int) -> bool:
-        """Whether a place among the first ``starts`` words is accepted."""
-        return any(words[i] in self.begins and self.accepts_at(words, i) for i in range(starts))
+    def earliest_end(self, words: list[bytes], start: int, starts: int) -> int | None:
+        """The earliest end of what is accepted and begins at ``start`` .. ``starts``; what begins
+        later but ends before counts as well."""
+        best, i = None, start
+        while i < (starts if best is None else best):
+            if words[i] in self.begins and (end := self.end_from(words, i)) is not None:
+                best = end if best is None else min(best, end)
+            i += 1
+        return best
 
 
-def markup_words(markup: str) -> list[bytes]:
-    """The mandatory words: those outside any region."""
+def mandatory(parts: list[str]) -> list[bytes]:
+    """The words outside any optional region."""
     text, depth = [], 0
-    for part in _parts(markup):
+    for part in parts:
         depth += (part == "<<beginOptional>>") - (part == "<<endOptional>>")
         if not part.startswith("<<") and not depth:
             text.append(part.encode())
     return text
 
 
+def compile_template(markup: str) -> list[Automaton]:
+    """The automata of a template's parts, one more than it has replaceable regions."""
+    parts: list[list[str]] = [[]]
+    for part in _parts(markup):
+        if part == "<<var>>":
+            parts.append([])
+        else:
+            parts[-1].append(part)
+    return [Automaton(p) for p in parts]
+
+
 @lru_cache(maxsize=4)
-def _compiled(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, Automaton, bytes]]:
-    out = []
-    for label, markup in templates:
-        automaton = Automaton(markup)
-        rarest = max(automaton.must, key=len)  # a text without it isn't searched further
-        out.append((label, automaton, b" " + rarest + b" "))
-    return out
+def _compiled(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, list[Automaton]]]:
+    return [(label, compile_template(markup)) for label, markup in templates]
 
 
 def _places(line: bytes, phrase: bytes):
@@ -240,10 +247,10 @@ def _stretches(raw: bytes, reach: int):
 def scan_text(text: str | None, phrases: dict[str, str], templates: tuple) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels and score of a text."""
     compiled = _compiled(templates)
-    reach = max([len(a.arcs) for _, a, _ in compiled] + [len(p.split()) for p in phrases], default=1)
+    reach = max([len(part.arcs) for _, parts in compiled for part in parts] + [len(p.split()) for p in phrases], default=1)
     total, n, first, last = 0, 0, None, None
     base: set[str] = set()
-    own: set[str] = set()
+    reached = [(0, 0)] * len(compiled)  # parts of each template found, and where the next may begin
     for words, starts in _stretches((text or "").encode().translate(_TABLE), reach):
         line = b" " + b" ".join(words) + b" "
         for phrase, label in phrases.items():
@@ -253,8 +260,13 @@ def scan_text(text: str | None, phrases: dict[str, str], templates: tuple) -> tu
                 n, base, word = n + 1, base | {label}, word + total
                 first = word if first is None else min(first, word)
                 last = word if last is None else max(last, word)
-        own |= {label for label, automaton, rarest in compiled if label not in own and rarest in line and automaton.found_in(words, starts)}
+        for n_template, (_, parts) in enumerate(compiled):
+            part, at = reached[n_template]
+            while part < len(parts) and parts[part].rarest in line and (end := parts[part].earliest_end(words, at, starts)) is not None:
+                part, at = part + 1, end
+            reached[n_template] = part, max(at - starts, 0)
         total += starts
+    own = {label for (label, parts), (part, _) in zip(compiled, reached) if part == len(parts)}
     score = 1.0 if own else 0.5 if base else 0.0
     return total, n, first, last, ",".join(sorted(base)), ",".join(sorted(base | own)), score
 

@@ -140,7 +140,7 @@ def _as_regex(markup: str) -> str:
         elif part == "<<endOptional>>":
             out += ")?"
         elif part.startswith("<<var"):
-            out += "([^ ]+ ){0,%s}" % re.findall(r"\d+", part)[0]
+            out += "([^ ]+ )*"
         else:
             out += "".join(w + " " for w in re.findall("[0-9a-z]+", part.lower()))
     return out

@@ -412,7 +412,8 @@ def test_rule_lists_of_any_size(spark, monkeypatch):
         ("Licensed under CC BY-NC 3.0.", "cc-by"),
         ("Copyright (c) 2020 Some Body. All rights reserved.", "copyright-notice,reserved"),
         ("Copyright one two three four five six seven eight nine all rights reserved", "copyright-notice,reserved"),
-        ("Copyright " + "one " * 41 + "all rights reserved", "reserved"),
+        ("Copyright " + "one " * 41 + "all rights reserved", "copyright-notice,reserved"),
+        ("all rights reserved, copyright one", "reserved"),
         ("released under the mit licence", ""),
         ("Released under the terms of the MIT License", "mit"),
         ("licensed under the apache license, version 2.0", "apache-2.0"),
@@ -449,7 +450,8 @@ BULLETED = filled("bsd-3-clause", "Some Institute nor of its University,", "THE
         (filled("mit-text", "X", without=(0, 1, 2)).upper(), "mit-text", True),
         (filled("mit-text", "X").replace("merge", "fold"), "mit-text", False),
         (filled("mit-text", "X").replace("merge", "fold"), "mit-opening", True),
-        (filled("mit-text", "one " * 41), "mit-text", False),
+        (filled("mit-text", "one " * 200), "mit-text", True),
+        (filled("bsd-3-clause", "a " * 200, "b " * 99_000, "c " * 41), "bsd-3-clause", True),
         (filled("mit-text", "one " * 40), "mit-text", True),
         (BULLETED, "bsd-3-clause", True),
         (BULLETED, "bsd-2-clause", False),
@@ -485,6 +487,27 @@ def test_long_texts_are_scanned_bit_by_bit(monkeypatch):
             assert licenses.scan_text(text, *args) == whole
 
 
+def test_templates_against_regular_expressions(monkeypatch):
+    """Random templates with optional and replaceable regions, on texts of few words, cut anywhere."""
+    from strandflow.llm.queries import _as_regex
+
+    rng = random.Random(5)
+    some = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    option = lambda: rng.choice(["", f" <<beginOptional>>{some(rng.randint(1, 3))}<<endOptional>> "])
+    found = 0
+    for _ in range(300):
+        templates = tuple((str(k), "<<var>>".join(option() + some(rng.randint(1, 2)) + option() for _ in range(k))) for k in (1, 2, 3))
+        text = some(rng.randint(0, 14))
+        monkeypatch.setattr(licenses, "CHUNK", rng.choice([1, 3, 1 << 18]))
+        want = [k for k, t in templates if re.search(" " + _as_regex(t), f" {text} ")]
+        assert licenses.scan_text(text, {}, templates)[5] == ",".join(want), (templates, text)
+        found += len(want)
+    assert 200 < found < 850
+    for wrong in ("a <<var>>", "<<var>> a", "a <<var>> <<beginOptional>>b<<endOptional>> <<var>> c", "a <<beginOptional>>b <<var>> c<<endOptional>>", "a <<x>>", "a <<endOptional>>"):
+        with pytest.raises(ValueError):
+            licenses.compile_template(wrong)
+
+
 def test_license_table(spark, docs, empty, clashing):
     phrases = [*licenses.PHRASES, "cc by cc by", "All Rights  Reserved", "ccé by", "x\x7fcc\x00by"]
     rng = random.Random(1)
