@@ -29,6 +29,13 @@ def read_shared_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def read_together(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no 0, value) of a folder by ``write_together``, in any order: for lines that
+    stand for themselves."""
+    cut = F.instr("value", "\t")
+    return spark.read.text(path).select(F.nullif(F.left("value", cut - 1), F.lit("")).alias("file"), F.lit(0).alias("line_no"), F.expr("substr(value, instr(value, '\t') + 1)").alias("value"))
+
+
 def _numbered(texts: DataFrame) -> DataFrame:
     body = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "\n$", "")
     lines = F.posexplode(F.split(body, "\n"))
@@ -151,15 +158,25 @@ def prediction_files(names: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
     return kept.where(name.rlike("^(" + "|".join(only) + ")")) if only else kept
 
 
+def mixture_lines(mixture: DataFrame) -> DataFrame:
+    """``seq weight`` lines of each sample and kind of result."""
+    return mixture.select("sample_id", "kind", F.concat_ws(" ", "seq", F.col("weight").cast("string")).alias("value"))
+
+
 def write_mixture(mixture: DataFrame, path: str) -> None:
-    """One ``seq weight`` text folder per sample and kind of result."""
-    rows = mixture.select("sample_id", "kind", F.concat_ws(" ", "seq", F.col("weight").cast("string")).alias("value"))
-    rows.write.partitionBy("sample_id", "kind").mode("overwrite").text(path)
+    """One text folder per sample and kind of result."""
+    mixture_lines(mixture).repartition("sample_id", "kind").write.partitionBy("sample_id", "kind").mode("overwrite").text(path)
+
+
+def alignment_lines(alignments: DataFrame) -> DataFrame:
+    """``read start`` lines of each sample."""
+    return alignments.select("sample_id", F.concat_ws(" ", "read", F.col("start").cast("string")).alias("value"))
 
 
 def write_alignments(alignments: DataFrame, path: str) -> None:
-    rows = alignments.select("sample_id", F.concat_ws(" ", "read", F.col("start").cast("string")).alias("value"))
-    rows.write.partitionBy("sample_id").mode("overwrite").text(path)
+    """One text folder per sample, with one file: tasks that each held some of every sample
+    would write as many files as both together make."""
+    alignment_lines(alignments).repartition("sample_id").write.partitionBy("sample_id").mode("overwrite").text(path)
 
 
 def fasta_lines(sequences: DataFrame, name: str = "name", seq: str = "seq", width: int = 70) -> DataFrame:
@@ -181,11 +198,23 @@ def statistics_lines(trace: DataFrame) -> DataFrame:
 
 
 def write_steps(lines: DataFrame, path: str) -> None:
-    """One text folder per sample, each sample's lines in one file in the order of ``iter``."""
+    """One text folder per sample, each sample's lines in one file in the order of ``iter``.
+
+    For tools that want a file a sample; many samples go to ``write_together``."""
     ordered = lines.repartition("sample_id").sortWithinPartitions("sample_id", "iter")
     ordered.select("sample_id", "value").write.partitionBy("sample_id").mode("overwrite").text(path)
 
 
+def write_together(lines: DataFrame, path: str, *order: str) -> None:
+    """Lines (file, value) of many files in as many text files as there are tasks, each line with
+    its file's name and a tab before it: what is written, moved and listed follows the bytes
+    and not the number of names. With ``order``, the lines of a name stand below each other in
+    it, those of a long one in several tasks. A name holds no tab; none is read back as null.
+    """
+    rows = lines.repartitionByRange("file", *order).sortWithinPartitions("file", *order) if order else lines
+    rows.select(F.concat(F.coalesce("file", F.lit("")), F.lit("\t"), F.coalesce("value", F.lit(""))).alias("value")).write.mode("overwrite").text(path)
+
+
 def merge_sam(lines: DataFrame, replacing: DataFrame) -> DataFrame:
     """(file, line_no, value): header lines as they are, and each other line with its
     sequence taken from the line of ``replacing`` that has the same name in the same file.
