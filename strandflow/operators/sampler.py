@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import math
 import time
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -40,26 +42,41 @@ class Settings:
 
 
 def _soft(x: float) -> float:
-    return max(1 + math.copysign(math.sqrt(abs(x)), x), 1e-9)
+    return 1 + math.sqrt(x) if x >= 0 else max(1 - math.sqrt(-x), 1e-9)
 
 
 class Chain:
-    """A mixture of source-to-sink paths and the coverage that its weights give edges."""
+    """A mixture of source-to-sink paths and the coverage that its weights give edges.
+
+    Edges are numbered, those of the graph first, so that sums over a path run over numbers. What
+    depends on the graph alone (a path's edges, its handles, where two paths differ) is
+    remembered, each kind up to MOST entries; what depends on the state, until it changes.
+    """
+
+    MOST = 1000
 
     def __init__(self, edges: pd.DataFrame, settings: Settings, chain: int, sample: int):
         self.s, self.k = settings, settings.k
         self.rng = np.random.Generator(np.random.PCG64([settings.seed, sample, chain]))
-        self.weight = {(p, s + d[-1]): w for p, s, d, w in edges[["position", "src", "dst", "weight"]].itertuples(index=False)}
+        self.number: dict[tuple[int, str], int] = {}
+        weight = {(p, s + d[-1]): w for p, s, d, w in edges[["position", "src", "dst", "weight"]].itertuples(index=False)}
+        for e in weight:
+            self.number[e] = len(self.number)
+        self.weight = list(weight.values())  # an edge that the graph lacks weighs nothing
+        self.known = len(self.weight)
         self.out: dict[tuple[int, str], list[str]] = {}
         self.into: dict[tuple[int, str], list[str]] = {}
         for p, s, d in sorted(edges[["position", "src", "dst"]].itertuples(index=False)):
             self.out.setdefault((p, s), []).append(d)
             self.into.setdefault((p + 1, d), []).append(s)
         self.last = int(edges["position"].max()) + 1
-        self.error = {e: -w for e, w in self.weight.items()}  # coverage - weight
+        self.error = [-w for w in self.weight]  # coverage - weight
         self.paths: dict[str, float] = {}
         self.handles: dict[str, list[tuple[int, int, str]]] = {}
-        self.spelled: dict[str, list[tuple[int, str]]] = {}
+        self.replaced: dict[str, list[tuple[list[int], list[int]]]] = {}
+        self.spelled: dict[str, list[int]] = {}
+        self.parts: dict[tuple[str, str], tuple[list[int], list[int], float, bool]] = {}
+        self.odds: dict[int, tuple[list[str], list[float], dict[str, float]]] = {}
         self.totals: dict[str, float] = {}
         self.commit({self.first_path(): 1.0})
         self.logl = self.log_likelihood()
@@ -69,23 +86,45 @@ class Chain:
         seq = min(v for p, v in self.out if p == 0)
         for p in range(self.last):
             nxt = self.out[p, seq[p : p + self.k]]
-            w = np.array([self.weight[p, seq[p:] + d[-1]] for d in nxt])
+            w = np.array([self.weight[self.number[p, seq[p:] + d[-1]]] for d in nxt])
             seq += nxt[self.rng.choice(len(nxt), p=w / w.sum())][-1]
         return seq
 
-    def steps(self, seq: str) -> list[tuple[int, str]]:
+    def edge(self, position: int, kmers: str) -> int:
+        """The number of an edge, spelled as its two k-mers together."""
+        found = self.number.get((position, kmers))
+        if found is None:
+            found = self.number[position, kmers] = len(self.number)
+            self.weight.append(0.0)
+            self.error.append(0.0)
+        return found
+
+    def steps(self, seq: str) -> list[int]:
         found = self.spelled.get(seq)
         if found is None:
-            if len(self.spelled) > 1000:
+            if len(self.spelled) > self.MOST:
                 self.spelled.clear()
-            found = self.spelled[seq] = [(i, seq[i : i + self.k + 1]) for i in range(len(seq) - self.k)]
+            found = self.spelled[seq] = [self.edge(i, seq[i : i + self.k + 1]) for i in range(len(seq) - self.k)]
+        return found
+
+    def apart(self, p: str, q: str) -> tuple[list[int], list[int], float, bool]:
+        """Where two paths differ: the edges of either, their weights' sum, and whether the
+        paths share an edge that weighs something."""
+        found = self.parts.get((p, q))
+        if found is None:
+            if len(self.parts) > self.MOST:
+                self.parts.clear()
+            both, w = list(zip(self.steps(p), self.steps(q), strict=True)), self.weight
+            one, other = [a for a, b in both if a != b], [b for a, b in both if a != b]
+            found = self.parts[p, q] = one, other, sum([w[a] + w[b] for a, b in zip(one, other)]), any(a == b and w[a] > 0 for a, b in both)
         return found
 
     def commit(self, changes: dict[str, float]) -> None:
         self.totals.clear()
+        error = self.error
         for seq, change in changes.items():
             for e in self.steps(seq):
-                self.error[e] = self.error.get(e, 0.0) + change
+                error[e] += change
             left = self.paths.get(seq, 0.0) + change
             if left <= 1e-12:
                 self.paths.pop(seq, None)
@@ -96,18 +135,19 @@ class Chain:
         return n * math.log(self.s.rate) - self.s.rate - math.lgamma(n + 1)
 
     def log_likelihood(self) -> float:
-        return -sum(self.error[e] ** 2 for e in self.weight) + self.log_poisson(len(self.paths))
+        error = self.error[: self.known]
+        return -math.sumprod(error, error) + self.log_poisson(len(self.paths))
 
     def delta(self, source: str, target: str, amount: float) -> float:
-        total = 0.0
-        for a, b in zip(self.steps(source), self.steps(target), strict=True):
-            if a != b:
-                total += amount * (2 * self.error[a] - amount) - amount * (2 * self.error[b] + amount)
+        total, error = 0.0, self.error
+        one, other, _, _ = self.apart(source, target)
+        for a, b in zip(one, other):
+            total += amount * (2 * error[a] - amount) - amount * (2 * error[b] + amount)
         return total
 
     def excess(self, seq: str) -> float:
         if seq not in self.totals:  # until the next change
-            self.totals[seq] = sum(self.error[e] for e in self.steps(seq))
+            self.totals[seq] = sum(map(self.error.__getitem__, self.steps(seq)))
         return min(self.paths[seq], self.totals[seq] / self.last)
 
     def find_handles(self, seq: str) -> list[tuple[int, int, str]]:
@@ -117,7 +157,9 @@ class Chain:
         k, most, found = self.k, self.s.longest_handle, []
         on = lambda p, v: seq[p : p + k] == v
         for i in range(self.last + 1):
-            todo = [(i, seq[i : i + k])] if i <= self.last else []
+            here, nxt = seq[i : i + k], self.out.get((i, seq[i : i + k]), ())
+            # where the path is all there is, no walk leaves it
+            todo = [(i, here)] if len(nxt) != 1 or not on(i + 1, nxt[0]) else []
             while todo:
                 p, piece = todo.pop()
                 v = piece[-k:]
@@ -127,7 +169,7 @@ class Chain:
                 elif p - i < most:
                     todo += [(p + 1, piece + d[-1]) for d in self.out.get((p, v), ())]
             if 0 < i <= most:
-                back = [(i, seq[i : i + k])]
+                back = [(i, here)]
                 while back:
                     p, piece = back.pop()
                     if p == 0:
@@ -135,18 +177,33 @@ class Chain:
                         continue
                     back += [(p - 1, s[0] + piece) for s in self.into.get((p, piece[:k]), ()) if not on(p - 1, s)]
         found = sorted({h for h in found if seq[h[0] : h[1] + k] != h[2]})
-        if len(self.handles) > 1000:
+        if len(self.handles) > self.MOST:
             self.handles.clear()
         self.handles[seq] = found
         return found
 
+    def replacements(self, seq: str) -> list[tuple[list[int], list[int]]]:
+        """Of each handle of a path the edges that it would replace, and its own."""
+        found = self.replaced.get(seq)
+        if found is None:
+            if len(self.replaced) > self.MOST:
+                self.replaced.clear()
+            on, k = self.steps(seq), self.k
+            found = self.replaced[seq] = [(on[a:b], [self.edge(i, piece[i - a : i - a + k + 1]) for i in range(a, b)]) for a, b, piece in self.find_handles(seq)]
+        return found
+
     def splice(self, seq: str, handle: tuple[int, int, str]) -> str:
         return seq[: handle[0]] + handle[2] + seq[handle[1] + self.k :]
 
     def pick(self, options: list, scores: list[float]) -> tuple[int, float]:
-        p = np.array(scores) / sum(scores)
-        at = int(self.rng.choice(len(options), p=p))
-        return at, math.log(p[at])
+        total = sum(scores)
+        p = [x / total for x in scores]
+        return (at := self.at(p)), math.log(p[at])
+
+    def at(self, p: list[float]) -> int:
+        """A place drawn by probabilities."""
+        upto = list(accumulate(p))
+        return bisect_right([x / upto[-1] for x in upto], self.rng.random())
 
     def source(self, options: list[str]) -> tuple[str, float]:
         at, logp = self.pick(options, [_soft(self.excess(q)) for q in options])
@@ -156,12 +213,14 @@ class Chain:
         return math.log(_soft(self.excess(seq)) / sum(_soft(self.excess(q)) for q in self.paths))
 
     def difference(self, p: str, q: str) -> float:
-        return sum(self.weight.get(a, 0) + self.weight.get(b, 0) for a, b in zip(self.steps(p), self.steps(q), strict=True) if a != b)
+        return self.apart(p, q)[2]
 
     def draw(self, source: str, target: str, floor: bool) -> tuple[float, float]:
         """An amount around the shift that would even out errors; log density over its peak."""
         w, least = self.paths[source], self.s.least
-        gap = [(min(w, self.error[a]) - self.error[b]) / 2 for a, b in zip(self.steps(source), self.steps(target), strict=True) if a != b]
+        error = self.error
+        one, other, _, _ = self.apart(source, target)
+        gap = [(min(w, error[a]) - error[b]) / 2 for a, b in zip(one, other)]
         mean = (w + 3 * sum(gap) / self.last) / 5
         mean = least if mean < 0 else mean
         std = max(mean - least, w - mean - least, least) if floor else max(mean, w - mean - least, least)
@@ -178,10 +237,12 @@ class Chain:
 
     def propose(self) -> tuple[str, dict[str, float], float, float] | None:
         """(move, changes, likelihood delta, log jump density), or None where it fails."""
-        n, mix = len(self.paths), self.mix(len(self.paths))
-        names = list(mix)
-        move = names[int(self.rng.choice(len(names), p=np.array(list(mix.values())) / sum(mix.values())))]
-        return getattr(self, f"propose_{move.lower()}")(n, mix)
+        n = len(self.paths)
+        if n not in self.odds:
+            mix = self.mix(n)
+            self.odds[n] = [m.lower() for m in mix], [x / sum(mix.values()) for x in mix.values()], mix
+        names, p, mix = self.odds[n]
+        return getattr(self, f"propose_{names[self.at(p)]}")(n, mix)
 
     def propose_new(self, n: int, mix: dict[str, float]):
         able = [q for q, w in self.paths.items() if w >= 2 * self.s.least]
@@ -209,7 +270,7 @@ class Chain:
             forward += math.log(o) if j in chosen else math.log(1 - o * (0.5 if near else 1))
         pd_ = max(self.difference(src, target), 1e-9)
         others = sum(max(self.difference(q, src), 1e-9) ** -0.5 for q in self.paths if q != src)
-        mean_error = sum(self.error[e] for e in self.steps(target)) / self.last
+        mean_error = sum(map(self.error.__getitem__, self.steps(target))) / self.last
         backward = math.log(self.mix(n + 1).get("Delete", 1e-9)) + math.log(_soft(min(amount, mean_error))) - math.log(sum(_soft(self.excess(q)) for q in self.paths)) - 0.5 * math.log(pd_) - math.log(others + pd_**-0.5)
         jump = self.scaled(backward - forward, self.s.shift_new, self.s.scale_new)
         return "New", {src: -amount, target: amount}, self.delta(src, target, amount) + self.log_poisson(n + 1) - self.log_poisson(n), jump
@@ -231,27 +292,26 @@ class Chain:
         handles = self.find_handles(src)
         if not handles:
             return None
-        w, on = self.paths[src], self.steps(src)
+        w, error, sides = self.paths[src], self.error, self.replacements(src)
 
-        def score(h: tuple[int, int, str]) -> float:
-            m = sum(min(w, self.error[on[i]]) - self.error[i, h[2][i - h[0] : i - h[0] + self.k + 1]] for i in range(h[0], h[1]))
-            return _soft(m / (h[1] - h[0]) / 2) / (h[1] - h[0])
+        def score(old: list[int], new: list[int]) -> float:
+            m = sum([min(w, error[a]) - error[b] for a, b in zip(old, new)])
+            return _soft(m / len(old) / 2) / len(old)
 
-        scores = [score(h) for h in handles]
+        scores = [score(old, new) for old, new in sides]
         at, _ = self.pick(handles, scores)
         h = handles[at]
         target = self.splice(src, h)
         if target in self.paths:
             return None
         edges = h[1] - h[0]
-        b = sum(min(w, self.error[i, h[2][i - h[0] : i - h[0] + self.k + 1]]) / edges - self.error[on[i]] for i in range(h[0], h[1])) / (2 * (edges + 1))
+        b = sum([min(w, error[new]) / edges - error[old] for old, new in zip(*sides[at])]) / (2 * (edges + 1))
         return "Move", {src: -w, target: w}, self.delta(src, target, w), math.log(_soft(b) / 2 / edges) - math.log(scores[at])
 
     def targets(self, src: str, share: bool) -> tuple[list[str], list[float]]:
         found = [(q, _soft(-self.excess(q)) / max(self.difference(src, q), 1e-9)) for q in self.paths if q != src]
         if share:
-            mine = set(self.steps(src))
-            found = [(q, x) for q, x in found if any(e in mine and self.weight.get(e, 0) > 0 for e in self.steps(q))]
+            found = [(q, x) for q, x in found if self.apart(src, q)[3]]
         return [q for q, _ in found], [x for _, x in found]
 
     def propose_delete(self, n: int, mix: dict[str, float]):

@@ -373,3 +373,27 @@ def test_every_step_has_its_likelihood_anew(reads):
     trace, _, _ = state.run()
     assert trace[-1][5] == state.log_likelihood() and all(t[4] == pytest.approx(t[5], abs=1e-9) for t in trace)
     assert len({t[5] for t in trace}) > 5 and any(t[4] != t[5] for t in trace)
+
+
+def test_a_chain_spells_out_once_what_the_graph_fixes(reads):
+    state = sampler.Chain(graph.normalise(graph.edges(reads, 2)).toPandas(), sampler.Settings(k=2, longest_handle=4, iterations=250), 0, 1)
+    spelled, calls = sampler.Chain.steps, []
+    state.steps = lambda seq: calls.append(seq) or spelled(state, seq)
+    state.run()
+    p = next(iter(state.paths))
+    for h, (old, new) in zip(state.find_handles(p), state.replacements(p), strict=True):
+        q = state.splice(p, h)
+        one, other, weight, share = state.apart(p, q)
+        at = [(i, p[i : i + 3], q[i : i + 3]) for i in range(len(p) - 2)]
+        named = {n: e for e, n in state.number.items()}
+        assert [named[e] for e in one] == [(i, a) for i, a, b in at if a != b] and [named[e] for e in other] == [(i, b) for i, a, b in at if a != b]
+        assert weight == pytest.approx(sum(state.weight[e] for e in one + other))
+        assert share == any(a == b and state.weight[state.number[i, a]] > 0 for i, a, b in at)
+        assert [named[e] for e in old] == [(i, p[i : i + 3]) for i in range(h[0], h[1])] and [named[e] for e in new] == [(i, q[i : i + 3]) for i in range(h[0], h[1])]
+    calls.clear()
+    for q in state.paths:
+        state.difference(p, q), state.apart(p, q)
+    again = len(calls)
+    for q in state.paths:
+        assert state.difference(p, q) == state.apart(p, q)[2]
+    assert len(calls) == again
