@@ -23,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, add_columns, discard, hot_keys, materialise, new_path, release, salted_join, spans, utf8
+from .common import SPACE_BYTES, Tables, add_columns, discard, hot_keys, materialise, new_path, release, salted_join, spans, utf8
 
 COORDS = 64
 MATCHES = 34
 #: Longest list merged by all its pairs; longer ones go through one member.
 SHORT = 16
-#: Document ids that are broadcast to pick their texts; beyond it the join shuffles.
-MOST_BROADCAST = 500_000
+#: Document ids that are broadcast to pick their texts, and classes whose labels are broadcast
+#: in a round of ``components``; beyond them the joins shuffle.
+MOST_BROADCAST, MOST_LABELS = 500_000, 200_000
 SKETCH_BITS = (16, 22)
 CHUNK = 1 << 18
 #: Ratio of the set sizes that share a bucket, and the parts of a bucket that is hot.
@@ -260,12 +261,15 @@ def _set_posts(sets: DataFrame, percent: int) -> DataFrame:
     return _posts(rows, make)
 
 
-def _lists(posts: DataFrame, name: str, total: int) -> DataFrame:
+def _lists(posts: DataFrame, total: int, kept: Tables) -> DataFrame:
     """Posts whose key has two classes or more, with the size of the list; ``total`` is about
     how many posts there are."""
-    sizes = materialise(posts.groupBy("k").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    here = Tables(posts.sparkSession)
+    sizes = here.write(posts.groupBy("k").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     hot = hot_keys(sizes.withColumnRenamed("size", "n"), "k", total)
-    return materialise(salted_join(posts, sizes, "k", hot), name)
+    lists = kept.write(salted_join(posts, sizes, "k", hot), "lists")
+    here.clear()
+    return lists
 
 
 def _skip(percent: int, a: str, b: str):
@@ -273,15 +277,18 @@ def _skip(percent: int, a: str, b: str):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def _merge(lists: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs a < b: all pairs of short lists, in long ones those with its head."""
+def _merge(lists: DataFrame, percent: int, here: Tables) -> DataFrame:
+    """Candidate pairs a < b: all pairs of short lists, in long ones those with its head.
+
+    What is written on the way to them is one of the tables ``here``, as in the functions below.
+    """
     short = lists.where(F.col("size") <= SHORT).select("k", "cls", "n")
     left, right = short.select("k", F.col("cls").alias("a"), F.col("n").alias("na")), short.select("k", F.col("cls").alias("b"), F.col("n").alias("nb"))
     pairs = left.join(right, "k").where((F.col("a") < F.col("b")) & _skip(percent, "na", "nb"))
     long = lists.where(F.col("size") > SHORT).select("k", "cls", "n", "size")
     # a group's middle is on most of its long lists; its members are near it, if not each other
     central = long.groupBy("cls").agg(F.count("*").alias("on"))
-    heads = materialise(long.join(central, "cls").groupBy("k").agg(F.max(F.struct("on", "n", "cls")).alias("head"), F.first("size").alias("size")), "heads")
+    heads = here.write(long.join(central, "cls").groupBy("k").agg(F.max(F.struct("on", "n", "cls")).alias("head"), F.first("size").alias("size")), "heads")
     total = heads.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     hot = hot_keys(heads.withColumnRenamed("size", "n"), "k", total)
     heads = heads.select("k", F.col("head.cls").alias("mid"), F.col("head.n").alias("nm"))
@@ -290,7 +297,7 @@ def _merge(lists: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").unionByName(stars).distinct()
 
 
-def _merge_apart(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _merge_apart(lists: DataFrame, labels: DataFrame, percent: int, here: Tables) -> DataFrame:
     """Candidate pairs a < b of different components: in each list, those of which one side
     is outside the component that most of the list is in.
 
@@ -300,9 +307,9 @@ def _merge_apart(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame
     """
     of = lists.select("k", "cls", "n", "place", "size").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     sizes = of.groupBy("k", "comp").agg(F.count("*").alias("size"))
-    main = materialise(sizes.groupBy("k").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count("*").alias("comps"), F.sum("size").alias("n")).where("comps > 1"), "main")
+    main = here.write(sizes.groupBy("k").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count("*").alias("comps"), F.sum("size").alias("n")).where("comps > 1"), "main")
     total = main.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    split = materialise(salted_join(of.drop("size"), main.select("k", "main"), "k", hot_keys(main, "k", total)), "split")
+    split = here.write(salted_join(of.drop("size"), main.select("k", "main"), "k", hot_keys(main, "k", total)), "split")
     bucket = lambda size: F.floor(F.log(size) / math.log(BUCKET))
     key = lambda b: F.xxhash64("k", b).alias("kb")
     most = (F.col("n") - F.col("place")) * (100 + percent) / percent - F.col("n")
@@ -336,9 +343,9 @@ def _at_both(pairs: DataFrame, table: DataFrame, hubs: DataFrame | None, names:
     return pairs
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, classes: DataFrame, here: Tables) -> DataFrame:
     """The pairs that agree in MATCHES coordinates or more, with the number."""
-    pairs = materialise(pairs.select("a", "b"), "pairs")
+    pairs = here.write(pairs.select("a", "b"), "pairs")
     both = _at_both(pairs, classes.select("cls", "sig"), _hubs(pairs), {"sig": ("sa", "sb")})
 
     def make(batch: pa.RecordBatch):
@@ -347,9 +354,10 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return add_columns(both.select("a", "b", "sa", "sb"), [("agree", "int")], make, without=("sa", "sb")).where(F.col("agree") >= MATCHES)
 
 
-def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int, kept: Tables) -> DataFrame:
     """(cls, n, items) of the ``wanted`` classes, from the whole text of one document each."""
-    wanted = materialise(reps.join(wanted.select("cls").distinct(), "cls", "left_semi").select(F.col("cls").alias("want"), "doc_id"), "wanted")
+    here = Tables(docs.sparkSession)
+    wanted = here.write(reps.join(wanted.select("cls").distinct(), "cls", "left_semi").select(F.col("cls").alias("want"), "doc_id"), "wanted")
     few = wanted.count() <= MOST_BROADCAST
     rows = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
 
@@ -359,12 +367,14 @@ def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, width: int) -> Da
 
     made = add_columns(rows, [("cls", "bigint"), ("n", "bigint"), ("items", "binary")], make, without=("text", "doc_id"))
     # an id that repeats with another text gives another class
-    return materialise(made.where("cls = want").select("cls", "n", "items").dropDuplicates(["cls"]), "sets")
+    sets = kept.write(made.where("cls = want").select("cls", "n", "items").dropDuplicates(["cls"]), "sets")
+    here.clear()
+    return sets
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, here: Tables) -> DataFrame:
     """``pairs`` with ``linked``: whether the full sets are similar enough."""
-    pairs = materialise(pairs.select("a", "b"), "tried")
+    pairs = here.write(pairs.select("a", "b"), "tried")
 
     def make(batch: pa.RecordBatch):
         out = np.zeros(batch.num_rows, bool)
@@ -385,34 +395,43 @@ def components(edges: DataFrame) -> DataFrame:
     for the label that it had, so whole trees move at once: about log2 of the longest path
     rounds. Each is written, and the tables of the round before are deleted.
     """
-    spark = edges.sparkSession
-    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    hubs = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b", both.count())
-    hubs = hubs and materialise(hubs, "hubs")
+    spark, here = edges.sparkSession, Tables(edges.sparkSession)
+    both = here.write(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     old = [new_path(spark, "labels")]
     labels = materialise(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels", old[0])
     vertices = labels.count()
+    few, hubs = vertices <= MOST_LABELS, None
+    if not few:
+        hubs = hot_keys(both.groupBy("b").agg(F.count("*").alias("n")), "b", both.count())
+        hubs = hubs and here.write(hubs, "hubs")
     while True:
         paths = [new_path(spark, "step"), new_path(spark, "labels")]
-        roots = hot_keys(labels.groupBy("comp").agg(F.count("*").alias("n")), "comp", vertices)
-        tops = salted_join(labels, labels.select(F.col("cls").alias("comp"), F.col("comp").alias("top")), "comp", roots)
-        near = salted_join(both, tops.select(F.col("cls").alias("b"), "top"), "b", hubs).groupBy(F.col("a").alias("cls")).agg(F.min("top").alias("near"))
-        step = materialise(tops.join(near, "cls"), "step", paths[0])
+        top = labels.select(F.col("cls").alias("comp"), F.col("comp").alias("top"))
+        if few:  # each label at its class travels once: a round shuffles edges and steps, not labels
+            tops = F.broadcast(labels.join(F.broadcast(top), "comp"))
+            near = both.join(tops.select(F.col("cls").alias("b"), "top"), "b")
+        else:
+            roots = hot_keys(labels.groupBy("comp").agg(F.count("*").alias("n")), "comp", vertices)
+            tops = salted_join(labels, top, "comp", roots)
+            near = salted_join(both, tops.select(F.col("cls").alias("b"), "top"), "b", hubs)
+        near = near.groupBy(F.col("a").alias("cls")).agg(F.min("top").alias("near"))
+        step = materialise(near.join(tops, "cls").select("comp", "cls", "top", "near"), "step", paths[0])
         hook = step.groupBy(F.col("comp").alias("cls")).agg(F.min("near").alias("hook"))
         least = F.least("comp", "top", "near", "hook").alias("comp")  # leaves nulls out
-        nxt = materialise(step.join(hook, "cls", "left").select("cls", F.col("comp").alias("was"), least), "labels", paths[1])
+        nxt = materialise(step.join(F.broadcast(hook) if few else hook, "cls", "left").select("cls", F.col("comp").alias("was"), least), "labels", paths[1])
         done = nxt.where("was <> comp").isEmpty()
         labels = nxt.select("cls", "comp")
         for path in [*old, paths[0]]:
             discard(spark, path)
         old = [paths[1]]
         if done:
+            here.clear()
             return labels
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, labels: DataFrame, here: Tables) -> DataFrame:
     """The pairs whose classes are in different components."""
-    pairs = materialise(pairs.select("a", "b"), "pairs")
+    pairs = here.write(pairs.select("a", "b"), "pairs")
     both = _at_both(pairs, labels, _hubs(pairs), {"comp": ("ca", "cb")}, "left")
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
@@ -423,17 +442,22 @@ def _link(candidates: DataFrame, sets: DataFrame, labels: DataFrame, percent: in
     Each class first tries the candidate it agrees with most, which joins most of each
     group; then only the pairs still in different components are tried.
     """
+    kept, here = Tables(sets.sparkSession), Tables(sets.sparkSession)
     links = labels.select(F.col("cls").alias("a"), F.col("comp").alias("b"))  # what holds already
     best = F.max(F.struct("agree", "a", "b")).alias("p")
     first = candidates.groupBy("b").agg(best).select("p.a", "p.b").union(candidates.groupBy("a").agg(best).select("p.a", "p.b")).distinct()
-    tried = materialise(_confirm(first, sets, percent), "links")
+    tried = kept.write(_confirm(first, sets, percent, here), "links")
+    here.clear()
     links = links.union(tried.where("linked").select("a", "b"))
     labels = components(links)
-    rest = _apart(candidates.join(tried, ["a", "b"], "left_anti"), labels)
-    more = materialise(_confirm(rest, sets, percent).where("linked"), "links")
-    if more.isEmpty():
-        return labels
-    return components(links.union(more.select("a", "b")))
+    rest = _apart(candidates.join(tried, ["a", "b"], "left_anti"), labels, here)
+    more = kept.write(_confirm(rest, sets, percent, here).where("linked"), "links")
+    here.clear()
+    if not more.isEmpty():
+        # the components stand for their classes from here on
+        labels = components(labels.select(F.col("cls").alias("a"), F.col("comp").alias("b")).union(more.select("a", "b")))
+    kept.clear()
+    return labels
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -468,26 +492,34 @@ def find_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 
 def _all_links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    lists = _lists(_coordinate_posts(classes), "lists", classes.count() * (COORDS - MATCHES + 1))
+    kept, here = Tables(docs.sparkSession), Tables(docs.sparkSession)  # until a part's end, until a table is made
+    lists = _lists(_coordinate_posts(classes), classes.count() * (COORDS - MATCHES + 1), kept)
     none = classes.select("cls", F.col("cls").alias("comp")).limit(0)
-    candidates = materialise(_agreeing(_merge(lists, percent), classes), "candidates")
-    labels = _link(candidates, _sets(docs, classes, _ends(candidates), width), none, percent)
+    candidates = kept.write(_agreeing(_merge(lists, percent, here), classes, here), "candidates")
+    here.clear()
+    labels = _link(candidates, _sets(docs, classes, _ends(candidates), width, kept), none, percent)
     # long lists that are in one component by now need no more pairs
-    again = materialise(_mixed(lists.where(F.col("size") > SHORT), labels), "again")
-    if again.isEmpty():
-        return labels
-    sets = _sets(docs, classes, again, width)
-    posts = sets.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0.0))).first()[0]
-    lists = _lists(_set_posts(sets, percent), "lists", int(posts))
-    candidates = materialise(_agreeing(_merge_apart(lists, labels, percent), classes), "candidates")
-    return labels if candidates.isEmpty() else _link(candidates, sets, labels, percent)
-
-
-def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    last = Tables(docs.sparkSession)
+    again = last.write(_mixed(lists.where(F.col("size") > SHORT), labels, here), "again")
+    here.clear()
+    kept.clear()
+    if not again.isEmpty():
+        sets = _sets(docs, classes, again, width, kept)
+        posts = sets.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0.0))).first()[0]
+        lists = _lists(_set_posts(sets, percent), int(posts), kept)
+        candidates = kept.write(_agreeing(_merge_apart(lists, labels, percent, here), classes, here), "candidates")
+        here.clear()
+        labels = labels if candidates.isEmpty() else _link(candidates, sets, labels, percent)
+        kept.clear()
+    last.clear()
+    return labels
+
+
+def _mixed(lists: DataFrame, labels: DataFrame, here: Tables) -> DataFrame:
     """(cls) of the classes on lists that are in two components or more."""
     of = lists.select("k", "cls").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     split = of.groupBy("k").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high")
-    split = materialise(split.select("k", "n"), "mixed")
+    split = here.write(split.select("k", "n"), "mixed")
     total = split.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return salted_join(lists.select("k", "cls"), split.select("k"), "k", hot_keys(split, "k", total), "left_semi").select("cls").distinct()
 

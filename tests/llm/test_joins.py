@@ -369,3 +369,36 @@ def test_copies_in_any_script_are_leaks(spark, monkeypatch):
         got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, items).collect()}
         assert all((i, i) in got and (1000 + i, i) in got for i in whole)
         assert {0, 1} <= whole
+
+
+def _copies(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[k * 9 : k * 9 + 60]) for k in range(30)]
+    near = [t.replace(f"w{k * 9 + 59}", "other") for k, t in enumerate(texts)]
+    return spark.createDataFrame(list(enumerate(texts + near + texts[:5])), "doc_id bigint, text string")
+
+
+def test_near_dedup_leaves_few_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.find_groups(_copies(spark)).collect()}
+    assert got == {i: i % 30 for i in range(65)}
+    left = {p.name.rpartition("-")[0] for p in tmp_path.iterdir()}
+    assert left <= {"signatures", "classes", "labels"}, left
+
+
+def test_components_broadcast_few_labels(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 8 != 7] + [(100, i) for i in range(200, 300)], "a bigint, b bigint")
+    plans, write = [], near_dedup.materialise
+
+    def spy(df, name, path=None):
+        if name == "step":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name, path)
+
+    monkeypatch.setattr(near_dedup, "materialise", spy)
+    want = {(i, i - i % 8) for i in range(41) if i < 40} | {(i, 100) for i in [100, *range(200, 300)]}
+    for most in (near_dedup.MOST_LABELS, 0):
+        monkeypatch.setattr(near_dedup, "MOST_LABELS", most)
+        assert {(r["cls"], r["comp"]) for r in near_dedup.components(edges).collect()} == want
+        assert all("broadcast" in p for p in plans) == bool(most)
+        plans.clear()
