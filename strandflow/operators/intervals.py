@@ -94,9 +94,38 @@ def excess_scores(handles: DataFrame, errors: DataFrame, paths: DataFrame, k: in
 
 
 def runs(marked: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """Maximal runs of consecutive ``at`` values: start, stop and size."""
-    order = F.row_number().over(Window.partitionBy(*keys).orderBy(at))
-    return marked.select(*keys, at).distinct().withColumn("_run", F.col(at) - order).groupBy(*keys, "_run").agg(F.min(at).alias("start"), F.max(at).alias("stop"), F.count("*").alias("size")).drop("_run")
+    """Maximal runs of consecutive ``at`` values: start, stop and size.
+
+    64 neighbouring values are the bits of one long, summed up by OR before anything is shuffled, so
+    that rows are blocks, not values. Runs begin and end where bits change; one that goes on
+    from the block before takes the last start there was. A null value is a run of its own.
+    """
+    kind = marked.schema[at].dataType
+    long = lambda n: F.lit(n).cast("bigint")
+    place, one, top = F.col(at).cast("bigint"), long(1), long(-1 << 63)
+    bit = F.call_function("shiftleft", one, place.bitwiseAND(long(63)).cast("int"))
+    blocks = marked.groupBy(*keys, F.shiftright(place, 6).alias("_block")).agg(F.bit_or(bit).alias("_mask"))
+    order = Window.partitionBy(*keys).orderBy("_block")
+    block, mask = F.col("_block"), F.col("_mask")
+    goes_on = (F.lag(block).over(order) == block - 1) & (F.lag(mask).over(order) < 0) & (mask.bitwiseAND(one) == 1)
+    is_led = (F.lead(block).over(order) == block + 1) & (F.lead(mask).over(order).bitwiseAND(one) == 1)
+    marks = blocks.withColumn("_on", F.coalesce(goes_on, F.lit(False))).withColumn("_led", F.coalesce(is_led, F.lit(False)))
+    before = F.shiftleft(mask, 1).bitwiseOR(F.when(F.col("_on"), one).otherwise(long(0)))
+    after = F.shiftrightunsigned(mask, 1).bitwiseOR(F.when(F.col("_led"), top).otherwise(long(0)))
+    marks = marks.withColumn("_starts", mask.bitwiseAND(F.bitwise_not(before))).withColumn("_ends", mask.bitwiseAND(F.bitwise_not(after)))
+    highest = lambda m: F.length(F.bin(m)) - 1
+    last = F.when(F.col("_starts") != 0, block * 64 + highest(F.col("_starts")))
+    marks = marks.withColumn("_last", F.last(last, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+
+    def places(m: str) -> Column:
+        bits = F.filter(F.sequence(F.lit(0), highest(F.col(m))), lambda i: F.call_function("shiftrightunsigned", F.col(m), i).bitwiseAND(one) == 1)
+        return F.when(F.col(m) != 0, F.transform(bits, lambda i: block * 64 + i)).otherwise(F.array().cast("array<bigint>"))
+
+    starts = F.concat(F.when(F.col("_on"), F.array("_last")).otherwise(F.array().cast("array<bigint>")), places("_starts"))
+    run = lambda a, b: F.struct(a.cast(kind).alias("start"), b.cast(kind).alias("stop"), (b - a + 1).alias("size"))
+    pairs = F.zip_with(F.slice(starts, F.lit(1), F.size(places("_ends"))), places("_ends"), run)
+    nothing = F.array(F.struct(F.lit(None).cast(kind).alias("start"), F.lit(None).cast(kind).alias("stop"), F.lit(1).cast("bigint").alias("size")))
+    return marks.select(*keys, F.inline(F.when(block.isNull(), nothing).otherwise(pairs)))
 
 
 def handles(edges: DataFrame, paths: DataFrame, k: int, longest: int) -> DataFrame:

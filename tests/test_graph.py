@@ -397,3 +397,22 @@ def test_a_chain_spells_out_once_what_the_graph_fixes(reads):
     for q in state.paths:
         assert state.difference(p, q) == state.apart(p, q)[2]
     assert len(calls) == again
+
+
+def test_runs_over_blocks(spark):
+    """Runs that end, begin or go on at multiples of 64, below zero and of nulls, against
+    sets; and values meet in blocks before they are shuffled."""
+    rng = random.Random(1)
+    at = {k: {rng.randint(-300, 300) for _ in range(rng.choice((1, 5, 200, 900)))} for k in range(20)}
+    at[99] = {*range(-200, 500), 502, *range(576, 704)}
+    at[None], at[-1] = {3, 4, 6}, {None}
+    rows = [(k, v) for k, vs in at.items() for v in vs] * 2
+    found = intervals.runs(spark.createDataFrame(rows, "k bigint, at int"), ["k"], "at")
+    want = [(-1, None, None, 1)]
+    for k, vs in at.items():
+        vs = vs - {None}
+        for a in (v for v in vs if v - 1 not in vs):
+            b = next(b for b in range(a, 1000) if b + 1 not in vs)
+            want.append((k, a, b, b - a + 1))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert "partial_bit_or" in found._jdf.queryExecution().executedPlan().toString()
