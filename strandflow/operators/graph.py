@@ -183,11 +183,14 @@ def count_paths(edges: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
 
     Paths are counted modulo as many primes as a bound of the number needs (the product
     of each layer's largest out-degree), by composing blocks of layers, and the number is
-    rebuilt from its residues.
+    rebuilt from its residues. Dead ends are on no such path, so the graph may have them: edges
+    that none goes on from are left out before the bound is taken, longer tails count nothing.
     """
     edges = written(edges, "edges")
     ends = lengths.select("sample_id", (F.col("origin_length") - k).alias("last")).where("last > 0")
     inner = edges.join(ends, "sample_id").where("position >= 0 and position < last")
+    on = edges.select("sample_id", (F.col("position") - 1).alias("position"), F.col("src").alias("dst"), F.lit(True).alias("on")).distinct()
+    inner = written(inner.join(on, ["sample_id", "position", "dst"], "left").where("on or position = last - 1").drop("on"), "inner")
     out = inner.groupBy("sample_id", "position", "src").agg(F.count("*").alias("n"))
     layer = out.groupBy("sample_id", "position").agg(F.log2(F.max("n")).alias("bits"), F.log2(F.count("*")).alias("sources"))
     bits = layer.groupBy("sample_id").agg((F.sum("bits") + F.max(F.when(F.col("position") == 0, F.col("sources")).otherwise(0))).alias("bits"))

@@ -416,3 +416,22 @@ def test_runs_over_blocks(spark):
             want.append((k, a, b, b - a + 1))
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
     assert "partial_bit_or" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dead_ends_cost_no_primes(spark, monkeypatch):
+    """Paths past many dead ends are counted without a cut, modulo as few primes as they need."""
+    kept, needed = graph.written, []
+
+    def seen(df, name):
+        out = kept(df, name)
+        if name == "needed":
+            needed.extend(r["number"] for r in out.collect())
+        return out
+
+    monkeypatch.setattr(graph, "written", seen)
+    line = [(1, p, f"a{p}", f"a{p + 1}") for p in range(20)]
+    tails = [(1, p, f"a{p}", f"t{p}-{i}") for p in range(19) for i in range(15)]
+    edges = spark.createDataFrame(line + tails + [(1, 5, "a5", "b"), (1, 6, "b", "a7"), (2, 0, "x", "y")], "sample_id bigint, position int, src string, dst string")
+    lengths = spark.createDataFrame([(1, 22), (2, 22)], "sample_id bigint, origin_length int")
+    got = {r["sample_id"]: r["digits"] for r in graph.count_paths(edges, lengths, 2).collect()}
+    assert got == {1: "2", 2: "0"} and needed and set(needed) == {1}
