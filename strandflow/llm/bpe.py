@@ -13,7 +13,6 @@ import hashlib
 import json
 import os.path
 import unicodedata
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -21,11 +20,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import add_columns
+from .common import add_columns, kept_in_worker
 
-#: Bytes of the stretches and of the words whose ids a worker remembers, the characters of
-#: those that it does (longer ones hardly come again), and pairs whose test it remembers.
-MEMO_BYTES, MEMO_CHARS = 160 << 20, 64
+#: Bytes of the stretches and, half as many, of the words whose ids a worker remembers, the characters
+#: of those that it does (longer ones hardly come again), and pairs whose test it remembers.
+MEMO_BYTES, MEMO_CHARS = 80 << 20, 64
 MEMO_PAIRS = 150_000
 #: Stands for the end of a word inside the automaton; no byte maps to it.
 END = ""
@@ -61,16 +60,16 @@ class _Memo(dict):
 
 
 class _Parts(dict):
-    """The same for the ids and the decoded string of stretches of text, bounded in bytes."""
+    """The same for the ids of stretches of text, bounded in bytes."""
 
     def __init__(self, make, most: int):
         super().__init__()
         self.make, self.most, self.size = make, most, 0
 
-    def __missing__(self, key: str) -> tuple[bytes, str]:
+    def __missing__(self, key: str) -> bytes:
         value = self.make(key)
         if len(key) <= MEMO_CHARS:
-            self.size += 300 + 4 * len(key) + len(value[0]) + 4 * len(value[1])  # with what Python adds
+            self.size += 180 + (1 if key.isascii() else 4) * len(key) + len(value)  # with what Python adds
             if self.size > self.most:
                 self.clear()
                 self.size = 0
@@ -188,19 +187,17 @@ class Encoder:
             p -= size[p]
         return out[::-1]
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        ids = np.array(self.encode_word(word), "<u4").tobytes()
-        return ids, self.decode(ids)
+    def _word(self, word: str) -> bytes:
+        return np.array(self.encode_word(word), "<u4").tobytes()
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids of what stands between white space, and what they decode to."""
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of what stands between white space."""
         words = self.words.findall(chunk)
         if len(words) == 1:
             return self._word(words[0])
-        found = [self.memo_words[word] for word in words]
-        return b"".join([i for i, _ in found]), " ".join([d for _, d in found])
+        return b"".join([self.memo_words[word] for word in words])
 
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+    def _plain(self, text: str) -> list[bytes]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         low = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
@@ -209,30 +206,28 @@ class Encoder:
             return [self.memo_words[w] for w in self.words.findall(low)]
         return list(map(self.memo.__getitem__, low.split()))
 
-    def parts(self, text: str) -> list[tuple[bytes, str]]:
-        """Ids and decoded string of each part of the whole text, in order."""
+    def parts(self, text: str) -> list[bytes]:
+        """Ids of each part of the whole text, in order."""
         if not self.added or self.mark not in text:
             return self._plain(text)
         out, at = [], 0
         for m in self.specials.finditer(text):
-            ids = np.array([self.added[m[0]]], "<u4").tobytes()
-            out += [*self._plain(text[at : m.start()]), (ids, self.decode(ids))]
+            out += [*self._plain(text[at : m.start()]), np.array([self.added[m[0]]], "<u4").tobytes()]
             at = m.end()
         return [*out, *self._plain(text[at:])]
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
-        return b"".join([i for i, _ in self.parts(text)])
+        return b"".join(self.parts(text))
 
     def decode(self, ids: bytes) -> str:
         """Without a decoder in the file, the token strings with spaces between."""
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One per worker process and file."""
-    return Encoder(path)
+    """One per worker process and file, as long as the process has tasks that encode."""
+    return kept_in_worker(f"bpe {path}", lambda: Encoder(path))
 
 
 def _id_lists(raw: list[bytes]) -> pa.Array:
@@ -245,9 +240,8 @@ def _digests(enc: Encoder, texts: list[str | None]) -> tuple[list[bytes], list[s
     """Of each whole text its ids, and the SHA-256 of what they decode to."""
     ids, decoded = [], []
     for text in texts:
-        parts = enc.parts(text or "")
-        ids.append(b"".join([i for i, _ in parts]))
-        decoded.append(hashlib.sha256(" ".join([d for _, d in parts]).encode()).hexdigest())
+        ids.append(enc.encode(text or ""))
+        decoded.append(hashlib.sha256(enc.decode(ids[-1]).encode()).hexdigest())
     return ids, decoded
 
 

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandflow.llm import bpe, langid, licenses, token_counts, toxicity, url_filter
+from strandflow.llm import bpe, common, langid, licenses, token_counts, toxicity, url_filter
 
 P = pytest.importorskip("public_tokenizers")
 BPE, PIECES = P.path("word_bpe_49k.json"), P.path("piece_bpe_32k.model")
@@ -165,6 +165,24 @@ def test_memory_of_words_is_bounded(monkeypatch):
     assert max(map(len, [*counter, *counter.lines])) <= token_counts.MEMO_CHARS
 
 
+def test_a_worker_lets_go_of_what_its_tasks_no_longer_use():
+    """The encoder stays for the next task that encodes, and goes with one that doesn't."""
+    first = bpe.encoder(BPE)
+    common.release()
+    assert bpe.encoder(BPE) is first
+    common.release()
+    assert not common._USED and common._KEPT
+    common.release()
+    assert not common._KEPT and bpe.encoder(BPE) is not first
+
+
+def test_remembered_words_hold_no_decoded_text():
+    own = bpe.Encoder(BPE)
+    ids, decoded = bpe._digests(own, ["one two, <|endoftext|> three", "", None])
+    assert [hashlib.sha256(own.decode(i).encode()).hexdigest() for i in ids] == decoded
+    assert {type(v) for v in own.memo.values()} == {bytes} == {type(v) for v in own.memo_words.values()}
+
+
 def test_other_tokenizer_files_raise(tmp_path):
     import json
 
