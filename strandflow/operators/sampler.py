@@ -1,22 +1,29 @@
-"""Metropolis-Hastings over mixtures of paths, one group per (sample, chain).
+"""Metropolis-Hastings over mixtures of paths, chains of (sample, chain).
 
-A chain is sequential and its state is small (the sample's graph and a few paths), so Spark
-runs chains side by side: the graph of a sample is shipped to each of its chains.
+A chain is sequential and its state is small (the sample's graph and a few paths), so chains run
+side by side: Spark deals samples to tasks, and a task takes its chains through their steps together
+(``chains.Chains``). ``Chain`` is one chain alone, which takes the same steps.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import time
 from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chains import MOVES, Chains, Graph
+from .lineage import spread
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -377,22 +384,84 @@ class Chain:
         return trace, best, best_logl
 
 
-def _run(edges: DataFrame, chains: int, settings: Settings, schema: str, rows_of) -> DataFrame:
-    ids = edges.sparkSession.range(chains).withColumnRenamed("id", "chain_id")
-    shipped = edges.crossJoin(F.broadcast(ids))
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        sample, chain = int(rows["sample_id"].iloc[0]), int(rows["chain_id"].iloc[0])
-        state = Chain(rows, settings, chain, sample)
-        out = rows_of(state, *state.run())
-        out.insert(0, "chain_id", chain)
-        out.insert(0, "sample_id", sample)
-        return out
+#: Chains in step in a task, at most: so many, and so many edges of paths in all.
+TOGETHER, EDGES_TOGETHER = 1024, 1 << 17
+#: Fewer chains than these are quicker one by one.
+FEW = 8
+#: Chains of a sample that stay together; further ones may run in other tasks.
+BLOCK = 64
+
+
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """Rows of one sample and block after another, from batches sorted by them."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        rows = batch.to_pandas()
+        if not len(rows):
+            continue
+        keys = rows[["sample_id", "block"]].to_numpy()
+        if held and (held[-1][["sample_id", "block"]].to_numpy()[-1] != keys[0]).any():
+            yield pd.concat(held)
+            held = []
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(rows)]
+        for start, stop in itertools.pairwise(cuts):
+            held.append(rows.iloc[start:stop])
+            if stop < len(rows):
+                yield pd.concat(held)
+                held = []
+    if held:
+        yield pd.concat(held)
+
+
+def _together(batches: Iterator[pa.RecordBatch], chains: int, settings: Settings) -> Iterator[list[tuple[pd.DataFrame, int, range]]]:
+    """Samples (edges, sample_id, numbers of chains) that run in step."""
+    held, many, longest = [], 0, 0
+    for rows in _samples(batches):
+        first = int(rows["block"].iloc[0]) * BLOCK
+        numbers = range(first, min(first + BLOCK, chains))
+        length = int(rows["position"].max()) + 1
+        if held and (many + len(numbers) > TOGETHER or (many + len(numbers)) * max(longest, length) > EDGES_TOGETHER):
+            yield held
+            held, many, longest = [], 0, 0
+        held.append((rows, int(rows["sample_id"].iloc[0]), numbers))
+        many, longest = many + len(numbers), max(longest, length)
+    if many:
+        yield held
+
+
+def _run(edges: DataFrame, chains: int, settings: Settings, schema: str, of_chain, of_chains) -> DataFrame:
+    """Rows (sample_id, chain_id, ..) of all chains: ``of_chain`` gives those of a ``Chain``, and
+    ``of_chains`` those of many in step. A chain that ends by the clock has it to itself."""
+    by_clock = settings.stop != "iter"
+    together = 1 if by_clock else BLOCK
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(max(chains - 1, 0) // together)))
+    dealt = spread(edges.select("sample_id", "position", "src", "dst", "weight", blocks.alias("block")), "sample_id", "block")
+
+    def rows(columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) if not isinstance(x, pa.Array) else x for x in columns], names=names)
+
+    def alone(found: pd.DataFrame, sample: int, numbers: Iterable[int]) -> Iterator[pa.RecordBatch]:
+        for chain in numbers:
+            columns = list(zip(*of_chain(state := Chain(found, settings, chain, sample), *state.run()), strict=True))
+            yield rows([[sample] * len(columns[0]), [chain] * len(columns[0]), *map(list, columns)])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if by_clock:
+            for found in _samples(batches):
+                yield from alone(found, int(found["sample_id"].iloc[0]), [int(found["block"].iloc[0])] if chains > 0 else [])
+            return
+        for held in _together(batches, chains, settings):
+            if sum(len(numbers) for _, _, numbers in held) < FEW:
+                for found, sample, numbers in held:
+                    yield from alone(found, sample, numbers)
+                continue
+            graphs = [Graph(*(found[c].tolist() for c in ("position", "src", "dst", "weight")), settings.k, settings.longest_handle) for found, _, _ in held]
+            state = Chains(graphs, [(g, sample, chain) for g, (_, sample, numbers) in enumerate(held) for chain in numbers], settings)
+            for chain, *columns in of_chains(state):
+                yield rows([state.sample[chain], state.chain[chain], *columns])
 
-    # a chain is long work on a small graph: a stated number of tasks isn't merged by size
-    spark = edges.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return shipped.repartition(tasks, "sample_id", "chain_id").groupBy("sample_id", "chain_id").applyInPandas(work, schema)
+    names = [f.split()[0] for f in schema.split(", ")]
+    return dealt.sortWithinPartitions("sample_id", "block").mapInArrow(work, schema)
 
 
 def mixtures(edges: DataFrame, chains: int = 4, settings: Settings = Settings()) -> DataFrame:
@@ -401,20 +470,29 @@ def mixtures(edges: DataFrame, chains: int = 4, settings: Settings = Settings())
     ``edges``: normalised edges of graphs without dead ends.
     """
 
-    def rows_of(state: Chain, trace, best, best_logl) -> pd.DataFrame:
-        last = [("last", q, w, trace[-1][4]) for q, w in sorted(state.paths.items())]
-        return pd.DataFrame(last + [("best", q, w, best_logl) for q, w in sorted(best.items())], columns=["kind", "seq", "weight", "logl"])
+    def of_chain(state: Chain, trace, best, best_logl) -> list[tuple]:
+        return [("last", q, w, trace[-1][4]) for q, w in sorted(state.paths.items())] + [("best", q, w, best_logl) for q, w in sorted(best.items())]
 
-    return _run(edges, chains, settings, "sample_id bigint, chain_id bigint, kind string, seq string, weight double, logl double", rows_of)
+    def of_chains(state: Chains) -> Iterator[tuple]:
+        for _ in state.run():
+            pass
+        chain, *columns = zip(*state.mixtures())
+        yield np.array(chain), *map(list, columns)
+
+    return _run(edges, chains, settings, "sample_id bigint, chain_id bigint, kind string, seq string, weight double, logl double", of_chain, of_chains)
 
 
 def traces(edges: DataFrame, chains: int = 4, settings: Settings = Settings()) -> DataFrame:
     """(sample_id, chain_id, iter, move, accept, delta, logl_acc, logl, jump): each chain's steps."""
 
-    def rows_of(state: Chain, trace, best, best_logl) -> pd.DataFrame:
-        return pd.DataFrame(trace, columns=["iter", "move", "accept", "delta", "logl_acc", "logl", "jump"])
+    def of_chain(state: Chain, trace, best, best_logl) -> list[tuple]:
+        return trace
+
+    def of_chains(state: Chains) -> Iterator[tuple]:
+        for chain, step, move, *columns in state.run():
+            yield chain, step, pa.array(MOVES).take(pa.array(move)), *columns
 
-    return _run(edges, chains, settings, "sample_id bigint, chain_id bigint, iter bigint, move string, accept boolean, delta double, logl_acc double, logl double, jump double", rows_of)
+    return _run(edges, chains, settings, "sample_id bigint, chain_id bigint, iter bigint, move string, accept boolean, delta double, logl_acc double, logl double, jump double", of_chain, of_chains)
 
 
 def best_of_chains(found: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 import math
 import random
+from collections import Counter
 
+import pandas as pd
 import pytest
 
 from strandflow.jobs import reconstruct
-from strandflow.operators import align, graph, intervals, layers, overlay, sampler, scoring
+from strandflow.operators import align, chains, graph, intervals, layers, overlay, sampler, scoring
 
 READS = {"GCT": 1, "GAT": 4, "CTT": 1, "ATT": 3, "TTA": 2, "TAT": 1, "TAC": 4, "ATA": 1, "ACA": 3}
 STARTS = {"GCT": 0, "GAT": 0, "CTT": 1, "ATT": 1, "TTA": 2, "TAT": 3, "TAC": 3, "ATA": 4, "ACA": 4}
@@ -435,3 +437,56 @@ def test_dead_ends_cost_no_primes(spark, monkeypatch):
     lengths = spark.createDataFrame([(1, 22), (2, 22)], "sample_id bigint, origin_length int")
     got = {r["sample_id"]: r["digits"] for r in graph.count_paths(edges, lengths, 2).collect()}
     assert got == {1: "2", 2: "0"} and needed and set(needed) == {1}
+
+
+def layered(rng: random.Random, length: int, paths: int) -> pd.DataFrame:
+    """Normalised edges of the 3-mers of ``paths`` sequences that differ here and there."""
+    first = [rng.choice("ACGT") for _ in range(length)]
+    seqs = ["".join(rng.choice("ACGT") if i and rng.random() < 0.2 else c for c in first) for i in range(paths)]
+    found = Counter((p, q[p : p + 3], q[p + 1 : p + 4]) for q in seqs for p in range(length - 3))
+    rows = [(p, s, d, n / paths) for (p, s, d), n in sorted(found.items())]
+    return pd.DataFrame(rows, columns=["position", "src", "dst", "weight"])
+
+
+@pytest.mark.parametrize("changes", [{}, {"mode": "metropolis", "temperature": 3.0}, {"longest_handle": 3, "retries": 2}, {"least": 0.2, "rate": 6.0}])
+def test_chains_in_step_are_chains_alone(changes):
+    rng = random.Random(len(changes))
+    settings = sampler.Settings(**{"k": 3, "iterations": 150, "longest_handle": 8, **changes})
+    graphs = [layered(rng, length, paths) for length, paths in ((30, 5), (12, 2), (20, 1), (41, 6), (8, 4))]
+    members = [(g, 10 + g, c) for g in range(len(graphs)) for c in range(3)]
+    state = chains.Chains([chains.Graph(*(x[c].tolist() for c in x.columns), 3, settings.longest_handle) for x in graphs], members, settings)
+    state.TRACE, state.MOST = 50, 20  # traces in parts, and handles forgotten on the way
+    rows = sorted((*map(int, r[:2]), chains.MOVES[r[2]], bool(r[3]), *r[4:]) for part in state.run() for r in zip(*part, strict=True))
+    mixtures = list(state.mixtures())
+    moves = set()
+    for b, (g, sample, c) in enumerate(members):
+        alone = sampler.Chain(graphs[g], settings, c, sample)
+        trace, best, logl = alone.run()
+        mine = [r[1:] for r in rows if r[0] == b]
+        assert [r[:3] for r in mine] == [t[:3] for t in trace]
+        assert all(r[3:] == pytest.approx(t[3:], abs=1e-9) for r, t in zip(mine, trace))
+        for kind, paths, end in (("last", alone.paths, trace[-1][4]), ("best", best, logl)):
+            found = [r[2:] for r in mixtures if r[:2] == (b, kind)]
+            assert [(q, w) for q, w, _ in found] == sorted(paths.items()) and all(x == pytest.approx(end) for _, _, x in found)
+        moves |= {(t[1], t[2]) for t in trace}
+    assert {m for m, _ in moves} >= {"Start", "Fail", "New", "Move", "Delete", "Transfer"} and len(moves) > 8
+
+
+def test_tasks_take_samples_chains_in_step(spark):
+    rng = random.Random(4)
+    graphs = {s: layered(rng, 10 + s, 1 + s % 4) for s in range(9)}
+    edges = spark.createDataFrame(pd.concat([x.assign(sample_id=s) for s, x in graphs.items()])[["sample_id", "position", "src", "dst", "weight"]])
+    settings = sampler.Settings(k=3, iterations=20, longest_handle=6)
+    plan = sampler.mixtures(edges, 3, settings)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    for many in (1, 3):  # one by one in a task, and together
+        found = sampler.mixtures(edges, many, settings).collect()
+        want = []
+        for s, x in graphs.items():
+            for c in range(many):
+                alone = sampler.Chain(x, settings, c, s)
+                trace, best, logl = alone.run()
+                want += [(s, c, "last", q, w, trace[-1][4]) for q, w in alone.paths.items()] + [(s, c, "best", q, w, logl) for q, w in best.items()]
+        assert [r[:5] for r in sorted(map(tuple, found))] == [r[:5] for r in sorted(want)]
+        assert [r[5] for r in sorted(map(tuple, found))] == pytest.approx([r[5] for r in sorted(want)])
+    assert sampler.mixtures(edges, 0, settings).count() == 0 and sampler.mixtures(edges.limit(0), 3, settings).count() == 0
