@@ -10,6 +10,11 @@ from ..operators import graph, lineage, sampler
 
 def clean_edges(reads: DataFrame, k: int) -> DataFrame:
     """Normalised edges of the reads' graph without dead ends."""
+    return _clean(lineage.written(reads, "reads"), k)
+
+
+def _clean(reads: DataFrame, k: int) -> DataFrame:
+    """The same of ``reads`` that are a table: they are read three times."""
     edges, vertices, lengths = graph.edges(reads, k), graph.vertices(reads, k), graph.origin_length(reads)
     return graph.normalise(graph.cut_tails(vertices, edges, lengths, k))
 
@@ -29,7 +34,8 @@ def reconstruct(reads: DataFrame, references: DataFrame | None = None, settings:
     """
     k = settings.k
     reads = reads if references is None else reads.join(references.select("sample_id").distinct(), "sample_id", "left_semi")
-    edges = lineage.cut(clean_edges(reads, k))
+    reads = lineage.written(reads, "reads")
+    edges = lineage.written(_clean(reads, k), "edges")
     kinds = graph.path_kinds(edges, graph.origin_length(reads), k)
     alone = single_paths(edges.join(kinds.where("kind = 'one'").select("sample_id"), "sample_id", "left_semi"))
     many = edges.join(kinds.where("kind = 'many'").select("sample_id"), "sample_id", "left_semi")

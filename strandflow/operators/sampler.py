@@ -18,7 +18,7 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chains import MOVES, Chains, Graph
@@ -497,6 +497,7 @@ def traces(edges: DataFrame, chains: int = 4, settings: Settings = Settings()) -
 
 def best_of_chains(found: DataFrame) -> DataFrame:
     """(sample_id, seq, weight): of each sample the best mixture over all chains."""
-    best = found.where("kind = 'best'")
-    top = best.groupBy("sample_id").agg(F.max(F.struct("logl", (-F.col("chain_id")).alias("c"))).alias("m")).select("sample_id", (-F.col("m.c")).alias("chain_id"))
-    return best.join(top, ["sample_id", "chain_id"]).select("sample_id", "seq", "weight")
+    # one pass: a join of the best with themselves would run the chains twice
+    rank = F.struct("logl", (-F.col("chain_id")).alias("c"))
+    best = found.where("kind = 'best'").withColumn("top", F.max(rank).over(Window.partitionBy("sample_id")))
+    return best.where(F.col("top.c") == -F.col("chain_id")).select("sample_id", "seq", "weight")

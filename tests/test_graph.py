@@ -490,3 +490,13 @@ def test_tasks_take_samples_chains_in_step(spark):
         assert [r[:5] for r in sorted(map(tuple, found))] == [r[:5] for r in sorted(want)]
         assert [r[5] for r in sorted(map(tuple, found))] == pytest.approx([r[5] for r in sorted(want)])
     assert sampler.mixtures(edges, 0, settings).count() == 0 and sampler.mixtures(edges.limit(0), 3, settings).count() == 0
+
+
+def test_the_best_of_chains_is_found_in_one_run(spark):
+    rng = random.Random(8)
+    edges = spark.createDataFrame(pd.concat([layered(rng, 20, 4).assign(sample_id=s) for s in range(3)])[["sample_id", "position", "src", "dst", "weight"]])
+    best = sampler.best_of_chains(sampler.mixtures(edges, 4, sampler.Settings(k=3, iterations=40, longest_handle=6)))
+    assert best._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = [(1, c, kind, q, w, logl) for c, logl, q, w in ((0, -3.0, "A", 1.0), (1, -2.0, "C", 0.5), (1, -2.0, "G", 0.5), (2, -2.0, "T", 1.0)) for kind in ("last", "best")]
+    found = spark.createDataFrame([*rows, (1, 3, "last", "AA", 1.0, 9.0), (2, 5, "best", "CC", 1.0, -7.0)], "sample_id bigint, chain_id bigint, kind string, seq string, weight double, logl double")
+    assert sorted(map(tuple, sampler.best_of_chains(found).collect())) == [(1, "C", 0.5), (1, "G", 0.5), (2, "CC", 1.0)]
