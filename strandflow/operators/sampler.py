@@ -387,7 +387,7 @@ class Chain:
 #: Chains in step in a task, at most: so many, and so many edges of paths in all.
 TOGETHER, EDGES_TOGETHER = 1024, 1 << 17
 #: Fewer chains than these are quicker one by one.
-FEW = 8
+FEW = 14
 #: Chains of a sample that stay together; further ones may run in other tasks.
 BLOCK = 64
 

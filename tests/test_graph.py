@@ -479,7 +479,7 @@ def test_tasks_take_samples_chains_in_step(spark):
     settings = sampler.Settings(k=3, iterations=20, longest_handle=6)
     plan = sampler.mixtures(edges, 3, settings)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan
-    for many in (1, 3):  # one by one in a task, and together
+    for many in (1, 12):  # one by one in a task, and together
         found = sampler.mixtures(edges, many, settings).collect()
         want = []
         for s, x in graphs.items():
@@ -500,3 +500,19 @@ def test_the_best_of_chains_is_found_in_one_run(spark):
     rows = [(1, c, kind, q, w, logl) for c, logl, q, w in ((0, -3.0, "A", 1.0), (1, -2.0, "C", 0.5), (1, -2.0, "G", 0.5), (2, -2.0, "T", 1.0)) for kind in ("last", "best")]
     found = spark.createDataFrame([*rows, (1, 3, "last", "AA", 1.0, 9.0), (2, 5, "best", "CC", 1.0, -7.0)], "sample_id bigint, chain_id bigint, kind string, seq string, weight double, logl double")
     assert sorted(map(tuple, sampler.best_of_chains(found).collect())) == [(1, "C", 0.5), (1, "G", 0.5), (2, "CC", 1.0)]
+
+
+def test_traces_of_many_chains(spark):
+    """Chains of one sample in two blocks, and by the clock each alone, are those of ``Chain``."""
+    graph_of_one = layered(random.Random(3), 24, 4)
+    edges = spark.createDataFrame(graph_of_one.assign(sample_id=5)[["sample_id", "position", "src", "dst", "weight"]])
+    settings = sampler.Settings(k=3, iterations=25, longest_handle=6)
+    plan = sampler.traces(edges, 70, settings)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    for many, stop in ((70, "iter"), (3, "any")):
+        timed = sampler.Settings(k=3, iterations=25, longest_handle=6, stop=stop, seconds=600.0)
+        found = sorted(map(tuple, sampler.traces(edges, many, timed).collect()))
+        want = sorted((5, c, *t) for c in range(many) for t in sampler.Chain(graph_of_one, settings, c, 5).run()[0])
+        assert [r[:5] for r in found] == [r[:5] for r in want]
+        assert all(r[5:] == pytest.approx(w[5:], abs=1e-9) for r, w in zip(found, want))
+    assert sampler.traces(edges, 0, settings).count() == 0
